@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from tabulon.llm.bpe import op9_bpe
 from tabulon.llm.chat import OP3_SQL, op3_chat_format
+from tabulon.llm.html import op1_html_extract
 from tabulon.llm.pii import op8_pii_spans
+from tabulon.llm.quality import op4_quality
+from tabulon.llm.secrets import op10_secrets
 from tabulon.llm.urls import op5_url_filter
 
 QUERIES: dict = {
+    "op1_html_extract": op1_html_extract,
     "op3_chat_format": op3_chat_format,
+    "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
     "op8_pii_spans": op8_pii_spans,
+    "op9_bpe": op9_bpe,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict = {"op3_chat_format": OP3_SQL}

@@ -41,3 +41,27 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_ARROW = {"long": "int64", "int": "int32", "string": "string", "double": "float64", "boolean": "bool", "binary": "binary"}
+
+
+def map_blocks(df: DataFrame, work, schema: str, *, rows: int = 256) -> DataFrame:
+    """``df`` through ``work`` in blocks of at most ``rows`` rows, in Arrow batches and without a shuffle.
+
+    ``work`` gets the columns of a block as Arrow arrays and returns the output columns in the order of ``schema``, a
+    list like ``doc_id long, ids array<int>``. A task never holds more than one Arrow batch and one block's results.
+    """
+    fields = [part.strip().split(" ", 1) for part in schema.split(",")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = lambda t: pa.list_(kind(t[6:-1])) if t.startswith("array<") else getattr(pa, {"bool": "bool_"}.get(_ARROW[t], _ARROW[t]))()
+        out = pa.schema([pa.field(name, kind(t)) for name, t in fields])
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                columns = work(*batch.slice(at, rows).columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, schema)
