@@ -8,10 +8,12 @@ from tabulon.llm.html import op1_html_extract
 from tabulon.llm.pii import op8_pii_spans
 from tabulon.llm.quality import op4_quality
 from tabulon.llm.secrets import op10_secrets
+from tabulon.llm.simhash import op2_simhash
 from tabulon.llm.urls import op5_url_filter
 
 QUERIES: dict = {
     "op1_html_extract": op1_html_extract,
+    "op2_simhash": op2_simhash,
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
