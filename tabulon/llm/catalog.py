@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tabulon.llm.bpe import op9_bpe
 from tabulon.llm.chat import OP3_SQL, op3_chat_format
+from tabulon.llm.decontaminate import op7_decontaminate
 from tabulon.llm.html import op1_html_extract
 from tabulon.llm.pii import op8_pii_spans
 from tabulon.llm.quality import op4_quality
@@ -17,6 +18,7 @@ QUERIES: dict = {
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
+    "op7_decontaminate": op7_decontaminate,
     "op8_pii_spans": op8_pii_spans,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
