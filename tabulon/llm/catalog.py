@@ -8,6 +8,7 @@ from tabulon.llm.decontaminate import op7_decontaminate
 from tabulon.llm.html import op1_html_extract
 from tabulon.llm.pii import op8_pii_spans
 from tabulon.llm.quality import op4_quality
+from tabulon.llm.repeats import op6_repeats
 from tabulon.llm.secrets import op10_secrets
 from tabulon.llm.simhash import op2_simhash
 from tabulon.llm.urls import op5_url_filter
@@ -18,6 +19,7 @@ QUERIES: dict = {
     "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
+    "op6_repeats": op6_repeats,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii_spans": op8_pii_spans,
     "op9_bpe": op9_bpe,
