@@ -25,21 +25,26 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder, so that a lost executor costs no recomputing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session (as in tests) gets a temporary folder;
-    a cluster without the setting is an error, because its executors share no local disk.
+    Only a local session (as in tests) gets a temporary folder instead; a cluster without the setting is an error,
+    because its executors share no local disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that a lost executor costs no recomputing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
