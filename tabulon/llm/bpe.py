@@ -22,28 +22,26 @@ WORD = 256
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of lowest rank is merged, the leftmost first, until no pair has a rank."""
-    n = len(piece)
-    after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+    """Ids of one pre-token: the pair of lowest rank is merged, the leftmost first, until no pair has a rank.
+
+    ``pair[i]`` is the rank of the token at i with the one after it, -1 for none; a bucket's entry is stale if the pair
+    has gone or become another since.
+    """
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+    pair.append(-1)
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-
-    def put(at: int, end: int) -> None:
-        nonlocal top
-        rank = ranks.get(piece[at:end], -1)
-        pair[at] = rank
-        if rank >= 0:
-            if bucket := buckets.get(rank):
-                heappush(bucket, at)
-            else:
-                buckets[rank] = [at]
-                word, bit = divmod(rank, WORD)
-                words[word] = words.get(word, 0) | 1 << bit
-                top |= 1 << word
-
-    for i in range(n - 1):
-        put(i, i + 2)
+    for i, rank in enumerate(pair):
+        if rank in buckets:
+            buckets[rank].append(i)  # rising, so a heap
+        elif rank >= 0:
+            buckets[rank] = [i]
+            word = rank // WORD
+            words[word] = words.get(word, 0) | 1 << rank % WORD
+            top |= 1 << word
     while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
@@ -51,19 +49,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         bucket = buckets[rank]
         at = heappop(bucket)
         if not bucket:
+            del buckets[rank]
             words[word] = bits = bits & (bits - 1)
             if not bits:
                 top &= top - 1
-        if pair[at] != rank:  # stale: the pair has gone or has become another
+        if pair[at] != rank:
             continue
         gone = after[at]
         end = after[at] = after[gone]
         pair[gone] = pair[at] = -1
         if end < n:
             before[end] = at
-            put(at, after[end])
-        if at:
-            put(before[at], end)
+            todo = (at, before[at]) if at else (at,)
+        else:
+            todo = (before[at],) if at else ()
+        for i in todo:
+            pair[i] = rank = get(piece[i : after[after[i]]], -1)
+            if rank in buckets:
+                heappush(buckets[rank], i)
+            elif rank >= 0:
+                buckets[rank] = [i]
+                word = rank // WORD
+                words[word] = words.get(word, 0) | 1 << rank % WORD
+                top |= 1 << word
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -74,7 +82,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Coder:
     """Encoder and decoder of one rank file; ids of pre-tokens seen before are kept up to a bound."""
 
-    def __init__(self, ranks_file: bytes, pattern: str, keep: int = 300_000):
+    def __init__(self, ranks_file: bytes, pattern: str, keep: int = 600_000):
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
