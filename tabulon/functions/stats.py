@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,10 +140,8 @@ def ks_p(d: float, n: int, m: int) -> float:
 
 def with_p_value(df: DataFrame, name: str, formula, *inputs: str) -> DataFrame:
     """``df`` with a p-value column computed from ``inputs`` by a vectorised function; meant for results of few rows."""
-    import pandas as pd
-
     @F.pandas_udf("double")
-    def p_value(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else float(formula(*row)) for row in zip(*columns, strict=True)], dtype="float64")
+    def p_value(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if any(pd.isna(v) for v in row) else float(formula(*row)) for row in rows.itertuples(index=False)], dtype="float64")
 
-    return df.withColumn(name, p_value(*[F.col(c) for c in inputs]))
+    return df.withColumn(name, p_value(F.struct(*inputs)))
