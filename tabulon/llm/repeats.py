@@ -20,8 +20,11 @@ from tabulon.llm.common import cut, map_blocks, table
 #: Bytes of a repeated string and of an anchor's gram; a string has ``SLIDE + 1`` grams.
 LENGTH, GRAM = 100, 32
 SLIDE = LENGTH - GRAM
-#: Different contexts of one anchor that are sorted in one task; anchors with more are settled string by string.
-CROWD = 20_000
+#: Different contexts of one anchor that are sorted in one task (a few hundred bytes each); anchors with more are settled
+#: string by string.
+CROWD = 100_000
+#: Parts into which the places of one string are dealt when they are joined with its first.
+SALTS = 16
 #: Rows of one suffix sort.
 CHUNK = 60_000
 
@@ -329,7 +332,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans ``doc_id, a, b`` (bytes, end exclusive; they may overlap) of ``docs`` (doc_id, text) that repeat earlier text."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    docs = _identified(docs)
     rows = docs.mapInArrow(_anchor_rows, _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "a")
     places = cut(rows.mapInArrow(_settle, _PLACE))
     spans = places.where("kind = 0").select("doc_id", "a", "b")
@@ -351,14 +354,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     found = map_blocks(with_text, contexts, "kind int, h long, doc_id long, a int, l int, data binary", rows=64)
     crowd = not places.where("kind = 2").isEmpty()
-    if crowd:
-        found = cut(found)
     ordered = found.where("kind = 1").select("h", "doc_id", "a", "l", "data").repartition(n, "h").sortWithinPartitions("h", "doc_id", "a")
     spans = spans.unionByName(ordered.mapInArrow(_sorted_spans, "doc_id long, a int, b int"))
     if crowd:  # anchors with too many contexts for one task: each string by its digest, aggregated before the shuffle
-        strings = found.where("kind = 2").select("data", "doc_id", "a")
-        first = cut(strings.groupBy("data").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("data", "first"))
-        later = strings.join(first, "data").where(F.struct("doc_id", "a") > F.col("first"))
+        strings = found.where("kind = 2").select("data", "doc_id", "a", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+        first = strings.groupBy("data").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        salted = first.select("data", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).cast("bigint").alias("salt"))
+        later = strings.join(salted, ["data", "salt"]).where(F.struct("doc_id", "a") > F.col("first"))
         spans = spans.unionByName(later.select("doc_id", "a", (F.col("a") + LENGTH).alias("b")))
     return spans
 
@@ -378,10 +380,18 @@ def _kept(raw: bytes, starts: list[int], ends: list[int]) -> tuple[int, int, byt
     return removed, spans, b"".join(out)
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """Rows that have a doc_id. Both joins with the texts read this same plan, so that Spark shuffles the texts once."""
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+
+
 def _with_spans(docs: DataFrame) -> DataFrame:
     of_doc = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(of_doc, "doc_id", "left")
-    return joined.select("doc_id", "text", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"))
+    joined = _identified(docs).join(of_doc, "doc_id", "left").select("doc_id", "text", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"))
+    none = F.lit(None).cast("array<int>")
+    return joined.unionByName(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id IS NULL").select("doc_id", "text", none.alias("starts"), none.alias("ends")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
