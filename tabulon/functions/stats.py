@@ -32,8 +32,8 @@ def null_out_nan(df: DataFrame) -> DataFrame:
 
 
 def rounded(value: Column, digits: int = 6) -> Column:
-    """``value`` as a double rounded for comparison, without negative zero."""
-    return F.round(value.cast("double"), digits) + F.lit(0.0)
+    """``value`` as a double rounded for comparison, without negative zero; exact halves go up whatever the last bit."""
+    return F.round(value.cast("double") + F.lit(1e-9), digits) + F.lit(0.0)
 
 
 def sample_skewness(x: Column) -> Column:

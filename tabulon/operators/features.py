@@ -166,8 +166,9 @@ def quantile_transform(df: DataFrame, column: str, out: str, *, steps: int = 100
     if not normal:
         return ranked
     p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col(out)))
-    # logistic approximation of the probit, good to a hundredth
-    return ranked.withColumn(out, F.when(p < 0.5, -1.0).otherwise(1.0) * (F.pow(1 - F.least(p, 1 - p) * 2, F.lit(1.0)) * 0 + 5.5556 * (1 - F.pow(F.least(p, 1 - p) / (1 - F.least(p, 1 - p)), F.lit(0.1186)))))
+    far = F.greatest(p, 1 - p)
+    # closed approximation of the probit, good to a hundredth
+    return ranked.withColumn(out, F.when(p < 0.5, -1.0).otherwise(1.0) * 5.5556 * (1 - F.pow((1 - far) / far, F.lit(0.1186))))
 
 
 def power_transform(df: DataFrame, column: str, out: str, grid: tuple[float, ...] = tuple(i / 4 for i in range(-8, 13))) -> DataFrame:
@@ -192,7 +193,7 @@ def power_transform(df: DataFrame, column: str, out: str, grid: tuple[float, ...
 def datetime_features(df: DataFrame, column: str) -> DataFrame:
     """``df`` with the parts of a time, month and day on a circle, and weekend, month start and month end flags."""
     t = F.col(column)
-    turn = lambda x, n: {f"sin": F.sin(2 * math.pi * x / n), f"cos": F.cos(2 * math.pi * x / n)}  # noqa: E731, F541
+    turn = lambda x, n: {"sin": F.sin(2 * math.pi * x / n), "cos": F.cos(2 * math.pi * x / n)}
     parts = {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "weekday": F.weekday(t), "yearday": F.dayofyear(t), "quarter": F.quarter(t), "hour": F.hour(t)}
     flags = {"weekend": (F.weekday(t) >= 5).cast("int"), "month_start": (F.dayofmonth(t) == 1).cast("int"), "month_end": (F.last_day(t) == F.to_date(t)).cast("int")}
     circles = {f"month_{k}": v for k, v in turn(F.month(t), 12).items()} | {f"day_{k}": v for k, v in turn(F.dayofmonth(t), 31).items()}

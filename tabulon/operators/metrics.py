@@ -74,11 +74,11 @@ def ranking_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     rows = df.select(F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("s")).na.drop()
     by_score = rows.groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("k"))
     upto, every = Window.orderBy(F.desc("s")), Window.partitionBy()
-    c = by_score.withColumns({"tp": F.sum("p").over(upto), "n": F.sum("k").over(upto), "P": F.sum("p").over(every), "N": F.sum("k").over(every)})
+    c = by_score.withColumns({"tp": F.sum("p").over(upto), "upto": F.sum("k").over(upto), "positives": F.sum("p").over(every), "all_": F.sum("k").over(every)})
     negatives = F.col("k") - F.col("p")
     auc = F.sum(negatives * (F.col("tp") - F.col("p") / 2))
-    ap = F.sum(F.col("p") / F.col("P") * F.col("tp") / F.col("n"))
-    curve = c.agg(F.try_divide(auc, F.first("P") * (F.first("N") - F.first("P"))).alias("roc_auc"), ap.alias("average_precision"))
+    ap = F.sum(F.col("p") / F.col("positives") * F.col("tp") / F.col("upto"))
+    curve = c.agg(F.try_divide(auc, F.first("positives") * (F.first("all_") - F.first("positives"))).alias("roc_auc"), ap.alias("average_precision"))
     q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("s")))
     loss = rows.agg((-F.avg(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))).alias("log_loss"), F.avg((F.col("y") - F.col("s")) * (F.col("y") - F.col("s"))).alias("brier"), F.count("*").alias("n"))
     return curve.crossJoin(F.broadcast(loss))

@@ -16,7 +16,7 @@ TEXTS = ("l_returnflag", "l_linestatus")
 
 def r(x: str, digits: int = 4) -> str:
     """The SQL twin of ``rounded``."""
-    return f"(round(({x})::DOUBLE, {digits}) + 0.0)"
+    return f"(round(({x})::DOUBLE + 1e-9, {digits}) + 0.0)"
 
 
 def union(parts: list[str]) -> str:
