@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 WATERMARK = "10 minutes"
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    """``df`` with ``ts`` as a timestamp with the session's zone, which watermarks need."""
+    return df if dict(df.dtypes)["ts"] == "timestamp" else df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _marked(df: DataFrame, watermark: str) -> DataFrame:
-    return df.withWatermark("ts", watermark) if df.isStreaming else df
+    return _timed(df).withWatermark("ts", watermark) if df.isStreaming else _timed(df)
 
 
 def windowed(df: DataFrame, size: str = "1 hour", slide: str | None = None, *, key: str = "event_type", value: str = "value", watermark: str = WATERMARK) -> DataFrame:
@@ -64,7 +69,7 @@ def window_psi(counts: DataFrame, shares: list[float], least: int = 100, floor:
 def deduplicated(df: DataFrame, keys: list[str], *, watermark: str = WATERMARK) -> DataFrame:
     """Rows without repeats of the same keys: within the watermark in a stream, the first in time in a batch."""
     if df.isStreaming:
-        return df.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+        return _marked(df, watermark).dropDuplicatesWithinWatermark(keys)
     w = Window.partitionBy(*keys).orderBy("ts")
     return df.withColumn("i_", F.row_number().over(w)).where("i_ = 1").drop("i_")
 
@@ -95,7 +100,7 @@ def limited_alerts(df: DataFrame, *, cooldown_seconds: int = 3600, daily: int =
                 last, count = at, count + 1
         return pd.DataFrame(kept, columns=["key", "ts", "score"]), last, day, count
 
-    rows = df.select(F.col("key").cast("string").alias("key"), "ts", F.col("score").cast("double").alias("score"))
+    rows = _timed(df).select(F.col("key").cast("string").alias("key"), "ts", F.col("score").cast("double").alias("score"))
     if not df.isStreaming:
         # a key's alerts of one table, in time order, are what one task has to see
         return rows.groupBy("key").applyInPandas(lambda pdf: send(pdf, -1e18, -1, 0)[0], _ALERT)
