@@ -118,7 +118,9 @@ def zscore_outliers(df: DataFrame, columns: list[str] | None = None, limit: floa
 
 
 def _parses_as_datetime(x: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
+    """Whether a known format parses ``x``; a failing parse is costly, so only what looks like a date is tried."""
+    looks = x.rlike(r"^\s*[0-9]{1,4}[-/.]?[0-9]{1,2}[-/.]?[0-9]{1,4}")
+    return F.coalesce(looks & F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS]).isNotNull(), F.lit(False))
 
 
 def column_types(df: DataFrame, *, compat: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.rules import Rule, apply_rules, banded
@@ -26,13 +26,14 @@ def table_facts(df: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame, *, exact: bool = True) -> DataFrame:
     """The column profile with the table's missing and duplicate ratio, score and level on every row."""
-    columns = column_profile(df, exact=exact)
-    mean = columns.agg(F.avg("column_score").alias("mean_score"), F.sum("null_count").alias("missing"), F.first("n_rows").alias("n"), F.count("*").alias("c"))
-    facts = mean.crossJoin(F.broadcast(duplicate_summary(df).select(F.col("duplicate_ratio").alias("table_duplicate_ratio"))))
-    missing = F.coalesce(F.try_divide("missing", F.col("n") * F.col("c")), F.lit(0.0))
-    score = 0.4 * (1 - missing) + 0.2 * (1 - F.least(2 * F.col("table_duplicate_ratio"), F.lit(1.0))) + 0.4 * F.col("mean_score")
-    table = facts.select(missing.alias("table_missing_ratio"), "table_duplicate_ratio", F.when(F.col("n") > 0, score).otherwise(0.0).alias("table_score"))
-    return columns.crossJoin(F.broadcast(table)).withColumn("quality_level", banded(F.col("table_score"), LEVELS, "critical"))
+    # the profile has a row for each column, so one window over all of them is small
+    every = Window.partitionBy()
+    n, cells = F.first("n_rows").over(every), F.sum("n_rows").over(every)
+    columns = column_profile(df, exact=exact).crossJoin(F.broadcast(duplicate_summary(df).select(F.col("duplicate_ratio").alias("table_duplicate_ratio"))))
+    columns = columns.withColumns({"table_missing_ratio": F.coalesce(F.try_divide(F.sum("null_count").over(every), cells), F.lit(0.0)), "mean_": F.avg("column_score").over(every), "n_": n})
+    score = 0.4 * (1 - F.col("table_missing_ratio")) + 0.2 * (1 - F.least(2 * F.col("table_duplicate_ratio"), F.lit(1.0))) + 0.4 * F.col("mean_")
+    columns = columns.withColumn("table_score", F.when(F.col("n_") > 0, score).otherwise(0.0)).drop("mean_", "n_")
+    return columns.withColumn("quality_level", banded(F.col("table_score"), LEVELS, "critical"))
 
 
 def _clamp(x: Column) -> Column:
