@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.stats import datetime_columns, fences, null_out_nan, numeric_columns, quantiles, string_columns
+from tabulon.functions.storage import cut
 from tabulon.operators.profile import column_types, correlation_pairs, distinct_counts, missing_summary
 
 # --- dropping ----------------------------------------------------------------------------------------------------
@@ -327,21 +328,38 @@ def chronological_split(df: DataFrame, order_by: list[str], test: float = 0.2) -
     return placed.withColumn("part", F.when(F.col("position") < F.floor(F.lit(n * (1 - test))), "train").otherwise("test"))
 
 
-def positions(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """``df`` with ``position``, 0 to n - 1 in a total order, without a single-partition window.
+def _in_ranges(df: DataFrame, order_by: list) -> DataFrame:
+    """``df`` sorted over ranges, with the number of its range; written once, since another run may cut ranges elsewhere."""
+    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    return cut(ordered.withColumns({"range_": F.spark_partition_id(), "in_range_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
 
-    A range shuffle sorts; the sizes of the ranges (one number for each partition) are summed on the driver.
-    """
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("range_", F.spark_partition_id())
-    ordered = ordered.withColumn("in_range_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+def _offsets(sizes: DataFrame, name: str) -> Column:
+    """For the column ``range_``: the sum of ``name`` over the ranges before; one number for each range on the driver."""
     total, start = 0, {}
-    for r in sorted(ordered.groupBy("range_").count().collect(), key=lambda r: r["range_"]):
+    for r in sorted(sizes.collect(), key=lambda r: r["range_"]):
         start[r["range_"]] = total
-        total += r["count"]
-    offset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("range_")), F.lit(0)) if start else F.lit(0)
+        total += r[name]
+    if not start:
+        return F.lit(0)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("range_"))
+
+
+def positions(df: DataFrame, order_by: list) -> DataFrame:
+    """``df`` with ``position``, 0 to n - 1 in a total order, without a window over all rows in one task."""
+    ordered = _in_ranges(df, order_by)
+    offset = _offsets(ordered.groupBy("range_").agg(F.count("*").alias("n_")), "n_")
     return ordered.withColumn("position", (F.col("in_range_") + offset).cast("long")).drop("range_", "in_range_")
 
 
+def running_totals(df: DataFrame, order_by: list, sums: dict[str, str]) -> DataFrame:
+    """``df`` with, by new name, the sum of a column up to and with each row in the given total order, range by range."""
+    ordered = _in_ranges(df, order_by)
+    sizes = ordered.groupBy("range_").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    w = Window.partitionBy("range_").orderBy("in_range_").rowsBetween(Window.unboundedPreceding, 0)
+    return ordered.withColumns({n: F.sum(c).over(w) + _offsets(sizes, n) for n, c in sums.items()}).drop("range_", "in_range_")
+
+
 def sample_by_key(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """A sample that depends on the key alone: rows whose md5 of key and seed begins low enough."""
     head = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")

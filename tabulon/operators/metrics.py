@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.stats import t_two_sided, with_p_value
+from tabulon.operators.clean import running_totals
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom (fixed values of the distribution).
 T_95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045)
@@ -24,13 +25,10 @@ def regression(df: DataFrame, actual: str, predicted: str, by: list[str] | None
 
 
 def _mid_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with average ranks of ``value``, from counts by distinct value: no window over all rows.
-
-    The running count over distinct values still needs one order; distinct values are aggregated first.
-    """
+    """``df`` with average ranks of ``value``, from running counts over its distinct values."""
     counts = df.groupBy(F.col(value).alias("v_")).agg(F.count("*").alias("k_"))
-    below = F.coalesce(F.sum("k_").over(Window.orderBy("v_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select("v_", (below + (F.col("k_") + 1) / 2).alias(out)), F.col(value) == F.col("v_")).drop("v_")
+    ranks = running_totals(counts, ["v_"], {"upto_": "k_"}).select("v_", (F.col("upto_") - (F.col("k_") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(value) == F.col("v_")).drop("v_")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,8 +71,8 @@ def ranking_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row ``roc_auc, average_precision, log_loss, brier, n``: labels 0/1, scores as probabilities; ties are exact."""
     rows = df.select(F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("s")).na.drop()
     by_score = rows.groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("k"))
-    upto, every = Window.orderBy(F.desc("s")), Window.partitionBy()
-    c = by_score.withColumns({"tp": F.sum("p").over(upto), "upto": F.sum("k").over(upto), "positives": F.sum("p").over(every), "all_": F.sum("k").over(every)})
+    totals = F.broadcast(rows.agg(F.sum("y").alias("positives"), F.count("*").alias("all_")))
+    c = running_totals(by_score, [F.desc("s")], {"tp": "p", "upto": "k"}).crossJoin(totals)
     negatives = F.col("k") - F.col("p")
     auc = F.sum(negatives * (F.col("tp") - F.col("p") / 2))
     ap = F.sum(F.col("p") / F.col("positives") * F.col("tp") / F.col("upto"))

@@ -42,6 +42,17 @@ def test_positions_are_total(spark):
     assert sorted((r["k"], r["position"]) for r in clean.positions(df, ["k"]).collect()) == [(i, i) for i in range(1000)]
 
 
+def test_order_over_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("k"))
+        assert clean.positions(df, ["k"]).where("k <> position").count() == 0
+        out = clean.running_totals(df.withColumn("one", F.lit(1)), ["k"], {"upto": "one"})
+        assert out.where("upto <> k + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_as_of_takes_the_latest_within_the_time_to_live(spark):
     left = spark.sql("SELECT * FROM VALUES ('a', timestamp'2020-01-02'), ('a', timestamp'2020-01-01'), ('b', timestamp'2020-01-01') AS t(k, ts)")
     right = spark.sql("SELECT * FROM VALUES ('a', timestamp'2020-01-01', 1), ('a', timestamp'2020-01-03', 2) AS t(k, ts, v)")
