@@ -91,20 +91,23 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, *, exact: b
     return spread_rows(df.agg(*aggs), parts)
 
 
-def outlier_counts(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
-    """``column_name, lower, upper, outlier_count`` by Tukey fences (ten values and some spread needed): two passes."""
+def outlier_counts(df: DataFrame, columns: list[str] | None = None, *, exact: bool = True, summary: DataFrame | None = None) -> DataFrame:
+    """``column_name, lower, upper, outlier_count`` by Tukey fences (ten values and some spread needed): two passes.
+
+    ``summary`` is a :func:`numeric_summary` of the same columns; its quartiles are used and its exchange is shared.
+    """
     df = null_out_nan(df)
     columns = columns or numeric_columns(df)
-    bounds = []
-    for i, c in enumerate(columns):
-        q = quantiles(F.col(f"`{c}`"), [0.25, 0.75], exact=exact)
-        low, high = fences(q[0], q[1], F.count(f"`{c}`"))
-        bounds += [low.alias(f"{i}_low"), high.alias(f"{i}_high")]
-    limits = F.broadcast(df.agg(*bounds))  # one row
-    inside = df.select(*columns).crossJoin(limits)
-    outside = [F.count_if((F.col(f"`{c}`") < F.col(f"{i}_low")) | (F.col(f"`{c}`") > F.col(f"{i}_high"))).alias(f"{i}_n") for i, c in enumerate(columns)]
-    row = inside.agg(*outside, *[F.first(f"{i}_{e}").alias(f"{i}_{e}") for i in range(len(columns)) for e in ("low", "high")])
-    return spread_rows(row, {c: [("lower", F.col(f"{i}_low")), ("upper", F.col(f"{i}_high")), ("outlier_count", F.col(f"{i}_n"))] for i, c in enumerate(columns)})
+    summary = summary if summary is not None else numeric_summary(df, columns, exact=exact)
+    low, high = fences(F.col("q1"), F.col("q3"), F.col("n"))
+    numbered = {c: str(i) for i, c in enumerate(columns)}
+    named = F.create_map(*[F.lit(x) for kv in numbered.items() for x in kv])
+    wide = summary.select(F.element_at(named, F.col("column_name")).alias("i"), low.alias("low"), high.alias("high"))
+    limits = F.broadcast(wide.groupBy().pivot("i", list(numbered.values())).agg(F.first("low").alias("low"), F.first("high").alias("high")))  # one row
+    inside = df.select(*[F.col(f"`{c}`") for c in columns]).crossJoin(limits)
+    outside = [F.count_if((F.col(f"`{c}`") < F.col(f"{i}_low")) | (F.col(f"`{c}`") > F.col(f"{i}_high"))).alias(f"{i}_n") for c, i in numbered.items()]
+    row = inside.agg(*outside, *[F.first(f"{i}_{e}").alias(f"{i}_{e}") for i in numbered.values() for e in ("low", "high")])
+    return spread_rows(row, {c: [("lower", F.col(f"{i}_low")), ("upper", F.col(f"{i}_high")), ("outlier_count", F.col(f"{i}_n"))] for c, i in numbered.items()})
 
 
 def zscore_outliers(df: DataFrame, columns: list[str] | None = None, limit: float = 3.0) -> DataFrame:
@@ -230,8 +233,9 @@ def column_profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
     base = missing_summary(df).select("column_name", "null_count").crossJoin(F.broadcast(df.agg(F.count("*").alias("n_rows"))))
     profile = base.join(column_types(df).select("column_name", "logical_type", "unique_count"), "column_name")
     if numbers:
-        numeric = numeric_summary(df, numbers, exact=exact).select("column_name", "min_value", "max_value", "mean_value", F.when(F.col("n") == 1, 0.0).otherwise(F.col("std_value")).alias("std_value"), "q1", "median", "q3")
-        profile = profile.join(numeric.join(outlier_counts(df, numbers, exact=exact).select("column_name", "outlier_count"), "column_name"), "column_name", "left")
+        summary = numeric_summary(df, numbers, exact=exact)
+        numeric = summary.select("column_name", "min_value", "max_value", "mean_value", F.when(F.col("n") == 1, 0.0).otherwise(F.col("std_value")).alias("std_value"), "q1", "median", "q3")
+        profile = profile.join(numeric.join(outlier_counts(df, numbers, summary=summary).select("column_name", "outlier_count"), "column_name"), "column_name", "left")
     else:
         profile = profile.withColumns({c: F.lit(None).cast("double") for c in ("min_value", "max_value", "mean_value", "std_value", "q1", "median", "q3")} | {"outlier_count": F.lit(None).cast("long")})
     if texts:
