@@ -50,7 +50,7 @@ STAGES = [
 ]
 
 #: The stages use trained models and tokenizers, which SQL can't express.
-ORACLE_SQL = {"pipeline": None}
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
-
-
-QUERIES = {"pipeline": run}
