@@ -20,12 +20,36 @@ def statistics(ratings: DataFrame) -> DataFrame:
     return a.withColumn("sparsity", 1 - F.col("interactions") / (F.col("users") * F.col("items")))
 
 
-def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int = 50, most: int | None = 500) -> DataFrame:
+#: Ratings of one item (or user) that one task pairs at once; larger groups are cut into blocks of about this size.
+BLOCK = 500
+
+
+def _dots(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``a, b, dot``: the sum of rating products over shared ``z`` for all pairs a < b of ``x, z, rating``, each once.
+
+    Groups of over ``block`` rows are cut by the hash of ``x``, a power of two of parts, and block meets block. Blocks of the
+    same hash range come together in one task whatever their z, so their products are summed before the shuffle.
+    """
+    sized = rows.join(rows.groupBy("z").agg(F.count("*").alias("m_")), "z")
+    light = sized.where(F.col("m_") <= block)
+    plain = light.select(F.col("x").alias("a"), "z", F.col("rating").alias("ra")).join(light.select(F.col("x").alias("b"), "z", F.col("rating").alias("rb")), "z").where("a < b").select("a", "b", (F.col("ra") * F.col("rb")).alias("d"))
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("m_") / block))).cast("int")
+    heavy = sized.where(F.col("m_") > block).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    lists = heavy.groupBy("z", "parts", "p").agg(F.collect_list(F.struct("x", "rating")).alias("l"))
+    left = lists.select("z", "parts", "p", F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("q"), F.col("l").alias("la"))
+    right = lists.select("z", "parts", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"), F.col("l").alias("lb"))
+    met = left.join(right, ["z", "parts", "p", "q"]).repartition("parts", "p", "q")
+    cells = met.select("p", "q", F.explode("la").alias("l"), "lb").select("p", "q", "l", F.explode("lb").alias("r")).where("p < q OR l.x < r.x")
+    blocks = cells.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"), (F.col("l.rating") * F.col("r.rating")).alias("d"))
+    both = [side.groupBy("a", "b").agg(F.sum("d").alias("d")) for side in (plain, blocks)]
+    return both[0].unionByName(both[1]).groupBy("a", "b").agg(F.sum("d").alias("dot"))
+
+
+def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int = 50, most: int | None = None) -> DataFrame:
     """``a, b, similarity`` between items (or users) that share users (items), the best ``neighbours`` of each.
 
     ``metric``: cosine, pearson or euclid (1 / (1 + distance)) on the zero-filled matrix; all come from the sums of shared
-    ratings and the norms. Sides with over ``most`` ratings are left out of the pairing (a documented limit of the
-    self-join; None pairs all).
+    ratings and the norms. All ratings count, unless ``most`` leaves out sides with more.
     """
     other = "user" if by == "item" else "item"
     rows = ratings.select(F.col(by).alias("x"), F.col(other).alias("z"), "rating")
@@ -33,8 +57,7 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
     if most is not None:
         light = rows.groupBy("z").agg(F.count("*").alias("n_")).where(F.col("n_") <= most).select("z")
         used = rows.join(light, "z", "left_semi")
-    left, right = used.select(F.col("x").alias("a"), "z", F.col("rating").alias("ra")), used.select(F.col("x").alias("b"), "z", F.col("rating").alias("rb"))
-    dots = left.join(right, "z").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"))
+    dots = _dots(used)
     norms = rows.groupBy("x").agg(F.sum(F.col("rating") * F.col("rating")).alias("q"), F.sum("rating").alias("s"))
     joined = dots.join(norms.select(F.col("x").alias("a"), F.col("q").alias("qa"), F.col("s").alias("sa")), "a").join(norms.select(F.col("x").alias("b"), F.col("q").alias("qb"), F.col("s").alias("sb")), "b")
     if metric == "cosine":
@@ -167,14 +190,16 @@ def content_similarity(attributes: DataFrame, columns: list[str], *, neighbours:
     return pairs.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= neighbours).drop("i_")
 
 
-def pair_rules(baskets: DataFrame, basket: str, item: str, *, least_support: float = 0.0, most: int = 1000) -> DataFrame:
-    """``a, b, n, support, confidence, lift`` of item pairs that share baskets of at most ``most`` items."""
+def pair_rules(baskets: DataFrame, basket: str, item: str, *, least_support: float = 0.0, most: int | None = None) -> DataFrame:
+    """``a, b, n, support, confidence, lift`` of item pairs that share baskets (of at most ``most`` items, if given)."""
     rows = baskets.select(F.col(basket).alias("k"), F.col(item).alias("x")).distinct()
     total = F.broadcast(rows.agg(F.count_distinct("k").alias("total")))
     counts = rows.groupBy("x").agg(F.count("*").alias("n_"))
-    fine = rows.groupBy("k").agg(F.count("*").alias("m_")).where(F.col("m_") <= most).select("k")
-    used = rows.join(fine, "k", "left_semi")
-    pairs = used.select("k", F.col("x").alias("a")).join(used.select("k", F.col("x").alias("b")), "k").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    used = rows
+    if most is not None:
+        used = rows.join(rows.groupBy("k").agg(F.count("*").alias("m_")).where(F.col("m_") <= most).select("k"), "k", "left_semi")
+    once = _dots(used.select("x", F.col("k").alias("z"), F.lit(1).cast("bigint").alias("rating"))).withColumnRenamed("dot", "n")
+    pairs = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     joined = pairs.join(counts.select(F.col("x").alias("a"), F.col("n_").alias("na")), "a").join(counts.select(F.col("x").alias("b"), F.col("n_").alias("nb")), "b").crossJoin(total)
     out = joined.select("a", "b", "n", (F.col("n") / F.col("total")).alias("support"), (F.col("n") / F.col("na")).alias("confidence"), (F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("lift"))
     return out.where(F.col("support") >= least_support)
