@@ -92,10 +92,14 @@ def predict_users(ratings: DataFrame, similar: DataFrame, *, k: int = 50) -> Dat
     return moved.join(means, "user").select("user", "item", (F.col("mean") + F.coalesce("move", F.lit(0.0))).alias("score"))
 
 
+def popularity(ratings: DataFrame) -> DataFrame:
+    """``item, n, mean, score`` of every item: count times mean rating."""
+    return ratings.groupBy("item").agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).withColumn("score", F.col("n") * F.col("mean"))
+
+
 def popular(ratings: DataFrame, k: int = 100) -> DataFrame:
     """``item, n, mean, score, rank`` of the ``k`` items of largest count times mean rating."""
-    a = ratings.groupBy("item").agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).withColumn("score", F.col("n") * F.col("mean"))
-    return a.orderBy(F.desc("score"), "item").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "item")))
+    return popularity(ratings).orderBy(F.desc("score"), "item").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "item")))
 
 
 def top_n(scores: DataFrame, seen: DataFrame, n: int = 10) -> DataFrame:

@@ -152,6 +152,12 @@ def _ratings(spark, d):
     return R.prepare(rows.groupBy(F.col("o_custkey").alias("u"), (F.col("l_partkey") % 200).alias("i")).agg(F.sum("l_quantity").alias("q")), "u", "i", "q")
 
 
+def _part_ratings(spark, d):
+    """Ratings of every part by itself, for the queries without a SQL twin."""
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return R.prepare(rows.groupBy(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("i")).agg(F.sum("l_quantity").alias("q")), "u", "i", "q")
+
+
 _SIM = f"{_RATINGS}, norms AS (SELECT item, sum(rating * rating) AS q FROM ratings GROUP BY item), sim AS (SELECT a.item AS a, b.item AS b, sum(a.rating * b.rating) / (sqrt(any_value(na.q)) * sqrt(any_value(nb.q))) AS s FROM ratings a JOIN ratings b ON a.\"user\" = b.\"user\" AND a.item <> b.item JOIN norms na ON na.item = a.item JOIN norms nb ON nb.item = b.item GROUP BY a.item, b.item)"
 
 
@@ -180,7 +186,7 @@ def ratings_statistics(spark, d):
 
 
 def _recommended(spark, d):
-    ratings = _ratings(spark, d)
+    ratings = _part_ratings(spark, d)
     train = ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) > 0)
     scores = R.predict_items(train, R.similarity(train, neighbours=20))
     return R.with_fallback(R.top_n(scores, train, 10), ratings, train, 10), ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) == 0), train
@@ -199,7 +205,7 @@ def recs_ndcg(spark, d):
 
 @query()
 def recs_user_based(spark, d):
-    ratings = _ratings(spark, d)
+    ratings = _part_ratings(spark, d)
     return R.top_n(R.predict_users(ratings, R.similarity(ratings, "user", "pearson", neighbours=10)), ratings, 5)
 
 
@@ -212,19 +218,19 @@ def recs_diverse(spark, d):
 @query()
 def recs_diversity(spark, d):
     found, _, train = _recommended(spark, d)
-    attributes = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("item"), "p_brand", "p_type")
+    attributes = table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type")
     return R.diversity(found, attributes, ["p_brand", "p_type"]).crossJoin(R.coverage(found, train))
 
 
 @query()
 def recs_factorised(spark, d):
-    return R.factorise(_ratings(spark, d), rounds=3)
+    return R.factorise(_part_ratings(spark, d), rounds=3)
 
 
 @query()
 def recs_blended(spark, d):
-    ratings = _ratings(spark, d)
-    best = R.popular(ratings, 200).select("item", F.col("score").alias("p"))
+    ratings = _part_ratings(spark, d)
+    best = R.popularity(ratings).select("item", F.col("score").alias("p"))
     items = R.predict_items(ratings, R.similarity(ratings, neighbours=10))
     return R.blend({"items": (items, 0.7), "popular": (items.join(best, "item").select("user", "item", F.col("p").alias("score")), 0.3)}, "rank")
 
@@ -242,7 +248,7 @@ def part_content_similarity(spark, d):
 
 @query()
 def ratings_algorithm(spark, d):
-    return R.algorithm_choice(_ratings(spark, d))
+    return R.algorithm_choice(_part_ratings(spark, d))
 
 
 @query(f"WITH {_RATINGS} SELECT count(*) AS recommendations, count(DISTINCT \"user\") AS users, {r('count(*) * 0.02')} AS expected_orders, {r('count(*) * 0.02 * 50')} AS expected_revenue FROM ratings")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tabulon.operators import recs
+from tabulon.plans import catalog
 
 
 def test_similarity_keeps_items_with_many_users(spark):
@@ -25,3 +26,7 @@ def test_rules_keep_large_baskets(spark):
     got = recs.pair_rules(rows, "k", "x")
     assert got.count() == 1100 * 1099
     assert got.where("a = 0 AND b = 1").first()["n"] == 2
+
+
+def test_queries_without_twin_see_every_part(spark):
+    assert catalog.QUERIES["recs_topn"](spark, "/root/testdata/sf0.01").where("item >= 200").count() > 0
