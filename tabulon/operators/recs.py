@@ -185,13 +185,30 @@ def coverage(recommended: DataFrame, ratings: DataFrame, k: int = 100) -> DataFr
 
 
 def content_similarity(attributes: DataFrame, columns: list[str], *, neighbours: int = 10) -> DataFrame:
-    """``a, b, similarity``: items that agree in the first of ``columns``, by the share of equal attributes."""
-    left = attributes.select(F.col("item").alias("a"), *[F.col(c).alias(f"{c}_l") for c in columns])
-    right = attributes.select(F.col("item").alias("b"), *[F.col(c).alias(f"{c}_r") for c in columns])
-    equal = sum((F.coalesce((F.col(f"{c}_l") == F.col(f"{c}_r")).cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0)) / len(columns)
-    pairs = left.join(right, F.col(f"{columns[0]}_l") == F.col(f"{columns[0]}_r")).where("a <> b").select("a", "b", equal.alias("similarity"))
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return pairs.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= neighbours).drop("i_")
+    """``a, b, similarity``: the nearest items by the share of equal attributes, among those that agree in any; ties by id.
+
+    For every set of columns, items equal in it meet only its ``neighbours + 1`` smallest ids: each smaller id there is at
+    least as similar and comes first, so no true neighbour is lost. Equal rows are compared once, as a class.
+    """
+    from itertools import combinations
+
+    rows = attributes.select("item", *columns)
+    classes = rows.select(*columns).distinct().withColumn("class", F.struct(*columns))
+    found = None
+    for size in range(1, len(columns) + 1):
+        for some in combinations(columns, size):
+            w = Window.partitionBy(*some).orderBy("item")
+            first = rows.na.drop(subset=list(some)).withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= neighbours + 1)
+            part = classes.select("class", *some).join(first.select(*some, F.struct("item", *columns).alias("b")), list(some)).select("class", "b")
+            found = part if found is None else found.unionByName(part)
+    equal = sum((F.coalesce((F.col(f"class.{c}") == F.col(f"b.{c}")).cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0)) / len(columns)
+    pairs = found.select("class", F.col("b.item").alias("b"), equal.alias("similarity")).distinct()
+    w = Window.partitionBy("class").orderBy(F.desc("similarity"), "b")
+    best = pairs.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= neighbours + 1)
+    lists = best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("i_", "b", "similarity"))).alias("l"))
+    members = rows.select(F.col("item").alias("a"), F.struct(*columns).alias("class"))
+    mine = members.join(lists, members["class"].eqNullSafe(lists["class"])).select("a", F.explode(F.slice(F.filter("l", lambda x: x["b"] != F.col("a")), 1, neighbours)).alias("x"))
+    return mine.select("a", "x.b", "x.similarity")
 
 
 def pair_rules(baskets: DataFrame, basket: str, item: str, *, least_support: float = 0.0, most: int | None = None) -> DataFrame:

@@ -30,3 +30,14 @@ def test_rules_keep_large_baskets(spark):
 
 def test_queries_without_twin_see_every_part(spark):
     assert catalog.QUERIES["recs_topn"](spark, "/root/testdata/sf0.01").where("item >= 200").count() > 0
+
+
+def test_content_neighbours_of_any_shared_attribute(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"b{rng.integers(0, 6)}", f"t{rng.integers(0, 4)}" if i % 9 else None, int(rng.integers(0, 8))) for i in range(150)] + [(150, "alone", "t1", 3), (151, None, None, 99)] + [(i, "b0", "t0", 0) for i in range(152, 190)]
+    got = sorted(map(tuple, recs.content_similarity(spark.createDataFrame(rows, "item int, brand string, type string, size int"), ["brand", "type", "size"], neighbours=5).collect()))
+    want = []
+    for a in rows:
+        near = sorted((-sum(x is not None and x == y for x, y in zip(a[1:], b[1:])) / 3, b[0]) for b in rows if b is not a)
+        want += [(a[0], b, -s) for s, b in near[:5] if s < 0]
+    assert got == sorted(want) and any(a == 150 for a, _, _ in got)
