@@ -175,20 +175,21 @@ def mahalanobis(df: DataFrame, columns: list[str], out: str = "distance") -> Dat
     return df.withColumn(out, sum((F.lit(float(inverse[i, j])) * centred[i] * centred[j] for i in range(d) for j in range(d)), F.lit(0.0)))
 
 
-def isolation_scores(df: DataFrame, columns: list[str], *, trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
+def isolation_scores(df: DataFrame, columns: list[str], *, trees: int = 50, sample: int = 256, seed: int = 7, key: str | None = None) -> DataFrame:
     """``df`` with ``score`` in 0 to 1, higher for rows that random splits isolate sooner (Liu, Ting and Zhou 2008).
 
-    Each tree grows on at most ``sample`` rows drawn by hash, in its own task; the small trees are broadcast and the rows
-    are scored in Arrow batches.
+    Each tree grows on the ``sample`` rows whose hashes of ``key`` (without one, of the row's place) and tree are lowest, cut
+    before any group reaches its task; the small trees are broadcast and the rows are scored in Arrow batches.
     """
-    total = df.count()
-    keep = min(1.0, 2.0 * sample / max(1, total))
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in columns], F.col("tree"), F.lit(seed))
-    drawn = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).na.drop().withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.where(F.pmod(key, F.lit(1_000_000)) < int(keep * 1_000_000)).withColumn("h", key)
+    place = F.xxhash64(F.col(key) if key else F.monotonically_increasing_id())
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], place.alias("place")).na.drop()
+    total = numbers.count()
+    limit = -(2**63) + min(2**64 - 1, 2**64 * 2 * sample // max(1, total))  # of about twice as many rows as needed
+    drawn = numbers.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.xxhash64("place", "tree", F.lit(seed))).where(F.col("h") <= F.lit(limit))
+    drawn = drawn.withColumn("i_", F.row_number().over(Window.partitionBy("tree").orderBy("h"))).where(F.col("i_") <= sample)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("h")[columns].to_numpy()[:sample]
+        x = pdf.sort_values("h")[columns].to_numpy()
         rng = np.random.default_rng(seed + int(pdf["tree"].iloc[0]))
         most = math.ceil(math.log2(max(2, len(x))))
         rows: list[tuple] = []

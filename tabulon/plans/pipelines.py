@@ -92,7 +92,7 @@ def anomalies(df: DataFrame, key: str, share: float | None = None) -> dict[str,
     """Scores and flags of rows, the most anomalous ones, and the columns that matter."""
     rows, columns = groups.prepare(df, key, method="robust")
     share = share if share is not None else groups.contamination(rows, columns).first()["contamination"]
-    found = groups.flag(groups.isolation_scores(rows, columns), "score", share)
+    found = groups.flag(groups.isolation_scores(rows, columns, key=key), "score", share)
     return {"rows": found, "top": groups.top_anomalies(found, key, "score"), "metrics": groups.anomaly_metrics(found, "score"), "importance": groups.anomaly_importance(found, columns)}
 
 

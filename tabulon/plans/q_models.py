@@ -101,7 +101,7 @@ def embedding_anomaly_importance(spark, d):
 @query()
 def orders_isolation(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"))
-    return G.flag(G.isolation_scores(rows, ["o_totalprice", "day"], trees=20), "score", 0.01)
+    return G.flag(G.isolation_scores(rows, ["o_totalprice", "day"], trees=20, key="o_orderkey"), "score", 0.01)
 
 
 @query()

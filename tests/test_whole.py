@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabulon.operators import recs
+from tabulon.operators import groups, recs
 from tabulon.plans import catalog
 
 
@@ -41,3 +41,9 @@ def test_content_neighbours_of_any_shared_attribute(spark):
         near = sorted((-sum(x is not None and x == y for x, y in zip(a[1:], b[1:])) / 3, b[0]) for b in rows if b is not a)
         want += [(a[0], b, -s) for s, b in near[:5] if s < 0]
     assert got == sorted(want) and any(a == 150 for a, _, _ in got)
+
+
+def test_trees_draw_rows_not_values(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 5.0).otherwise(100 + F.col("id") * 7919 % 3000 / 10).alias("x"))
+    score = {r["k"]: r["s"] for r in groups.isolation_scores(df, ["x"], trees=20, key="id").groupBy((F.col("x") == 5).alias("k")).agg(F.avg("score").alias("s")).collect()}
+    assert score[True] < 0.5  # a third of the rows is no anomaly
