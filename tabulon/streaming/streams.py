@@ -91,7 +91,7 @@ def limited_alerts(df: DataFrame, *, cooldown_seconds: int = 3600, daily: int =
 
     def send(pdf: pd.DataFrame, last: float, day: int, count: int):
         kept = []
-        for row in pdf.sort_values(["ts", "score"]).itertuples(index=False):
+        for row in pdf.itertuples(index=False):
             at = row.ts.timestamp()
             if int(at // 86_400) != day:
                 day, count = int(at // 86_400), 0
@@ -102,15 +102,25 @@ def limited_alerts(df: DataFrame, *, cooldown_seconds: int = 3600, daily: int =
 
     rows = _timed(df).select(F.col("key").cast("string").alias("key"), "ts", F.col("score").cast("double").alias("score"))
     if not df.isStreaming:
-        # a key's alerts of one table, in time order, are what one task has to see
-        return rows.groupBy("key").applyInPandas(lambda pdf: send(pdf, -1e18, -1, 0)[0], _ALERT)
+        # sorted by Spark, which can spill; a task holds one batch and the state of the key it is at
+        def walk(batches):
+            at, state = None, (-1e18, -1, 0)
+            for pdf in batches:
+                for _, run in pdf.groupby((pdf["key"] != pdf["key"].shift()).cumsum(), sort=False):
+                    key = run["key"].iloc[0]
+                    if key != at:
+                        at, state = key, (-1e18, -1, 0)
+                    out, *state = send(run, *state)
+                    yield out
+
+        return rows.repartition("key").sortWithinPartitions("key", "ts", "score").mapInPandas(walk, _ALERT)
 
     def step(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
         last, day, count = state.get if state.exists else (-1e18, -1, 0)
-        out, last, day, count = send(pd.concat(list(frames)), last, day, count)
+        out, last, day, count = send(pd.concat(list(frames)).sort_values(["ts", "score"]), last, day, count)
         state.update((last, day, count))
         state.setTimeoutTimestamp(max(int(state.getCurrentWatermarkMs()), int(last * 1000)) + 86_400_000)
         yield out

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import groups, recs
 from tabulon.plans import catalog
+from tabulon.streaming import streams
 
 
 def test_similarity_keeps_items_with_many_users(spark):
@@ -47,3 +48,23 @@ def test_trees_draw_rows_not_values(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 5.0).otherwise(100 + F.col("id") * 7919 % 3000 / 10).alias("x"))
     score = {r["k"]: r["s"] for r in groups.isolation_scores(df, ["x"], trees=20, key="id").groupBy((F.col("x") == 5).alias("k")).agg(F.avg("score").alias("s")).collect()}
     assert score[True] < 0.5  # a third of the rows is no anomaly
+
+
+def test_alerts_are_sent_in_order_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(400).select((F.col("id") % 3).cast("string").alias("key"), F.timestamp_seconds(F.col("id") * 7919 % 400 * 900).alias("ts"), F.lit(1.0).alias("score"))
+        got = streams.limited_alerts(df, cooldown_seconds=3600, daily=5)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        want = []
+        for key in range(3):
+            last, day, n = -1e18, -1, 0
+            for t in sorted(i * 7919 % 400 * 900 for i in range(400) if i % 3 == key):
+                if t // 86400 != day:
+                    day, n = t // 86400, 0
+                if t - last >= 3600 and n < 5:
+                    want.append((str(key), t))
+                    last, n = t, n + 1
+        assert sorted((r["key"], r["t"]) for r in got.select("key", F.unix_timestamp("ts").alias("t")).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
