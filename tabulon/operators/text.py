@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.storage import cut
+
 #: Frequent words by language, for stop words and the language guess (fixed values).
 STOP_WORDS = {
     "en": "the of and to in a is that it for was on with as are be this by at from or an have not he his they you".split(),
@@ -117,33 +119,73 @@ def top_words(df: DataFrame, k: int = 20) -> DataFrame:
     return terms(df).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("documents")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def _raw_weights(df: DataFrame, least_df: int = 2, most_df: float = 0.95) -> DataFrame:
+    """``doc_id, term, n, df_, w``: TF-IDF before the norm."""
+    t = terms(df)
+    total = F.broadcast(df.agg(F.count_distinct("doc_id").alias("docs_")))
+    frequency = t.groupBy("term").agg(F.count("*").alias("df_")).crossJoin(total).where((F.col("df_") >= least_df) & (F.col("df_") <= most_df * F.col("docs_")))
+    return t.join(frequency, "term").select("doc_id", "term", "n", "df_", ((1 + F.ln("n")) * (F.ln((1 + F.col("docs_")) / (1 + F.col("df_"))) + 1)).alias("w"))
+
+
 def tf_idf(df: DataFrame, *, least_df: int = 2, most_df: float = 0.95) -> DataFrame:
     """``doc_id, term, weight``: (1 + ln tf) · (ln((1 + N) / (1 + df)) + 1), each document at length 1.
 
     Terms in fewer than ``least_df`` or over ``most_df`` of the documents are left out. The document frequencies are
     aggregated and joined by term, so that one very common term is dropped before documents meet.
     """
-    t = terms(df)
-    total = F.broadcast(df.agg(F.count_distinct("doc_id").alias("docs_")))
-    frequency = t.groupBy("term").agg(F.count("*").alias("df_")).crossJoin(total).where((F.col("df_") >= least_df) & (F.col("df_") <= most_df * F.col("docs_")))
-    raw = t.join(frequency, "term").select("doc_id", "term", ((1 + F.ln("n")) * (F.ln((1 + F.col("docs_")) / (1 + F.col("df_"))) + 1)).alias("w"))
+    raw = _raw_weights(df, least_df, most_df)
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_"))
     return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm_")).alias("weight"))
 
 
-def similar_documents(df: DataFrame, *, limit: float = 0.7, k: int = 20, most_documents: int = 200) -> DataFrame:
-    """``doc_a, doc_b, similarity``: the ``k`` most similar pairs by cosine of TF-IDF above ``limit``.
+def similar_documents(df: DataFrame, *, limit: float = 0.7, k: int = 20) -> DataFrame:
+    """``doc_a, doc_b, similarity``: the ``k`` most similar pairs by cosine of TF-IDF above ``limit``; no pair is lost.
 
-    An inverted index joins documents on their shared terms; terms in over ``most_documents`` documents only count for
-    pairs that share a rarer one (a documented limit of the report).
+    Documents of equal terms are one class with similarity 1; the ``k + 1`` smallest ids of a class hold its first ``k``
+    pairs. Classes are searched above falling bounds until ``k`` pairs lie safely above one, at last above ``limit``.
+    """
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    docs = _raw_weights(df).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df_", "term", "n", "w"))).alias("v")).withColumn("norm", F.sqrt(square(F.col("v"))))
+    same = F.sha2(F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["term"], x["n"])), " "), 256)
+    docs = docs.select("doc_id", same.alias("class"), F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
+    members = cut(docs.withColumn("i", F.row_number().over(Window.partitionBy("class").orderBy("doc_id"))).where(F.col("i") <= k + 1))
+    ids = members.select("class", "doc_id", "i")
+    # norms over two of three classes of terms differ by no more than the vectors do
+    part = lambda h: F.sqrt(square(F.filter("v", lambda x: F.pmod(F.xxhash64(x["term"]), F.lit(3)) == h)))
+    firsts = members.where("i = 1").select("class", "v", part(0).alias("f0"), part(1).alias("f1"))
+    left, right = ids.select("class", F.col("doc_id").alias("l"), F.col("i").alias("il")), ids.select("class", F.col("doc_id").alias("r"), F.col("i").alias("ir"))
+    within = left.join(right, "class").where("il < ir").select("l", "r", F.lit(1.0).alias("similarity"))
+    bounds = [b for b in (1 - 2e-6, 0.95, 0.85) if b > limit] + [limit]
+    for bound in bounds:
+        alike = _class_pairs(firsts, bound)
+        across = alike.join(left.withColumnRenamed("class", "ca"), "ca").join(right.withColumnRenamed("class", "cb"), "cb").select("l", "r", "similarity")
+        pairs = within.unionByName(across).select(F.least("l", "r").alias("doc_a"), F.greatest("l", "r").alias("doc_b"), "similarity").where(F.col("similarity") > limit)
+        top = pairs.orderBy(F.desc(F.round("similarity", 6)), "doc_a", "doc_b").limit(k)
+        rows = top.collect()  # at most k
+        if len(rows) == k and round(rows[-1]["similarity"], 6) - 1e-6 >= bound:
+            break
+    return df.sparkSession.createDataFrame(rows, top.schema)
+
+
+def _class_pairs(firsts: DataFrame, bound: float) -> DataFrame:
+    """``ca, cb, similarity`` of all pairs of unit vectors (class, v, f0, f1) with a cosine above ``bound``.
+
+    ``v`` has rare terms first. A term belongs to the prefix while the squares before it sum to at most 1 - bound²: the rest is
+    shorter than ``bound``, so vectors without a common prefix term are not above it (Cauchy-Schwarz). Close vectors
+    also lie in neighbouring cells of f0 and f1.
     """
-    w = tf_idf(df)
-    rare = w.groupBy("term").agg(F.count("*").alias("n_")).where(F.col("n_") <= most_documents).select("term")
-    r = w.join(rare, "term", "left_semi")
-    pairs = r.select("term", F.col("doc_id").alias("doc_a")).join(r.select("term", F.col("doc_id").alias("doc_b")), "term").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
-    dots = pairs.join(w.select(F.col("doc_id").alias("doc_a"), "term", F.col("weight").alias("wa")), "doc_a").join(w.select(F.col("doc_id").alias("doc_b"), "term", F.col("weight").alias("wb")), ["doc_b", "term"])
-    cosine = dots.groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
-    return cosine.where(F.col("similarity") > limit).orderBy(F.desc(F.round("similarity", 6)), "doc_a", "doc_b").limit(k)
+    width = (2 * (1 - bound)) ** 0.5 + 1e-6
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    prefix = F.aggregate("v", start, lambda a, x: F.struct((a["s"] + x["w"] * x["w"]).alias("s"), (a["n"] + F.when(a["s"] <= 1 - bound * bound + 1e-9, 1).otherwise(0)).alias("n")))["n"]
+    cell = lambda c: F.floor(F.col(c) / width)
+    rare = firsts.select("class", F.slice(F.transform("v", lambda x: x["term"]), F.lit(1), prefix).alias("t"), cell("f0").alias("g0"), cell("f1").alias("g1"))
+    here = rare.select(F.col("class").alias("ca"), F.explode("t").alias("term"), "g0", "g1")
+    around = F.array(*[F.array(F.col("g0") + i, F.col("g1") + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    there = rare.select(F.col("class").alias("cb"), F.explode("t").alias("term"), around.alias("g")).select("cb", "term", F.explode("g").alias("g")).select("cb", "term", F.col("g")[0].alias("g0"), F.col("g")[1].alias("g1"))
+    pairs = here.join(there, ["term", "g0", "g1"]).where("ca < cb").select("ca", "cb").distinct()
+    full = pairs.join(firsts.select(F.col("class").alias("ca"), F.col("v").alias("va")), "ca").join(firsts.select(F.col("class").alias("cb"), F.map_from_entries("v").alias("vb")), "cb")
+    dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("vb", x["term"]), F.lit(0.0)))
+    return full.select("ca", "cb", dot.alias("similarity")).where(F.col("similarity") > bound)
 
 
 def sentiment(df: DataFrame, lexicon: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabulon.operators import groups, recs
+from tabulon.operators import groups, recs, text
 from tabulon.plans import catalog
 from tabulon.streaming import streams
 
@@ -68,3 +68,17 @@ def test_alerts_are_sent_in_order_over_batches(spark):
         assert sorted((r["key"], r["t"]) for r in got.select("key", F.unix_timestamp("ts").alias("t")).collect()) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_similar_documents_in_large_groups(spark):
+    rng = np.random.default_rng(1)
+    near = [(i, " ".join([f"w{j}" for j in range(40)] + [f"x{i % 120}", f"y{i % 7}"])) for i in range(240)]
+    other = [(i, " ".join(f"z{j}" for j in rng.integers(0, 60, 12))) for i in range(240, 360)]
+    df = spark.createDataFrame(near + other, "doc_id long, text string")
+    w = text.tf_idf(df).toPandas().pivot(index="doc_id", columns="term", values="weight").fillna(0.0)
+    cosine = w.to_numpy() @ w.to_numpy().T
+    for docs, k in ((df, 20), (df, 400)):
+        got = [(r["doc_a"], r["doc_b"], round(r["similarity"], 6)) for r in text.similar_documents(docs, k=k).collect()]
+        a, b = np.triu_indices(len(w), 1)
+        want = sorted((-round(float(cosine[i, j]), 6), int(w.index[i]), int(w.index[j])) for i, j in zip(a, b) if cosine[i, j] > 0.7)[:k]
+        assert got == [(i, j, -s) for s, i, j in want] and len(got) == k
