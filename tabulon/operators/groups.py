@@ -234,19 +234,47 @@ def isolation_scores(df: DataFrame, columns: list[str], *, trees: int = 50, samp
     return df.withColumn("score", score(F.struct(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])))
 
 
-def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 10, *, radius: float = 2.0) -> DataFrame:
-    """``key, lof`` from approximate neighbours within ``radius`` (random projections); 1 is ordinary, null is alone."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    v = vectors(df, columns).select(F.col(key).alias("k"), "features")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hash", bucketLength=radius, numHashTables=3, seed=1).fit(v)
-    pairs = lsh.approxSimilarityJoin(v, v, radius, "d").where("datasetA.k <> datasetB.k").select(F.col("datasetA.k").alias("a"), F.col("datasetB.k").alias("b"), "d")
-    w = Window.partitionBy("a").orderBy("d", "b")
-    near = pairs.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k)
+def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 10) -> DataFrame:
+    """``key, lof`` from the exact ``k`` nearest neighbours, ties by key; 1 is ordinary, null only for a single row.
+
+    Equal rows are one class, as their factors are equal. The smallest cell, of halved sides, that holds over ``k`` rows
+    bounds a class's reach; all within that reach lie in the neighbouring cells of a grid at least as wide.
+    """
+    from itertools import product
+
+    levels = 40
+    v = vectors(df, columns).select(F.col(key).alias("k"), MF.vector_to_array("features").alias("x"))
+    classes = cut(v.groupBy("x").agg(F.min("k").alias("c"), F.count("*").alias("m")))
+    edges = classes.select(F.posexplode("x").alias("i", "value")).groupBy("i").agg(F.min("value").alias("low"), F.max("value").alias("high")).orderBy("i").collect()
+    if not edges:
+        return v.select(F.col("k").alias(key), F.lit(None).cast("double").alias("lof"))
+    d, wide = len(edges), max(r["high"] - r["low"] for r in edges) * 1.000001 or 1.0
+    up = math.ceil(math.log2(math.sqrt(d)))
+    at = lambda i, level: F.floor((F.col("x")[i] - edges[i]["low"]) / (wide / F.pow(F.lit(2.0), level)))
+    cells = classes.select("c", "m", F.col("x"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    cells = cells.select("c", "m", "level", F.array(*[at(i, F.col("level")) for i in range(d)]).alias("cell"))
+    full = cells.groupBy("level", "cell").agg(F.sum("m").alias("n")).where(F.col("n") > k).select("level", "cell")
+    depth = cells.join(full, ["level", "cell"]).groupBy("c").agg(F.max("level").alias("level"))
+    asking = cut(classes.join(depth, "c", "left").withColumn("level", F.coalesce("level", F.lit(0)) - up))
+    used = [r["level"] for r in asking.select("level").distinct().collect()]  # at most 41
+    grid = range(min(d, 3))
+    moves = F.array(*[F.array(*[at(i, F.col("level")) + step for i, step in zip(grid, move)]) for move in product((-1, 0, 1), repeat=len(grid))])
+    left = asking.select(F.col("c").alias("a"), F.col("x").alias("xa"), "level", F.explode(moves).alias("cell"))
+    right = classes.select(F.col("c").alias("b"), "x", F.explode(F.array(*[F.lit(n) for n in used])).alias("level"))
+    right = right.select("b", F.col("x").alias("xb"), "level", F.array(*[at(i, F.col("level")) for i in grid]).alias("cell"))
+    squared = sum(((F.col("xa")[i] - F.col("xb")[i]) * (F.col("xa")[i] - F.col("xb")[i]) for i in range(d)), F.lit(0.0))
+    met = left.join(right, ["level", "cell"]).where("a <> b").select("a", "b", F.sqrt(squared).alias("d"))
+    # each of the k nearest classes gives its smallest key at least, so a farther one gives no neighbour
+    first = met.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("i") <= k).drop("i")
+    rows = v.withColumn("i", F.row_number().over(Window.partitionBy("x").orderBy("k"))).where(F.col("i") <= k).join(classes.select("x", F.col("c").alias("b")), "x").select("b", "k")
+    own = classes.where("m > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(0.0).alias("d"), F.explode(F.sequence(F.lit(1), F.least(F.col("m") - 1, F.lit(k)).cast("int"))).alias("k"))
+    every = first.join(rows, "b").select("a", "b", "d", "k").unionByName(own.withColumn("k", F.col("b")))
+    near = cut(every.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy("d", "k"))).where(F.col("i") <= k))
     reach = near.groupBy("a").agg(F.max("d").alias("kd"))
     density = near.join(reach.select(F.col("a").alias("b"), F.col("kd").alias("kb")), "b").groupBy("a").agg((1 / F.avg(F.greatest("d", "kb", F.lit(1e-9)))).alias("lrd"))
     ratio = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg(F.avg("lb").alias("mb")).join(density, "a")
-    return v.select("k").join(ratio, v["k"] == ratio["a"], "left").select(F.col("k").alias(key), (F.col("mb") / F.col("lrd")).alias("lof"))
+    scored = classes.join(ratio, classes["c"] == ratio["a"], "left").select("x", (F.col("mb") / F.col("lrd")).alias("lof"))
+    return v.join(scored, "x").select(F.col("k").alias(key), "lof")
 
 
 def flag(df: DataFrame, score: str, share: float) -> DataFrame:

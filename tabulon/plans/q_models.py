@@ -107,7 +107,7 @@ def orders_isolation(spark, d):
 @query()
 def customer_outlier_factor(spark, d):
     rows, names = G.prepare(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
-    return G.local_outlier_factor(rows, "c_custkey", names, 5, radius=0.5)
+    return G.local_outlier_factor(rows, "c_custkey", names, 5)
 
 
 @query()

@@ -82,3 +82,16 @@ def test_similar_documents_in_large_groups(spark):
         a, b = np.triu_indices(len(w), 1)
         want = sorted((-round(float(cosine[i, j]), 6), int(w.index[i]), int(w.index[j])) for i, j in zip(a, b) if cosine[i, j] > 0.7)[:k]
         assert got == [(i, j, -s) for s, i, j in want] and len(got) == k
+
+
+def test_outlier_factor_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (90, 2)), rng.normal(0, 0.001, (60, 2)), np.tile([[3.0, 3.0]], (30, 1)), np.tile([[-2.0, 5.0]], (3, 1)), [[900.0, -50.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+    got = groups.local_outlier_factor(df, "id", ["a", "b"], 5).toPandas().set_index("id")["lof"].sort_index().to_numpy()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = [[j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i][:5] for i in range(len(x))]
+    reach = np.array([d[i, near[i][-1]] for i in range(len(x))])
+    lrd = np.array([1 / np.mean([max(d[i, j], reach[j], 1e-9) for j in near[i]]) for i in range(len(x))])
+    want = np.array([lrd[near[i]].mean() / lrd[i] for i in range(len(x))])
+    assert np.allclose(got, want, rtol=1e-9) and got.argmax() == len(x) - 1
