@@ -152,13 +152,13 @@ def permutation_importance(model: PipelineModel, df: DataFrame, target: str, col
     return df.sparkSession.createDataFrame(rows, "column_name string, importance double")
 
 
-def partial_dependence(model: PipelineModel, df: DataFrame, column: str, key: str, points: int = 10, share: float = 0.1) -> DataFrame:
-    """``value, prediction``: mean prediction of a hash sample with ``column`` set to each point of a grid between its 5 % tails."""
+def partial_dependence(model: PipelineModel, df: DataFrame, column: str, key: str, points: int = 10, share: float | None = None) -> DataFrame:
+    """``value, prediction``: mean prediction of all rows (or a hash sample of ``share``) with ``column`` set to each point of a grid between its 5 % tails."""
     from tabulon.operators.clean import sample_by_key
 
     low, high = df.agg(F.percentile(column, F.array(F.lit(0.05), F.lit(0.95))).alias("q")).first()["q"]
     grid = [low + (high - low) * i / max(1, points - 1) for i in range(points)]
-    some = sample_by_key(df, key, share).withColumn("value", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn(column, F.col("value"))
+    some = (df if share is None else sample_by_key(df, key, share)).withColumn("value", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn(column, F.col("value"))
     return model.transform(some).groupBy("value").agg(F.avg("prediction").alias("prediction"))
 
 

@@ -222,7 +222,7 @@ def event_metric_levels(spark, d):
 
 @query(f"SELECT 'few_rows' AS rule, 'warning' AS severity, 'n_rows' AS metric, count(*)::DOUBLE AS value FROM {NULLED} HAVING count(*) < 1000")
 def customer_data_insights(spark, d):
-    return I.data_insights(Q.table_facts(_with_nulls(spark, d).limit(1_000_000))).where("metric = 'n_rows'").drop("message")
+    return I.data_insights(Q.table_facts(_with_nulls(spark, d))).where("metric = 'n_rows'").drop("message")
 
 
 @query("SELECT 'balanced_features' AS rule, 'info' AS severity FROM (SELECT max(s) AS a FROM (SELECT sum(p_retailprice) / sum(sum(p_retailprice)) OVER () AS s FROM part GROUP BY p_brand)) WHERE a <= 0.2")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabulon.operators import groups, recs, text
+from tabulon.operators import groups, models, recs, text
 from tabulon.plans import catalog
 from tabulon.streaming import streams
 
@@ -95,3 +95,13 @@ def test_outlier_factor_equals_brute_force(spark):
     lrd = np.array([1 / np.mean([max(d[i, j], reach[j], 1e-9) for j in near[i]]) for i in range(len(x))])
     want = np.array([lrd[near[i]].mean() / lrd[i] for i in range(len(x))])
     assert np.allclose(got, want, rtol=1e-9) and got.argmax() == len(x) - 1
+
+
+def test_partial_dependence_uses_all_rows(spark):
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("x") + F.col("z"))
+
+    df = spark.range(1000).select("id", (F.col("id") % 101).cast("double").alias("x"), (F.col("id") * F.col("id")).cast("double").alias("z"))
+    got = models.partial_dependence(Model(), df, "x", "id", 3).collect()
+    assert len(got) == 3 and all(abs(r["prediction"] - r["value"] - 332833.5) < 1e-6 for r in got)
