@@ -2,119 +2,200 @@
 
 Each merge rank has a bucket of positions in a linked list of tokens; a two-level bitmap of non-empty buckets gives the
 lowest rank by find-first-set. A merge renews the pairs on both sides; entries left behind are recognised as stale and
-skipped. A pre-token of n bytes costs O(n log n), so very long ones are no special case.
+skipped. One queue serves all new pre-tokens of a block of texts, laid end to end with links that never cross from one to
+the next; a pre-token of n bytes costs O(n log n), so very long ones are no special case.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from hashlib import sha256
-from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.common import map_blocks, table
 
-#: Bits of one bitmap word.
-WORD = 256
+#: Bits of one bitmap word, as a power of two.
+WORD = 8
+LAST = (1 << WORD) - 1
+#: Texts whose new pre-tokens share one queue.
+BLOCK = 256
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of lowest rank is merged, the leftmost first, until no pair has a rank.
+class Ranks:
+    """A rank file: tokens by rank and ranks by token, with tables for single bytes and for pairs of bytes."""
 
-    ``pair[i]`` is the rank of the token at i with the one after it, -1 for none; a bucket's entry is stale if the pair
-    has gone or become another since.
+    def __init__(self, ranks_file: bytes):
+        self.of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
+        self.bytes_of = [b""] * (max(self.of.values()) + 1)
+        self.two = np.full(1 << 16, -1, np.int32)
+        for token, rank in self.of.items():
+            self.bytes_of[rank] = token
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = rank
+        self.one = np.array([self.of[bytes([b])] for b in range(256)], np.int32)
+
+
+class _Bitmap:
+    """The ranks that have a bucket: words of bits, and one number whose bits are the words in use."""
+
+    def __init__(self, ranks):
+        self.top, self.words = 0, {}
+        for rank in ranks:
+            self.add(rank)
+
+    def add(self, rank: int) -> None:
+        word = rank >> WORD
+        if word in self.words:
+            self.words[word] |= 1 << (rank & LAST)
+        else:
+            self.words[word] = 1 << (rank & LAST)
+            self.top |= 1 << word
+
+    def remove(self, rank: int) -> None:
+        word = rank >> WORD
+        self.words[word] &= ~(1 << (rank & LAST))
+        if not self.words[word]:
+            del self.words[word]
+            self.top &= ~(1 << word)
+
+    def lowest(self) -> int:
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.words[word]
+        return (word << WORD) + (bits & -bits).bit_length() - 1
+
+
+def _ints(values: np.ndarray) -> array:
+    out = array("i")
+    out.frombytes(values.astype(np.int32).tobytes())
+    return out
+
+
+def merge(pieces: list[bytes], ranks: Ranks) -> list[tuple[int, ...]]:
+    """Ids of each pre-token: the pair of lowest rank is merged, the leftmost first, until no pair has a rank.
+
+    Pre-tokens don't touch each other, so the lowest rank of all is also the lowest of those that have it. ``pair[i]`` is
+    the rank of the token at i with the one after it, -1 for none or past a pre-token's end; a bucket's entry is stale if
+    the pair has gone or become another since. A bucket's leftmost position is taken first; if a merge makes a pair of
+    lower rank, that comes before the rest of the bucket.
     """
-    n, get = len(piece), ranks.get
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-    pair.append(-1)
-    buckets: dict[int, list[int]] = {}
-    words: dict[int, int] = {}
-    top = 0
-    for i, rank in enumerate(pair):
-        if rank in buckets:
-            buckets[rank].append(i)  # rising, so a heap
-        elif rank >= 0:
-            buckets[rank] = [i]
-            word = rank // WORD
-            words[word] = words.get(word, 0) | 1 << rank % WORD
-            top |= 1 << word
-    while top:
-        word = (top & -top).bit_length() - 1
-        bits = words[word]
-        rank = word * WORD + (bits & -bits).bit_length() - 1
+    flat, get = b"".join(pieces), ranks.of.get
+    n = len(flat)
+    if not n:
+        return [() for _ in pieces]
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    edge = bytearray(n + 1)  # 1 where a pre-token begins, and behind the last one
+    np.frombuffer(edge, np.uint8)[np.r_[0, ends]] = 1
+    data = np.frombuffer(flat, np.uint8)
+    start = np.full(n, -1, np.int32)
+    start[:-1] = ranks.two[data[:-1].astype(np.int32) << 8 | data[1:]]
+    start[ends[sizes > 0] - 1] = -1
+    order = np.argsort(start, kind="stable")
+    order = order[np.searchsorted(start[order], 0) :]
+    found, first = np.unique(start[order], return_index=True)
+    buckets = dict(zip(found.tolist(), map(np.ndarray.tolist, np.split(order, first[1:])), strict=False))
+    queue = _Bitmap(buckets)
+    add = queue.add
+    pair, token = _ints(start), _ints(ranks.one[data])
+    after, before = _ints(np.arange(1, n + 2)), _ints(np.arange(-1, n))
+    waiting: dict[int, int] = {}  # sizes of sorted buckets that a lower rank has interrupted
+    while queue.top:
+        rank = queue.lowest()
         bucket = buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del buckets[rank]
-            words[word] = bits = bits & (bits - 1)
-            if not bits:
-                top &= top - 1
-        if pair[at] != rank:
-            continue
-        gone = after[at]
-        end = after[at] = after[gone]
-        pair[gone] = pair[at] = -1
-        if end < n:
-            before[end] = at
-            todo = (at, before[at]) if at else (at,)
+        if waiting.pop(rank, None) != len(bucket):
+            bucket.sort(reverse=True)
+        lower = False
+        while bucket and not lower:
+            at = bucket.pop()
+            if pair[at] != rank:
+                continue
+            gone = after[at]
+            end = after[at] = after[gone]
+            token[at], token[gone], pair[at], pair[gone] = rank, -1, -1, -1
+            if not edge[end]:
+                before[end] = at
+                pair[at] = new = get(flat[at : after[end]], -1)
+                if new in buckets:
+                    buckets[new].append(at)
+                    lower = new < rank
+                elif new >= 0:
+                    buckets[new] = [at]
+                    add(new)
+                    lower = new < rank
+            if not edge[at]:
+                i = before[at]
+                pair[i] = new = get(flat[i:end], -1)
+                if new in buckets:
+                    buckets[new].append(i)
+                    lower |= new < rank
+                elif new >= 0:
+                    buckets[new] = [i]
+                    add(new)
+                    lower |= new < rank
+        if bucket:
+            waiting[rank] = len(bucket)
         else:
-            todo = (before[at],) if at else ()
-        for i in todo:
-            pair[i] = rank = get(piece[i : after[after[i]]], -1)
-            if rank in buckets:
-                heappush(buckets[rank], i)
-            elif rank >= 0:
-                buckets[rank] = [i]
-                word = rank // WORD
-                words[word] = words.get(word, 0) | 1 << rank % WORD
-                top |= 1 << word
-    ids, at = [], 0
-    while at < n:
-        ids.append(ranks[piece[at : after[at]]])
-        at = after[at]
-    return ids
+            del buckets[rank]
+            queue.remove(rank)
+    ids = np.frombuffer(token, np.int32)
+    kept = ids >= 0
+    upto = np.r_[0, np.cumsum(kept)][np.r_[0, ends]].tolist()
+    held = ids[kept].tolist()
+    return [tuple(held[a:b]) for a, b in zip(upto, upto[1:], strict=False)]
 
 
 class Coder:
-    """Encoder and decoder of one rank file; ids of pre-tokens seen before are kept up to a bound."""
+    """Encoder and decoder of one rank file.
 
-    def __init__(self, ranks_file: bytes, pattern: str, keep: int = 600_000):
+    Ids of pre-tokens are kept in two generations of at most ``keep`` each: when the younger one is full it becomes the
+    older one, so that what is still in use stays.
+    """
+
+    def __init__(self, ranks_file: bytes, pattern: str, keep: int = 400_000):
         import regex
 
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
-        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
-        self.decimal = [str(i) for i in range(len(self.bytes_of))]
+        self.ranks = Ranks(ranks_file)
+        self.decimal = [str(i) for i in range(len(self.ranks.bytes_of))]
         self.pieces = regex.compile(pattern).findall
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.keep = keep
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        found = list(map(self.seen.get, pieces))
-        if None in found:
-            for i, ids in enumerate(found):
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text of a block."""
+        pieces = [self.pieces(t) for t in texts]
+        now: dict[str, tuple[int, ...]] = {}
+        new: list[str] = []
+        for piece in set(chain.from_iterable(pieces)):
+            ids = self.young.get(piece)
+            if ids is None:
+                ids = self.old.get(piece)
                 if ids is None:
-                    found[i] = self._piece(pieces[i])
-        return list(chain.from_iterable(found))
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        if (ids := self.seen.get(piece)) is None:
-            raw = piece.encode()
-            ids = (rank,) if (rank := self.ranks.get(raw)) is not None else tuple(merge(raw, self.ranks))
+                    new.append(piece)
+                    continue
+                self._hold(piece, ids)
+            now[piece] = ids
+        raw = [p.encode() for p in new]
+        whole = list(map(self.ranks.of.get, raw))
+        merged = iter(merge([r for r, w in zip(raw, whole, strict=True) if w is None], self.ranks))
+        for piece, w in zip(new, whole, strict=True):
+            now[piece] = ids = next(merged) if w is None else (w,)
             if len(piece) <= 64:
-                if len(self.seen) >= self.keep:
-                    self.seen.clear()
-                self.seen[piece] = ids
-        return ids
+                self._hold(piece, ids)
+        return [list(chain.from_iterable(map(now.__getitem__, ps))) for ps in pieces]
+
+    def _hold(self, piece: str, ids: tuple[int, ...]) -> None:
+        if len(self.young) >= self.keep:
+            self.old, self.young = self.young, {}
+        self.young[piece] = ids
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(map(self.ranks.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -143,10 +224,9 @@ def encode(docs: DataFrame, *, path: str | None = None, pattern: str | None = No
     data, pattern = _vocabulary(docs.sparkSession, path, pattern)
 
     def work(doc_id, text):
-        encode = coder(data.value, pattern).encode
-        return doc_id, [encode(t or "") for t in text.to_pylist()]
+        return doc_id, coder(data.value, pattern).encode([t or "" for t in text.to_pylist()])
 
-    return map_blocks(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), work, "doc_id long, ids array<int>", rows=64)
+    return map_blocks(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), work, "doc_id long, ids array<int>", rows=BLOCK)
 
 
 def decode(tokens: DataFrame, *, path: str | None = None) -> DataFrame:
@@ -167,14 +247,13 @@ def digests(docs: DataFrame, *, path: str | None = None, pattern: str | None = N
     def work(doc_id, text):
         c = coder(data.value, pattern)
         n, of_ids, of_bytes = [], [], []
-        for t in text:
-            ids = c.encode(t.as_py() or "")
+        for ids in c.encode([t or "" for t in text.to_pylist()]):
             n.append(len(ids))
             of_ids.append(sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
             of_bytes.append(sha256(c.decode(ids)).hexdigest())
         return doc_id, n, of_ids, of_bytes
 
-    return map_blocks(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=64)
+    return map_blocks(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=BLOCK)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """The training-data operators against brute-force versions, with nulls, blanks, long texts, ties and empty tables."""
 
-import base64
 import hashlib
 import random
 import re
@@ -333,16 +332,28 @@ def test_bpe_equals_the_library(spark, docs, texts):
     import tiktoken
 
     data = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = bpe.Ranks(data)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.of, special_tokens={})
     ids = {r["doc_id"]: r["ids"] for r in bpe.encode(docs).collect()}
     assert all(ids[i] == lib.encode_ordinary(t or "") for i, t in enumerate(texts))
     back = {r["doc_id"]: bytes(r["data"]) for r in bpe.decode(bpe.encode(docs)).collect()}
     assert all(back[i] == (t or "").encode() for i, t in enumerate(texts))
     rng = random.Random(1)
-    for _ in range(300):
-        piece = bytes(rng.choices(b"aabbcde\xc3\xa9 ", k=rng.randrange(1, 60)))
-        assert bpe.merge(piece, ranks) == lib._core_bpe.encode_single_piece(piece) or piece in ranks
+    pieces = [bytes(rng.choices(b"aabbcde\xc3\xa9 ", k=rng.randrange(60))) for _ in range(300)]
+    pieces += [b"ab" * 50_000, b"abcde" * 20_000, b"a" * 100_001]
+    single = lib._core_bpe.encode_single_piece
+    assert all(list(ids) == (single(p) if p else []) or p in ranks.of for p, ids in zip(pieces, bpe.merge(pieces, ranks), strict=True))
+    assert bpe.merge([], ranks) == [] and bpe.merge([b"", b"a", b""], ranks) == [(), (ranks.of[b"a"],), ()]
+
+
+def test_bpe_keeps_ids_over_generations(texts):
+    import public_tokenizers as P
+
+    data = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    small, large = bpe.Coder(data, P.PATTERN, keep=50), bpe.Coder(data, P.PATTERN)
+    blocks = [[t or "" for t in texts[k : k + 7]] for k in range(0, len(texts), 7)]
+    assert all(small.encode(b) == large.encode(b) for b in blocks + blocks)
+    assert len(small.young) <= 50 and len(small.old) <= 50
 
 
 # --- 10 secrets ---
