@@ -1,13 +1,16 @@
 """Main text of HTML pages: flat text blocks classified by a small decision tree.
 
-A page is cut into flat blocks of text. Each block is described by its word count and link density, those of the
-blocks before and after it, and by the containers it stands in; a decision tree trained on a small labelled table of
-blocks tells main text from the rest. No text is shortened and no block is dropped for its length alone.
+A page is cut into flat blocks of text in one forward pass. Blocks inside elements that are never main text (menus, forms,
+scripts, page footers) are no candidates. Of the others, word count and link density, those of the blocks before and after,
+and how strongly class names hint at a part around the article are the features of a decision tree, trained on a small
+labelled table of blocks. No text is shortened and no block is dropped for its length alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 from functools import cache
 from html import unescape
 
@@ -17,87 +20,150 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm.common import map_blocks, table
 from tabulon.llm.trees import Forest, boost
 
-#: Elements whose contents are not text, to their end tag; comments; any other tag.
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|title|select|object|canvas|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*>""",
-    re.S | re.I,
-)
+#: Elements whose contents are never text of the page, to their end tag. The first few reach to the page's end without one.
+RAW = ("script", "style", "textarea", "title")
+SKIPPED = (*RAW, "template", "noscript", "iframe", "svg", "select", "object", "canvas", "math")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold the frame of a page rather than its article.
+#: Elements and roles that hold menus, forms and the like by their meaning.
 FRAME = frozenset("nav footer aside form menu dialog button fieldset head".split())
-#: Words of class, id or role values that mark such parts (as whole words), and those of main text.
-FRAME_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar
-    breadcrumb breadcrumbs sidebar side rail aside footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert
-    warning popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus
-    discussion reply replies respond related recommended widget pagination pager search form copyright legal disclaimer skip""".split()
+FRAME_ROLES = frozenset("navigation contentinfo complementary banner search dialog menu menubar".split())
+#: Words in class and id values that hint at parts around the article: comments, strong hints, weak ones.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion reply replies respond".split())
+STRONG_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertising adbox adsense adslot sponsored sponsor nav navbar navigation menu menubar
+    breadcrumb breadcrumbs sidebar rail footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter
+    subscribe subscription signup login related recommended pagination pager""".split()
 )
+WEAK_WORDS = frozenset("banner promo promotion side foot head header notice notices alert warning share sharing social widget search form copyright legal disclaimer skip note".split())
+#: Words that make a class name speak of the page's layout or state instead, and those of main text.
+LAYOUT_WORDS = frozenset("no non not without has have with layout open closed enabled allowed status".split())
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORDS = re.compile(r"[a-z]+")
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "frame", "article")
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*+")
+_IN_TAG = re.compile(r""">|=\s*+(["'])""")
+_END = {name: re.compile(rf"</{name}(?![a-z0-9:-])", re.I) for name in SKIPPED}
+_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LETTERS = re.compile(r"[a-z]++")
+
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "hint")
 
-#: The labelled table: words, link density, the same of the block before and after, in a frame part, in an article, label.
+#: The labelled table: words, link density, the same of the block before and after, hint (1 weak, 2 strong), label.
 LABELLED = """
-4 1.0 0 0.0 5 1.0 1 0 0
-2 1.0 2 1.0 2 1.0 1 0 0
-1 1.0 1 1.0 1 1.0 1 0 0
-1 1.0 1 1.0 12 0.0 1 0 0
-8 0.0 1 1.0 10 0.0 1 0 0
-12 0.0 1 1.0 60 0.0 1 0 0
-30 0.0 2 1.0 45 0.0 1 0 0
-25 0.1 80 0.0 0 0.0 1 0 0
-10 0.2 120 0.0 0 0.0 1 0 0
-6 0.0 50 0.0 0 0.0 1 0 0
-60 0.0 40 0.0 30 0.0 1 0 0
-45 0.0 20 0.0 45 0.0 1 1 0
-15 0.0 70 0.0 12 0.0 1 1 0
-5 0.5 90 0.0 7 0.4 1 1 0
-9 0.9 100 0.0 8 1.0 1 1 0
-3 1.0 80 0.0 3 1.0 1 1 0
-120 0.0 60 0.0 90 0.0 1 0 0
-90 0.05 30 0.0 10 0.0 1 1 0
-3 1.0 0 0.0 4 1.0 0 0 0
-2 1.0 3 1.0 2 1.0 0 0 0
-5 0.9 4 1.0 6 0.8 0 0 0
-4 1.0 60 0.0 3 1.0 0 0 0
-7 0.8 2 1.0 5 1.0 0 0 0
-1 1.0 5 1.0 0 0.0 0 0 0
-12 0.7 3 1.0 9 0.8 0 0 0
-2 0.0 1 1.0 2 1.0 0 0 0
-3 0.0 4 1.0 5 1.0 0 0 0
-6 0.0 8 1.0 4 1.0 0 0 0
-4 0.0 0 0.0 3 1.0 0 0 0
-10 0.0 12 1.0 60 0.0 0 1 1
-8 0.0 9 0.0 70 0.0 0 1 1
-1 0.0 40 0.0 60 0.0 0 1 1
-2 0.0 30 0.0 5 0.0 0 1 1
-3 0.0 8 0.0 8 0.0 0 1 1
-5 0.0 10 0.2 1 0.0 0 1 1
-1 0.0 8 0.0 12 0.1 0 1 1
-60 0.0 8 0.0 90 0.0 0 1 1
-90 0.1 60 0.0 40 0.0 0 1 1
-40 0.2 90 0.0 12 0.1 0 1 1
-150 0.0 10 0.0 9 0.2 0 1 1
-25 0.3 60 0.0 30 0.0 0 1 1
-7 0.4 50 0.0 60 0.0 0 1 1
-4 1.0 70 0.0 80 0.0 0 1 1
-9 0.0 2 1.0 10 0.2 0 1 1
-300 0.0 10 0.0 10 0.0 0 1 1
-20 0.0 0 0.0 0 0.0 0 0 1
-60 0.0 3 1.0 80 0.0 0 0 1
-80 0.05 60 0.0 5 1.0 0 0 1
-45 0.1 4 1.0 50 0.0 0 0 1
-12 0.0 60 0.0 70 0.0 0 0 1
-5 0.0 60 0.0 80 0.0 0 0 1
-8 0.0 2 1.0 70 0.0 0 0 1
-30 0.0 40 0.0 6 0.5 0 0 1
-18 0.0 25 0.0 20 0.0 0 0 1
-100 0.2 5 1.0 4 1.0 0 0 1
-25 0.0 30 0.1 2 1.0 0 0 1
-15 0.1 40 0.0 35 0.0 0 0 1
+4 1.0 0 0.0 5 1.0 0 0
+2 1.0 2 1.0 2 1.0 0 0
+1 1.0 1 1.0 1 1.0 0 0
+1 1.0 1 1.0 12 0.0 0 0
+2 1.0 1 1.0 90 0.0 0 0
+3 1.0 0 0.0 4 1.0 0 0
+3 1.0 0 0.0 60 0.0 0 0
+2 1.0 3 1.0 2 1.0 0 0
+5 0.9 4 1.0 6 0.8 0 0
+7 0.8 2 1.0 5 1.0 0 0
+1 1.0 5 1.0 0 0.0 0 0
+9 1.0 8 1.0 11 1.0 0 0
+8 1.0 5 0.0 9 1.0 0 0
+10 1.0 9 1.0 5 0.0 0 0
+12 0.7 3 1.0 9 0.8 0 0
+14 0.6 6 0.9 3 1.0 0 0
+25 0.9 60 0.0 30 0.8 0 0
+30 1.0 5 0.0 4 0.0 0 0
+40 0.8 3 1.0 2 1.0 0 0
+60 0.9 4 0.0 0 0.0 0 0
+18 0.6 12 0.7 20 0.6 0 0
+6 0.6 80 0.0 4 1.0 0 0
+3 0.7 50 0.0 3 0.7 0 0
+4 1.0 60 0.0 3 1.0 0 0
+6 1.0 90 0.0 7 1.0 0 0
+2 0.0 1 1.0 2 1.0 0 0
+3 0.0 4 1.0 5 1.0 0 0
+6 0.0 8 1.0 4 1.0 0 0
+4 0.0 2 1.0 3 1.0 0 0
+1 0.0 2 1.0 1 1.0 0 0
+4 0.0 0 0.0 3 1.0 0 0
+2 0.0 0 0.0 1 1.0 0 0
+5 0.0 60 0.0 8 1.0 0 0
+4 0.0 45 0.1 6 1.0 0 0
+3 0.0 90 0.0 9 1.0 0 0
+6 0.0 30 0.0 10 0.9 0 0
+4 0.0 3 1.0 0 0.0 0 0
+6 0.0 2 1.0 0 0.0 0 0
+3 0.3 1 1.0 0 0.0 0 0
+8 0.0 1 1.0 60 0.0 1 0
+3 0.0 1 1.0 80 0.0 1 0
+15 0.0 2 1.0 70 0.0 1 0
+12 0.1 90 0.0 3 1.0 1 0
+10 0.0 70 0.0 50 0.0 1 0
+6 0.2 60 0.0 40 0.0 1 0
+5 0.0 8 0.0 5 0.0 1 0
+2 0.0 0 0.0 4 0.0 1 0
+4 0.0 0 0.0 90 0.0 1 0
+18 0.0 80 0.0 0 0.0 1 0
+9 0.0 0 0.0 12 0.0 1 0
+16 0.0 60 0.0 80 0.0 1 0
+30 0.5 60 0.0 40 0.0 1 0
+45 0.6 3 1.0 0 0.0 1 0
+8 0.0 1 1.0 10 0.0 2 0
+12 0.0 1 1.0 60 0.0 2 0
+30 0.0 2 1.0 45 0.0 2 0
+25 0.1 80 0.0 0 0.0 2 0
+60 0.0 40 0.0 30 0.0 2 0
+45 0.0 20 0.0 45 0.0 2 0
+15 0.0 70 0.0 12 0.0 2 0
+120 0.0 60 0.0 90 0.0 2 0
+90 0.05 30 0.0 10 0.0 2 0
+5 0.0 9 0.0 40 0.0 2 0
+1 0.0 90 0.0 90 0.0 2 0
+10 0.0 12 1.0 60 0.0 0 1
+8 0.0 9 0.0 70 0.0 0 1
+8 0.0 2 1.0 70 0.0 0 1
+5 0.0 1 1.0 9 0.0 0 1
+3 0.0 1 1.0 40 0.0 0 1
+1 0.0 3 1.0 25 0.0 0 1
+2 0.0 0 0.0 30 0.0 0 1
+7 0.0 0 0.0 4 0.0 0 1
+1 0.0 40 0.0 60 0.0 0 1
+2 0.0 30 0.0 5 0.0 0 1
+3 0.0 8 0.0 8 0.0 0 1
+1 0.0 1 0.0 2 0.0 0 1
+5 0.0 10 0.2 1 0.0 0 1
+1 0.0 8 0.0 12 0.1 0 1
+4 0.0 90 0.0 0 0.0 0 1
+2 0.0 6 0.0 0 0.0 0 1
+1 0.0 0 0.0 0 0.0 0 1
+9 0.0 5 0.0 7 0.0 0 1
+60 0.0 8 0.0 90 0.0 0 1
+90 0.1 60 0.0 40 0.0 0 1
+40 0.2 90 0.0 12 0.1 0 1
+150 0.0 10 0.0 9 0.2 0 1
+25 0.3 60 0.0 30 0.0 0 1
+18 0.4 50 0.0 60 0.0 0 1
+7 0.4 50 0.0 60 0.0 0 1
+4 1.0 70 0.0 80 0.0 0 1
+5 1.0 40 0.0 60 0.0 0 1
+3 0.7 60 0.0 90 0.0 0 1
+9 0.0 2 1.0 10 0.2 0 1
+300 0.0 10 0.0 10 0.0 0 1
+20 0.0 0 0.0 0 0.0 0 1
+60 0.0 3 1.0 80 0.0 0 1
+80 0.05 60 0.0 5 1.0 0 1
+45 0.1 4 1.0 50 0.0 0 1
+12 0.0 60 0.0 70 0.0 0 1
+30 0.0 40 0.0 6 0.5 0 1
+18 0.0 25 0.0 20 0.0 0 1
+12 0.0 70 0.0 4 1.0 0 1
+15 0.0 50 0.0 3 1.0 0 1
+100 0.2 5 1.0 4 1.0 0 1
+25 0.0 30 0.1 2 1.0 0 1
+30 0.0 2 1.0 0 0.0 0 1
+15 0.1 40 0.0 35 0.0 0 1
+40 0.0 50 0.0 60 0.0 1 1
+60 0.0 30 0.0 20 0.0 1 1
+35 0.1 80 0.0 90 0.0 1 1
+80 0.0 12 0.0 50 0.0 1 1
+150 0.0 9 0.0 0 0.0 1 1
+30 0.0 40 0.0 30 0.0 1 1
 """
 
 
@@ -105,107 +171,202 @@ LABELLED = """
 def block_tree() -> Forest:
     """The decision tree grown on the labelled table."""
     rows = np.array([line.split() for line in LABELLED.split("\n") if line], float)
-    return boost(rows[:, :-1], rows[:, -1], [0] * len(FEATURES), trees=1, depth=4, rate=1.0, ridge=0.1, least=1, single=True)
-
-
-def _role(name: str, attributes: str) -> int:
-    """1 for a part of the page's frame, 2 for main text, 0 for neither."""
-    if name in FRAME:
-        return 1
-    words: set[str] = set()
-    for m in ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        # camel case and dashes both part words
-        words.update(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    main = name in ("article", "main") or bool(words & MAIN_WORDS)
-    if name in ("html", "body"):
+    return boost(rows[:, :-1], rows[:, -1], [0] * len(FEATURES), trees=1, depth=6, rate=1.0, ridge=0.1, least=1, single=True)
+
+
+@dataclass
+class Block:
+    """A flat block of text: words, words inside links, and where it stands.
+
+    ``hint`` is 0 for none, 1 for a weak one, 2 for a strong one, 3 for reader comments.
+    """
+
+    text: str
+    words: int
+    linked: int
+    framed: bool
+    hint: int
+
+    @property
+    def density(self) -> float:
+        return min(self.linked / self.words, 1.0)
+
+
+@cache
+def _hint(value: str) -> int:
+    """How strongly one class name or id hints at a part around the article; a name that also speaks of layout does not."""
+    words = set(_LETTERS.findall(_CAMEL.sub(" ", value).lower()))
+    if words & LAYOUT_WORDS:
         return 0
-    if words & FRAME_WORDS and not (name in ("article", "main") or (name == "header" and main)):
-        return 1
-    return 2 if main else 0
+    if words & COMMENT_WORDS:
+        return 3
+    if words & STRONG_WORDS:
+        return 2
+    return int(bool(words & WEAK_WORDS) and not words & MAIN_WORDS)
+
+
+def _role(name: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is a frame part by its meaning, and the hint of its class, id and role."""
+    hint, framed = 0, name in FRAME
+    for m in _ATTRIBUTE.finditer(attributes):
+        for value in (m[2] or m[3] or m[4] or "").split():
+            if m[1].lower() == "role":
+                framed = framed or value.lower() in FRAME_ROLES
+            else:
+                hint = max(hint, _hint(value[:200]))
+    if name == "header" and not in_article:
+        hint = max(hint, 1)
+    return framed, hint
+
 
+def _decoded(text: str) -> list[str]:
+    """Words of text with its character references decoded; numbers beyond all code points become U+FFFD."""
+    if "&" in text:
+        if "&#" in text:
+            text = re.sub(r"&#[0-9]{9,}+;?", "�", re.sub(r"&#0++(?=[0-9])", "&#", text))
+        text = unescape(text)
+    return text.split()
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat blocks in page order: text, words, words inside links, in a frame part, in an article.
+
+def blocks(html: str) -> list[Block]:
+    """Flat blocks in page order, in time linear in the page.
 
     Tags of block elements part blocks; inline ones do not. Character references are decoded, white space inside a block
-    becomes one space. A header part counts as frame unless it stands in an article.
+    becomes one space. ``main`` and ``article`` elements end the hints of what stands around them, but for comments. A tag
+    that does not end before the page does is dropped with what follows it; an unclosed comment or script likewise.
     """
-    out: list[tuple[str, int, int, bool, bool]] = []
+    out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    opened: list[tuple[str, int]] = []
-    frame = article = links = at = 0
+    opened: list[tuple[str, bool, int, bool]] = []  # name, framed, hint, in an article
+    count: Counter = Counter()
+    last = {q: html.rfind(q) for q in "\"'"}
+    ended: set[str] = set()  # skipped elements without a further end tag
+    framed, hint, in_article, links, at, n = False, 0, False, False, 0, len(html)
 
     def flush() -> None:
         nonlocal text, linked
         if text:
-            words = unescape("".join(text)).split()
+            words = _decoded("".join(text))
             if words:
-                out.append((" ".join(words), len(words), len(unescape(" ".join(linked)).split()), frame > 0, article > 0))
+                out.append(Block(" ".join(words), len(words), len(_decoded(" ".join(linked))), framed, hint))
             text, linked = [], []
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            text.append(html[at : m.start()])
+    def push(name: str, attributes: str) -> None:
+        nonlocal framed, hint, in_article
+        opened.append((name, framed, hint, in_article))
+        count[name] += 1
+        now_framed, now_hint = _role(name, attributes, in_article)
+        if name in ("main", "article"):
+            in_article = True
+            hint = 3 if hint == 3 else 0
+        framed, hint = framed or now_framed, max(hint, now_hint)
+
+    def pop() -> str:
+        nonlocal framed, hint, in_article
+        name, framed, hint, in_article = opened.pop()
+        count[name] -= 1
+        return name
+
+    while at < n:
+        tag = html.find("<", at)
+        if tag < 0:
+            tag = n
+        if tag > at:
+            text.append(html[at:tag])
             if links:
-                linked.append(html[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1]:  # a skipped element parts words but, being inline or hidden, no blocks
-                text.append(" ")
+                linked.append(html[at:tag])
+        if tag == n:
+            break
+        if html.startswith("<!--", tag):
+            end = html.find("-->", tag + 4)
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        named = _NAME.match(html, tag + 1)
+        if not named:
+            if html[tag + 1 : tag + 2] in ("!", "?", "/"):
+                end = html.find(">", tag)
+                if end < 0:
+                    break
+                at = end + 1
+            else:
+                text.append("<")
+                at = tag + 1
+            continue
+        at = named.end()
+        end = -1
+        while m := _IN_TAG.search(html, at):  # to the > that is in no quoted value
+            at = m.end()
+            if not m[1]:
+                end = m.start()
+                break
+            if at <= last[m[1]]:
+                at = html.find(m[1], at) + 1
+        if end < 0:
+            break
+        closing = named[0][0] == "/"
+        name = named[0].lstrip("/").lower()
+        attributes = html[named.end() : end]
+        if name in SKIPPED:
+            if not closing and name not in ended:
+                m = _END[name].search(html, at)
+                if m:
+                    text.append(" ")
+                    at = m.start()
+                elif name in RAW:
+                    break
+                else:
+                    ended.add(name)
             continue
         if name == "br":
             text.append("\n")
-            continue
-        if name in INLINE:
+        elif name in INLINE:
             if name == "a":
-                links = 0 if m[2] else 1
-            elif not m[2] and not m[4].rstrip().endswith("/") and name != "img" and name != "wbr" and _role(name, m[4]) == 1:
-                flush()
-                opened.append((name, 1))
-                frame += 1
-            elif m[2] and opened and opened[-1][0] == name:
+                links = not closing
+            elif name in ("img", "wbr"):
+                continue
+            elif closing:
+                if count[name] and opened[-1][0] == name:
+                    flush()
+                    pop()
+            elif not attributes.endswith("/") and (count[name] or _role(name, attributes, in_article) != (False, 0)):
                 flush()
-                frame -= opened.pop()[1] == 1
-            continue
-        flush()
-        if name in VOID or m[4].rstrip().endswith("/"):
-            continue
-        if not m[2]:
-            role = _role(name, m[4])
-            if name == "header" and not article and role == 0:
-                role = 1
-            opened.append((name, role))
-            frame += role == 1
-            article += role == 2
-        elif any(o[0] == name for o in opened):
-            links = 0
-            while True:  # end tags left out are closed with the element around them
-                gone, role = opened.pop()
-                frame -= role == 1
-                article -= role == 2
-                if gone == name:
-                    break
-    if at < len(html):
-        text.append(html[at:])
+                push(name, attributes)
+        else:
+            flush()
+            if closing:
+                if count[name]:
+                    links = False
+                    while pop() != name:  # end tags left out are closed with the element around them
+                        pass
+            elif name not in VOID:
+                if opened and (opened[-1][0] == "p" or opened[-1][0] == name == "li"):
+                    pop()  # its end tag was left out
+                if not attributes.endswith("/"):
+                    push(name, attributes)
     flush()
     return out
 
 
+def _features(found: list[Block]) -> np.ndarray:
+    """The tree's features. Hints are void on a page that has running text under hints alone: they speak of its layout."""
+    plain = sum(b.words for b in found if not b.framed and not b.hint)
+    void = plain < 10 and any(b.hint in (1, 2) and not b.framed and b.words >= 40 and b.density < 0.5 for b in found)
+    w = np.array([0, *(b.words for b in found), 0], float)
+    d = np.array([0, *(b.density for b in found), 0])
+    hint = [2 if b.hint == 3 else 0 if void else b.hint for b in found]
+    return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], hint])
+
+
 def main_text(html: str) -> str:
-    """The main text of a page: its blocks that the tree takes, joined by empty lines."""
+    """The main text of a page: its candidate blocks that the tree takes, joined by empty lines."""
     found = blocks(html)
     if not found:
         return ""
-    words = np.array([b[1] for b in found], float)
-    density = np.minimum(np.array([b[2] for b in found], float) / words, 1.0)
-    pad = lambda v: np.concatenate([[0.0], v, [0.0]])
-    w, d = pad(words), pad(density)
-    x = np.column_stack([words, density, w[:-2], d[:-2], w[2:], d[2:], [b[3] for b in found], [b[4] for b in found]])
-    taken = block_tree().score(x) > 0
-    return "\n\n".join(b[0] for b, t in zip(found, taken.tolist(), strict=True) if t)
+    taken = block_tree().score(_features(found)) > 0
+    return "\n\n".join(b.text for b, t in zip(found, taken.tolist(), strict=True) if t and not b.framed)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -56,6 +56,51 @@ def test_html_query(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def _words(n, stem="lorem"):
+    return " ".join(f"{stem}{i}" for i in range(n))
+
+
+#: Pages in other people's markup: html with main blocks marked by a leading K and all others by a leading X.
+HELD_OUT = [
+    f"<div id=top-nav><a href=/>Xhome</a> <a href=/a>about</a></div><div class='content no-sidebar'><h2>K {_words(5)}</h2><p>K {_words(60)}</p><p>K {_words(40)}</p></div><div id=footer>X {_words(9)}</div>",
+    f"<main><h1>K {_words(4)}</h1><p>K {_words(30)}<p class=warning>K {_words(40)}<p>K {_words(25)}</main><div class='cookieConsent'><p>X {_words(30)}</p></div>",
+    f"<article><p>K {_words(80)}</p><p>Xread our other stories</p><ul><li><a href=1>X {_words(6)}</a><li><a href=2>X {_words(7)}</a></ul></article>",
+    f"<table><tr><td><a href=1>X {_words(2)}</a></td><td><a href=2>X {_words(2)}</a></td></tr></table><div><p>K {_words(50)} <a href=3>see this</a> {_words(20)}</p><p>K {_words(12)}</p><p>K {_words(70)}</p></div>",
+    f"<section><h1>K {_words(6)}</h1><p>K {_words(90)}</p></section><section id=comments><h3>X {_words(3)}</h3><div class=comment-body><p>X {_words(60)}</p></div><div class=comment-body><p>X {_words(8)}</p></div></section>",
+    f"<header><a href=/>X {_words(2)}</a><p>X {_words(5)}</p></header><article class='post'><header><h1>K {_words(7)}</h1></header><p>K {_words(45)}</p><p>K {_words(3)}</p><p>K {_words(45)}</p></article><aside><p>X {_words(50)}</p></aside>",
+    f"<div class=wrapper><div class=sidebar><p>X {_words(40)}</p><p>X {_words(20)}</p></div><div class=main><p>K {_words(35)}</p><h3><a href=x>K {_words(4)}</a></h3><p>K {_words(55)}</p></div></div>",
+    f"<ul><li><a href=a>X {_words(1)}</a><li><a href=b>X {_words(1)}</a></ul><h1>K {_words(6)}</h1><p>K {_words(66)}<div class=share-buttons>X {_words(2)}</div><p>K {_words(31)}<div class='ad-slot'>X {_words(11)}</div><p>K {_words(29)}",
+    f"<body class='has-sidebar comments-open'><p>K {_words(50)}</p><div class=newsletter><p>X {_words(18)}</p><form><input><label>X mail</label></form></div><p>K {_words(44)}</p><div class=related-posts><h4>X {_words(2)}</h4><a href=q>X {_words(8)}</a></div>",
+]
+
+
+def test_html_on_held_out_markup():
+    right = total = 0
+    for page in HELD_OUT:
+        taken = set(html.main_text(page).split("\n\n"))
+        for b in html.blocks(page):
+            total += 1
+            right += (b.text in taken) == b.text.startswith("K")
+    assert total > 45 and right / total >= 0.95
+
+
+def test_html_tree_decides_by_words_and_links():
+    tree = html.block_tree()
+    used = {html.FEATURES[f] for f, i, left in zip(tree.feature[0], range(99), tree.left[0]) if left != i}
+    assert {"words", "link_density", "link_density_before", "words_after", "link_density_after"} <= used
+
+
+@pytest.mark.parametrize("part", ["<script ", "<a ", "<!-- ", "<a '\">", "<svg>", "&#9", "<", "</", "<p class=x <b>", "class='", "<div>", "<![CDATA[", "<span class=ad>", "<li><p>"])
+def test_html_is_linear_on_broken_markup(part):
+    import time
+
+    start = time.time()
+    html.main_text(part * (1_000_000 // len(part)) + "</div>" * 1000)
+    assert time.time() - start < 30
+    assert html.main_text("<p>" + "word " * 30 + "</p>" + "<a " * 1000).split() == ["word"] * 30
+    assert html.main_text("<p>&#" + "9" * 10_000 + "; b " + "word " * 20) == "\ufffd b " + "word " * 19 + "word"
+
+
 # --- 2 simhash ---
 
 
