@@ -44,6 +44,9 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 
+#: Letters beyond ASCII that a pattern without regard to case takes for an ASCII one; texts are indexed with that one.
+FOLDED = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+
 #: Sets of strings larger than this end a literal run.
 MOST = 64
 
@@ -74,12 +77,15 @@ def _exact(nodes) -> set[str] | None:
 
 
 def trigram_query(nodes) -> tuple:
-    """What every match needs: ``("and", parts)``, ``("or", parts)`` or a trigram; ``("and", ())`` asks for nothing."""
+    """What every match needs: ``("and", parts)``, ``("or", parts)`` or a trigram; ``("and", ())`` asks for nothing.
+
+    Only ASCII trigrams are indexed, so those with other letters are not asked for.
+    """
     needs, run = [], {""}
 
     def flush() -> None:
         nonlocal run
-        needs.append(("or", tuple(("and", tuple(dict.fromkeys(s[i : i + 3] for i in range(len(s) - 2)))) for s in sorted(run))))
+        needs.append(("or", tuple(("and", tuple(dict.fromkeys(t for i in range(len(s) - 2) if (t := s[i : i + 3]).isascii()))) for s in sorted(run))))
         run = {""}
 
     for node in nodes:
@@ -101,6 +107,13 @@ def trigram_query(nodes) -> tuple:
     return ("and", tuple(n for n in needs if not _empty(n)))
 
 
+def _folded(text: str) -> str:
+    if not text.isascii():
+        for letter, plain in FOLDED.items():
+            text = text.replace(letter, plain)
+    return text
+
+
 def _empty(query) -> bool:
     """True if a query asks for nothing."""
     return not isinstance(query, str) and (any if query[0] == "or" else all)(map(_empty, query[1]))
@@ -128,8 +141,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern), trigram_query(parser.parse(r.pattern))) for r in rules]
         self.order = {r.kind: i for i, r in enumerate(rules)}
-        # texts are indexed by bytes; a trigram beyond ASCII is never asked for
-        named = sorted(t for t in set().union(*(_trigrams(q) for _, _, q in self.rules)) if t.isascii())
+        named = sorted(set().union(*(_trigrams(q) for _, _, q in self.rules)))
         self.numbers = np.zeros(1 << 24, np.uint16)
         self.named = named
         for i, t in enumerate(named):
@@ -138,7 +150,7 @@ class Scanner:
 
     def index(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Postings of the named trigrams over a block of texts."""
-        raw = [t.encode().lower() for t in texts]
+        raw = [_folded(t).encode().lower() for t in texts]
         starts = np.cumsum([0, *(len(r) + 3 for r in raw)])
         data = np.frombuffer(b"\0\0\0".join(raw) + b"\0\0\0", np.uint8)
         codes = data[:-2].astype(np.uint32) << 16
