@@ -357,10 +357,101 @@ def test_base_spans_equal_plain_patterns(spark, texts):
         assert [f"{k}:{s['start']}:{s['end']}" for k in pii.KINDS for s in got[i][k]] == plain_spans(t), t[:100]
 
 
-def test_span_model_learns_from_agreement():
-    model = pii.fit_spans({"i+0+lo": 50, "i+00lo": 30, "i-0-so": 400, "i000so": 300, "n0++so": 20, "i--0so": 100})
-    assert {"i+0+lo", "n0++so"} <= set(model.accepted) and "i-0-so" not in model.accepted and "i--0so" not in model.accepted
-    assert pii.fit_spans({}).accepted == ()
+def planted_people(seed, n):
+    """Texts with marked personal data (⟦…⟧) and look-alikes, in plain prose; the marks are taken out again."""
+    rng = random.Random(seed)
+    digit = lambda k: "".join(rng.choices("0123456789", k=k))
+    pick = rng.choice
+    yes = [
+        lambda: f"{pick(['my ssn is', 'social security', 'SSN:', 'they gave'])} ⟦{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}⟧",
+        lambda: f"{pick(['call', 'phone:', 'reach us on', 'mobile'])} ⟦({pick(pii.AREAS)}) {rng.randrange(200, 999)}-{digit(4)}⟧",
+        lambda: f"{pick(['call', 'fax', 'try', 'cell'])} ⟦{pick(pii.AREAS)}{pick('-.')}{rng.randrange(200, 999)}{'-'}{digit(4)}⟧".replace(".-", "-"),
+        lambda: f"{pick(['met with', 'signed', 'Mr.', 'patient', 'and then', 'wrote to'])} ⟦{pick(pii.GIVEN)} {pick(pii.FAMILY)}⟧",
+        lambda: f"{pick(['name:', 'Dr.', 'contact'])} ⟦{pick(pii.GIVEN)} {pick('ABCD')}. {pick(pii.FAMILY)}⟧",
+    ]
+    no = [
+        lambda: f"{pick(['on', 'since', 'version', 'dated'])} {rng.randrange(1950, 2030)}-{rng.randrange(10, 12)}-{rng.randrange(10, 28)}",
+        lambda: f"{pick(['isbn', 'order', 'total', 'about'])} {rng.randrange(10, 99)} {digit(3)} {digit(3)}",
+        lambda: f"{pick(['near', 'in', 'to', 'the'])} {pick(['San Francisco', 'New Town', 'Royal Hotel', 'Park Avenue', 'Lake Garden'])}",
+        lambda: f"{pick(['pages', 'figure', 'about'])} {digit(2)}-{digit(2)}",
+        lambda: f"{pick(['order', 'code', 'about'])} 9{digit(14)}{'3'}",
+        lambda: f"{pick(['on', 'every'])} {pick(['Monday Morning', 'Friday Night'])}",
+        lambda: f"{pick(['so', 'but'])} {pick(['Ndtion', 'Heti', 'Shti', 'Onea'])} {pick(['Ndtion', 'Ou', 'Heti'])}",
+    ]
+    texts, wanted = [], []
+    for _ in range(n):
+        text = " ".join((pick(yes) if rng.random() < 0.3 else pick(no))() + pick([" and so on", ".", ", they said"]) for _ in range(rng.randrange(4)))
+        spans, out = [], ""
+        for part in re.split("([⟦⟧])", text):
+            if part == "⟦":
+                spans.append([len(out)])
+            elif part == "⟧":
+                spans[-1].append(len(out))
+            else:
+                out += part
+        texts.append(out)
+        wanted.append({tuple(x) for x in spans})
+    return texts, wanted
+
+
+def test_added_spans_on_held_out_texts(spark):
+    model = pii.train_spans(corpus(spark, planted_people(1, 1500)[0]))
+    texts, wanted = planted_people(2, 800)
+    found = {r["doc_id"]: {(s["start"], s["end"]) for s in r["added"]} for r in pii.find_pii(corpus(spark, texts), model).collect()}
+    hits = sum(len(found[i] & w) for i, w in enumerate(wanted))
+    assert hits / sum(map(len, found.values())) >= 0.9 and hits / sum(map(len, wanted)) >= 0.8
+    assert set(model.kinds) == {"number", "name"}
+    assert any(abs(t - f) > 0.01 for m in model.kinds.values() for t, f in zip(m.true_right, m.false_right, strict=True))
+
+
+def test_added_spans_of_the_given_texts(spark):
+    """Beyond the base kinds the given texts hold look-alikes, which stay: numbers with a wrong check digit, repeated words.
+
+    What is added stands next to other numbers, with which the base patterns join it and then fail.
+    """
+    found = pii.find_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("size(added) > 0").collect()
+    for r in found:
+        for s in r["added"]:
+            match = r["text"][s["start"] : s["end"]]
+            assert s["kind"] == "number" and (luhn(match) or "(" in match)
+
+
+def test_span_score_is_the_same_as_an_expression(spark):
+    model = pii.fit_kind({"++++as20": 40, "--0-bn10": 90, "0+0+d-30": 9, "0-0-a.20": 30})
+    rows = [(p,) for p in ("++++as20", "--0-bn10", "00+0zz99", "0-0+d-30")]
+    got = spark.createDataFrame(rows, "p string").select("p", model.column(F.col("p")).alias("s")).collect()
+    assert all(abs(r["s"] - model.score(r["p"])) < 1e-9 for r in got)
+    assert model.score("++++as20") > 0.6 > 0.4 > model.score("--0-bn10")
+    assert pii.train_spans(corpus(spark, ["", None, "x"])).kinds == {} and pii.train_spans(corpus(spark, [])).kinds == {}
+
+
+def plain_redaction(text, spans):
+    out, at = "", 0
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_equals_a_plain_one(spark, texts):
+    rng = random.Random(9)
+    every = [t for t in texts if t] + ["".join(rng.choices("0123456789.+-@ ab(é😀", k=300)) for _ in range(200)] + ["a@b.co " * 3000, "😀" * 50 + "1.2.3.4" + "é" * 50]
+    df = corpus(spark, every)
+    model = pii.train_spans(df)
+    spans = {r["doc_id"]: [(s["start"], s["end"], k) for k in pii.KINDS for s in r[k]] + [(s["start"], s["end"], s["kind"]) for s in r["added"]] for r in pii.find_pii(df, model).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df, model).collect()}
+    assert all(got[i] == plain_redaction(t, spans[i]) for i, t in enumerate(every))
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    df = corpus(spark, ["a.b@c.de " * 16_000])
+    start = time.time()
+    assert pii.find_pii(df).select(F.size("email").alias("n")).first()["n"] == 16_000
+    assert pii.redact(df).first()["text"] == "[EMAIL] " * 16_000
+    assert time.time() - start < 30
 
 
 def test_redaction(spark):
