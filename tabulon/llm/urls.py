@@ -18,20 +18,34 @@ from tabulon.llm.common import lower_ascii, table
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 #: Width of the hashed feature space and the n-gram lengths.
-BUCKETS, GRAMS = 4096, (3, 4)
+BUCKETS, GRAMS = 16384, (3, 4)
 
 #: The labelled table, as site names and paths. Blocked: pills, gambling, adult, spam, fake and pirate sites.
-BLOCKED_SITES = """cheap-pills buy-pills-now pills-online best-pharmacy-deals viagra-store cialis-shop casino-royal
-online-casino mega-casino slots-jackpot poker-bonus bet-win-big sports-betting adult-x adult-videos xxx-tube sex-cams hot-adult
-porn-hub-free nude-pics escort-city spam-farm spam-links link-farm seo-spam click-bait-farm free-money-fast payday-loans quick-loan
-crypto-doubler get-rich-now fake-watches replica-bags warez-world crack-keygen torrent-movies free-iphone-win lottery-winner
-malware-drop phish-login hacked-accounts ads-server ad-tracker track-pixel banner-ads ads-network pop-up-ads click-tracking""".split()
-ALLOWED_SITES = """news daily-news weather city-library university science-journal health-clinic museum gardening
-recipes travel-guide history-notes open-data docs wiki forum photo-blog tech-review music-school sports-club car-repair bookshop
-kindergarten town-council river-walk ththre tiontion theron ththan thersh ingand reation onther ereth mountain hiking chess-club
-bakery farm-shop organic-farm bike-rental film-review language-course school-paper pharmacy-museum""".split()
-BLOCKED_PATHS = ("/buy/cheap", "/win/now", "/en/1", "/xxx/12", "/casino/bonus", "/de/301.html", "/fr/12/", "/es/77", "/", "/en/640/")
-ALLOWED_PATHS = ("/", "/en/12", "/en/1", "/fr/12/", "/news/2020/05/story.html", "/de/301.html", "/fr/88/", "/es/77", "/article/5", "/en/640/")
+BLOCKED_SITES = """pills-outlet buy-viagra generic-cialis rx-pills-shop no-prescription-meds diet-pills-24 herbal-pills casino-royal
+online-casino mega-casino slots-jackpot poker-bonus bet-win-big sports-betting roulette-vip free-spins adult-club adult-videos-hd
+xxx-tube sex-cams hot-adult-chat porn-free nude-pics escort-city live-sex-girls milf-cams spam-center bulk-spam link-farms
+backlink-farm click-farm traffic-spam seo-spam-network free-money-fast payday-loans quick-loan-now crypto-doubler bitcoin-profit
+get-rich-now work-from-home-cash fake-watches replica-bags cheap-replica cheap-followers buy-likes warez-world crack-keygen
+serial-crackz torrent-movies free-iphone-win lottery-winner prize-claim malware-drop phish-login hacked-accounts account-verify
+ads-server ad-tracker track-pixel banner-ads popup-ads-network""".split()
+ALLOWED_SITES = """news daily-news evening-post weather-report city-library university-press science-journal health-clinic museum
+gardening recipes travel-guide history-notes open-data docs wiki forum photo-blog tech-review music-school sports-club car-repair
+bookshop kindergarten town-council river-walk mountain-hut hiking chess-club bakery farm-shop organic-farm bike-rental film-review
+language-course school-paper pharmacy-museum green-energy north-harbour castle-tours stone-bridge old-mill silver-lake blue-heron
+winter-sports summer-camp lighthouse orchard violin-makers astronomy geology ornithology mathematics linguistics theatre opera
+cathedral monastery railway tramway airport ferry-lines post-office fire-brigade parliament ministry embassy statistics archive
+almanac dictionary thesaurus encyclopedia atlas herald tribune gazette chronicle observer courier sentinel ledger register
+bibliotheque jardin-botanique cuisine-facile marche-du-livre bahnhof stadtwerke buchhandlung wetterdienst gemeinde ayuntamiento
+biblioteca periodico senderismo cocina-casera anderson-law thornton-dairy wintershall ernst-meier theodor-storm anthem-choir the-morning-paper nothing-but-truth fourth-street smith-and-sons
+another-thing earth-and-water bath-house north-south-line motion-pictures station-master education-first nations-in-brief traditions
+that-was-then with-or-without father-and-son leather-works weather-station rhythm-and-song breath-of-air health-nation path-finder
+thoughts-on-art the-hour the-inner-garden here-and-there reading-room evening-hour rest-and-read heron-island eden-house sheridan-court
+marathon-men authority-control method-in-theory youth-orchestra month-by-month truth-and-reason action-group section-nine mention-of-honour
+intention question-time relation-theory edition-press ration-book notion-of-space the-throne thirty-three thorough-thinking""".split()
+#: Pages of every kind of site; those of the blocked ones besides.
+PREFIXES = (("", "com"), ("www.", "net"), ("m.", "org"), ("blog.", "com"))
+PATHS = ("/", "/about", "/en/12", "/de/301.html", "/fr/88/", "/es/77", "/index.html", "/2020/05/")
+BLOCKED_PATHS = ("/buy/cheap", "/win/now", "/casino/bonus", "/xxx/12")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,49 +71,62 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def gram_buckets(host: Column, path: Column) -> Column:
-    """Buckets of the n-grams of host and path, each text with its mark before it and an end mark behind it."""
+    """Buckets of the n-grams of host and path, each text with its mark before it and an end mark behind it.
+
+    A text is cut into letters once, so that the time is linear in its length.
+    """
 
     def grams(text: Column, mark: str) -> Column:
-        whole = F.concat(F.lit(mark), text, F.lit("$"))
-        last = lambda n: F.char_length(whole) - F.lit(n - 1)
-        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(last(n), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(whole, i, F.lit(n)), F.lit(mark)), F.lit(BUCKETS)).cast("int"))
-        return F.concat(*[of(n) for n in GRAMS])
+        letters = F.split(F.concat(F.lit(mark), text, F.lit("$")), "")
+        of = lambda all_, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_) - F.lit(n - 1), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.array_join(F.slice(all_, i, n), ""), F.lit(mark)), F.lit(BUCKETS)).cast("int"))
+        return F.element_at(F.transform(F.array(letters), lambda all_: F.concat(*[of(all_, n) for n in GRAMS])), 1)
 
     return F.concat(grams(host, "^"), grams(path, ">"))
 
 
 @cache
-def _fit(rows: tuple[tuple[tuple[int, ...], int], ...], steps: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by gradient descent; a row's features are the shares of its n-grams by bucket."""
-    x, y = np.zeros((len(rows), BUCKETS)), np.array([label for _, label in rows], float)
+def _fit(rows: tuple[tuple[tuple[int, ...], int], ...], steps: int, ridge: float, prior: float) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps on the rows' inner products; a row's features are its n-grams' shares.
+
+    The bias is held at the log-odds of ``prior``, so that a URL of unknown n-grams is as likely to be blocked as that.
+    """
+    used = np.array(sorted({b for buckets, _ in rows for b in buckets}))
+    x, y = np.zeros((len(rows), len(used))), np.array([label for _, label in rows], float)
     for i, (buckets, _) in enumerate(rows):
-        np.add.at(x[i], list(buckets), 1 / len(buckets))
-    x *= 10.0
-    weights, bias = np.zeros(BUCKETS), 0.0
+        np.add.at(x[i], np.searchsorted(used, buckets), 1 / len(buckets))
+    inner, bias = x @ x.T, float(np.log(prior / (1 - prior)))
+    duals = np.zeros(len(rows))
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-(x @ weights + bias))) - y
-        weights -= 1.0 * (x.T @ error / len(y) + ridge * weights)
-        bias -= 1.0 * error.mean()
-    return weights * 10.0, bias
+        z = inner @ duals
+        p = 1 / (1 + np.exp(-np.clip(z + bias, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-6)
+        duals = np.linalg.solve(inner + ridge * np.diag(1 / w), z + (y - p) / w)
+    weights = np.zeros(BUCKETS)
+    weights[used] = x.T @ duals
+    return weights, bias
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label): label 1 is to be blocked. Its size is fixed."""
-    rows = [(f"http://{pre}{site}.example.{tld}{paths[(i + j) % len(paths)]}", label) for sites, paths, label in ((BLOCKED_SITES, BLOCKED_PATHS, 1), (ALLOWED_SITES, ALLOWED_PATHS, 0)) for i, site in enumerate(sites) for j, (pre, tld) in enumerate((("", "com"), ("www.", "net"), ("m.", "org"), ("blog.", "com")))]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{url}', {label})" for url, label in rows) + " AS t(url, label)")
+    """The small labelled table (site, url, label): label 1 is to be blocked. Its size is fixed."""
+    rows = []
+    for label, sites, more in ((1, BLOCKED_SITES, BLOCKED_PATHS), (0, ALLOWED_SITES, ())):
+        for i, site in enumerate(sites):
+            for j, (pre, end) in enumerate(PREFIXES):
+                rows.append((site, f"http://{pre}{site}.example.{end}{PATHS[(i + 3 * j) % len(PATHS)]}", label))
+            rows += [(site, f"https://{site}.example.net{path}", label) for path in more]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{site}', '{url}', {label})" for site, url, label in rows) + " AS t(site, url, label)")
 
 
-def train_urls(labelled: DataFrame, *, steps: int = 600, ridge: float = 1e-4, max_rows: int = 10_000) -> tuple[np.ndarray, float]:
+def train_urls(labelled: DataFrame, *, steps: int = 20, ridge: float = 0.001, prior: float = 0.2, max_rows: int = 2_000) -> tuple[np.ndarray, float]:
     """Weights by bucket and a bias, from at most ``max_rows`` labelled URLs (the first by URL)."""
     host, path = host_and_path(F.col("url"))
-    rows = labelled.orderBy("url", "label").limit(max_rows).select(gram_buckets(host, path).alias("b"), "label").collect()
-    return _fit(tuple((tuple(r["b"]), int(r["label"])) for r in rows), steps, ridge)
+    rows = labelled.select("url", "label").orderBy("url", "label").limit(max_rows).select(gram_buckets(host, path).alias("b"), "label").collect()
+    return _fit(tuple((tuple(r["b"]), int(r["label"])) for r in rows), steps, ridge, prior)
 
 
-def url_score(host: Column, path: Column, weights: np.ndarray, bias: float) -> Column:
-    """Probability that a URL is to be blocked."""
+def url_score(buckets: Column, weights: np.ndarray, bias: float) -> Column:
+    """Probability that a URL is to be blocked, from a column with its :func:`gram_buckets`."""
     held = F.split(F.lit(",".join(f"{w:.9g}" for w in weights)), ",").cast("array<double>")
-    buckets = gram_buckets(host, path)
     total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.element_at(held, b + 1))
     return 1 / (1 + F.exp(-(total / F.size(buckets) + F.lit(float(bias)))))
 
@@ -114,7 +141,8 @@ def judge_urls(pages: DataFrame, *, rules=RULES, model: tuple[np.ndarray, float]
     weights, bias = model or train_urls(labelled_urls(pages.sparkSession))
     parsed = pages.select("page_id", *[c.alias(n) for c, n in zip(host_and_path(F.col("url")), ("host", "path"), strict=True)])
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    scored = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), url_score(F.col("host"), F.col("path"), weights, bias).alias("score"))
+    with_grams = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), gram_buckets(F.col("host"), F.col("path")).alias("buckets"))
+    scored = with_grams.select("page_id", "host", "path", "rule", "by_rule", url_score(F.col("buckets"), weights, bias).alias("score"))
     by_model = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score")
 

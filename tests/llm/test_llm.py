@@ -252,6 +252,46 @@ def test_url_model_on_sites_it_has_not_seen(spark):
     assert [got[i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
 
 
+def test_url_model_over_folds_of_sites(spark):
+    """Each fifth of the sites judged by a model of the others: no site name is on both sides."""
+    rows = urls.labelled_urls(spark)
+    fold = F.pmod(F.xxhash64("site"), F.lit(5))
+    right, n = [0, 0], [0, 0]
+    for k in range(5):
+        model = urls.train_urls(rows.where(fold != k))
+        test = rows.where(fold == k).withColumn("page_id", F.monotonically_increasing_id()).cache()
+        got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(test, rules=(), model=model).collect()}
+        for r in test.collect():
+            n[r["label"]] += 1
+            right[r["label"]] += got[r["page_id"]] == ("block" if r["label"] else "allow")
+    assert right[0] / n[0] >= 0.95 and right[1] / n[1] >= 0.6
+
+
+def test_url_table_holds_no_host_of_the_pages(spark):
+    host = F.regexp_replace(urls.host_and_path(F.col("url"))[0], r"^(www|m|blog)\.", "")
+    sites = {r[0].split(".")[0] for r in spark.read.parquet(f"{SF}/pages.parquet").select(host).distinct().collect()}
+    assert not sites & set(urls.BLOCKED_SITES + urls.ALLOWED_SITES)
+
+
+def test_url_score_of_long_urls(spark):
+    import time
+
+    rows = [(1, "http://a.b/" + "xy" * 100_000), (2, "http://é😀.b/😀é"), (3, "://"), (4, "")]
+    start = time.time()
+    got = {r["page_id"]: (r["host"], r["path"]) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - start < 30 and got[2] == ("é😀.b", "/😀é") and got[3] == got[4] == ("", "")
+
+
+def test_url_grams_equal_plain_ones(spark):
+    url = "http://éa😀.b/x"
+    host, path = urls.host_and_path(F.col("u"))
+    df = spark.createDataFrame([(url,)], "u string").select("u", host.alias("h"), path.alias("p"))
+    got = df.select(urls.gram_buckets(F.col("h"), F.col("p")).alias("b")).first()["b"]
+    grams = [(w[i : i + n], mark) for text, mark in (("éa😀.b", "^"), ("/x", ">")) for w in [mark + text + "$"] for n in urls.GRAMS for i in range(max(1, len(w) - n + 1))]
+    want = spark.createDataFrame(grams, "g string, m string").select(F.pmod(F.xxhash64("g", "m"), F.lit(urls.BUCKETS)).cast("int")).collect()
+    assert got == [r[0] for r in want]
+
+
 # --- 6 repeats ---
 
 
