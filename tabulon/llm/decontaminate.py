@@ -21,10 +21,13 @@ from tabulon.llm.common import map_blocks, table
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 #: Share of an item's words that may differ, and the longest run of words looked for.
 EDITS, RUN = 0.2, 3
-#: Sampled positions in a key, walks, and the share of embedded positions that agree at the allowed edits (measured).
+#: Sampled positions in a key, walks, and the share of embedded positions taken to agree at the allowed edits. The number
+#: of keys follows from it; the tests measure the recall that they give.
 SAMPLED, WALKS, AGREE = 3, 8, 0.4
 #: Bounds of one block of items; larger benchmarks are searched in several blocks.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32_000_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
+#: Words of windows, and places of runs, that are held at a time.
+CELLS, HITS = 2_000_000, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,7 +53,11 @@ def distance(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class Index:
-    """A block of items: vocabulary, runs of words with their places, CGK walks and LSH keys."""
+    """A block of items: vocabulary, runs of words with their places, CGK walks and LSH keys.
+
+    Its size is a small multiple of the items' words: a walk's steps come from a hash of walk, position and word, and only
+    the sampled positions of an embedding are kept.
+    """
 
     def __init__(self, items: tuple[tuple[int, str], ...], recall: float, seed: int = 7):
         kept = [(i, w) for i, t in items if (w := words_of(t))]
@@ -63,32 +70,32 @@ class Index:
         self.base = len(self.number) + 2  # 0: a word of no item; the last number: past a window's end
         self.tables = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED) / WALKS)
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (WALKS, 2 * self.width, self.base), dtype=np.int8)
+        odd = lambda *shape: rng.integers(1, 1 << 62, shape, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.of_word, self.of_step, self.mix = odd(self.base), odd(WALKS, 2 * self.width), odd(SAMPLED)
         self.samples = {int(n): rng.integers(0, 2 * n, (WALKS, self.tables, SAMPLED)) for n in np.unique(self.lengths)}
-        self.mix = rng.integers(1, 1 << 62, SAMPLED, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self._index_runs()
-        matrix = np.full((len(self.items), self.width), self.base - 1, np.int64)
-        for row, item in zip(matrix, self.items, strict=True):
-            row[: len(item)] = item
-        self.keys = []
-        for keys in self.lsh_keys(matrix, self.lengths):
-            order = np.argsort(keys, kind="stable")
-            self.keys.append((keys[order], order))
+        keys = np.empty((WALKS * self.tables, len(self.items)), np.uint64)
+        flat = np.concatenate([*self.items, np.zeros(1, np.int64)])
+        begin = np.cumsum(np.r_[0, self.lengths])[:-1]
+        for part in _parts(self.lengths):
+            keys[:, part] = self.lsh_keys(self._windows(flat, begin[part], self.lengths[part]), self.lengths[part])
+        order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = [(k[o], o) for k, o in zip(keys, order, strict=True)]
 
     def _index_runs(self) -> None:
         """For each length of run: codes, and by code the pairs (item, offset) at which items have it."""
-        places: dict[int, dict[int, set]] = {}
+        found: dict[int, list] = {}
         for i, item in enumerate(self.items):
             n = len(item)
             size = min(RUN, n, -(-(n - allowed(n)) // (allowed(n) + 1)))
-            by_code = places.setdefault(size, {})
-            for at, code in enumerate(self.codes(item, size).tolist()):
-                by_code.setdefault(code, set()).add((i, at))
+            codes = self.codes(item, size)
+            found.setdefault(size, []).append((codes, np.column_stack([np.full(len(codes), i), np.arange(len(codes))])))
         self.runs = []
-        for size, by_code in sorted(places.items()):
-            codes = np.array(sorted(by_code), np.int64)
-            lists = [sorted(by_code[c]) for c in codes.tolist()]
-            self.runs.append((size, codes, np.cumsum([0, *map(len, lists)]), np.array([p for ps in lists for p in ps], np.int64)))
+        for size, lists in sorted(found.items()):
+            codes, places = (np.concatenate(x) for x in zip(*lists, strict=True))
+            order = np.argsort(codes, kind="stable")
+            codes, first = np.unique(codes[order], return_index=True)
+            self.runs.append((size, codes, np.r_[first, len(order)], places[order]))
 
     def codes(self, ids: np.ndarray, size: int) -> np.ndarray:
         """Codes of all runs of ``size`` words; -1 where a word of no item is in the run."""
@@ -100,27 +107,37 @@ class Index:
             known &= ids[k : k + n] > 0
         return np.where(known, code, -1)
 
-    def lsh_keys(self, windows: np.ndarray, lengths: np.ndarray):
-        """One array of keys for each walk and sampling. A walk moves to the next word or stays, by position and word."""
-        rows = np.arange(len(windows))
-        steps = 2 * int(lengths.max(initial=1))
-        padded = np.concatenate([windows, np.full((len(windows), 1), self.base - 1)], axis=1)
+    def _windows(self, flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Windows of ``n`` words from ``begin`` on, each filled up to one word more than the longest."""
+        columns = np.arange(int(n.max()) + 1)
+        windows = flat[np.clip(begin[:, None] + columns, 0, len(flat) - 1)]
+        windows[columns >= n[:, None]] = self.base - 1
+        return windows
+
+    def lsh_keys(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Keys by walk and sampling (rows) and window. A walk moves to the next word or stays, by position and word."""
+        rows, last = np.arange(len(windows)), windows.shape[1] - 1
         of_length = [(n, np.flatnonzero(lengths == n)) for n in np.unique(lengths).tolist()]
+        keys = np.repeat(lengths.astype(np.uint64)[None], WALKS * self.tables, axis=0)
         for walk in range(WALKS):
-            embedded = np.empty((steps, len(windows)), np.int64)
+            wanted = sorted({int(j) for n, _ in of_length for j in self.samples[n][walk].ravel()})
+            place = {j: k for k, j in enumerate(wanted)}
+            seen = np.empty((len(wanted), len(windows)), np.uint64)
             at = np.zeros(len(windows), np.int64)
-            for j in range(steps):
-                embedded[j] = word = padded[rows, at]
-                at = np.minimum(at + self.moves[walk, j, word], self.width)
-            for t in range(self.tables):
-                keys = np.empty(len(windows), np.uint64)
-                for n, where in of_length:
-                    key = np.full(len(where), n, np.uint64)
-                    for mix, position in zip(self.mix, self.samples[n][walk, t], strict=True):
-                        key = (key ^ embedded[position, where].astype(np.uint64)) * mix
+            for j in range(wanted[-1] + 1):
+                word = windows[rows, at]
+                if j in place:
+                    seen[place[j]] = word
+                step = (self.of_word[word] * self.of_step[walk, j]) >> np.uint64(63)
+                at = np.minimum(at + step.astype(np.int64), last)
+            for n, where in of_length:
+                for t, positions in enumerate(self.samples[n][walk].tolist()):
+                    key = keys[walk * self.tables + t, where]
+                    for mix, position in zip(self.mix, positions, strict=True):
+                        key = (key ^ seen[place[position], where]) * mix
                         key ^= key >> np.uint64(31)
-                    keys[where] = key
-                yield keys
+                    keys[walk * self.tables + t, where] = key
+        return keys
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """By text, its matches (item id, edits): items within their allowed edits of some passage."""
@@ -131,33 +148,43 @@ class Index:
         flat = np.zeros(int(starts[-1]) + len(ids[-1]) + 2 * gap, np.int64)
         for at, x in zip(starts.tolist(), ids, strict=True):
             flat[at : at + len(x)] = x
-        spots = []
-        for size, codes, cuts, places in self.runs:
-            run = self.codes(flat, size)
-            at = np.flatnonzero(run >= 0)
-            k = np.minimum(np.searchsorted(codes, run[at]), len(codes) - 1)
-            hit = codes[k] == run[at]
-            at, k = at[hit], k[hit]
-            many = cuts[k + 1] - cuts[k]
-            place = places[np.repeat(cuts[k], many) + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)]
-            at, item = np.repeat(at, many), place[:, 0]
-            # a passage within the allowed edits keeps all of the item's runs but those that an edit touches
+        spots = [np.empty((0, 2), np.int64), *(s for run in self.runs for s in self._spots(flat, *run, margin=2 * gap))]
+        spots = np.unique(np.concatenate(spots), axis=0)
+        for part in _parts(spots[:, 1]):
+            self._decide(spots[part], flat, starts, found)
+        return [sorted((self.item_ids[i], d) for i, d in f.items()) for f in found]
+
+    def _spots(self, flat, size, codes, cuts, places, *, margin):
+        """Where windows are laid: (begin, words) at which a text shares enough runs with an item of that length.
+
+        A passage within the allowed edits keeps all of the item's runs but those that an edit touches. Runs are taken in
+        stretches of the text with a margin on both sides, so that a run of many items is not laid out at once.
+        """
+        run = self.codes(flat, size)
+        at = np.flatnonzero(run >= 0)
+        k = np.minimum(np.searchsorted(codes, run[at]), len(codes) - 1)
+        hit = codes[k] == run[at]
+        at, k = at[hit], k[hit]
+        so_far = np.r_[0, np.cumsum(cuts[k + 1] - cuts[k])]
+        first = 0
+        while first < len(at):
+            end = max(first + 1, int(np.searchsorted(so_far, so_far[first] + HITS, "right")) - 1)
+            low, high = np.searchsorted(at, at[first] - margin, "left"), np.searchsorted(at, at[end - 1] + margin, "right")
+            some = k[low:high]
+            many = cuts[some + 1] - cuts[some]
+            place = places[np.repeat(cuts[some], many) + np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)]
+            here, item = np.repeat(at[low:high], many), place[:, 0]
             n, most = self.lengths[item], self.edits[item]
-            order = np.sort(item * len(flat) + at)
-            key, reach = item * len(flat) + at, np.minimum(n + most, gap * 2)
+            key, reach = item * len(flat) + here, np.minimum(n + most, margin)
+            order = np.sort(key)
             shared = np.searchsorted(order, key + reach, "right") - np.searchsorted(order, key - reach, "left")
-            enough = shared >= n - size + 1 - size * most
-            spots.append(np.column_stack([at - place[:, 1], n])[enough])
-        spots = np.unique(np.concatenate(spots), axis=0) if spots else np.empty((0, 2), np.int64)
-        for part in range(0, len(spots), 20_000):
-            self._decide(spots[part : part + 20_000], flat, starts, ids, found)
-        return [sorted((self.item_ids[i], d) for i, d in f.items()) for f in found]
+            enough = (shared >= n - size + 1 - size * most) & (here >= at[first]) & (here <= at[end - 1])
+            yield np.unique(np.column_stack([here - place[:, 1], n])[enough], axis=0)
+            first = end
 
-    def _decide(self, spots, flat, starts, ids, found) -> None:
+    def _decide(self, spots, flat, starts, found) -> None:
         begin, n = spots[:, 0], spots[:, 1]
-        columns = np.arange(self.width)
-        windows = flat[np.clip(begin[:, None] + columns, 0, len(flat) - 1)]
-        windows[columns >= n[:, None]] = self.base - 1
+        windows = self._windows(flat, begin, n)
         pairs = []
         for keys, (known, order) in zip(self.lsh_keys(windows, n), self.keys, strict=True):
             low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
@@ -165,9 +192,7 @@ class Index:
                 w = np.flatnonzero(more)
                 pairs.append(np.column_stack([w, order[low[w]]]))
                 low[w] += 1
-        if not pairs:
-            return
-        for w, i in np.unique(np.concatenate(pairs), axis=0).tolist():
+        for w, i in np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0).tolist():
             item = self.items[i]
             if len(item) != n[w]:
                 continue
@@ -184,6 +209,18 @@ class Index:
                 found[doc][i] = d
 
 
+def _parts(lengths: np.ndarray):
+    """Numbers of windows in parts of similar lengths, each of ``CELLS`` words or fewer (or one window)."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        n = int(lengths[order[at]])
+        end = int(np.searchsorted(lengths[order], max(2 * n, 32), "left"))
+        end = max(at + 1, min(end, at + CELLS // (2 * n + 32)))
+        yield order[at:end]
+        at = end
+
+
 @lru_cache(maxsize=2)
 def index(items: tuple, recall: float) -> Index:
     """One index for each worker process."""
@@ -223,7 +260,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, recall: float = 0.99) -
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, recall: float = 0.99) -> DataFrame:
-    """The rows of ``docs`` in which no item of ``benchmark`` is found, with all their columns; no join, no shuffle."""
+    """The rows of ``docs`` in which no item of ``benchmark`` is found, with all their columns; no join, no shuffle.
+
+    Null and empty texts hold no item, so they stay; repeated rows stay or go together; an empty table gives no rows, an
+    empty benchmark all of them. Columns of any name beside ``text`` pass through.
+    """
     spark, kept = docs.sparkSession, docs
     for items in _blocks(benchmark):
         held = spark.sparkContext.broadcast(items)

@@ -361,6 +361,72 @@ def test_leaks_with_edits_are_found(spark):
     assert decontaminate.find_leaks(corpus(spark, texts), bench.limit(0)).count() == 0
 
 
+def edited(rng, words, times):
+    """Words after that many edits of any kind, at different places."""
+    w = list(words)
+    for at in sorted(rng.sample(range(len(w)), times), reverse=True):
+        kind = rng.randrange(3)
+        if kind == 0:
+            w[at] = "changed"
+        elif kind == 1:
+            del w[at]
+        else:
+            w.insert(at, "inserted")
+    return w
+
+
+def test_leaks_at_the_most_allowed_edits_equal_exact_search():
+    """Recall and precision against the edit distance of every item in every text, at the full allowance of edits."""
+    import numpy as np
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(2000)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 2, 5, 8, 12, 20, 33, 50, 80, 120] * 8)]
+    texts = []
+    for _, t in items:
+        for extra in (0, 0, 0, 1):  # the last one is beyond the allowance
+            w = t.split()
+            w = edited(rng, w, min(len(w) - 1, decontaminate.allowed(len(w)) + extra))
+            texts.append(" ".join(rng.choices(words, k=30) + w + rng.choices(words, k=30)))
+    texts.append(" ".join(t for _, t in items))
+    index = decontaminate.Index(tuple(items), 0.99)
+    found = {(d, i, e) for k in range(0, len(texts), 64) for d, ms in enumerate(index.search(texts[k : k + 64]), k) for i, e in ms}
+    number = lambda t: np.array([index.number.get(w, 0) for w in decontaminate.words_of(t)], np.int64)
+    exact = {}
+    for d, t in enumerate(map(number, texts)):
+        for i, item in enumerate(index.items):
+            e = decontaminate.distance(item, t)
+            if e <= decontaminate.allowed(len(item)):
+                exact[d, i] = e
+    hits = {(d, i) for d, i, _ in found}
+    assert hits <= exact.keys() and len(exact) > 240
+    assert len(hits) >= 0.97 * len(exact)
+    assert all(e == exact[d, i] for d, i, e in found)
+
+
+def test_index_stays_small_for_long_items():
+    import tracemalloc
+
+    rng = random.Random(3)
+    items = tuple((i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))) for i, n in enumerate([60] * 400 + [3000]))
+    tracemalloc.start()
+    index = decontaminate.Index(items, 0.99)
+    index.search([items[400][1] + " and more"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    assert index.search(["x " + items[400][1] + " y"]) == [[(400, 0)]]
+
+
+def test_runs_of_many_items_are_taken_in_stretches(monkeypatch):
+    items = tuple((i, f"what is the name of {i}") for i in range(100))
+    index = decontaminate.Index(items, 0.99)
+    texts = ["what is the name of 7 " * 30, " ".join(t for _, t in items), "what is the"]
+    whole = index.search(texts)
+    monkeypatch.setattr(decontaminate, "HITS", 500)
+    assert index.search(texts) == whole and len(whole[1]) == 100
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(tuple(r) for r in decontaminate.find_leaks(docs, bench).collect())
