@@ -1,15 +1,17 @@
 """Repeated passages: bytes covered by a 100-byte string that also starts earlier in the corpus.
 
 Every string of ``LENGTH`` bytes holds an anchor, a short gram chosen by the string's content alone, so that equal strings
-hold equal anchors at equal places. Anchors with their contexts' hashes are shuffled; equal contexts settle copies at
-once. What is left of an anchor's places, with different contexts, is suffix-sorted on both sides: prefix polynomial
-hashes and binary search give common extensions, so that a comparison in the merge sort costs a logarithm of the
-context, and the result is verified byte by byte. Blocks of the two sorted orders at fitting depths are the equal strings.
+hold equal anchors at equal places. Anchors with their contexts' hashes are shuffled; places whose anchor is found again
+get their contexts' bytes. Copies of a context are compared with it byte by byte; the different contexts of an anchor are
+suffix-sorted on both sides: prefix polynomial hashes and binary search give common extensions, so that a comparison in
+the merge sort costs a logarithm of the context, and the result is verified on the bytes. Blocks of the two sorted orders
+at fitting depths are the equal strings. No removal rests on a hash alone; a collision of both 64-bit hashes is sorted out,
+but at a crowded anchor, where it could leave a repeat in place.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -100,24 +102,43 @@ def _batch(names: list[str], *columns):
 _ANCHOR = "h long, c long, doc_id long, a int, x int"
 
 
+def _same_bytes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each of ``rows``: whether its bytes ``flat[start:end]`` are those of the row before it."""
+    out = np.zeros(len(rows), bool)
+    for at in range(0, len(rows), 20_000):
+        i = rows[at : at + 20_000]
+        size = end[i] - start[i]
+        columns = np.arange(SLIDE + LENGTH)
+        last = len(flat) - 1
+        equal = flat[np.minimum(start[i][:, None] + columns, last)] == flat[np.minimum(start[i - 1][:, None] + columns, last)]
+        out[at : at + 20_000] = (equal | (columns >= size[:, None])).all(1) & (size == end[i - 1] - start[i - 1])
+    return out
+
+
 def _anchor_rows(batches):
-    """Anchors (x = left * 256 + right >= 0), and settled spans (a, -1 - x) of those whose context came before in the batch."""
+    """Anchors (x = left * 256 + right >= 0), and settled spans (a, -1 - x) of those whose context, compared byte by
+    byte, came before in the batch."""
     for batch in batches:
-        found = [[] for _ in range(6)]
+        found = [[] for _ in range(7)]
+        raws, base = [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = text.as_py()
             raw = raw.encode() if raw else b""
             if doc is None or len(raw) < LENGTH:
                 continue
             at, h, c, left, right = anchors(np.frombuffer(raw, np.uint8))
-            for column, values in zip(found, (np.full(len(at), doc, np.int64), at, h, c, left, right), strict=True):
+            for column, values in zip(found, (np.full(len(at), doc, np.int64), at, h, c, left, right, np.full(len(at), base)), strict=True):
                 column.append(values)
+            raws.append(raw)
+            base += len(raw)
         if not found[0]:
             continue
-        doc, at, h, c, left, right = map(np.concatenate, found)
+        doc, at, h, c, left, right, base = map(np.concatenate, found)
         order = np.lexsort((at, doc, c, h))
-        doc, at, h, c, left, right = (v[order] for v in (doc, at, h, c, left, right))
-        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
+        doc, at, h, c, left, right, base = (v[order] for v in (doc, at, h, c, left, right, base))
+        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (left[1:] == left[:-1])]
+        rows = np.flatnonzero(again)
+        again[rows] = _same_bytes(np.frombuffer(b"".join(raws), np.uint8), base + at - left, base + at + right, rows)
         # the first place of a context within the batch stands for all of it
         same = np.r_[False, (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]) & again[1:]]
         span = again & (left + right >= LENGTH) & ~same
@@ -148,62 +169,78 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], np.maximum.reduceat(end, first)
 
 
-_PLACE = "kind int, h long, doc_id long, a int, b int"
+_PLACE = "kind int, h long, c long, doc_id long, a int, b int"
+#: Kinds of places, which add up: different contexts of one anchor, such ones of a crowded anchor, contexts with copies.
+SORTED, CROWDED, COPIED = 1, 2, 4
 
 
-def _settle(batches):
-    """Over anchor rows sorted by h, c, doc_id, a: settled spans (kind 0), and the places of anchors that have several
-    contexts, the first place of each (kind 1; kind 2 if there are more than ``CROWD``)."""
+def _settle(batches, crowd: int = CROWD):
+    """Over anchor rows sorted by h, c, doc_id, a: settled spans (kind 0), and the places whose anchor is found elsewhere.
 
-    def rows(kind, h, doc, a, b):
-        return _batch(["kind", "h", "doc_id", "a", "b"], np.full(len(h), kind, np.int32), h, doc, a.astype(np.int32), b.astype(np.int32))
+    The first place of each hash of a context is ``SORTED`` if its anchor has several (``CROWDED`` if more than
+    ``crowd``); where a hash occurs again, all its places are ``COPIED``.
+    """
 
-    empty = np.empty(0, np.int64)
-    held_h = held_doc = held_a = empty  # first places of the anchor that the last batch ended in
+    def rows(kind, h, c, doc, a, b):
+        return _batch(["kind", "h", "c", "doc_id", "a", "b"], kind.astype(np.int32), h, c, doc, a.astype(np.int32), b.astype(np.int32))
+
+    def out(kind, held):
+        h, c, doc, a, copied = held
+        kind = kind + COPIED * copied
+        keep = kind > 0
+        return rows(kind[keep], h[keep], c[keep], doc[keep], a[keep], a[keep])
+
+    none = [np.empty(0, np.int64)] * 4 + [np.empty(0, bool)]
+    held = none  # first places of the anchor that the last batch ended in
     crowded = last = None
     for batch in batches:
         h, c, doc, a, x = (col.to_numpy().astype(np.int64) for col in batch.columns)
-        if not len(h):
-            continue
         done = x < 0
         if done.any():
-            yield rows(0, h[done], doc[done], a[done], -1 - x[done])
-            h, c, doc, a, x = (v[~done] for v in (h, c, doc, a, x))
-            if not len(h):
-                continue
+            yield rows(np.zeros(done.sum()), h[done], c[done], doc[done], a[done], -1 - x[done])
+            h, c, doc, a = (v[~done] for v in (h, c, doc, a))
+        if not len(h):
+            continue
         again = np.r_[last is not None and (h[0], c[0]) == last[:2], (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
+        # a repeated row (same place) is no copy
         same = again & np.r_[last is not None and (h[0], c[0], doc[0], a[0]) == last, (doc[1:] == doc[:-1]) & (a[1:] == a[:-1])]
         last = (h[-1], c[-1], doc[-1], a[-1])
-        span = again & ~same & (x // 256 + x % 256 >= LENGTH)
-        # a repeated row (same place) of a later copy is the same span again; spans are joined in the end
-        if span.any():
-            yield rows(0, h[span], doc[span], a[span] - x[span] // 256, a[span] + x[span] % 256)
-        h, doc, a = h[~again], doc[~again], a[~again]
+        copy = again & ~same
+        if copy.any():
+            yield rows(np.full(copy.sum(), COPIED), h[copy], c[copy], doc[copy], a[copy], a[copy])
+        first = np.flatnonzero(~again)
+        copied = np.zeros(len(first), bool)
+        of = np.searchsorted(first, np.flatnonzero(copy), "right") - 1  # -1: a place held from before
+        copied[of[of >= 0]] = True
+        if (of < 0).any():
+            held[4][-1] = True
+        held = [np.r_[v, w] for v, w in zip(held, (h[first], c[first], doc[first], a[first], copied), strict=True)]
         if crowded is not None:
-            more = h == crowded
-            if more.any():
-                yield rows(2, h[more], doc[more], a[more], a[more])
-            if more.all():
+            # all but the last place, which may be found again in the next batch
+            more = int(np.searchsorted(held[0], crowded, "right"))
+            stay = int(more == len(held[0]))
+            yield out(np.full(more - stay, CROWDED), [v[: more - stay] for v in held])
+            held = [v[more - stay :].copy() for v in held]
+            if stay:
                 continue
-            h, doc, a, crowded = h[~more], doc[~more], a[~more], None
-        h, doc, a = np.r_[held_h, h], np.r_[held_doc, doc], np.r_[held_a, a]
-        if not len(h):
+            crowded = None
+        if not len(held[0]):
             continue
-        end = int(np.searchsorted(h, h[-1], "left"))
+        end = int(np.searchsorted(held[0], held[0][-1], "left"))
         several = np.zeros(end, bool)
         if end > 1:
-            equal = h[1:end] == h[: end - 1]
+            equal = held[0][1:end] == held[0][: end - 1]
             several[1:] |= equal
             several[:-1] |= equal
-        if several.any():
-            yield rows(1, h[:end][several], doc[:end][several], a[:end][several], a[:end][several])
-        held_h, held_doc, held_a = h[end:], doc[end:], a[end:]
-        if len(held_h) > CROWD:
-            crowded = held_h[0]
-            yield rows(2, held_h, held_doc, held_a, held_a)
-            held_h = held_doc = held_a = empty
-    if len(held_h) > 1:
-        yield rows(1, held_h, held_doc, held_a, held_a)
+        yield out(SORTED * several, [v[:end] for v in held])
+        held = [v[end:].copy() for v in held]
+        if len(held[0]) > crowd:
+            crowded = held[0][0]
+            yield out(np.full(len(held[0]) - 1, CROWDED), [v[:-1] for v in held])
+            held = [v[-1:].copy() for v in held]
+    n = len(held[0])
+    if n:
+        yield out(np.full(n, CROWDED if crowded is not None else SORTED * (n > 1)), held)
 
 
 def _common(hashes: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -291,75 +328,121 @@ def covered(group: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: n
     return found
 
 
+def _spans_of_sorted(h, doc, a, left, raw: list[bytes]):
+    """Spans of the places (sorted by h) of different contexts that are covered by earlier strings."""
+    order = np.lexsort((a, doc, h))
+    order = order[np.r_[True, (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0) | (np.diff(a[order]) != 0)]]
+    h, doc, a, left = (v[order] for v in (h, doc, a, left))
+    raw = [raw[i] for i in order.tolist()]
+    size = np.array(list(map(len, raw)), np.int64)
+    flat = np.frombuffer(b"".join(raw) + b"\0" * LENGTH, np.uint8)
+    at = np.cumsum(np.r_[0, size[:-1]]) + left
+    rights = flat[np.minimum(at[:, None] + np.arange(LENGTH), len(flat) - 1)]
+    lefts = flat[np.maximum(at[:, None] - 1 - np.arange(SLIDE), 0)]
+    found = covered(h, lefts, left, rights, size - left)
+    edge = np.diff(np.concatenate([np.zeros((len(h), 1), np.int8), found.astype(np.int8), np.zeros((len(h), 1), np.int8)], axis=1), axis=1)
+    (i, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return _joined(doc[i], a[i] - (x1 - 1), a[i] - x0 + LENGTH)
+
+
 def _sorted_spans(batches):
-    """Over places sorted by h, doc_id, a with their contexts: spans (doc_id, a, b) covered by earlier strings."""
-    held: list = []
-    n = 0
+    """Over places sorted by h, c, doc_id, a with their contexts: spans (doc_id, a, b) covered by earlier strings.
 
-    def out(table_):
-        h, doc, a, left = (table_.column(k).to_numpy() for k in ("h", "doc_id", "a", "l"))
-        raw = table_.column("data").to_pylist()
-        left = left.astype(np.int64)
-        size = np.array(list(map(len, raw)), np.int64)
-        flat = np.frombuffer(b"".join(raw) + b"\0" * LENGTH, np.uint8)
-        at = np.cumsum(np.r_[0, size[:-1]]) + left
-        rights = flat[np.minimum(at[:, None] + np.arange(LENGTH), len(flat) - 1)]
-        lefts = flat[np.maximum(at[:, None] - 1 - np.arange(SLIDE), 0)]
-        found = covered(h, lefts, left, rights, size - left)
-        edge = np.diff(np.concatenate([np.zeros((len(h), 1), np.int8), found.astype(np.int8), np.zeros((len(h), 1), np.int8)], axis=1), axis=1)
-        (i, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        spans = _joined(doc[i], a[i] - (x1 - 1), a[i] - x0 + LENGTH)
+    A place with the hash of the one before it is a copy if its bytes are the same, too. Otherwise the hashes collide, and
+    both that place and the first one of the hash go through the sort with the anchor's different contexts.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def out(spans):
         return _batch(["doc_id", "a", "b"], spans[0], spans[1].astype(np.int32), spans[2].astype(np.int32))
 
-    import pyarrow as pa
+    def of_sort(held):
+        whole = pa.Table.from_batches(held)
+        h, doc, a, left = (whole.column(k).to_numpy() for k in ("h", "doc_id", "a", "l"))
+        return out(_spans_of_sorted(h, doc, a, left.astype(np.int64), whole.column("data").to_pylist()))
 
+    held: list = []  # places that go through the sort
+    n = 0
+    before = first = None  # the last place of the batch before, and the first one of its hash
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if before is None else [before, batch]).combine_chunks().to_batches()[0]
+        skip = int(before is not None)
+        h, c, doc, a, left = (rows.column(k).to_numpy() for k in ("h", "c", "doc_id", "a", "l"))
+        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
+        data = rows.column(rows.schema.get_field_index("data"))
+        equal = np.r_[False, pc.equal(data[1:], data[:-1]).to_numpy(zero_copy_only=False) & (left[1:] == left[:-1])]
+        same = np.r_[False, (doc[1:] == doc[:-1]) & (a[1:] == a[:-1])]
+        size = pc.binary_length(data).to_numpy()
+        copy = again & equal & ~same & (size >= LENGTH)
+        start = a - left
+        if copy.any():
+            yield out(_joined(doc[copy], start[copy].astype(np.int64), (start + size)[copy].astype(np.int64)))
+        sort = (rows.column(0).to_numpy() & SORTED) > 0
+        sort[:skip] = False
+        collided = np.flatnonzero(again & ~equal)
+        firsts = np.maximum.accumulate(np.where(again, -1, np.arange(len(h))))  # by row, the first one of its hash
+        sort[collided] = True
+        sort[firsts[collided]] = True
+        picked = rows.filter(pa.array(sort))
+        if first is not None and len(collided) and (firsts[collided] == 0).any():
+            picked = pa.Table.from_batches([first, picked]).combine_chunks().to_batches()[0]
+        begin = int(firsts[-1])
+        if begin > 0 or first is None:
+            first = rows.slice(begin, 1)
+        before = rows.slice(len(h) - 1, 1)
+        if picked.num_rows:
+            held.append(picked)
+            n += picked.num_rows
         if n >= CHUNK:
             whole = pa.Table.from_batches(held).combine_chunks()
-            h = whole.column("h").to_numpy()
-            end = int(np.searchsorted(h, h[-1], "left"))
+            end = int(np.searchsorted(whole.column("h").to_numpy(), h[-1], "left"))
             if end:
-                yield out(whole.slice(0, end))
-            held = whole.slice(end).combine_chunks().to_batches()
-            n = whole.num_rows - end
+                yield of_sort(whole.slice(0, end).to_batches())
+                whole = whole.slice(end)
+            held = whole.combine_chunks().to_batches()
+            n = whole.num_rows
     if n:
-        yield out(pa.Table.from_batches(held).combine_chunks())
+        yield of_sort(held)
+
+
+def _contexts(doc_id, text, kinds, hs, cs, as_):
+    """Bytes around places: the whole context, and each string of a crowded anchor's."""
+    out: list[list] = [[] for _ in range(7)]
+    for doc, t, *of_doc in zip(doc_id.to_pylist(), text, kinds.to_pylist(), hs.to_pylist(), cs.to_pylist(), as_.to_pylist(), strict=True):
+        raw = (t.as_py() or "").encode()
+        for kind, h, c, a in zip(*of_doc, strict=True):
+            start = max(0, a - SLIDE)
+            if kind != CROWDED:
+                for column, value in zip(out, (kind & ~CROWDED, h, c, doc, a, a - start, raw[start : a + LENGTH]), strict=True):
+                    column.append(value)
+            if kind & CROWDED:
+                for s in range(start, min(a, len(raw) - LENGTH) + 1):
+                    for column, value in zip(out, (CROWDED, h, c, doc, s, a - s, raw[s : s + LENGTH]), strict=True):
+                        column.append(value)
+    return out
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """Spans ``doc_id, a, b`` (bytes, end exclusive; they may overlap) of ``docs`` (doc_id, text) that repeat earlier text."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _identified(docs)
     rows = docs.mapInArrow(_anchor_rows, _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "a")
-    places = cut(rows.mapInArrow(_settle, _PLACE))
+    places = cut(rows.mapInArrow(partial(_settle, crowd=crowd), _PLACE))
     spans = places.where("kind = 0").select("doc_id", "a", "b")
-    of_doc = places.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "h", "a")).alias("places"))
-    with_text = docs.join(of_doc, "doc_id").select("doc_id", "text", F.col("places.kind").alias("kinds"), F.col("places.h").alias("hs"), F.col("places.a").alias("as_"))
-
-    def contexts(doc_id, text, kinds, hs, as_):
-        out: list[list] = [[] for _ in range(6)]
-        for doc, t, ks, gs, ps in zip(doc_id.to_pylist(), text, kinds.to_pylist(), hs.to_pylist(), as_.to_pylist(), strict=True):
-            raw = (t.as_py() or "").encode()
-            for kind, h, a in zip(ks, gs, ps, strict=True):
-                start = max(0, a - SLIDE)
-                data = raw[start : a + LENGTH]
-                cuts = [(start, data)] if kind == 1 else [(s, blake2b(raw[s : s + LENGTH], digest_size=16).digest()) for s in range(start, min(a, len(raw) - LENGTH) + 1)]
-                for s, d in cuts:
-                    for column, value in zip(out, (kind, h, doc, a if kind == 1 else s, a - s, d), strict=True):
-                        column.append(value)
-        return out
-
-    found = map_blocks(with_text, contexts, "kind int, h long, doc_id long, a int, l int, data binary", rows=64)
-    crowd = not places.where("kind = 2").isEmpty()
-    ordered = found.where("kind = 1").select("h", "doc_id", "a", "l", "data").repartition(n, "h").sortWithinPartitions("h", "doc_id", "a")
+    of_doc = places.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "h", "c", "a")).alias("places"))
+    with_text = docs.join(of_doc, "doc_id").select("doc_id", "text", F.col("places.kind").alias("kinds"), F.col("places.h").alias("hs"), F.col("places.c").alias("cs"), F.col("places.a").alias("as_"))
+    found = map_blocks(with_text, _contexts, "kind int, h long, c long, doc_id long, a int, l int, data binary", rows=64)
+    ordered = found.where(F.col("kind") != CROWDED).repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "a")
     spans = spans.unionByName(ordered.mapInArrow(_sorted_spans, "doc_id long, a int, b int"))
-    if crowd:  # anchors with too many contexts for one task: each string by its digest, aggregated before the shuffle
-        strings = found.where("kind = 2").select("data", "doc_id", "a", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    if not places.where(F.col("kind").bitwiseAND(F.lit(CROWDED)) > 0).isEmpty():
+        # anchors with too many contexts for one task: string by string, aggregated before the shuffle
+        strings = found.where(F.col("kind") == CROWDED).select("data", "doc_id", "a", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
         first = strings.groupBy("data").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        salted = first.select("data", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).cast("bigint").alias("salt"))
+        salted = first.select("data", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]).cast("array<bigint>")).alias("salt"))
         later = strings.join(salted, ["data", "salt"]).where(F.struct("doc_id", "a") > F.col("first"))
         spans = spans.unionByName(later.select("doc_id", "a", (F.col("a") + LENGTH).alias("b")))
     return spans
@@ -387,14 +470,14 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL")
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    of_doc = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+def _with_spans(docs: DataFrame, crowd: int) -> DataFrame:
+    of_doc = repeated_spans(docs, crowd=crowd).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = _identified(docs).join(of_doc, "doc_id", "left").select("doc_id", "text", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"))
     none = F.lit(None).cast("array<int>")
     return joined.unionByName(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id IS NULL").select("doc_id", "text", none.alias("starts"), none.alias("ends")))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """``docs`` (doc_id, text) as ``doc_id, n_bytes, n_removed, n_spans, kept binary``: texts without their repeats.
 
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document with a smaller doc_id,
@@ -411,7 +494,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 column.append(value)
         return doc_id, *out
 
-    return map_blocks(_with_spans(docs), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", rows=64)
+    return map_blocks(_with_spans(docs, crowd), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", rows=64)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,19 +310,73 @@ def without_repeats(texts):
 
 
 @pytest.mark.parametrize("crowd", [100_000, 2])
-def test_repeats_equal_brute_force(spark, docs, texts, crowd, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+def test_repeats_equal_brute_force(spark, docs, texts, crowd):
     rng = random.Random(5)
     shared = "".join(rng.choices("abcdefgh ", k=400))
     more = texts + ["".join(rng.choices("abc ", k=rng.randrange(200))) + shared[rng.randrange(150) : 250 + rng.randrange(150)] + "".join(rng.choices("xyz ", k=90)) for _ in range(30)] + [shared, shared, "é" * 300, "ab" * 400]
     df = corpus(spark, more).unionByName(corpus(spark, more).where("doc_id = 40")).unionByName(corpus(spark, [shared]).withColumn("doc_id", F.lit(None).cast("long")))
     want = without_repeats(more)
-    for r in repeats.remove_repeats(df).collect():
+    for r in repeats.remove_repeats(df, crowd=crowd).collect():
         got = (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))
         assert got == (want[r["doc_id"]] if r["doc_id"] is not None else (400, 0, 0, shared.encode()))
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def in_batches(rows, size):
+    import pyarrow as pa
+
+    whole = pa.Table.from_batches(rows).combine_chunks()
+    return [b for b in whole.to_batches(max_chunksize=size)]
+
+
+@pytest.mark.parametrize(("collide", "crowd"), [("no", 100_000), ("contexts", 100_000), ("all", 100_000), ("no", 3)])
+def test_repeats_survive_collisions(monkeypatch, collide, crowd):
+    """The steps in one process, with hashes of contexts (or of anchors, too) that mostly collide, in batches of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    true_anchors = repeats.anchors
+
+    def poor(data):
+        at, h, c, left, right = true_anchors(data)
+        few = lambda v, k: v % np.uint64(k)
+        return at, h if collide != "all" else few(h, 5), c if collide == "no" else few(c, 3), left, right
+
+    monkeypatch.setattr(repeats, "anchors", poor)
+    monkeypatch.setattr(repeats, "CHUNK", 40)
+    rng = random.Random(8)
+    shared = ["".join(rng.choices("abcdefgh é", k=260)) for _ in range(3)]
+    texts = ["".join(rng.choices("abc ", k=rng.randrange(120))) + rng.choice(shared)[rng.randrange(60) : 160 + rng.randrange(100)] + "".join(rng.choices("xyz ", k=90)) for _ in range(40)] + shared + shared + ["ab" * 200]
+    docs = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    for size in (7, 1000):
+        order = lambda t: t.sort_by([(k, "ascending") for k in ("h", "c", "doc_id", "a")])
+        rows = order(pa.Table.from_batches(list(repeats._anchor_rows(in_batches([docs], 13)))))
+        places = pa.Table.from_batches(list(repeats._settle(rows.combine_chunks().to_batches(max_chunksize=size), crowd)))
+        spans = {}
+        add = lambda doc, a, b: spans.setdefault(doc, []).append((a, b))
+        by_doc = {}
+        for r in places.to_pylist():
+            add(r["doc_id"], r["a"], r["b"]) if r["kind"] == 0 else by_doc.setdefault(r["doc_id"], []).append(r)
+        ids = sorted(by_doc)
+        listed = [pa.array([[r[k] for r in by_doc[i]] for i in ids]) for k in ("kind", "h", "c", "a")]
+        names = ["kind", "h", "c", "doc_id", "a", "l", "data"]
+        found = pa.table(dict(zip(names, repeats._contexts(pa.array(ids), pa.array([texts[i] for i in ids]), *listed), strict=True)))
+        crowded = [r for r in found.to_pylist() if r["kind"] == repeats.CROWDED]
+        rest = order(found.filter([k != repeats.CROWDED for k in found.column("kind").to_pylist()]))
+        for b in repeats._sorted_spans(rest.combine_chunks().to_batches(max_chunksize=size)):
+            for r in b.to_pylist():
+                add(r["doc_id"], r["a"], r["b"])
+        first = {}
+        for r in sorted(crowded, key=lambda r: (r["doc_id"], r["a"])):
+            if first.setdefault((r["data"]), (r["doc_id"], r["a"])) != (r["doc_id"], r["a"]):
+                add(r["doc_id"], r["a"], r["a"] + 100)
+        assert bool(crowded) == (crowd == 3)
+        for i, want in enumerate(without_repeats(texts)):
+            raw = texts[i].encode()
+            got = repeats._kept(raw, [a for a, _ in spans.get(i, [])], [b for _, b in spans.get(i, [])])
+            assert (len(raw), *got) == want, (i, size)
+
+
 def test_suffix_sort_survives_collisions(monkeypatch):
     import numpy as np
 
