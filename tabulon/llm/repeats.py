@@ -1,17 +1,17 @@
 """Repeated passages: bytes covered by a 100-byte string that also starts earlier in the corpus.
 
 Every string of ``LENGTH`` bytes holds an anchor, a short gram chosen by the string's content alone, so that equal strings
-hold equal anchors at equal places. Anchors with their contexts' hashes are shuffled; places whose anchor is found again
-get their contexts' bytes. Copies of a context are compared with it byte by byte; the different contexts of an anchor are
-suffix-sorted on both sides: prefix polynomial hashes and binary search give common extensions, so that a comparison in
-the merge sort costs a logarithm of the context, and the result is verified on the bytes. Blocks of the two sorted orders
-at fitting depths are the equal strings. No removal rests on a hash alone; a collision of both 64-bit hashes is sorted out,
-but at a crowded anchor, where it could leave a repeat in place.
+hold equal anchors at equal places. Anchors with their contexts' hashes are shuffled; equal contexts settle copies at once,
+whose bytes are then compared with those of their source, in runs as long as source and copy go on together. The different
+contexts of an anchor are suffix-sorted on both sides: prefix polynomial hashes and binary search give common extensions,
+so that a comparison in the merge sort costs a logarithm of the context, and the result is verified on the bytes. Blocks
+of the two sorted orders at fitting depths are the equal strings. No removal rests on a hash alone: if a copy differs from
+its source, hashes have collided, and all is done again with others.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,12 +55,14 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = [_Powers(b) for b in _BASES]
+@lru_cache(maxsize=8)
+def _powers(base: int) -> _Powers:
+    return _Powers(base)
 
 
-def _sums(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(data: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial hash, and the factors that bring a part to its place."""
-    up, down = _POWERS[k].to(len(data) + 1)
+    up, down = _powers((_BASES[k] + 2 * seed * _BASES[1]) % (1 << 64)).to(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=sums[1:])
     return sums, down
@@ -75,20 +77,20 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of a text's anchors, hashes of their grams and contexts, and how far the contexts reach to both sides.
 
     A gram is an anchor if it has the least hash of some string of ``LENGTH`` bytes; all of equal hash are taken. The
     context is what strings around the anchor can cover: ``SLIDE`` bytes before it, ``LENGTH`` from it on.
     """
     n = len(data)
-    sums, down = _sums(data, 0)
+    sums, down = _sums(data, 0, seed)
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     least = _sliding(grams, SLIDE + 1, np.minimum)
     top = np.full(SLIDE, 0, _U)
     at = np.flatnonzero(_sliding(np.concatenate([top, least, top]), SLIDE + 1, np.maximum) == grams)
     start, end = np.maximum(at - SLIDE, 0), np.minimum(at + LENGTH, n)
-    sums, down = _sums(data, 1)
+    sums, down = _sums(data, 1, seed)
     context = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U) * _U(0x2545F4914F6CDD1D) + (at - start).astype(_U))
     return at, grams[at], context, at - start, end - at
 
@@ -115,7 +117,7 @@ def _same_bytes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, rows: np.n
     return out
 
 
-def _anchor_rows(batches):
+def _anchor_rows(batches, seed: int = 0):
     """Anchors (x = left * 256 + right >= 0), and settled spans (a, -1 - x) of those whose context, compared byte by
     byte, came before in the batch."""
     for batch in batches:
@@ -126,7 +128,7 @@ def _anchor_rows(batches):
             raw = raw.encode() if raw else b""
             if doc is None or len(raw) < LENGTH:
                 continue
-            at, h, c, left, right = anchors(np.frombuffer(raw, np.uint8))
+            at, h, c, left, right = anchors(np.frombuffer(raw, np.uint8), seed)
             for column, values in zip(found, (np.full(len(at), doc, np.int64), at, h, c, left, right, np.full(len(at), base)), strict=True):
                 column.append(values)
             raws.append(raw)
@@ -169,78 +171,71 @@ def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], np.maximum.reduceat(end, first)
 
 
-_PLACE = "kind int, h long, c long, doc_id long, a int, b int"
-#: Kinds of places, which add up: different contexts of one anchor, such ones of a crowded anchor, contexts with copies.
-SORTED, CROWDED, COPIED = 1, 2, 4
+_PLACE = "kind int, h long, doc_id long, a int, b int, source long, source_a int"
+#: Kinds of places: spans that are settled, copies that are to be compared with their source, different contexts of one
+#: anchor, and such ones of a crowded anchor.
+SETTLED, COPIED, SORTED, CROWDED = range(4)
 
 
 def _settle(batches, crowd: int = CROWD):
-    """Over anchor rows sorted by h, c, doc_id, a: settled spans (kind 0), and the places whose anchor is found elsewhere.
+    """Over anchor rows sorted by h, c, doc_id, a: settled spans, copies with their source, which is the first place of their
+    context's hash, and the first places of anchors that have several contexts (``CROWDED`` if more than ``crowd``)."""
 
-    The first place of each hash of a context is ``SORTED`` if its anchor has several (``CROWDED`` if more than
-    ``crowd``); where a hash occurs again, all its places are ``COPIED``.
-    """
-
-    def rows(kind, h, c, doc, a, b):
-        return _batch(["kind", "h", "c", "doc_id", "a", "b"], kind.astype(np.int32), h, c, doc, a.astype(np.int32), b.astype(np.int32))
+    def rows(kind, h, doc, a, b, source=None, source_a=None):
+        source = doc if source is None else source
+        return _batch(["kind", "h", "doc_id", "a", "b", "source", "source_a"], np.full(len(h), kind, np.int32), h, doc, a.astype(np.int32), b.astype(np.int32), source, (a if source_a is None else source_a).astype(np.int32))
 
-    def out(kind, held):
-        h, c, doc, a, copied = held
-        kind = kind + COPIED * copied
-        keep = kind > 0
-        return rows(kind[keep], h[keep], c[keep], doc[keep], a[keep], a[keep])
-
-    none = [np.empty(0, np.int64)] * 4 + [np.empty(0, bool)]
-    held = none  # first places of the anchor that the last batch ended in
+    empty = np.empty(0, np.int64)
+    held_h = held_doc = held_a = empty  # first places of the anchor that the last batch ended in
     crowded = last = None
+    source = (0, 0)  # first place of the context that the last batch ended in
     for batch in batches:
         h, c, doc, a, x = (col.to_numpy().astype(np.int64) for col in batch.columns)
-        done = x < 0
-        if done.any():
-            yield rows(np.zeros(done.sum()), h[done], c[done], doc[done], a[done], -1 - x[done])
-            h, c, doc, a = (v[~done] for v in (h, c, doc, a))
         if not len(h):
             continue
+        done = x < 0
+        if done.any():
+            yield rows(SETTLED, h[done], doc[done], a[done], -1 - x[done])
+            h, c, doc, a, x = (v[~done] for v in (h, c, doc, a, x))
+            if not len(h):
+                continue
         again = np.r_[last is not None and (h[0], c[0]) == last[:2], (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
-        # a repeated row (same place) is no copy
         same = again & np.r_[last is not None and (h[0], c[0], doc[0], a[0]) == last, (doc[1:] == doc[:-1]) & (a[1:] == a[:-1])]
         last = (h[-1], c[-1], doc[-1], a[-1])
-        copy = again & ~same
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(1, len(h) + 1)))  # 0: that of the batch before
+        of_doc, of_a = np.r_[source[0], doc][first], np.r_[source[1], a][first]
+        source = (of_doc[-1], of_a[-1])
+        copy = again & ~same & (x // 256 + x % 256 >= LENGTH)
+        # a repeated row (same place) of a later copy is the same span again; spans are joined in the end
         if copy.any():
-            yield rows(np.full(copy.sum(), COPIED), h[copy], c[copy], doc[copy], a[copy], a[copy])
-        first = np.flatnonzero(~again)
-        copied = np.zeros(len(first), bool)
-        of = np.searchsorted(first, np.flatnonzero(copy), "right") - 1  # -1: a place held from before
-        copied[of[of >= 0]] = True
-        if (of < 0).any():
-            held[4][-1] = True
-        held = [np.r_[v, w] for v, w in zip(held, (h[first], c[first], doc[first], a[first], copied), strict=True)]
+            left, right = x[copy] // 256, x[copy] % 256
+            yield rows(COPIED, h[copy], doc[copy], a[copy] - left, a[copy] + right, of_doc[copy], of_a[copy] - left)
+        h, doc, a = h[~again], doc[~again], a[~again]
         if crowded is not None:
-            # all but the last place, which may be found again in the next batch
-            more = int(np.searchsorted(held[0], crowded, "right"))
-            stay = int(more == len(held[0]))
-            yield out(np.full(more - stay, CROWDED), [v[: more - stay] for v in held])
-            held = [v[more - stay :].copy() for v in held]
-            if stay:
+            more = h == crowded
+            if more.any():
+                yield rows(CROWDED, h[more], doc[more], a[more], a[more])
+            if more.all():
                 continue
-            crowded = None
-        if not len(held[0]):
+            h, doc, a, crowded = h[~more], doc[~more], a[~more], None
+        h, doc, a = np.r_[held_h, h], np.r_[held_doc, doc], np.r_[held_a, a]
+        if not len(h):
             continue
-        end = int(np.searchsorted(held[0], held[0][-1], "left"))
+        end = int(np.searchsorted(h, h[-1], "left"))
         several = np.zeros(end, bool)
         if end > 1:
-            equal = held[0][1:end] == held[0][: end - 1]
+            equal = h[1:end] == h[: end - 1]
             several[1:] |= equal
             several[:-1] |= equal
-        yield out(SORTED * several, [v[:end] for v in held])
-        held = [v[end:].copy() for v in held]
-        if len(held[0]) > crowd:
-            crowded = held[0][0]
-            yield out(np.full(len(held[0]) - 1, CROWDED), [v[:-1] for v in held])
-            held = [v[-1:].copy() for v in held]
-    n = len(held[0])
-    if n:
-        yield out(np.full(n, CROWDED if crowded is not None else SORTED * (n > 1)), held)
+        if several.any():
+            yield rows(SORTED, h[:end][several], doc[:end][several], a[:end][several], a[:end][several])
+        held_h, held_doc, held_a = h[end:], doc[end:], a[end:]
+        if len(held_h) > crowd:
+            crowded = held_h[0]
+            yield rows(CROWDED, held_h, held_doc, held_a, held_a)
+            held_h = held_doc = held_a = empty
+    if len(held_h) > 1:
+        yield rows(SORTED, held_h, held_doc, held_a, held_a)
 
 
 def _common(hashes: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -328,117 +323,105 @@ def covered(group: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: n
     return found
 
 
-def _spans_of_sorted(h, doc, a, left, raw: list[bytes]):
-    """Spans of the places (sorted by h) of different contexts that are covered by earlier strings."""
-    order = np.lexsort((a, doc, h))
-    order = order[np.r_[True, (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0) | (np.diff(a[order]) != 0)]]
-    h, doc, a, left = (v[order] for v in (h, doc, a, left))
-    raw = [raw[i] for i in order.tolist()]
-    size = np.array(list(map(len, raw)), np.int64)
-    flat = np.frombuffer(b"".join(raw) + b"\0" * LENGTH, np.uint8)
-    at = np.cumsum(np.r_[0, size[:-1]]) + left
-    rights = flat[np.minimum(at[:, None] + np.arange(LENGTH), len(flat) - 1)]
-    lefts = flat[np.maximum(at[:, None] - 1 - np.arange(SLIDE), 0)]
-    found = covered(h, lefts, left, rights, size - left)
-    edge = np.diff(np.concatenate([np.zeros((len(h), 1), np.int8), found.astype(np.int8), np.zeros((len(h), 1), np.int8)], axis=1), axis=1)
-    (i, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    return _joined(doc[i], a[i] - (x1 - 1), a[i] - x0 + LENGTH)
-
-
 def _sorted_spans(batches):
-    """Over places sorted by h, c, doc_id, a with their contexts: spans (doc_id, a, b) covered by earlier strings.
-
-    A place with the hash of the one before it is a copy if its bytes are the same, too. Otherwise the hashes collide, and
-    both that place and the first one of the hash go through the sort with the anchor's different contexts.
-    """
-    import pyarrow as pa
-    import pyarrow.compute as pc
+    """Over places sorted by h, doc_id, a with their contexts: spans (doc_id, a, b) covered by earlier strings."""
+    held: list = []
+    n = 0
 
-    def out(spans):
+    def out(table_):
+        h, doc, a, left = (table_.column(k).to_numpy() for k in ("h", "doc_id", "a", "l"))
+        raw = table_.column("data").to_pylist()
+        left = left.astype(np.int64)
+        size = np.array(list(map(len, raw)), np.int64)
+        flat = np.frombuffer(b"".join(raw) + b"\0" * LENGTH, np.uint8)
+        at = np.cumsum(np.r_[0, size[:-1]]) + left
+        rights = flat[np.minimum(at[:, None] + np.arange(LENGTH), len(flat) - 1)]
+        lefts = flat[np.maximum(at[:, None] - 1 - np.arange(SLIDE), 0)]
+        found = covered(h, lefts, left, rights, size - left)
+        edge = np.diff(np.concatenate([np.zeros((len(h), 1), np.int8), found.astype(np.int8), np.zeros((len(h), 1), np.int8)], axis=1), axis=1)
+        (i, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        spans = _joined(doc[i], a[i] - (x1 - 1), a[i] - x0 + LENGTH)
         return _batch(["doc_id", "a", "b"], spans[0], spans[1].astype(np.int32), spans[2].astype(np.int32))
 
-    def of_sort(held):
-        whole = pa.Table.from_batches(held)
-        h, doc, a, left = (whole.column(k).to_numpy() for k in ("h", "doc_id", "a", "l"))
-        return out(_spans_of_sorted(h, doc, a, left.astype(np.int64), whole.column("data").to_pylist()))
+    import pyarrow as pa
 
-    held: list = []  # places that go through the sort
-    n = 0
-    before = first = None  # the last place of the batch before, and the first one of its hash
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch] if before is None else [before, batch]).combine_chunks().to_batches()[0]
-        skip = int(before is not None)
-        h, c, doc, a, left = (rows.column(k).to_numpy() for k in ("h", "c", "doc_id", "a", "l"))
-        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
-        data = rows.column(rows.schema.get_field_index("data"))
-        equal = np.r_[False, pc.equal(data[1:], data[:-1]).to_numpy(zero_copy_only=False) & (left[1:] == left[:-1])]
-        same = np.r_[False, (doc[1:] == doc[:-1]) & (a[1:] == a[:-1])]
-        size = pc.binary_length(data).to_numpy()
-        copy = again & equal & ~same & (size >= LENGTH)
-        start = a - left
-        if copy.any():
-            yield out(_joined(doc[copy], start[copy].astype(np.int64), (start + size)[copy].astype(np.int64)))
-        sort = (rows.column(0).to_numpy() & SORTED) > 0
-        sort[:skip] = False
-        collided = np.flatnonzero(again & ~equal)
-        firsts = np.maximum.accumulate(np.where(again, -1, np.arange(len(h))))  # by row, the first one of its hash
-        sort[collided] = True
-        sort[firsts[collided]] = True
-        picked = rows.filter(pa.array(sort))
-        if first is not None and len(collided) and (firsts[collided] == 0).any():
-            picked = pa.Table.from_batches([first, picked]).combine_chunks().to_batches()[0]
-        begin = int(firsts[-1])
-        if begin > 0 or first is None:
-            first = rows.slice(begin, 1)
-        before = rows.slice(len(h) - 1, 1)
-        if picked.num_rows:
-            held.append(picked)
-            n += picked.num_rows
+        held.append(batch)
+        n += batch.num_rows
         if n >= CHUNK:
             whole = pa.Table.from_batches(held).combine_chunks()
-            end = int(np.searchsorted(whole.column("h").to_numpy(), h[-1], "left"))
+            h = whole.column("h").to_numpy()
+            end = int(np.searchsorted(h, h[-1], "left"))
             if end:
-                yield of_sort(whole.slice(0, end).to_batches())
-                whole = whole.slice(end)
-            held = whole.combine_chunks().to_batches()
-            n = whole.num_rows
+                yield out(whole.slice(0, end))
+            held = whole.slice(end).combine_chunks().to_batches()
+            n = whole.num_rows - end
     if n:
-        yield of_sort(held)
+        yield out(pa.Table.from_batches(held).combine_chunks())
+
+
+def _runs(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Copies (source, source_a, a, b) of a document, those joined that go on together with the same source."""
+    out: list[tuple[int, int, int, int]] = []
+    for source, source_a, a, b in sorted(places, key=lambda p: (p[0], p[2] - p[1], p[2])):
+        if out and out[-1][0] == source and out[-1][2] - out[-1][1] == a - source_a and a <= out[-1][3]:
+            out[-1] = (*out[-1][:3], max(b, out[-1][3]))
+        else:
+            out.append((source, source_a, a, b))
+    return out
+
+
+_BYTES = "kind int, key long, doc_id long, a int, l int, data binary"
 
 
-def _contexts(doc_id, text, kinds, hs, cs, as_):
-    """Bytes around places: the whole context, and each string of a crowded anchor's."""
-    out: list[list] = [[] for _ in range(7)]
-    for doc, t, *of_doc in zip(doc_id.to_pylist(), text, kinds.to_pylist(), hs.to_pylist(), cs.to_pylist(), as_.to_pylist(), strict=True):
+def _bytes_of(doc_id, text, *places):
+    """Bytes of places: runs of copies (key: the source, l: where it begins there), contexts and strings of crowded anchors
+    (key: the anchor, l: bytes before it)."""
+    out: list[list] = [[] for _ in range(6)]
+    for doc, t, *of_doc in zip(doc_id.to_pylist(), text, *(p.to_pylist() for p in places), strict=True):
         raw = (t.as_py() or "").encode()
-        for kind, h, c, a in zip(*of_doc, strict=True):
+        rows, copies = [], []
+        for kind, h, a, b, source, source_a in zip(*of_doc, strict=True):
             start = max(0, a - SLIDE)
-            if kind != CROWDED:
-                for column, value in zip(out, (kind & ~CROWDED, h, c, doc, a, a - start, raw[start : a + LENGTH]), strict=True):
-                    column.append(value)
-            if kind & CROWDED:
-                for s in range(start, min(a, len(raw) - LENGTH) + 1):
-                    for column, value in zip(out, (CROWDED, h, c, doc, s, a - s, raw[s : s + LENGTH]), strict=True):
-                        column.append(value)
+            if kind == COPIED:
+                copies.append((source, source_a, a, b))
+            elif kind == SORTED:
+                rows.append((kind, h, doc, a, a - start, raw[start : a + LENGTH]))
+            else:
+                rows += [(kind, h, doc, s, a - s, raw[s : s + LENGTH]) for s in range(start, min(a, len(raw) - LENGTH) + 1)]
+        rows += [(COPIED, source, doc, a, source_a, raw[a:b]) for source, source_a, a, b in _runs(copies)]
+        for row in rows:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
     return out
 
 
-def repeated_spans(docs: DataFrame, *, crowd: int = CROWD) -> DataFrame:
-    """Spans ``doc_id, a, b`` (bytes, end exclusive; they may overlap) of ``docs`` (doc_id, text) that repeat earlier text."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def repeated_spans(docs: DataFrame, *, crowd: int = CROWD, seeds: int = 4) -> DataFrame:
+    """Spans ``doc_id, a, b`` (bytes, end exclusive; they may overlap) of ``docs`` (doc_id, text) that repeat earlier text.
+
+    ``seeds`` is how many hashes are tried before colliding ones are an error.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = _identified(docs)
-    rows = docs.mapInArrow(_anchor_rows, _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "a")
-    places = cut(rows.mapInArrow(partial(_settle, crowd=crowd), _PLACE))
-    spans = places.where("kind = 0").select("doc_id", "a", "b")
-    of_doc = places.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "h", "c", "a")).alias("places"))
-    with_text = docs.join(of_doc, "doc_id").select("doc_id", "text", F.col("places.kind").alias("kinds"), F.col("places.h").alias("hs"), F.col("places.c").alias("cs"), F.col("places.a").alias("as_"))
-    found = map_blocks(with_text, _contexts, "kind int, h long, c long, doc_id long, a int, l int, data binary", rows=64)
-    ordered = found.where(F.col("kind") != CROWDED).repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "a")
+    for seed in range(seeds):
+        rows = docs.mapInArrow(partial(_anchor_rows, seed=seed), _ANCHOR).repartition(n, "h").sortWithinPartitions("h", "c", "doc_id", "a")
+        places = cut(rows.mapInArrow(partial(_settle, crowd=crowd), _PLACE))
+        wanted = ["kind", "h", "a", "b", "source", "source_a"]
+        of_doc = places.where(F.col("kind") > SETTLED).groupBy("doc_id").agg(F.collect_list(F.struct(*wanted)).alias("places"))
+        with_text = docs.join(of_doc, "doc_id").select("doc_id", "text", *[F.col(f"places.{c}").alias(f"of_{c}") for c in wanted])
+        found = map_blocks(with_text, _bytes_of, _BYTES, rows=64)
+        runs = found.where(F.col("kind") == COPIED).select(F.col("key").alias("doc_id"), F.col("doc_id").alias("copy"), "a", "l", "data")
+        size = F.octet_length("data")
+        equal = F.substring(F.col("text").cast("binary"), F.col("l") + 1, size) == F.col("data")
+        copies = cut(runs.join(docs, "doc_id").select(F.col("copy").alias("doc_id"), "a", (F.col("a") + size).alias("b"), F.coalesce(equal, F.lit(False)).alias("equal")))
+        if copies.where("NOT equal").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"hashes of contexts collide with each of {seeds} seeds")
+    spans = places.where(F.col("kind") == SETTLED).select("doc_id", "a", "b").unionByName(copies.select("doc_id", "a", "b"))
+    ordered = found.where(F.col("kind") == SORTED).select(F.col("key").alias("h"), "doc_id", "a", "l", "data").repartition(n, "h").sortWithinPartitions("h", "doc_id", "a")
     spans = spans.unionByName(ordered.mapInArrow(_sorted_spans, "doc_id long, a int, b int"))
-    if not places.where(F.col("kind").bitwiseAND(F.lit(CROWDED)) > 0).isEmpty():
+    if not places.where(F.col("kind") == CROWDED).isEmpty():
         # anchors with too many contexts for one task: string by string, aggregated before the shuffle
         strings = found.where(F.col("kind") == CROWDED).select("data", "doc_id", "a", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
         first = strings.groupBy("data").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -322,59 +322,51 @@ def test_repeats_equal_brute_force(spark, docs, texts, crowd):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
-def in_batches(rows, size):
-    import pyarrow as pa
-
-    whole = pa.Table.from_batches(rows).combine_chunks()
-    return [b for b in whole.to_batches(max_chunksize=size)]
+def test_runs_of_copies_are_joined():
+    assert repeats._runs([(7, 0, 10, 110), (7, 40, 50, 150), (7, 200, 210, 310), (7, 41, 50, 150), (8, 60, 70, 170)]) == [(7, 41, 50, 150), (7, 0, 10, 150), (7, 200, 210, 310), (8, 60, 70, 170)]
 
 
-@pytest.mark.parametrize(("collide", "crowd"), [("no", 100_000), ("contexts", 100_000), ("all", 100_000), ("no", 3)])
-def test_repeats_survive_collisions(monkeypatch, collide, crowd):
-    """The steps in one process, with hashes of contexts (or of anchors, too) that mostly collide, in batches of any size."""
+def test_copies_in_a_batch_are_compared(monkeypatch):
+    """With hashes of contexts that all collide, only places of equal bytes are settled."""
     import numpy as np
     import pyarrow as pa
 
     true_anchors = repeats.anchors
+    texts = ["".join(random.Random(i % 3).choices("abcdefgh é", k=300)) for i in range(6)] + ["".join(random.Random(0).choices("abcdefgh é", k=300))[:150] + "z" * 150]
+    docs = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    poor = lambda data, seed: (lambda at, h, c, left, right: (at, h % np.uint64(5), c % np.uint64(2), left, right))(*true_anchors(data, seed))
+    monkeypatch.setattr(repeats, "anchors", poor)
+    seen = without_repeats(texts)
+    for batch in repeats._anchor_rows([docs]):
+        spans = [(r["doc_id"], r["a"], -1 - r["x"]) for r in batch.to_pylist() if r["x"] < 0]
+        assert {d for d, *_ in spans} <= {3, 4, 5, 6} and spans
+        for d, a, b in spans:
+            assert repeats._kept(texts[d].encode(), [a], [b])[0] <= seen[d][1]
 
-    def poor(data):
-        at, h, c, left, right = true_anchors(data)
-        few = lambda v, k: v % np.uint64(k)
-        return at, h if collide != "all" else few(h, 5), c if collide == "no" else few(c, 3), left, right
 
-    monkeypatch.setattr(repeats, "anchors", poor)
-    monkeypatch.setattr(repeats, "CHUNK", 40)
-    rng = random.Random(8)
-    shared = ["".join(rng.choices("abcdefgh é", k=260)) for _ in range(3)]
-    texts = ["".join(rng.choices("abc ", k=rng.randrange(120))) + rng.choice(shared)[rng.randrange(60) : 160 + rng.randrange(100)] + "".join(rng.choices("xyz ", k=90)) for _ in range(40)] + shared + shared + ["ab" * 200]
-    docs = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
-    for size in (7, 1000):
-        order = lambda t: t.sort_by([(k, "ascending") for k in ("h", "c", "doc_id", "a")])
-        rows = order(pa.Table.from_batches(list(repeats._anchor_rows(in_batches([docs], 13)))))
-        places = pa.Table.from_batches(list(repeats._settle(rows.combine_chunks().to_batches(max_chunksize=size), crowd)))
-        spans = {}
-        add = lambda doc, a, b: spans.setdefault(doc, []).append((a, b))
-        by_doc = {}
-        for r in places.to_pylist():
-            add(r["doc_id"], r["a"], r["b"]) if r["kind"] == 0 else by_doc.setdefault(r["doc_id"], []).append(r)
-        ids = sorted(by_doc)
-        listed = [pa.array([[r[k] for r in by_doc[i]] for i in ids]) for k in ("kind", "h", "c", "a")]
-        names = ["kind", "h", "c", "doc_id", "a", "l", "data"]
-        found = pa.table(dict(zip(names, repeats._contexts(pa.array(ids), pa.array([texts[i] for i in ids]), *listed), strict=True)))
-        crowded = [r for r in found.to_pylist() if r["kind"] == repeats.CROWDED]
-        rest = order(found.filter([k != repeats.CROWDED for k in found.column("kind").to_pylist()]))
-        for b in repeats._sorted_spans(rest.combine_chunks().to_batches(max_chunksize=size)):
-            for r in b.to_pylist():
-                add(r["doc_id"], r["a"], r["b"])
-        first = {}
-        for r in sorted(crowded, key=lambda r: (r["doc_id"], r["a"])):
-            if first.setdefault((r["data"]), (r["doc_id"], r["a"])) != (r["doc_id"], r["a"]):
-                add(r["doc_id"], r["a"], r["a"] + 100)
-        assert bool(crowded) == (crowd == 3)
-        for i, want in enumerate(without_repeats(texts)):
-            raw = texts[i].encode()
-            got = repeats._kept(raw, [a for a, _ in spans.get(i, [])], [b for _, b in spans.get(i, [])])
-            assert (len(raw), *got) == want, (i, size)
+def test_a_copy_that_differs_from_its_source_is_seen(spark, monkeypatch):
+    """If hashes collide, the first seed's copies are refused and the next seed gives the right result."""
+    from functools import partial
+
+    def of(work, **options):
+        real = partial(work, **options)
+
+        def colliding(batches):  # all hashes are zero
+            import pyarrow as pa
+
+            for batch in real(batches):
+                zero = pa.array([0] * batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([zero, zero, *batch.columns[2:]], names=batch.schema.names)
+
+        return colliding if options.get("seed") == 0 else real
+
+    monkeypatch.setattr(repeats, "partial", of)
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=300)) for i in (1, 2, 1, 3)]
+    docs = corpus(spark, texts).repartition(4, "doc_id")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(4)] == without_repeats(texts)
+    with pytest.raises(RuntimeError):
+        repeats.repeated_spans(docs, seeds=1)
 
 
 def test_suffix_sort_survives_collisions(monkeypatch):
