@@ -217,7 +217,7 @@ def iterative_impute(df: DataFrame, columns: list[str] | None = None, *, rounds:
     """``df`` with nulls of numeric columns predicted from the others by linear regression, in rounds.
 
     Starts at the means. Each step aggregates the normal equations in one pass (a matrix of the columns' number squared)
-    and solves them on the driver; filled values stay expressions.
+    and solves them on the driver; the table is cut from its lineage after each round.
     """
     import numpy as np
 
@@ -236,6 +236,7 @@ def iterative_impute(df: DataFrame, columns: list[str] | None = None, *, rounds:
             beta = np.linalg.lstsq(m + ridge * np.eye(len(xs)), np.array([row[f"y{a}"] or 0.0 for a in range(len(xs))]), rcond=None)[0]
             guess = sum((F.lit(float(b)) * x for b, x in zip(beta, xs, strict=True)), F.lit(0.0))
             now = now.withColumn(c, F.when(F.col(f"hole_{i}"), guess).otherwise(F.col(f"`{c}`")))
+        now = cut(now)
     return now.select(*df.columns)
 
 
@@ -360,6 +361,16 @@ def running_totals(df: DataFrame, order_by: list, sums: dict[str, str]) -> DataF
     return ordered.withColumns({n: F.sum(c).over(w) + _offsets(sizes, n) for n, c in sums.items()}).drop("range_", "in_range_")
 
 
+def append_columns(left: DataFrame, left_order: list, right: DataFrame, right_order: list) -> DataFrame:
+    """Columns of two tables side by side, row by row in the given total orders; the longer table's rest meets nulls.
+
+    Columns of the right one whose names the left one has get the suffix ``_right``.
+    """
+    names = {c: f"{c}_right" if c in left.columns else c for c in right.columns}
+    placed = positions(right, right_order).select("position", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return positions(left, left_order).join(placed, "position", "full").drop("position")
+
+
 def sample_by_key(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """A sample that depends on the key alone: rows whose md5 of key and seed begins low enough."""
     head = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")

@@ -51,8 +51,10 @@ def interactions(df: DataFrame, columns: list[str] | None = None, *, squares: bo
 
 def label_index(df: DataFrame, column: str) -> DataFrame:
     """``value, index``: the sorted distinct values of a column numbered from 0."""
+    from tabulon.operators.clean import positions
+
     values = df.select(F.col(f"`{column}`").alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("index", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    return positions(values, ["value"]).withColumnRenamed("position", "index")
 
 
 def _joined(df: DataFrame, column: str, table: DataFrame, out: str, otherwise) -> DataFrame:
@@ -155,35 +157,65 @@ def unit_length(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("norm_", norm).withColumns({c: F.coalesce(F.try_divide(F.col(f"`{c}`").cast("double"), "norm_"), F.lit(0.0)) for c in columns}).drop("norm_")
 
 
-def quantile_transform(df: DataFrame, column: str, out: str, *, steps: int = 1000, normal: bool = False, exact: bool = False) -> DataFrame:
-    """``df`` with the place of each value in the distribution, 0 to 1, or the normal value of that place."""
-    from tabulon.functions.stats import quantiles
+#: Coefficients of a rational approximation of the inverse normal distribution (fixed values).
+PROBIT_NEAR = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+PROBIT_FAR = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+
+
+def probit(p: Column) -> Column:
+    """The inverse normal distribution at ``p`` in (0, 1), right to about nine digits."""
+
+    def poly(coefficients, x: Column) -> Column:
+        value = F.lit(0.0)
+        for c in coefficients:
+            value = value * x + c
+        return value
+
+    q = p - 0.5
+    near = q * poly(PROBIT_NEAR[0], q * q) / poly(PROBIT_NEAR[1], q * q)
+    tail = lambda x: poly(PROBIT_FAR[0], x) / poly(PROBIT_FAR[1], x)
+    low, high = F.sqrt(-2 * F.ln(p)), F.sqrt(-2 * F.ln(1 - p))
+    return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(near)
+
+
+def quantile_transform(df: DataFrame, column: str, out: str, *, normal: bool = False) -> DataFrame:
+    """``df`` with the place of each value among all, 0 to 1 (ties share their middle), or the normal value of that place.
+
+    Distinct values are counted and placed range by range, then joined: no task orders all rows.
+    """
+    from tabulon.operators.clean import running_totals
+
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value_")).agg(F.count("*").alias("n_"))
+    placed = running_totals(counts, ["value_"], {"upto_": "n_"})
+    total = F.broadcast(placed.agg(F.max("upto_").alias("total_")))
+    place = F.coalesce(F.try_divide(F.col("upto_") - (F.col("n_") + 1) / 2, F.col("total_") - 1), F.lit(0.5))
+    ranked = df.join(placed.crossJoin(total).select("value_", place.alias(out)), F.col(column) == F.col("value_"), "left").drop("value_")
+    return ranked.withColumn(out, probit(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col(out))))) if normal else ranked
 
-    edges = F.broadcast(df.agg(quantiles(F.col(column).cast("double"), [i / steps for i in range(steps + 1)], exact=exact).alias("edges_")))
-    place = (F.size(F.filter("edges_", lambda e: e <= F.col(column))) - 1).cast("double") / steps
-    place = F.greatest(F.lit(0.0), F.least(F.lit(1.0), place))
-    ranked = df.crossJoin(edges).withColumn(out, F.when(F.col(column).isNotNull(), place)).drop("edges_")
-    if not normal:
-        return ranked
-    p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col(out)))
-    far = F.greatest(p, 1 - p)
-    # closed approximation of the probit, good to a hundredth
-    return ranked.withColumn(out, F.when(p < 0.5, -1.0).otherwise(1.0) * 5.5556 * (1 - F.pow((1 - far) / far, F.lit(0.1186))))
 
+def power_transform(df: DataFrame, column: str, out: str, *, method: str = "yeo-johnson", low: float = -3.0, high: float = 4.0, rounds: int = 4) -> DataFrame:
+    """``df`` with the Yeo-Johnson (or, for positive values, ``box-cox``) transform of largest likelihood, standardised.
 
-def power_transform(df: DataFrame, column: str, out: str, grid: tuple[float, ...] = tuple(i / 4 for i in range(-8, 13))) -> DataFrame:
-    """``df`` with the Yeo-Johnson transform of largest likelihood over a grid of powers, scored in one aggregate."""
+    The likelihood has one peak: each round scores 21 powers in one aggregate and goes on around the best one.
+    """
     x = F.col(column).cast("double")
 
     def to(power: float) -> Column:
         up = F.ln(x + 1) if power == 0 else (F.pow(x + 1, F.lit(power)) - 1) / power
         down = -F.ln(1 - x) if power == 2 else -(F.pow(1 - x, F.lit(2 - power)) - 1) / (2 - power)
+        if method == "box-cox":
+            return F.when(x > 0, F.ln(x) if power == 0 else (F.pow(x, F.lit(power)) - 1) / power)
         return F.when(x >= 0, up).otherwise(down)
 
-    jacobian = F.sum(F.sign(x) * F.ln(F.abs(x) + 1))
-    row = df.agg(F.count(x).alias("n"), jacobian.alias("j"), *[F.var_pop(to(p)).alias(f"v{i}") for i, p in enumerate(grid)]).first()
-    score = lambda i: -row["n"] / 2 * math.log(max(row[f"v{i}"] or 1e-300, 1e-300)) + (grid[i] - 1) * (row["j"] or 0.0)
-    best = grid[max(range(len(grid)), key=score)]
+    jacobian = F.sum(F.when(x > 0, F.ln(x))) if method == "box-cox" else F.sum(F.sign(x) * F.ln(F.abs(x) + 1))
+    best = 1.0
+    for _ in range(rounds):
+        grid = [round(low + (high - low) * i / 20, 9) for i in range(21)]
+        row = df.agg(F.count(x).alias("n"), jacobian.alias("j"), *[F.var_pop(to(p)).alias(f"v{i}") for i, p in enumerate(grid)]).first()
+        score = [-row["n"] / 2 * math.log(max(row[f"v{i}"] or 1e-300, 1e-300)) + (p - 1) * (row["j"] or 0.0) for i, p in enumerate(grid)]
+        best = grid[max(range(21), key=score.__getitem__)]
+        step = (high - low) / 20
+        low, high = best - step, best + step
     return scale(df.withColumn(out, to(best)), [out])
 
 
@@ -214,6 +246,26 @@ def f_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return spread_rows(row, {c: [("f", f(i))] for i, c in enumerate(columns)})
 
 
+def f_regression(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """``column_name, f``: r² / (1 - r²) · (n - 2) of each column with a numeric target, in one aggregate."""
+    y = F.col(target).cast("double")
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (F.corr(F.col(f"`{c}`").cast("double"), y).alias(f"r{i}"), F.count_if(F.col(f"`{c}`").isNotNull() & y.isNotNull()).alias(f"n{i}"))])
+    square = lambda i: F.col(f"r{i}") * F.col(f"r{i}")
+    return spread_rows(row, {c: [("f", F.try_divide(square(i) * (F.col(f"n{i}") - 2), 1 - square(i)))] for i, c in enumerate(columns)})
+
+
+def eliminate(df: DataFrame, columns: list[str], importances, *, keep: int = 10, step: float = 0.2) -> list[str]:
+    """The ``keep`` columns left by recursive elimination: ``importances(columns)`` (column, importance) of a model fitted on
+    the remaining columns decides which ``step`` of them goes next."""
+    left = list(columns)
+    while len(left) > keep:
+        ranked = sorted(importances(left), key=lambda x: (-x[1], x[0]))
+        go = min(len(left) - keep, max(1, int(step * len(left))))
+        gone = {c for c, _ in ranked[len(ranked) - go :]}
+        left = [c for c in left if c not in gone]
+    return left
+
+
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
     """``column_name, mutual_information`` (nats) of each column, in equal-width bins, with ``label``."""
     limits = F.broadcast(df.agg(*[e for i, c in enumerate(columns) for e in (F.min(f"`{c}`").cast("double").alias(f"lo{i}"), F.max(f"`{c}`").cast("double").alias(f"hi{i}"))]))
@@ -260,6 +312,12 @@ def folds(df: DataFrame, key: str, k: int = 5, *, stratify: str | None = None, s
     return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
 
 
+def repeated_folds(df: DataFrame, key: str, k: int = 5, repeats: int = 3, *, seed: int = 42) -> DataFrame:
+    """``df`` with ``fold_0``, ``fold_1`` …: independent dealings by the hash of ``key``; a group's rows stay together if
+    ``key`` is the group."""
+    return df.withColumns({f"fold_{i}": F.floor(_place(F.col(key), seed + i) * k).cast("int") for i in range(repeats)})
+
+
 def time_folds(df: DataFrame, position: str, n: int, k: int = 5) -> DataFrame:
     """``df`` with ``fold``: 0 for what only trains, f for the f-th later stretch (expanding windows)."""
     return df.withColumn("fold", F.least(F.floor(F.col(position) * (k + 1) / F.lit(n)), F.lit(k)).cast("int"))

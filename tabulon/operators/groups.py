@@ -122,6 +122,39 @@ def choose_k(df: DataFrame, columns: list[str], ks: range = range(2, 7), seed: i
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, cost double, silhouette double, elbow boolean")
 
 
+def gap_statistic(df: DataFrame, columns: list[str], ks: range = range(1, 6), *, references: int = 2, seed: int = 1) -> DataFrame:
+    """``k, gap, spread, best``: log cost of k-means on evenly spread rows in the columns' ranges less that on ``df``; the best
+    is the least k whose gap is not a standard error below the next one's."""
+    from pyspark.ml.clustering import KMeans
+
+    limits = df.agg(*[e for i, c in enumerate(columns) for e in (F.min(f"`{c}`").cast("double").alias(f"lo{i}"), F.max(f"`{c}`").cast("double").alias(f"hi{i}"))])
+    spread_out = lambda s: df.select().crossJoin(F.broadcast(limits)).select(*[(F.col(f"lo{i}") + F.rand(seed * 1000 + s * 100 + i) * (F.col(f"hi{i}") - F.col(f"lo{i}"))).alias(c) for i, c in enumerate(columns)])
+    tables = [cut(vectors(t, columns).select("features")) for t in (df, *(spread_out(s) for s in range(references)))]
+    rows = []
+    for k in ks:
+        logs = [math.log(max(KMeans(k=k, seed=seed).fit(t).summary.trainingCost, 1e-300)) if k > 1 else _log_cost(t) for t in tables]
+        mean = sum(logs[1:]) / references
+        rows.append((k, mean - logs[0], math.sqrt(sum((x - mean) ** 2 for x in logs[1:]) / references * (1 + 1 / references))))
+    best = next((a[0] for a, b in zip(rows, rows[1:], strict=False) if a[1] >= b[1] - b[2]), rows[-1][0])
+    return df.sparkSession.createDataFrame([(*x, x[0] == best) for x in rows], "k int, gap double, spread double, best boolean")
+
+
+def _log_cost(t: DataFrame) -> float:
+    """Log of the squared distances from the mean, the cost of one group."""
+    x = MF.vector_to_array("features")
+    width = t.select(F.size(x).alias("n")).first()["n"]
+    row = t.select(x.alias("x")).agg(F.sum(F.lit(1.0)).alias("n"), *[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(width)]).first()
+    return math.log(max(row["n"] * sum(row[f"v{i}"] for i in range(width)), 1e-300))
+
+
+def graph_groups(edges: DataFrame, k: int, *, rounds: int = 10) -> DataFrame:
+    """``id, cluster`` of a graph of similarities (a, b, similarity; integer ids) by power iteration on its normalised matrix."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    rows = edges.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.col("similarity").cast("double").alias("weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", weightCol="weight").assignClusters(rows)
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``adjusted_rand, mutual_information`` (normalised by the mean of the entropies) of two labelings."""
     table = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))

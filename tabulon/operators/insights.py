@@ -83,3 +83,33 @@ def prediction_summary(df: DataFrame, prediction: str = "prediction") -> DataFra
     """One row: count, mean, deviation, extremes of predictions."""
     p = F.col(prediction)
     return df.agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("least"), F.max(p).alias("most"))
+
+
+#: What results of a kind of work say, and what to do about it (name of a fact, limit, message).
+DOMAIN_RULES = {
+    "series": [
+        Rule("strong_trend", "trend_strength", ">", 0.6, "The level moves: model the trend", "info", "trend"),
+        Rule("strong_season", "seasonal_strength", ">", 0.5, "The season repeats: use a seasonal model", "info", "season"),
+        Rule("noisy", "residual_strength", ">", 0.7, "Most of the movement is noise: widen the bands", "warning", "noise"),
+        Rule("gaps", "missing_share", ">", 0.1, "Many times are missing: check the source", "warning"),
+        Rule("short", "n", "<", 30, "Few times: forecasts are uncertain", "warning"),
+    ],
+    "recommendations": [
+        Rule("sparse", "sparsity", ">", 0.99, "Hardly any pair is rated: use factors or attributes", "warning"),
+        Rule("low_coverage", "coverage", "<", 0.1, "Few items are ever shown: mix in the long tail", "warning", "coverage"),
+        Rule("uniform_lists", "diversity", "<", 0.3, "Lists hold much of the same: re-rank for diversity", "warning", "diversity"),
+        Rule("precise", "precision", ">", 0.2, "A fifth of what is shown is wanted", "info", "precision"),
+    ],
+    "texts": [
+        Rule("short_texts", "mean_words", "<", 20, "Texts are short: prefer word features to topics", "info"),
+        Rule("narrow_words", "diversity", "<", 0.3, "Texts repeat few words: look for templates", "warning"),
+        Rule("large_vocabulary", "vocabulary", ">", 50_000, "Many words: limit or hash the features", "info"),
+        Rule("hard_to_read", "flesch_ease", "<", 30, "Texts are hard to read", "info"),
+    ],
+}
+
+
+def domain_insights(facts: DataFrame, domain: str) -> DataFrame:
+    """Insights about one row of facts of ``series``, ``recommendations`` or ``texts``; facts that are not there are passed over."""
+    known = [rule for rule in DOMAIN_RULES[domain] if rule.metric in facts.columns]
+    return apply_rules(facts, known)

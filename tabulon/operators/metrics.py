@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import t_two_sided, with_p_value
+from tabulon.functions.stats import chi2_p, normal_two_sided, t_two_sided, with_p_value
 from tabulon.operators.clean import running_totals
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom (fixed values of the distribution).
@@ -114,6 +114,36 @@ def paired_comparison(scores: DataFrame, model: str = "model", fold: str = "fold
     return with_p_value(t, "p_value", t_two_sided, "t", "dof_").drop("dof_")
 
 
+def wilcoxon(scores: DataFrame, model: str = "model", fold: str = "fold", score: str = "score") -> DataFrame:
+    """``model_a, model_b, n, w, z, p_value``: signed ranks of the differences over shared folds, zeros left out, ties at
+    their mean rank; the p-value is the normal one with the correction for ties."""
+    a, b = (scores.select(F.col(model).alias(f"model_{s}"), F.col(fold).alias("fold_"), F.col(score).alias(f"score_{s}")) for s in "ab")
+    pairs = a.join(b, "fold_").where("model_a < model_b").select("model_a", "model_b", F.round(F.col("score_a") - F.col("score_b"), 12).alias("d")).where("d <> 0")
+    by = Window.partitionBy("model_a", "model_b")
+    size = F.count("*").over(Window.partitionBy("model_a", "model_b", F.abs("d")))
+    ranked = pairs.withColumns({"ties": size, "r": F.rank().over(by.orderBy(F.abs("d"))) + (size - 1) / 2})
+    sums = ranked.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
+    n = F.col("n")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
+    out = sums.select("model_a", "model_b", "n", F.least("up", "down").alias("w"), F.coalesce(F.try_divide(F.least("up", "down") - n * (n + 1) / 4, spread), F.lit(0.0)).alias("z"))
+    return with_p_value(out, "p_value", normal_two_sided, "z")
+
+
+def friedman(scores: DataFrame, model: str = "model", fold: str = "fold", score: str = "score") -> DataFrame:
+    """One row ``models, folds, statistic, p_value``: do mean ranks of models over complete folds differ; with correction for ties."""
+    k = F.count("*").over(Window.partitionBy(fold))
+    size = F.count("*").over(Window.partitionBy(fold, score))
+    ranked = scores.where(F.col(score).isNotNull()).withColumns({"k_": k, "ties_": size, "r_": F.rank().over(Window.partitionBy(fold).orderBy(score)) + (size - 1) / 2})
+    full = ranked.withColumn("most_", F.max("k_").over(Window.partitionBy())).where("k_ = most_")
+    by_model = full.groupBy(model).agg(F.sum("r_").alias("r"), F.count("*").alias("n"))
+    ties = full.agg(F.sum(F.col("ties_") * F.col("ties_") - 1).alias("t"))
+    row = by_model.agg(F.count("*").alias("models"), F.max("n").alias("folds"), F.sum(F.col("r") * F.col("r")).alias("rr")).crossJoin(F.broadcast(ties))
+    m, n = F.col("models"), F.col("folds")
+    plain = 12 / (n * m * (m + 1)) * F.col("rr") - 3 * n * (m + 1)
+    value = F.try_divide(plain, 1 - F.col("t") / (n * m * (m * m - 1)))
+    return with_p_value(row.select("models", "folds", F.coalesce(value, F.lit(0.0)).alias("statistic"), (m - 1).alias("dof_")), "p_value", chi2_p, "statistic", "dof_").drop("dof_")
+
+
 def model_ranking(results: DataFrame, *, higher_is_better: bool = True) -> DataFrame:
     """``results`` (model, test, cv, seconds, size) with ``combined`` (.4 test, .3 cv, .2 speed, .1 smallness) and ``rank``."""
     every = Window.partitionBy()

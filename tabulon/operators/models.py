@@ -10,6 +10,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.storage import cut
 from tabulon.operators import features as E
 from tabulon.operators import metrics as V
 
@@ -21,7 +22,7 @@ def estimator(name: str, kind: str, **options):
 
     known = {
         "regression": {"linear": R.LinearRegression, "tree": R.DecisionTreeRegressor, "forest": R.RandomForestRegressor, "boosted": R.GBTRegressor},
-        "classification": {"linear": C.LogisticRegression, "tree": C.DecisionTreeClassifier, "forest": C.RandomForestClassifier, "boosted": C.GBTClassifier, "bayes": C.NaiveBayes, "svm": C.LinearSVC},
+        "classification": {"linear": C.LogisticRegression, "tree": C.DecisionTreeClassifier, "forest": C.RandomForestClassifier, "boosted": C.GBTClassifier, "bayes": C.NaiveBayes, "svm": C.LinearSVC, "mlp": C.MultilayerPerceptronClassifier},
     }
     return known[kind][name](**options)
 
@@ -100,7 +101,10 @@ def vote(tables: dict[str, DataFrame], key: str, weights: dict[str, float] | Non
 
 
 def stack(df: DataFrame, target: str, columns: list[str], key: str, names: list[str], folds: int = 3) -> DataFrame:
-    """``key, prediction, target``: a ridge over out-of-fold predictions of the base models (regression)."""
+    """``key, prediction, target``: a ridge over out-of-fold predictions of the base models (regression).
+
+    The ridge that scores a fold is fitted on the other folds, so no row is scored by a model that saw its target.
+    """
     dealt = E.folds(df, key, folds).cache()
     outs = []
     for f in range(folds):
@@ -108,9 +112,10 @@ def stack(df: DataFrame, target: str, columns: list[str], key: str, names: list[
         part = rest.select(key, target, *columns)
         for name in names:
             part = score(fit(train, target, columns, name), part).withColumnRenamed("prediction", f"p_{name}")
-        outs.append(part.select(key, target, *[f"p_{n}" for n in names]))
-    base = reduce(DataFrame.unionByName, outs)
-    return score(fit(base, target, [f"p_{n}" for n in names], "linear", regParam=0.1, elasticNetParam=0.0), base).select(key, target, "prediction")
+        outs.append(part.select(key, target, F.lit(f).alias("fold"), *[f"p_{n}" for n in names]))
+    base = cut(reduce(DataFrame.unionByName, outs))
+    meta = lambda f: fit(base.where(F.col("fold") != f), target, [f"p_{n}" for n in names], "linear", regParam=0.1, elasticNetParam=0.0)
+    return reduce(DataFrame.unionByName, [score(meta(f), base.where(F.col("fold") == f)) for f in range(folds)]).select(key, target, "prediction")
 
 
 def bag(df: DataFrame, target: str, columns: list[str], key: str, bags: int = 3, seed: int = 1) -> DataFrame:
@@ -178,3 +183,56 @@ def what_if(model: PipelineModel, df: DataFrame, key: str, columns: list[str], l
     out = model.transform(varied).select(key, "move_.*", (F.col("prediction") - F.col("base_")).alias("change")).where(F.abs("change") > least)
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("change")), "column_name", "factor")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+# --- saved models, jobs, validation ------------------------------------------------------------------------------
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline, to be loaded with :func:`load`."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def probabilities(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+    """``key, class, probability`` for every class of a classifier."""
+    listed = MF.vector_to_array("probability")
+    return model.transform(df).select(key, F.posexplode(listed).alias("class", "probability"))
+
+
+def scoring_job(spark, source: str, model_path: str, out: str, *, key: str) -> DataFrame:
+    """Reads rows, scores them with a saved model, writes them, and returns one row ``rows, mean, std, nulls`` of what was written."""
+    scored = score(load(model_path), spark.read.parquet(source))
+    scored.write.mode("overwrite").parquet(out)
+    p = F.col("prediction")
+    return spark.read.parquet(out).agg(F.count(key).alias("rows"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.count_if(p.isNull()).alias("nulls"))
+
+
+def cross_validated(df: DataFrame, target: str, columns: list[str], key: str, names: list[str], kind: str = "regression", *, k: int = 3, repeats: int = 1, seed: int = 42) -> DataFrame:
+    """``model, fold, score``: R² or accuracy of each model on each fold of each repetition. Folds go by the hash of
+    ``key``: rows of one key (or group) stay together."""
+    dealt = cut(E.repeated_folds(df.where(F.col(target).isNotNull()), key, k, repeats, seed=seed))
+    rows = []
+    for repeat in range(repeats):
+        for fold in range(k):
+            inside = F.col(f"fold_{repeat}") == fold
+            train, test = dealt.where(~inside).select(*df.columns), dealt.where(inside).select(*df.columns)
+            for name in names:
+                judged = score(fit(train, target, columns, name, kind), test)
+                value = V.fold_scores(judged.withColumn("f_", F.lit(0)).withColumn(target, F.col(target).cast("double")), "f_", target, "prediction", kind).first()
+                rows.append((name, repeat * k + fold, float(value["score"]) if value and value["score"] is not None else None))
+    return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
+
+
+def random_search(df: DataFrame, target: str, columns: list[str], space: dict[str, tuple[float, float]], name: str = "linear", kind: str = "regression", *, tries: int = 5, folds: int = 3, seed: int = 1) -> DataFrame:
+    """``params, score, best`` of ``tries`` settings drawn evenly from ranges, by cross-validation."""
+    import random
+
+    rng = random.Random(seed)
+    drawn = {p: [round(rng.uniform(*limits), 6) for _ in range(tries)] for p, limits in sorted(space.items())}
+    parts = [search(df, target, columns, {p: [values[t]] for p, values in drawn.items()}, name, kind, folds, seed).drop("best") for t in range(tries)]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.withColumn("best", F.col("score") == F.min("score").over(Window.partitionBy()))

@@ -296,16 +296,16 @@ def group_profile(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row ``n_rows, n_columns, content``: equal for equal rows in any order."""
-    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.bit_xor(F.xxhash64(*df.columns)).alias("content"))
+    """One row ``n_rows, n_columns, content``: equal for equal rows in any order; repeated rows count as often as they occur."""
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.sum(F.xxhash64(*df.columns).cast("decimal(28,0)")).cast("string").alias("content"))
 
 
 def concentration(df: DataFrame, value: str, least: float = 0.01) -> DataFrame:
-    """One row ``gini, top_share, effective_count`` of non-negative importances: a small table, one per feature or item."""
-    from pyspark.sql import Window
+    """One row ``gini, top_share, effective_count`` of non-negative importances, placed range by range."""
+    from tabulon.operators.clean import positions
 
-    w = Window.orderBy(F.col(f"`{value}`"))
-    ranked = df.where(F.col(f"`{value}`").isNotNull()).select(F.col(f"`{value}`").cast("double").alias("v"), F.row_number().over(w).alias("i"))
+    known = df.where(F.col(f"`{value}`").isNotNull()).select(F.col(f"`{value}`").cast("double").alias("v"))
+    ranked = positions(known, ["v"]).select("v", (F.col("position") + 1).alias("i"))
     row = ranked.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("i") * F.col("v")).alias("iv"), F.max("v").alias("top"), F.count_if(F.col("v") > least).alias("effective_count"))
     return row.select(F.try_divide(2 * F.col("iv") - (F.col("n") + 1) * F.col("s"), F.col("n") * F.col("s")).alias("gini"), F.try_divide("top", "s").alias("top_share"), "effective_count")
 

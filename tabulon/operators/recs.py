@@ -45,8 +45,8 @@ def _dots(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return both[0].unionByName(both[1]).groupBy("a", "b").agg(F.sum("d").alias("dot"))
 
 
-def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int = 50, most: int | None = None) -> DataFrame:
-    """``a, b, similarity`` between items (or users) that share users (items), the best ``neighbours`` of each.
+def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int | None = 50, most: int | None = None) -> DataFrame:
+    """``a, b, similarity`` between items (or users) that share users (items), the best ``neighbours`` of each (or all).
 
     ``metric``: cosine, pearson or euclid (1 / (1 + distance)) on the zero-filled matrix; all come from the sums of shared
     ratings and the norms. All ratings count, unless ``most`` leaves out sides with more.
@@ -69,6 +69,8 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
         value = F.try_divide(F.col("dot") - F.col("sa") * F.col("sb") / F.col("n"), F.sqrt(F.col("qa") - F.col("sa") * F.col("sa") / F.col("n")) * F.sqrt(F.col("qb") - F.col("sb") * F.col("sb") / F.col("n")))
     pairs = joined.select("a", "b", value.alias("similarity"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    if neighbours is None:
+        return both
     w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return both.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= neighbours).drop("i_")
 

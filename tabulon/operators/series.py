@@ -212,3 +212,73 @@ def share_of_total(df: DataFrame, value: str, by: Column | None = None) -> DataF
     """``df`` with ``share`` of ``value`` in its total (of the group ``by``)."""
     w = Window.partitionBy(*([by] if by is not None else []))
     return df.withColumn("share", F.try_divide(F.col(value), F.sum(value).over(w)))
+
+
+def scale_factors(df: DataFrame, method: str = "standard", series: str = "series", y: str = "y") -> DataFrame:
+    """``series, centre, spread`` to scale by: mean and deviation, least and range, or median and quartile range."""
+    v = F.col(y).cast("double")
+    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    a, b = {"standard": (F.avg(v), F.stddev_pop(v)), "minmax": (F.min(v), F.max(v) - F.min(v)), "robust": (q[1], q[2] - q[0])}[method]
+    return df.groupBy(series).agg(a.alias("centre"), F.when(b > 0, b).otherwise(1.0).alias("spread"))
+
+
+def scaled(df: DataFrame, factors: DataFrame, columns: list[str], *, back: bool = False, series: str = "series") -> DataFrame:
+    """``df`` with columns scaled by the factors of their series, or ``back`` in the units of the series."""
+    new = lambda c: F.col(c) * F.col("spread") + F.col("centre") if back else (F.col(c) - F.col("centre")) / F.col("spread")
+    return df.join(factors, series).withColumns({c: new(c) for c in columns}).select(*df.columns)
+
+
+def with_external(df: DataFrame, external: DataFrame, columns: list[str], *, lags: tuple[int, ...] = (0, 1), series: str = "series", ts: str = "ts") -> DataFrame:
+    """``df`` with columns of another table at the same time, and some steps before; without ``series`` there they serve all."""
+    by = [series, ts] if series in external.columns else [ts]
+    joined = df.join(external.select(*by, *columns), by, "left")
+    w = _w(series, ts)
+    return joined.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in lags if k}).drop(*([] if 0 in lags else columns))
+
+
+def autoregression(df: DataFrame, lags: int = 2, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:
+    """``series, n, coefficients, sigma, last``: least squares of each value on a constant and its ``lags`` predecessors.
+
+    The normal equations are aggregated in one pass; each series' small matrix is solved in a vectorised step over one row
+    for each series. Series with too few rows have no coefficients.
+    """
+    w = _w(series, ts)
+    xs = [F.lit(1.0), *[F.lag(F.col(y).cast("double"), k).over(w) for k in range(1, lags + 1)]]
+    rows = df.select(series, F.col(y).cast("double").alias("y_"), F.row_number().over(w).alias("t_"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+    full = F.col(f"x{lags}").isNotNull() & F.col("y_").isNotNull()
+    width = lags + 1
+    sums = [F.sum(F.when(full, F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"m{i}_{j}") for i in range(width) for j in range(width)]
+    sums += [F.sum(F.when(full, F.col(f"x{i}") * F.col("y_"))).alias(f"v{i}") for i in range(width)]
+    last = F.array(*[F.max_by(F.col("y_") if k == 0 else F.col(f"x{k}"), "t_") for k in range(lags)])
+    grouped = rows.groupBy(series).agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("y_") * F.col("y_"))).alias("yy"), *sums, last.alias("last"))
+
+    def solve(batches):
+        import numpy as np
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.n <= width:
+                    out.append((None, None))
+                    continue
+                m = np.array([[getattr(row, f"m{i}_{j}") for j in range(width)] for i in range(width)])
+                v = np.array([getattr(row, f"v{i}") for i in range(width)])
+                beta = np.linalg.lstsq(m, v, rcond=None)[0]
+                out.append((beta.tolist(), float(np.sqrt(max(row.yy - 2 * beta @ v + beta @ m @ beta, 0.0) / (row.n - width)))))
+            yield pdf[[series, "n", "last"]].assign(coefficients=[b for b, _ in out], sigma=[s for _, s in out])[[series, "n", "coefficients", "sigma", "last"]]
+
+    kind = dict(df.dtypes)[series]
+    return grouped.mapInPandas(solve, f"`{series}` {kind}, n long, coefficients array<double>, sigma double, last array<double>")
+
+
+def autoregressive_forecast(model: DataFrame, horizon: int, series: str = "series") -> DataFrame:
+    """``series, h, forecast`` of :func:`autoregression`: each step from the ones before."""
+    step = lambda a, h: F.struct((lambda value: F.concat(F.array(value), F.slice(a["recent"], F.lit(1), F.size("last") - 1)))(_next(a["recent"])).alias("recent"), F.concat(a["out"], F.array(_next(a["recent"]))).alias("out"))
+    start = F.struct(F.col("last").alias("recent"), F.array().cast("array<double>").alias("out"))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda a: a["out"])
+    return model.where("coefficients IS NOT NULL").select(series, F.posexplode(made).alias("h", "forecast")).withColumn("h", F.col("h") + 1)
+
+
+def _next(recent: Column) -> Column:
+    terms = F.zip_with(F.slice("coefficients", F.lit(2), F.size("coefficients") - 1), recent, lambda b, x: b * x)
+    return F.element_at("coefficients", 1) + F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)

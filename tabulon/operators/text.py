@@ -71,6 +71,29 @@ def terms(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
+def ngrams(df: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """``doc_id, term, n`` of runs of words of the given sizes, joined by a space."""
+    rows = df.select("doc_id", words(F.col("text")).alias("w"))
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), _run(k)) for k in sizes]
+    kept = F.filter(F.concat(*runs), lambda t: t.isNotNull())
+    return rows.where(F.size("w") > 0).select("doc_id", F.explode(kept).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+def _run(k: int):
+    return lambda i: F.when(i + k - 1 <= F.size("w"), F.array_join(F.slice("w", i, k), " "))
+
+
+def limited_tf_idf(df: DataFrame, sizes: tuple[int, ...] = (1, 2), most_terms: int = 1000) -> DataFrame:
+    """``doc_id, term, weight`` over the ``most_terms`` most frequent runs of words: tf · (ln((1 + N) / (1 + df)) + 1), each
+    document at length 1. The limit on terms is the size of the feature space; ties go to the smaller term."""
+    t = cut(ngrams(df, sizes))
+    best = t.groupBy("term").agg(F.sum("n").alias("all_"), F.count("*").alias("df_")).orderBy(F.desc("all_"), "term").limit(most_terms)
+    docs = F.broadcast(df.agg(F.count_distinct("doc_id").alias("docs_")))
+    raw = t.join(F.broadcast(best.crossJoin(docs)), "term").select("doc_id", "term", (F.col("n") * (F.ln((1 + F.col("docs_")) / (1 + F.col("df_"))) + 1)).alias("w"))
+    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_"))
+    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm_")).alias("weight"))
+
+
 def stylometry(df: DataFrame) -> DataFrame:
     """``doc_id, words, vocabulary, hapax_share, yule_k, simpson, top_share`` from the term counts."""
     n = F.sum("n")
@@ -226,6 +249,19 @@ def topics(df: DataFrame, *, k: int = 5, words_each: int = 10, vocabulary: int =
     return described, dominant
 
 
+def choose_topics(df: DataFrame, ks: tuple[int, ...] = (2, 4, 8), *, vocabulary: int = 2000, rounds: int = 5, seed: int = 1) -> DataFrame:
+    """``k, perplexity, best``: the bound on perplexity of topic models on the fifth of the documents that they did not see."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    rows = df.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
+    counted = cut(CountVectorizer(inputCol="w", outputCol="features", vocabSize=vocabulary, minDF=2).fit(rows).transform(rows).select("doc_id", "features"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    found = [(k, float(LDA(k=k, maxIter=rounds, seed=seed).fit(counted.where(~held)).logPerplexity(counted.where(held)))) for k in ks]
+    least = min(p for _, p in found)
+    return df.sparkSession.createDataFrame([(k, p, p == least) for k, p in found], "k int, perplexity double, best boolean")
+
+
 def topic_quality(described: DataFrame, best: int = 5) -> DataFrame:
     """One row ``quality, topics``: mean weight of the best terms of each topic."""
     return described.where(F.col("rank") <= best).agg(F.avg("weight").alias("quality"), F.count_distinct("topic").alias("topics"))
@@ -262,6 +298,21 @@ def augment(df: DataFrame, copies: int = 1, seed: int = 1) -> DataFrame:
     return df.withColumn("copy", F.lit(0)).unionByName(made.withColumn("text", F.array_join(swapped, " ")))
 
 
+def with_synonyms(df: DataFrame, synonyms: DataFrame, share: float = 0.3, seed: int = 1) -> DataFrame:
+    """``df`` with words replaced by their synonym (term, synonym) where the hash of document, place and word falls under
+    ``share``; the table is collected into one map, so it should be a small dictionary."""
+    held = F.broadcast(synonyms.groupBy("term").agg(F.min("synonym").alias("synonym")).agg(F.map_from_entries(F.collect_list(F.struct("term", "synonym"))).alias("map_")))
+    chosen = lambda w, i: F.pmod(F.xxhash64("doc_id", i, w, F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    new = F.transform(F.split("text", " "), lambda w, i: F.when(chosen(w, i), F.coalesce(F.try_element_at("map_", F.lower(w)), w)).otherwise(w))
+    return df.crossJoin(held).withColumn("text", F.array_join(new, " ")).select(*df.columns)
+
+
+def similarity_summary(pairs: DataFrame) -> DataFrame:
+    """One row ``pairs, mean, std, least, most`` of similarities."""
+    s = F.col("similarity")
+    return pairs.agg(F.count(s).alias("pairs"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("least"), F.max(s).alias("most"))
+
+
 def cost_estimate(df: DataFrame, per_million: float = 2.0) -> DataFrame:
     """One row ``documents, characters, cost``."""
     return df.agg(F.count("*").alias("documents"), F.sum(F.char_length("text")).alias("characters")).withColumn("cost", F.col("characters") / 1e6 * per_million)

@@ -83,19 +83,23 @@ def _scored(spark, d):
     return G.flag(G.mahalanobis(_flat(spark, d, 2), ["e0", "e1"], "score"), "score", 0.05)
 
 
-@query()
+_SCORED = f"""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1 FROM embeddings), m AS (SELECT avg(e0) AS m0, avg(e1) AS m1, var_samp(e0) AS a, var_samp(e1) AS b, covar_samp(e0, e1) AS c FROM e),
+d AS (SELECT e.*, (b * (e0 - m0) * (e0 - m0) - 2 * c * (e0 - m0) * (e1 - m1) + a * (e1 - m1) * (e1 - m1)) / (a * b - c * c) AS score FROM e, m), s AS (SELECT d.*, score > q AS anomaly FROM d, (SELECT quantile_cont(score, 0.95) AS q FROM d))"""
+
+
+@query(f"{_SCORED} SELECT count(*) FILTER (anomaly) AS anomalies, count(*) AS n, " + ", ".join(f"{r(e)} AS {n}" for e, n in (("avg(score) FILTER (anomaly)", "mean_anomaly"), ("avg(score) FILTER (NOT anomaly)", "mean_normal"), ("avg(score) FILTER (anomaly) - avg(score) FILTER (NOT anomaly)", "separation"), ("quantile_cont(score, 0.9)", "p90"), ("quantile_cont(score, 0.95)", "p95"), ("quantile_cont(score, 0.99)", "p99"))) + " FROM s")
 def embedding_anomaly_metrics(spark, d):
-    return G.anomaly_metrics(_scored(spark, d), "score")
+    return fine(G.anomaly_metrics(_scored(spark, d), "score"), "mean_anomaly", "mean_normal", "separation", "p90", "p95", "p99")
 
 
-@query()
+@query(f"{_SCORED} SELECT vec_id, {r('score')} AS score, anomaly FROM s ORDER BY s.score DESC, vec_id LIMIT 10")
 def embedding_top_anomalies(spark, d):
-    return G.top_anomalies(_scored(spark, d), "vec_id", "score")
+    return fine(G.top_anomalies(_scored(spark, d), "vec_id", "score").select("vec_id", "score", "anomaly"), "score")
 
 
-@query()
+@query(f"{_SCORED} " + union([f"SELECT 'e{i}' AS column_name, {r(f'abs(corr(e{i}, anomaly::INT))', 6)} AS importance FROM s" for i in range(2)]))
 def embedding_anomaly_importance(spark, d):
-    return G.anomaly_importance(_scored(spark, d), ["e0", "e1"])
+    return fine(G.anomaly_importance(_scored(spark, d), ["e0", "e1"]), "importance", digits=6)
 
 
 @query()
@@ -120,7 +124,8 @@ def orders_contamination(spark, d):
     return fine(G.contamination(table(spark, d, "orders"), ["o_totalprice"]), "contamination", digits=6)
 
 
-@query()
+@query("""WITH m AS (SELECT avg(o_totalprice) AS m, count(*) AS n FROM orders), k AS (SELECT avg((o_totalprice - m) ** 2) AS m2, avg((o_totalprice - m) ** 3) AS m3, avg((o_totalprice - m) ** 4) AS m4, any_value(n) AS n FROM orders, m),
+g AS (SELECT n, abs(m3 / m2 ** 1.5) < 1 AND abs(m4 / (m2 * m2) - 3) < 3 AS gaussian FROM k) SELECT CASE WHEN gaussian THEN 'elliptic_envelope' WHEN n > 10000 THEN 'isolation_forest' ELSE 'local_outlier_factor' END AS detector, gaussian, n FROM g""")
 def orders_detector_choice(spark, d):
     return G.detector_choice(table(spark, d, "orders"), ["o_totalprice"])
 
@@ -129,8 +134,10 @@ def orders_detector_choice(spark, d):
 
 
 def _lines(spark, d):
+    """One row for each order: ``key`` is unique, since order lines have no key of their own."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").cast("double").alias("quantity"), F.col("p_retailprice").alias("price"), F.col("l_discount").alias("discount"), F.col("p_brand").alias("brand"))
+    first = F.min_by("p_brand", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    return rows.groupBy(F.col("l_orderkey").alias("key")).agg(F.sum("l_extendedprice").alias("y"), F.sum("l_quantity").cast("double").alias("quantity"), F.avg("p_retailprice").alias("price"), F.avg("l_discount").alias("discount"), first.alias("brand"))
 
 
 COLUMNS = ["quantity", "price", "discount"]
@@ -180,6 +187,34 @@ def price_model_diversity(spark, d):
     return M.disagreement({n: M.score(M.fit(rows, "y", COLUMNS, n), rows) for n in ("linear", "tree")}, "key")
 
 
+_ORDERS = "SELECT l_orderkey AS key, sum(l_extendedprice) AS y, sum(l_quantity)::DOUBLE AS quantity, avg(p_retailprice) AS price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"
+_LINES_OF = f"o AS ({_ORDERS}), m AS (SELECT regr_slope(y, quantity) AS bq, regr_intercept(y, quantity) AS aq, regr_slope(y, price) AS bp, regr_intercept(y, price) AS ap FROM o)"
+
+
+def _two_lines(spark, d):
+    """Predictions of two straight lines, over the quantity and over the price of an order."""
+    rows = _lines(spark, d)
+    return {c: M.score(M.fit(rows, "y", [c], "linear"), rows) for c in ("quantity", "price")}
+
+
+@query(f"WITH {_LINES_OF} SELECT key, {r('(2 * (aq + bq * quantity) + ap + bp * price) / 3', 2)} AS prediction FROM o, m")
+def order_line_votes(spark, d):
+    return fine(M.vote(_two_lines(spark, d), "key", {"quantity": 2.0}), "prediction", digits=2)
+
+
+@query(f"SELECT 'price' AS model_a, 'quantity' AS model_b, {r('1 - abs(corr(quantity, price))')} AS diversity FROM ({_ORDERS})")
+def order_line_diversity(spark, d):
+    return fine(M.disagreement(_two_lines(spark, d), "key"), "diversity")
+
+
+@query(f"WITH {_LINES_OF} SELECT key, 'quantity' AS column_name, f AS factor, {r('bq * quantity * (f - 1)', 2)} AS change, CASE WHEN f < 1 THEN 1 ELSE 2 END::BIGINT AS rank FROM o, m, (SELECT unnest([0.9, 1.1])::DOUBLE AS f) WHERE abs(bq * quantity * (f - 1)) > 0.1")
+def order_line_what_if(spark, d):
+    rows = _lines(spark, d)
+    # a tenth up and down move a line equally far: the tie is settled by the factor, whatever the last bit says
+    out = M.what_if(M.fit(rows, "y", ["quantity"], "linear"), rows, "key", ["quantity"])
+    return fine(out.withColumn("rank", F.when(F.col("factor") < 1, 1).otherwise(2).cast("long")), "change", digits=2)
+
+
 @query()
 def price_importance(spark, d):
     rows = _lines(spark, d)

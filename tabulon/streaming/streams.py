@@ -67,10 +67,14 @@ def window_psi(counts: DataFrame, shares: list[float], least: int = 100, floor:
 
 
 def deduplicated(df: DataFrame, keys: list[str], *, watermark: str = WATERMARK) -> DataFrame:
-    """Rows without repeats of the same keys: within the watermark in a stream, the first in time in a batch."""
+    """Rows without repeats of the same keys: within the watermark in a stream, the first in time in a batch.
+
+    Of rows at the same time the batch takes the smallest by the other columns.
+    """
     if df.isStreaming:
         return _marked(df, watermark).dropDuplicatesWithinWatermark(keys)
-    w = Window.partitionBy(*keys).orderBy("ts")
+    rest = [c for c, kind in df.dtypes if c not in keys and c != "ts" and "map<" not in kind]
+    w = Window.partitionBy(*keys).orderBy("ts", *rest)
     return df.withColumn("i_", F.row_number().over(w)).where("i_ = 1").drop("i_")
 
 
@@ -139,12 +143,15 @@ def retained(df: DataFrame, days: int, now=None) -> DataFrame:
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, each: Callable[[DataFrame], DataFrame]) -> None:
-    """Every new file once: rows appended to ``target``, and what ``each`` reports of a batch to ``target`` + ``_profile``."""
+    """Every new file once: rows under ``target``, and what ``each`` reports of a batch under ``target`` + ``_profile``.
+
+    A batch has a folder of its own (the column ``batch``), which a batch that is run again overwrites.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         df.persist()
-        df.write.mode("append").parquet(target)
-        each(df).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{target}_profile")
+        df.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        each(df).write.mode("overwrite").parquet(f"{target}_profile/batch={number}")
         df.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
