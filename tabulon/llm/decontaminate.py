@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import map_blocks, table
+from tabulon.llm.common import keep_texts, map_blocks, table
 
 #: A-Z in lower case, ASCII punctuation as blanks; words are what blanks part.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -269,13 +269,10 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, recall: float = 0.99)
     for items in _blocks(benchmark):
         held = spark.sparkContext.broadcast(items)
 
-        def run(batches, held=held):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    yield part.filter([not m for m in index(held.value, recall).search(part.column("text").to_pylist())]) if held.value else part
+        def keep(texts, held=held):
+            return [not m for m in index(held.value, recall).search(texts.to_pylist())] if held.value else [True] * len(texts)
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = keep_texts(kept, keep)
     return kept
 
 

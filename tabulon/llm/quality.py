@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import map_blocks, table
+from tabulon.llm.common import keep_texts, map_blocks, table
 from tabulon.llm.trees import Forest, boost
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -135,17 +135,18 @@ def judge(docs: DataFrame, forest: Forest | None, *, threshold: float = 0.5) ->
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, in one pass without a join."""
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, in one pass without a join.
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [statistics(t.as_py() or "") for t in part.column("text")]
-                score = 1 / (1 + np.exp(-forest.score(np.array([f for _, f in found])))) if forest is not None else np.ones(len(found))
-                yield part.filter([not base_failed(c) and s >= threshold for (c, _), s in zip(found, score.tolist(), strict=True)])
+    A null or empty text fails the base, so its row goes; repeated rows stay or go together; an empty table gives no rows.
+    Columns of any name beside ``text`` pass through. Without trees the base alone decides.
+    """
+
+    def keep(texts):
+        found = [statistics(t.as_py() or "") for t in texts]
+        score = 1 / (1 + np.exp(-forest.score(np.array([f for _, f in found])))) if forest is not None else np.ones(len(found))
+        return [bool(not base_failed(c) and s >= threshold) for (c, _), s in zip(found, score.tolist(), strict=True)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_texts(docs, keep)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

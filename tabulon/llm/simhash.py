@@ -9,8 +9,10 @@ common midpoints instead of pair by pair, which finds the same groups.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import cut, map_blocks, table
@@ -80,11 +82,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def _in_cells(cell: np.ndarray, fp: np.ndarray, most: int) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links between fingerprints of equal cells (rows sorted by cell), and the fingerprints of too large cells."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
-    large = np.repeat(sizes > CELL, sizes)
+    large = np.repeat(sizes > most, sizes)
     crowd, cell, fp = np.unique(fp[large]), cell[~large], fp[~large]
     a, b = [], []
     at, gap = np.arange(max(0, len(cell) - 1)), 1
@@ -99,8 +101,8 @@ def _in_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[list[tuple[int, int]],
     return _forest(np.concatenate(a), np.concatenate(b)) if a else [], crowd
 
 
-def _link_cells(batches):
-    """Over rows sorted by cell: links (a, b), and (a, null) for a fingerprint of a cell with more than ``CELL``."""
+def _link_cells(batches, most: int = CELL):
+    """Over rows sorted by cell: links (a, b), and (a, null) for a fingerprint of a cell with more than ``most``."""
     import pyarrow as pa
 
     def out(links, crowd):
@@ -123,13 +125,13 @@ def _link_cells(batches):
                 continue
             crowded = None
         end = int(np.searchsorted(cell, cell[-1], "left"))
-        if len(cell) - end > CELL:
+        if len(cell) - end > most:
             crowded, end = cell[-1], len(cell)
         if end:
-            yield out(*_in_cells(cell[:end], fp[:end]))
+            yield out(*_in_cells(cell[:end], fp[:end], most))
         cell, fp = cell[end:], fp[end:]
     if len(cell):
-        yield out(*_in_cells(cell, fp))
+        yield out(*_in_cells(cell, fp, most))
 
 
 def _through_midpoints(prints: DataFrame) -> DataFrame:
@@ -147,17 +149,20 @@ def _through_midpoints(prints: DataFrame) -> DataFrame:
     return near.unionByName(around(two)).join(hubs, "middle").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) between different fingerprints that connect all that differ in three bits or fewer."""
+def links(prints: DataFrame, *, most: int = CELL) -> DataFrame:
+    """Links (a, b) between different fingerprints that connect all that differ in three bits or fewer.
+
+    Cells of over ``most`` fingerprints are linked through midpoints; either way gives the same groups.
+    """
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cells(prints).repartition(n, "cell").sortWithinPartitions("cell", "fp")
-    found = cut(rows.mapInArrow(_link_cells, "a long, b long"))
+    found = cut(rows.mapInArrow(partial(_link_cells, most=most), "a long, b long"))
     crowd = cut(found.where("b IS NULL").select(F.col("a").alias("fp")).distinct())
     sure = found.where("b IS NOT NULL")
     return sure if crowd.isEmpty() else sure.unionByName(_through_midpoints(crowd))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, most: int = CELL) -> DataFrame:
     """``docs`` (doc_id, text) as ``doc_id, fp, component_id``.
 
     Documents are linked if their fingerprints differ in three bits or fewer; ``component_id`` is the smallest doc_id that
@@ -167,7 +172,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes.select("fp")))
+    roots = components(links(classes.select("fp"), most=most))
     linked = cut(roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_linked = linked.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
@@ -179,12 +184,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, the one with the smallest doc_id, with all its columns.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id all stay, since none can stand for a group.
+    Of rows that share that doc_id the one with the smallest text stays, then the smallest other columns in their order. Rows
+    without a doc_id all stay, since none can stand for a group. An empty table gives no rows.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    orders = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    ranked = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *orders)).alias("i"))
+    kept = ranked.where("i = 1").select("row.*")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
