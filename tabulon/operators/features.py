@@ -178,18 +178,25 @@ def probit(p: Column) -> Column:
     return F.when(p < 0.02425, tail(low)).when(p > 1 - 0.02425, -tail(high)).otherwise(near)
 
 
-def quantile_transform(df: DataFrame, column: str, out: str, *, normal: bool = False) -> DataFrame:
+def quantile_transform(df: DataFrame, column: str, out: str, *, normal: bool = False, exact: bool = True, steps: int = 1000) -> DataFrame:
     """``df`` with the place of each value among all, 0 to 1 (ties share their middle), or the normal value of that place.
 
-    Distinct values are counted and placed range by range, then joined: no task orders all rows.
+    Distinct values are counted and placed range by range, then joined: no task orders all rows. ``exact=False`` places
+    values between the quantiles of a bounded sketch instead.
     """
+    from tabulon.functions.stats import quantiles
     from tabulon.operators.clean import running_totals
 
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value_")).agg(F.count("*").alias("n_"))
-    placed = running_totals(counts, ["value_"], {"upto_": "n_"})
-    total = F.broadcast(placed.agg(F.max("upto_").alias("total_")))
-    place = F.coalesce(F.try_divide(F.col("upto_") - (F.col("n_") + 1) / 2, F.col("total_") - 1), F.lit(0.5))
-    ranked = df.join(placed.crossJoin(total).select("value_", place.alias(out)), F.col(column) == F.col("value_"), "left").drop("value_")
+    if exact:
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value_")).agg(F.count("*").alias("n_"))
+        placed = running_totals(counts, ["value_"], {"upto_": "n_"})
+        total = F.broadcast(placed.agg(F.max("upto_").alias("total_")))
+        place = F.coalesce(F.try_divide(F.col("upto_") - (F.col("n_") + 1) / 2, F.col("total_") - 1), F.lit(0.5))
+        ranked = df.join(placed.crossJoin(total).select("value_", place.alias(out)), F.col(column) == F.col("value_"), "left").drop("value_")
+    else:
+        edges = F.broadcast(df.agg(quantiles(F.col(column).cast("double"), [i / steps for i in range(steps + 1)], exact=False).alias("edges_")))
+        below = (F.size(F.filter("edges_", lambda e: e <= F.col(column))) - 1).cast("double") / steps
+        ranked = df.crossJoin(edges).withColumn(out, F.when(F.col(column).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), below)))).drop("edges_")
     return ranked.withColumn(out, probit(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col(out))))) if normal else ranked
 
 
