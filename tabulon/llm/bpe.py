@@ -156,7 +156,7 @@ class Coder:
     older one, so that what is still in use stays.
     """
 
-    def __init__(self, ranks_file: bytes, pattern: str, keep: int = 400_000):
+    def __init__(self, ranks_file: bytes, pattern: str, keep: int = 250_000):
         import regex
 
         self.ranks = Ranks(ranks_file)
