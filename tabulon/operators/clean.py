@@ -244,20 +244,24 @@ def iterative_impute(df: DataFrame, columns: list[str] | None = None, *, rounds:
 
 
 def convert_types(df: DataFrame, *, number_share: float = 0.8, date_share: float = 0.7) -> DataFrame:
-    """``df`` with text columns turned into numbers or times where enough values parse; the rest become null."""
-    from tabulon.operators.profile import _parses_as_datetime
+    """``df`` with text columns turned into numbers or times where enough values parse; the rest become null.
+
+    Times are read by the one format that parses most values; the first of equally good formats wins.
+    """
+    from tabulon.operators.profile import DATE_FORMATS, parsed_datetime
 
     texts = string_columns(df)
     if not texts:
         return df
-    row = df.agg(*[e for i, c in enumerate(texts) for e in (F.count(f"`{c}`").alias(f"n{i}"), F.count_if(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(f"f{i}"), F.count_if(_parses_as_datetime(F.col(f"`{c}`"))).alias(f"d{i}"))]).first()
+    row = df.agg(*[e for i, c in enumerate(texts) for e in (F.count(f"`{c}`").alias(f"n{i}"), F.count_if(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(f"f{i}"), *[F.count_if(parsed_datetime(F.col(f"`{c}`"), f).isNotNull()).alias(f"d{i}_{j}") for j, f in enumerate(DATE_FORMATS)])]).first()
     new = {}
     for i, c in enumerate(texts):
         n = row[f"n{i}"]
+        best = max(range(len(DATE_FORMATS)), key=lambda j: row[f"d{i}_{j}"])  # noqa: B023
         if n and row[f"f{i}"] > number_share * n:
             new[c] = F.col(f"`{c}`").try_cast("double")
-        elif n and row[f"d{i}"] > date_share * n:
-            new[c] = F.try_to_timestamp(f"`{c}`")
+        elif n and row[f"d{i}_{best}"] > date_share * n:
+            new[c] = parsed_datetime(F.col(f"`{c}`"), DATE_FORMATS[best])
     return df.withColumns(new) if new else df
 
 

@@ -14,8 +14,16 @@ from tabulon.functions.stats import datetime_columns, fences, null_out_nan, nume
 
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "t", "f")
-#: Date formats that the loader knows, tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "yyyyMMdd")
+#: Date formats that the loader knows, tried in this order (fixed values, but for the compact last one).
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy", "MM-dd-yyyy HH:mm:ss",
+    "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy", "dd-MM-yyyy HH:mm:ss", "dd.MM.yyyy", "dd.MM.yyyy HH:mm:ss",
+    "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "yyyyMMdd",
+)
+#: What each part of a format looks like in a value.
+_SHAPES = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}", "HH": "[0-9]{2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "SSSSSS": "[0-9]{1,6}", "XXX": "(?:Z|[+-][0-9]{2}:[0-9]{2})", "'T'": "T", "'Z'": "Z"}
 
 
 def named_as_id(name: str, *, compat: bool = False) -> bool:
@@ -120,10 +128,16 @@ def zscore_outliers(df: DataFrame, columns: list[str] | None = None, limit: floa
     return spread_rows(row, {c: [("outlier_count", F.col(f"{i}_n")), ("outlier_ratio", F.coalesce(F.try_divide(F.col(f"{i}_n"), F.col(f"{i}_c")), F.lit(0.0)))] for i, c in enumerate(columns)})
 
 
+def parsed_datetime(x: Column, pattern: str) -> Column:
+    """``x`` as a timestamp by one format, else null; a failing parse is costly, so only what has the format's shape is tried."""
+    shape = re.sub("|".join([*_SHAPES, "."]), lambda m: _SHAPES.get(m[0]) or re.escape(m[0]), pattern)
+    return F.when(x.rlike(f"^{shape}$"), F.try_to_timestamp(x, F.lit(pattern)))
+
+
 def _parses_as_datetime(x: Column) -> Column:
-    """Whether a known format parses ``x``; a failing parse is costly, so only what looks like a date is tried."""
-    looks = x.rlike(r"^\s*[0-9]{1,4}[-/.]?[0-9]{1,2}[-/.]?[0-9]{1,4}")
-    return F.coalesce(looks & F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS]).isNotNull(), F.lit(False))
+    """Whether a known format parses ``x``."""
+    looks = x.rlike(r"^(?:[0-9]{1,4}[-/.]?[0-9]{1,2}[-/.]?[0-9]{1,4}|[0-9]{1,2} [A-Za-z]|[A-Za-z]{3,9} [0-9]{1,2},)")
+    return F.coalesce(looks & F.coalesce(*[parsed_datetime(x, f) for f in DATE_FORMATS]).isNotNull(), F.lit(False))
 
 
 def column_types(df: DataFrame, *, compat: bool = False) -> DataFrame:
@@ -177,7 +191,7 @@ def feature_types(df: DataFrame, target: str | None = None) -> DataFrame:
 def date_format(df: DataFrame, column: str, formats: tuple[str, ...] = DATE_FORMATS, accept: float = 0.8) -> DataFrame:
     """One row ``format, ratio``: the format that parses most values of a text column; null below ``accept``."""
     x = F.col(f"`{column}`")
-    row = df.agg(F.count(x).alias("n"), *[F.count_if(F.try_to_timestamp(x, F.lit(f)).isNotNull()).alias(f"f{i}") for i, f in enumerate(formats)])
+    row = df.agg(F.count(x).alias("n"), *[F.count_if(parsed_datetime(x, f).isNotNull()).alias(f"f{i}") for i, f in enumerate(formats)])
     # the first of equally good formats wins
     best = F.reduce(F.array(*[F.struct((F.col(f"f{i}") / F.col("n")).alias("ratio"), F.lit(-i).alias("order"), F.lit(f).alias("format")) for i, f in enumerate(formats)]), F.struct(F.lit(-1.0).alias("ratio"), F.lit(0).alias("order"), F.lit("").alias("format")), lambda a, b: F.greatest(a, b))
     return row.where("n > 0").select(best.alias("b")).select(F.when(F.col("b.ratio") >= accept, F.col("b.format")).alias("format"), F.col("b.ratio").alias("ratio"))

@@ -39,10 +39,9 @@ def doc_lexical(spark, d):
 _SYL = "greatest(len(regexp_extract_all(x, '[aeiouyà-æè-ïò-öù-ý]+')), 1)"
 
 
-@query(f"WITH w AS (SELECT doc_id, {_W} AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s FROM documents), c AS (SELECT doc_id, len(w)::DOUBLE AS n, s, list_sum(list_transform(w, lambda x: {_SYL}))::DOUBLE AS y, len(list_filter(w, lambda x: {_SYL} >= 3))::DOUBLE AS c, list_sum(list_transform(w, lambda x: length(x)))::DOUBLE AS k FROM w WHERE len(w) > 0) SELECT doc_id, {r('206.835 - 1.015 * n / s - 84.6 * y / n', 3)} AS flesch_ease, {r('0.39 * n / s + 11.8 * y / n - 15.59', 3)} AS flesch_kincaid, {r('0.4 * (n / s + 100 * c / n)', 3)} AS fog, {r('4.71 * k / n + 0.5 * n / s - 21.43', 3)} AS ari, {r('5.88 * k / n - 29.6 / (n / s) - 15.8', 3)} AS coleman_liau FROM c")
+@query(f"WITH w AS (SELECT doc_id, {_W} AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, length(regexp_replace(text, '\\s', '', 'g')) AS k2 FROM documents), c AS (SELECT doc_id, k2, len(w)::DOUBLE AS n, s, list_sum(list_transform(w, lambda x: {_SYL}))::DOUBLE AS y, len(list_filter(w, lambda x: {_SYL} >= 3))::DOUBLE AS c, list_sum(list_transform(w, lambda x: length(x)))::DOUBLE AS k FROM w WHERE len(w) > 0) SELECT doc_id, {r('206.835 - 1.015 * n / s - 84.6 * y / n', 3)} AS flesch_ease, {r('0.39 * n / s + 11.8 * y / n - 15.59', 3)} AS flesch_kincaid, {r('0.4 * (n / s + 100 * c / n)', 3)} AS fog, {r('4.71 * k / n + 0.5 * n / s - 21.43', 3)} AS ari, {r('5.88 * k / n - 29.6 / (n / s) - 15.8', 3)} AS coleman_liau, {r('k2 * 0.01469', 3)} AS reading_seconds FROM c")
 def doc_readability(spark, d):
-    out = X.readability(_docs(spark, d)).drop("minutes")
-    return fine(out, "flesch_ease", "flesch_kincaid", "fog", "ari", "coleman_liau", digits=3)
+    return fine(X.readability(_docs(spark, d)), "flesch_ease", "flesch_kincaid", "fog", "ari", "coleman_liau", "reading_seconds", digits=3)
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(text, 'https?://\\S+|www\\.\\S+', ' ', 'g'), '\\S+@\\S+\\.\\S+', ' ', 'g')), '[a-zà-öø-ÿ0-9]+'), lambda x: length(x) BETWEEN 2 AND 50 AND NOT list_contains({_STOPS}, x)), ' ') AS normal FROM documents")
@@ -50,7 +49,16 @@ def doc_normalised(spark, d):
     return _docs(spark, d).select("doc_id", X.normalise(F.col("text")).alias("normal"))
 
 
-@query(f"SELECT doc_id, {r(f'(CASE WHEN length(text) < 50 THEN 0.8 WHEN length(text) > 2000 THEN 0.9 ELSE 1.0 END) * least(1.0, coalesce(len(list_distinct({_W})) / nullif(len({_W}), 0), 0) + 0.5)', 6)} AS quality FROM documents")
+_CHARS = "regexp_extract_all(text, '(?s).')"
+_LARGEST = "coalesce(list_max(map_values(list_aggregate({}, 'histogram'))), 0)"
+
+_QUALITY = f"""WITH b AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '\\S+') AS k, {_LARGEST.format(_CHARS)} AS most, {_W} AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s FROM documents),
+c AS (SELECT doc_id, (CASE WHEN n < 50 THEN 0.8 WHEN n > 2000 THEN 0.9 ELSE 1.0 END)::DOUBLE * least(1.0, coalesce(len(list_distinct(k)) / nullif(len(k), 0), 0) + 0.5) * (CASE WHEN n > 100 AND most > 0.3 * n THEN 0.5 ELSE 1.0 END)::DOUBLE AS score,
+CASE WHEN len(w) > 0 THEN greatest(0.0, least(1.0, (206.835 - 1.015 * len(w) / s - 84.6 * list_sum(list_transform(w, lambda x: {_SYL}))::DOUBLE / len(w)) / 100)) END AS ease FROM b)
+SELECT doc_id, {r('CASE WHEN ease IS NULL THEN score ELSE (score + ease) / 2 END', 6)} AS quality FROM c"""
+
+
+@query(_QUALITY)
 def doc_quality(spark, d):
     return fine(X.text_quality(_docs(spark, d)), "quality", digits=6)
 
@@ -67,9 +75,19 @@ def doc_language(spark, d):
     return long(X.language(_docs(spark, d)), "hits")
 
 
-@query()
+_ISSUES = {"too_short": ("n < 10", 0.5), "too_long": ("n > 10000", 0.8), "few_characters": ("n = 0 OR d < 0.1 * n", 0.6), "repeated_word": ("k > 0 AND most > 0.3 * k", 0.7), "few_letters": ("n = 0 OR letters < 0.5 * n", 0.8), "short_sentences": ("k > 0 AND k / s < 3", 0.7), "long_sentences": ("k / s > 50", 0.8), "special_characters": ("special > 0.1 * n", 0.8)}
+_ISSUE_ROWS = f"""f AS (SELECT doc_id, length(text) AS n, len(list_distinct(regexp_extract_all(lower(text), '(?s).'))) AS d, len(regexp_extract_all(text, '\\S+')) AS k, {_LARGEST.format("regexp_extract_all(text, '\\S+')")} AS most, len(regexp_extract_all(text, '\\pL')) AS letters, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(text, '[^\\pL\\pN\\s!-/:-@\\[-`{{-~]')) AS special FROM documents),
+issues AS (SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, (c, _) in _ISSUES.items())}) AS issues, {' * '.join(f'(CASE WHEN {c} THEN {p} ELSE 1.0 END)::DOUBLE' for c, p in _ISSUES.values())} AS score FROM f)"""
+
+
+@query(f"WITH {_ISSUE_ROWS} SELECT doc_id, issues, {r('score', 6)} AS score FROM issues")
 def doc_quality_issues(spark, d):
-    return X.quality_issues(_docs(spark, d))
+    return fine(X.quality_issues(_docs(spark, d)), "score", digits=6)
+
+
+@query(f"WITH {_ISSUE_ROWS} SELECT issue, count(*) AS n, {r('count(*) / (SELECT count(*) FROM issues)', 6)} AS share, {r('avg(score)', 6)} AS mean_score FROM (SELECT score, unnest(string_split(issues, ',')) AS issue FROM issues WHERE issues <> '') GROUP BY issue")
+def doc_issue_summary(spark, d):
+    return fine(X.issue_summary(X.quality_issues(_docs(spark, d))), "share", "mean_score", digits=6)
 
 
 @query(f"WITH {_TERMS} SELECT (SELECT count(*) FROM documents) AS documents, {r('(SELECT avg(length(text)) FROM documents)')} AS mean_chars, count(DISTINCT term) AS vocabulary, sum(n)::BIGINT AS words, {r('sum(n) / (SELECT count(*) FROM documents)')} AS mean_words FROM terms")
@@ -101,8 +119,11 @@ _LEXICON = "(VALUES ('the', 0.5), ('worthless', -3.0), ('disgusting', -3.0), ('t
 
 @query(f"WITH {_TERMS}, v AS (SELECT doc_id, sum(n * valence)::DOUBLE AS v FROM terms JOIN {_LEXICON} USING (term) GROUP BY doc_id), s AS (SELECT doc_id, coalesce(v, 0) AS v FROM documents LEFT JOIN v USING (doc_id)) SELECT doc_id, {r('v')} AS valence, {r('v / sqrt(v * v + 15)')} AS score, CASE WHEN v / sqrt(v * v + 15) >= 0.05 THEN 'positive' WHEN v / sqrt(v * v + 15) <= -0.05 THEN 'negative' ELSE 'neutral' END AS label FROM s")
 def doc_sentiment(spark, d):
-    lexicon = spark.sql("SELECT term, cast(valence AS double) AS valence FROM VALUES ('the', 0.5), ('worthless', -3.0), ('disgusting', -3.0), ('trash', -2.0), ('that', 0.25) AS t(term, valence)")
-    return fine(X.sentiment(_docs(spark, d), lexicon), "valence", "score")
+    return fine(X.sentiment(_docs(spark, d), _lexicon(spark)), "valence", "score")
+
+
+def _lexicon(spark):
+    return spark.sql("SELECT term, cast(valence AS double) AS valence FROM VALUES ('the', 0.5), ('worthless', -3.0), ('disgusting', -3.0), ('trash', -2.0), ('that', 0.25) AS t(term, valence)")
 
 
 @query("SELECT 'EMAIL' AS kind, entity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b')) AS entity FROM documents) GROUP BY entity")
@@ -136,6 +157,18 @@ def doc_augmented(spark, d):
     return X.augment(_docs(spark, d)).select("doc_id", "copy", F.char_length("text").alias("chars"))
 
 
+@query(f"WITH {_TERMS}, v AS (SELECT doc_id, sum(n * valence)::DOUBLE AS v FROM terms JOIN {_LEXICON} USING (term) GROUP BY doc_id), e AS (SELECT coalesce(v, 0) / sqrt(coalesce(v, 0) ** 2 + 15) AS e FROM documents LEFT JOIN v USING (doc_id)), c AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT count(*) AS volume, {r('avg(length(text))')} AS mean_length, {r('count(DISTINCT text) / count(*)', 6)} AS content_diversity, (SELECT source FROM c ORDER BY n DESC, source LIMIT 1) AS dominant_class, {r('(SELECT 1 - (max(n) - min(n)) / sum(n) FROM c)', 6)} AS class_balance, {r('(SELECT count(*) FILTER (e >= 0.05) / count(*) FROM e)', 6)} AS positive_ratio, {r('(SELECT count(*) FILTER (e <= -0.05) / count(*) FROM e)', 6)} AS negative_ratio FROM documents")
+def doc_business_metrics(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return fine(fine(X.business_metrics(docs, "source", X.sentiment(docs, _lexicon(spark))), "mean_length"), "content_diversity", "class_balance", "positive_ratio", "negative_ratio", digits=6)
+
+
+@query("SELECT doc_id, len(string_split(text, ' ')) + CASE WHEN len(string_split(text, ' ')) < 3 THEN 0 ELSE 2 END AS words FROM documents")
+def doc_inserted(spark, d):
+    """Words of each text after two insertions."""
+    return long(X.with_insertions(_docs(spark, d), 2).select("doc_id", F.size(F.split("text", " ")).alias("words")), "words")
+
+
 @query(f"SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters, {r('sum(length(text)) / 1e6 * 2.0', 6)} AS cost FROM documents")
 def doc_cost(spark, d):
     return fine(X.cost_estimate(_docs(spark, d)), "cost", digits=6)
