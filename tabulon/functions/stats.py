@@ -36,6 +36,15 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value.cast("double") + F.lit(1e-9), digits) + F.lit(0.0)
 
 
+def correlation(a, b) -> Column:
+    """Pearson correlation over the rows where both are known; null if either is constant (``corr`` fails there in ANSI mode)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r.between(-1, 1), r).otherwise(F.signum(r))
+
+
 def sample_skewness(x: Column) -> Column:
     """Bias-corrected skewness; null below three values."""
     n = F.count(x)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import numeric_columns, spread_rows
+from tabulon.functions.stats import correlation, null_out_nan, numeric_columns, spread_rows
 
 # --- rules and combinations --------------------------------------------------------------------------------------
 
@@ -256,7 +256,7 @@ def f_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def f_regression(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """``column_name, f``: r² / (1 - r²) · (n - 2) of each column with a numeric target, in one aggregate."""
     y = F.col(target).cast("double")
-    row = df.agg(*[e for i, c in enumerate(columns) for e in (F.corr(F.col(f"`{c}`").cast("double"), y).alias(f"r{i}"), F.count_if(F.col(f"`{c}`").isNotNull() & y.isNotNull()).alias(f"n{i}"))])
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (correlation(F.col(f"`{c}`").cast("double"), y).alias(f"r{i}"), F.count_if(F.col(f"`{c}`").isNotNull() & y.isNotNull()).alias(f"n{i}"))])
     square = lambda i: F.col(f"r{i}") * F.col(f"r{i}")
     return spread_rows(row, {c: [("f", F.try_divide(square(i) * (F.col(f"n{i}") - 2), 1 - square(i)))] for i, c in enumerate(columns)})
 
@@ -290,6 +290,74 @@ def select_best(scores: DataFrame, score: str, share: float = 0.8, most: int = 5
     return [name for _, name in rows[: min(most, max(1, int(share * len(rows))))]]
 
 
+def transformed_metrics(df: DataFrame, high: float = 0.9) -> DataFrame:
+    """One row about a table made for models: rows, columns by kind, missing values, pairs correlated above ``high`` and the mean
+    absolute correlation.
+
+    The mean is over the full matrix with a zero diagonal; constant columns, whose correlations are undefined, are passed
+    over in it. A table of fewer than two numeric columns has no pairs and a null mean.
+    """
+    from tabulon.operators.profile import correlation_pairs
+
+    df = null_out_nan(df)
+    numbers, width = numeric_columns(df), len(df.columns)
+    kinds = sorted((len(numbers), width - len(numbers)))
+    missing = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
+    row = df.agg(F.count("*").alias("n_rows"), F.array(*missing).alias("m"))
+    total = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x)
+    row = row.select("n_rows", F.lit(width).alias("n_columns"), F.size(F.filter("m", lambda x: x > 0)).alias("columns_with_missing"), total.alias("missing_values"), F.coalesce(F.try_divide(total, F.col("n_rows") * width), F.lit(0.0)).alias("missing_ratio"), F.lit(len(numbers)).alias("numeric_columns"), F.lit(width - len(numbers)).alias("other_columns"), F.lit(kinds[0] / max(kinds[1], 1)).alias("kind_diversity"))
+    if len(numbers) < 2:
+        return row.withColumns({"high_pairs": F.lit(0).cast("long"), "mean_correlation": F.lit(None).cast("double")})
+    strength = F.abs("correlation")
+    # each pair stands twice in the matrix, and the diagonal of known columns counts as zero
+    known = (1 + F.sqrt(1 + 8 * F.count("correlation"))) / 2
+    pairs = correlation_pairs(df, numbers).agg(F.count_if(strength > high).alias("high_pairs"), F.try_divide(2 * F.sum(strength), F.when(F.count("correlation") > 0, known * known)).alias("mean_correlation"))
+    return row.crossJoin(F.broadcast(pairs))
+
+
+def discriminant(df: DataFrame, columns: list[str], label: str, k: int = 1) -> DataFrame:
+    """``axis, column_name, weight, share``: the ``k`` linear discriminants of numeric columns for the classes of ``label``.
+
+    Class sizes, means and products come from one grouped aggregate; the driver solves a problem of the size of the columns.
+    An axis has unit variance within the classes and a positive weight of largest size; ``share`` is its part of the
+    variance between the classes. Rows with a missing value or label are left out; at most classes - 1 axes exist.
+    """
+    import numpy as np
+
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    rows = null_out_nan(df.select(F.col(f"`{label}`").alias("y"), *[v.alias(f"x{i}") for i, v in enumerate(x)])).na.drop()
+    centre = [float(v or 0.0) for v in rows.agg(*[F.avg(f"x{i}") for i in range(len(columns))]).first()]  # products of values far from 0 lose digits
+    z = [F.col(f"x{i}") - centre[i] for i in range(len(columns))]
+    sums = rows.groupBy("y").agg(F.count("*").alias("n"), F.array(*[F.avg(v) for v in z]).alias("m"), F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]).alias("p")).orderBy("y").collect()  # a row for each class
+    spark, schema = df.sparkSession, "axis int, column_name string, weight double, share double"
+    if len(sums) < 2:
+        return spark.createDataFrame([], schema)
+    n, means, products = np.array([r["n"] for r in sums], float), np.array([r["m"] for r in sums]), np.zeros((len(columns),) * 2)
+    for (i, j), v in zip(pairs, np.sum([r["p"] for r in sums], axis=0), strict=True):
+        products[i, j] = products[j, i] = v
+    between = (means.T * n) @ means
+    within = (products - between) / max(n.sum() - len(n), 1.0)
+    size, turn = np.linalg.eigh(within)
+    live = size > size.max() * 1e-10
+    white = turn[:, live] / np.sqrt(size[live])
+    power, axes = np.linalg.eigh(white.T @ (between / max(len(n) - 1, 1)) @ white)
+    out = []
+    for rank, i in enumerate(np.argsort(-power)[: min(k, len(sums) - 1, int(live.sum()))]):
+        w = white @ axes[:, i]
+        w = w * np.sign(w[np.argmax(np.abs(w))])
+        out += [(rank + 1, c, float(v), float(power[i] / power.sum())) for c, v in zip(columns, w, strict=True)]
+    return spark.createDataFrame(out, schema)
+
+
+def discriminated(df: DataFrame, axes: DataFrame) -> DataFrame:
+    """``df`` with ``axis_1``, … : its rows on the axes of :func:`discriminant`, which may come from another table."""
+    rows = axes.collect()  # a row for each axis and column
+    every = sorted({r["axis"] for r in rows})
+    total = lambda a: sum((F.col(f"`{r['column_name']}`") * F.lit(r["weight"]) for r in rows if r["axis"] == a), F.lit(0.0))
+    return df.withColumns({f"axis_{a}": total(a) for a in every}) if every else df
+
+
 def expansion_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row ``before, after, ratio, complexity`` of the numbers of columns."""
     ratio = len(after.columns) / max(1, len(before.columns))

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import numeric_columns
+from tabulon.functions.stats import correlation, numeric_columns
 from tabulon.functions.storage import cut
 from tabulon.operators.clean import drop_constant_columns, drop_correlated_columns, fill_values
 from tabulon.operators.features import scale
@@ -122,6 +122,17 @@ def choose_k(df: DataFrame, columns: list[str], ks: range = range(2, 7), seed: i
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, cost double, silhouette double, elbow boolean")
 
 
+def agreed_k(choice: DataFrame, gaps: DataFrame | None = None) -> int:
+    """The number of groups that most of elbow, silhouette and gap choose (see :func:`choose_k`, :func:`gap_statistic`); the middle
+    one if each says something else, the lower of two."""
+    rows = choice.collect()  # a row for each number of groups
+    votes = [next(r["k"] for r in rows if r["elbow"]), max(rows, key=lambda r: (r["silhouette"], -r["k"]))["k"]]
+    if gaps is not None:
+        votes.append(gaps.orderBy(F.desc("gap"), "k").first()["k"])
+    most = max(votes, key=lambda k: (votes.count(k), -k))
+    return most if votes.count(most) > 1 else sorted(votes)[(len(votes) - 1) // 2]
+
+
 def gap_statistic(df: DataFrame, columns: list[str], ks: range = range(1, 6), *, references: int = 2, seed: int = 1) -> DataFrame:
     """``k, gap, spread, best``: log cost of k-means on evenly spread rows in the columns' ranges less that on ``df``; the best
     is the least k whose gap is not a standard error below the next one's."""
@@ -333,7 +344,7 @@ def anomaly_importance(df: DataFrame, columns: list[str], anomaly: str = "anomal
     from tabulon.functions.stats import spread_rows
 
     y = F.col(anomaly).cast("double")
-    row = df.agg(*[F.abs(F.corr(F.col(f"`{c}`").cast("double"), y)).alias(f"r{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[F.abs(correlation(F.col(f"`{c}`").cast("double"), y)).alias(f"r{i}") for i, c in enumerate(columns)])
     return spread_rows(row, {c: [("importance", F.coalesce(F.col(f"r{i}"), F.lit(0.0)))] for i, c in enumerate(columns)})
 
 

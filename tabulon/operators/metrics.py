@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import chi2_p, normal_two_sided, t_two_sided, with_p_value
+from tabulon.functions.stats import chi2_p, correlation, normal_two_sided, t_two_sided, with_p_value
 from tabulon.operators.clean import running_totals
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom (fixed values of the distribution).
@@ -20,7 +20,7 @@ def regression(df: DataFrame, actual: str, predicted: str, by: list[str] | None
     rows = df.where(y.isNotNull() & p.isNotNull()).groupBy(*(by or []))
     return rows.agg(
         F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), var)).alias("r2"), (100 * F.avg(F.when(y != 0, F.abs(e / y)))).alias("mape"),
-        (100 * F.avg(F.try_divide(2 * F.abs(e), F.abs(y) + F.abs(p)))).alias("smape"), F.median(F.abs(e)).alias("median_error"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), var)).alias("explained_variance"), F.corr(y, p).alias("pearson"),
+        (100 * F.avg(F.try_divide(2 * F.abs(e), F.abs(y) + F.abs(p)))).alias("smape"), F.median(F.abs(e)).alias("median_error"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), var)).alias("explained_variance"), correlation(y, p).alias("pearson"),
     )
 
 
@@ -34,7 +34,7 @@ def _mid_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row ``spearman, n``: Pearson correlation of average ranks."""
     rows = df.select(F.col(a).cast("double").alias("a_"), F.col(b).cast("double").alias("b_")).na.drop()
-    return _mid_rank(_mid_rank(rows, "a_", "ra"), "b_", "rb").agg(F.corr("ra", "rb").alias("spearman"), F.count("*").alias("n"))
+    return _mid_rank(_mid_rank(rows, "a_", "ra"), "b_", "rb").agg(correlation("ra", "rb").alias("spearman"), F.count("*").alias("n"))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.stats import correlation
 from tabulon.functions.storage import cut
 from tabulon.operators import features as E
 from tabulon.operators import metrics as V
@@ -129,7 +130,7 @@ def disagreement(tables: dict[str, DataFrame], key: str) -> DataFrame:
     names = sorted(tables)
     joined = reduce(lambda a, b: a.join(b, key), [tables[n].select(key, F.col("prediction").alias(f"p_{n}")) for n in names])
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = joined.agg(*[(1 - F.abs(F.corr(f"p_{a}", f"p_{b}"))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)])
+    row = joined.agg(*[(1 - F.abs(correlation(f"p_{a}", f"p_{b}"))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"d{i}").alias("diversity")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
 
 

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import datetime_columns, fences, null_out_nan, numeric_columns, quantiles, sample_kurtosis, sample_skewness, spread_rows, string_columns
+from tabulon.functions.stats import correlation, datetime_columns, fences, null_out_nan, numeric_columns, quantiles, sample_kurtosis, sample_skewness, spread_rows, string_columns
 
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "t", "f")
@@ -265,14 +265,14 @@ def column_profile(df: DataFrame, *, exact: bool = True) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column_a, column_b, correlation`` for each pair, in one aggregate (pairwise complete Pearson).
+    """``column_a, column_b, correlation`` for each pair, in one aggregate (pairwise complete Pearson; null beside a constant).
 
     The number of pairs grows with the square of the columns, not of the rows; up to about sixty columns fit one plan.
     """
     df = null_out_nan(df)
     columns = columns or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.when(F.col(f"`{b}`").isNotNull(), F.col(f"`{a}`")).cast("double"), F.when(F.col(f"`{a}`").isNotNull(), F.col(f"`{b}`")).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
@@ -283,7 +283,7 @@ def target_correlation(df: DataFrame, target: str) -> DataFrame:
     columns = [c for c in numeric_columns(df) if c != target]
     y = F.col(f"`{target}`").cast("double")
     both = lambda c: F.when(F.col(f"`{c}`").isNotNull() & y.isNotNull(), F.col(f"`{c}`").cast("double"))
-    row = df.agg(*[e for i, c in enumerate(columns) for e in (F.corr(both(c), y).alias(f"{i}_r"), F.count(both(c)).alias(f"{i}_n"))])
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (correlation(both(c), y).alias(f"{i}_r"), F.count(both(c)).alias(f"{i}_n"))])
     r, n = (lambda i: F.col(f"{i}_r")), (lambda i: F.col(f"{i}_n"))
     return spread_rows(row, {c: [("correlation", r(i)), ("t", F.try_divide(r(i) * F.sqrt(n(i) - 2.0), F.sqrt(1 - r(i) * r(i)))), ("n", n(i))] for i, c in enumerate(columns)})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import fences, sample_kurtosis, sample_skewness
+from tabulon.functions.stats import correlation, fences, sample_kurtosis, sample_skewness
 from tabulon.operators.clean import interpolated, keep_first
 
 #: Candidate seasons, in steps of the series.
@@ -57,7 +57,7 @@ def autocorrelation(df: DataFrame, lags: list[int] | range, series: str = "serie
     """``series, lag, acf, significant``: correlation of each series with itself some steps before, from one window pass."""
     w = _w(series, ts)
     shifted = df.select(series, F.col(y).cast("double").alias("y_"), *[F.lag(F.col(y).cast("double"), k).over(w).alias(f"l{k}") for k in lags])
-    row = shifted.groupBy(series).agg(*[F.corr(F.when(F.col(f"l{k}").isNotNull(), F.col("y_")), F.col(f"l{k}")).alias(f"r{k}") for k in lags])
+    row = shifted.groupBy(series).agg(*[correlation(F.when(F.col(f"l{k}").isNotNull(), F.col("y_")), F.col(f"l{k}")).alias(f"r{k}") for k in lags])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("acf")) for k in lags])
     return row.select(series, F.explode(pairs).alias("p")).select(series, "p.*").withColumn("significant", F.abs("acf") > 0.1)
 

@@ -32,20 +32,20 @@ def validate(df: DataFrame, *, required: list[str] | None = None, expected: dict
     return {"issues": quality.issues(df, required=required, expected=expected), "score": quality.validation_score(df)}
 
 
-def prepare(df: DataFrame, target: str | None = None, *, most_categories: int = 20) -> DataFrame:
+def prepare(df: DataFrame, target: str | None = None, *, keys: tuple[str, ...] = ()) -> DataFrame:
     """A table made ready for models: sparse and constant columns go, gaps are filled, times become parts, texts become
-    numbers (target means where there is a target), numbers are scaled."""
-    keep = (target,) if target else ()
+    numbers (target means where there is a target), numbers are scaled. Keys stay as they are."""
+    keep = (*keys, target) if target else keys
     out = clean.drop_constant_columns(clean.drop_sparse_columns(clean.drop_incomplete_rows(df, [target]) if target else df, 0.5, keep=keep))
     out = clean.fill_values(out)
-    for c in datetime_columns(out):
+    for c in [c for c in datetime_columns(out) if c not in keep]:
         out = features.datetime_features(out, c).drop(c)
-    for c in [c for c in string_columns(out) if c != target]:
+    for c in [c for c in string_columns(out) if c not in keep]:
         if target and target in numeric_columns(out):
             out = features.target_encode(out, c, target, f"{c}_mean").drop(c)
         else:
             out = features.label_encode(out, c, f"{c}_index").drop(c)
-    return features.scale(out, [c for c in numeric_columns(out) if c != target])
+    return features.scale(out, [c for c in numeric_columns(out) if c not in keep])
 
 
 def quick_drift(reference: DataFrame, current: DataFrame, categories: list[str] | None = None) -> dict[str, DataFrame]:
@@ -80,10 +80,10 @@ def analyse_texts(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def cluster(df: DataFrame, key: str, k: int | None = None) -> dict[str, DataFrame]:
-    """Groups of rows, their quality, and the figures behind the number of groups."""
+    """Groups of rows, their quality, and the figures behind the number of groups (that most criteria agree on)."""
     rows, columns = groups.prepare(df, key)
     choice = groups.choose_k(rows, columns)
-    k = k or choice.where("elbow").first()["k"]
+    k = k or groups.agreed_k(choice)
     found = groups.assign(rows, columns, k)
     return {"groups": found, "choice": choice, "quality": groups.quality(found, columns)}
 
@@ -109,6 +109,72 @@ def tabular(df: DataFrame, target: str, columns: list[str], key: str) -> dict[st
     return {"models": ranked, "predictions": scored, "baseline": metrics.baseline(scored, target, "prediction", kind), "importance": weights, "insights": insights.importance_insights(weights)}
 
 
+def engineer(df: DataFrame, target: str, *, share: float = 0.8, most: int = 50) -> dict[str, DataFrame]:
+    """Features made ready and selected: the chosen columns with the target, what was measured of each, and metrics of the result."""
+    made = prepare(df, target)
+    columns = [c for c in numeric_columns(made) if c != target]
+    numeric = target in numeric_columns(made)
+    scores = features.f_regression(made, columns, target) if numeric else features.f_scores(made, columns, target)
+    chosen = features.select_best(scores, "f", share, most)
+    data = made.select(*chosen, target)
+    return {"data": data, "scores": scores, "metrics": features.transformed_metrics(data.drop(target))}
+
+
+def train(df: DataFrame, target: str, columns: list[str], key: str, name: str = "linear", *, path: str | None = None) -> dict[str, DataFrame]:
+    """One model fitted on three quarters of the rows: predictions and metrics of the rest; saved where a path is given."""
+    kind = profile.task_type(df, target, "small").first()["task"]
+    parts = features.split(df, key, test=0.25)
+    model = models.fit(parts.where("part = 'train'"), target, columns, name, kind)
+    if path:
+        models.save(model, path)
+    scored = models.score(model, parts.where("part = 'test'").drop("part"))
+    return {"predictions": scored, **evaluate(scored, target, kind=kind)}
+
+
+def evaluate(scored: DataFrame, target: str, prediction: str = "prediction", kind: str = "regression") -> dict[str, DataFrame]:
+    """Metrics, baseline and error structure of predictions."""
+    if kind == "regression":
+        return {"metrics": metrics.regression(scored, target, prediction), "baseline": metrics.baseline(scored, target, prediction, kind), "residuals": metrics.residuals(scored, target, prediction)}
+    rows = scored.withColumn(target, F.col(target).cast("double"))
+    return {"metrics": metrics.classification(rows, target, prediction), "baseline": metrics.baseline(rows, target, prediction, kind), "classes": metrics.class_report(rows, target, prediction), "confusion": metrics.confusion(rows, target, prediction)}
+
+
+def explain(model, df: DataFrame, target: str, columns: list[str], key: str) -> dict[str, DataFrame]:
+    """What a regression model rests on: its own importances, permutation importance, dependence on the first column, insights."""
+    spark = df.sparkSession
+    weights = models.importance(model, columns)
+    own = spark.createDataFrame(weights, "feature string, importance double")
+    return {"importance": own, "permutation": models.permutation_importance(model, df, target, columns, key), "dependence": models.partial_dependence(model, df, weights[0][0], key), "insights": insights.importance_insights(own)}
+
+
+def ensemble(df: DataFrame, target: str, columns: list[str], key: str, names: list[str]) -> dict[str, DataFrame]:
+    """Models fitted on three quarters of the rows vote on the rest: the vote, its metrics, each model's, and their diversity."""
+    parts = features.split(df, key, test=0.25)
+    test = parts.where("part = 'test'").drop("part")
+    tables = {n: models.score(models.fit(parts.where("part = 'train'"), target, columns, n), test) for n in names}
+    voted = models.vote(tables, key).join(test.select(key, target), key)
+    of = lambda t, n: metrics.regression(t, target, "prediction").withColumn("model", F.lit(n))
+    ranked = of(voted, "vote")
+    for n, t in tables.items():
+        ranked = ranked.unionByName(of(t, n))
+    return {"predictions": voted, "metrics": ranked, "diversity": models.disagreement(tables, key)}
+
+
+def automl(df: DataFrame, target: str, key: str) -> dict[str, DataFrame]:
+    """From a raw table to ranked models: preparation, selection of features, comparison, the best model and its insights."""
+    made = prepare(df, target, keys=(key,))
+    columns = [c for c in numeric_columns(made) if c not in (target, key)]
+    scores = features.f_regression(made, columns, target) if target in numeric_columns(made) else features.f_scores(made, columns, target)
+    chosen = features.select_best(scores, "f")
+    return {"scores": scores, **tabular(made, target, chosen, key)}
+
+
+def report(df: DataFrame) -> dict[str, DataFrame]:
+    """What a table says by itself: insights on its facts, their confidence, and the few that matter most."""
+    found = insights.data_insights(quality.table_facts(df))
+    return {"insights": found, "confidence": insights.confidence(found), "summary": insights.summary(found), "recommendations": quality.recommendations(df)}
+
+
 def analyse(df: DataFrame, *, target: str | None = None, key: str | None = None) -> dict[str, DataFrame]:
     """What suits a table best, with its profile, quality, insights and recommendations."""
     facts = quality.table_facts(df)

@@ -116,6 +116,42 @@ def embedding_label_shares(spark, d):
     return fine(long(class_distribution(_vectors(spark, d), "label").select("label", "share"), "label"), "share", digits=6)
 
 
+_C = ["c_custkey", "c_nationkey", "c_acctbal"]
+_CORRELATIONS = [f"abs(corr({a}::DOUBLE, {b}::DOUBLE))" for i, a in enumerate(_C) for b in _C[i + 1 :]]
+
+
+@query(f"SELECT count(*) AS n_rows, 5::BIGINT AS n_columns, 0::BIGINT AS columns_with_missing, 0::BIGINT AS missing_values, 0.0::DOUBLE AS missing_ratio, 3::BIGINT AS numeric_columns, 2::BIGINT AS other_columns, {r('2.0 / 3')} AS kind_diversity, {' + '.join(f'({c} > 0.9)::BIGINT' for c in _CORRELATIONS)} AS high_pairs, {r(f'2 * ({" + ".join(_CORRELATIONS)}) / 9', 6)} AS mean_correlation FROM customer")
+def customer_transformed_metrics(spark, d):
+    out = E.transformed_metrics(table(spark, d, "customer").select(*_C, "c_name", "c_mktsegment"))
+    return fine(fine(long(out, "n_columns", "columns_with_missing", "numeric_columns", "other_columns"), "kind_diversity"), "mean_correlation", digits=6)
+
+
+_WITHIN = "c AS (SELECT label, count(*) AS n, avg(e0) AS m0, avg(e1) AS m1, var_pop(e0) * count(*) AS a, var_pop(e1) * count(*) AS b, covar_pop(e0, e1) * count(*) AS c FROM {} WHERE label < 2 GROUP BY label), w AS (SELECT sum(a) / (sum(n) - 2) AS a, sum(b) / (sum(n) - 2) AS b, sum(c) / (sum(n) - 2) AS c, max(m0) FILTER (label = 1) - max(m0) FILTER (label = 0) AS d0, max(m1) FILTER (label = 1) - max(m1) FILTER (label = 0) AS d1 FROM c), v AS (SELECT *, (b * d0 - c * d1) / (a * b - c * c) AS v0, (a * d1 - c * d0) / (a * b - c * c) AS v1 FROM w), u AS (SELECT v0 / sqrt(a * v0 * v0 + 2 * c * v0 * v1 + b * v1 * v1) AS u0, v1 / sqrt(a * v0 * v0 + 2 * c * v0 * v1 + b * v1 * v1) AS u1 FROM v), t AS (SELECT sign(CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) AS s, * FROM u)"
+
+
+@query(f"WITH {_WITHIN.format(_PAIR)} SELECT 1::BIGINT AS axis, 'e0' AS column_name, {r('s * u0')} AS weight FROM t UNION ALL SELECT 1, 'e1', {r('s * u1')} FROM t")
+def embedding_discriminant(spark, d):
+    """The axis that parts the first two labels, by two columns."""
+    out = E.discriminant(_pair(spark, d).where(F.col("cluster") < 2), ["e0", "e1"], "cluster")
+    return fine(long(out.select("axis", "column_name", "weight"), "axis"), "weight")
+
+
+@query()
+def embedding_discriminants(spark, d):
+    """Every vector on the two axes that part the labels best, by all its numbers."""
+    rows = _vectors(spark, d)
+    wide = rows.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return E.discriminated(wide, E.discriminant(wide, [f"e{i}" for i in range(64)], "label", 2)).select("vec_id", "label", "axis_1", "axis_2")
+
+
+@query()
+def order_ensemble(spark, d):
+    """What a vote of models gains over each, on the orders that are held out."""
+    from tabulon.plans.pipelines import ensemble
+
+    return ensemble(_lines(spark, d), "y", ["quantity", "price"], "key", ["linear", "tree"])["metrics"]
+
+
 @query()
 def embedding_gap(spark, d):
     return G.gap_statistic(_pair(spark, d).select("e0", "e1"), ["e0", "e1"], range(1, 4))

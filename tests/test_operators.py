@@ -100,3 +100,104 @@ def test_quantile_transform_is_monotone(spark):
     rows = features.quantile_transform(df, "x", "z", normal=True, exact=True).orderBy("x").collect()
     z = [r["z"] for r in rows]
     assert z == sorted(z) and abs(z[len(z) // 2]) < 0.05 and math.isfinite(z[0])
+
+
+def test_every_date_format_is_found_and_read(spark):
+    import datetime
+
+    when = datetime.datetime(2021, 11, 23, 14, 5, 6, 250000)
+    forms = {"yyyy": "%Y", "MMMM": "%B", "MMM": "%b", "MM": "%m", "dd": "%d", "d": "%d", "HH": "%H", "mm": "%M", "ss": "%S", "SSSSSS": "%f", "XXX": "+00:00", "'T'": "T", "'Z'": "Z"}
+    for pattern in profile.DATE_FORMATS:
+        import re
+
+        text = when.strftime(re.sub("|".join([*forms, "."]), lambda m: forms.get(m[0], m[0]), pattern))
+        df = spark.createDataFrame([(text,), (text,), (text,), (text,), (text,), ("none",)], "x string")
+        row = profile.date_format(df, "x").first()
+        assert row["format"] == pattern and row["ratio"] == pytest.approx(5 / 6)
+        got = df.select(profile.parsed_datetime(F.col("x"), pattern).alias("t")).collect()
+        assert got[0]["t"].date() == when.date() and got[5]["t"] is None
+    days = spark.createDataFrame([("Nov 3, 2021",), ("Dec 24, 2021",), (None,)], "x string")
+    assert [str(r["x"]) for r in clean.convert_types(days).collect()] == ["2021-11-03 00:00:00", "2021-12-24 00:00:00", "None"]
+
+
+def test_text_rules_on_odd_texts(spark):
+    from tabulon.operators import text
+
+    rows = [(0, None), (1, ""), (2, "short"), (3, "word word word word other. " * 3), (4, "1234 5678 9012 3456 7890 1234"), (5, "a" * 200), (6, "§§§ §§§§ plain words here and §§§")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r["doc_id"]: (r["issues"], r["score"]) for r in text.quality_issues(df).collect()}
+    assert found[0] == found[1] and found[1][0] == "too_short,few_characters,few_letters" and found[1][1] == pytest.approx(0.24)
+    assert "repeated_word" in found[3][0] and "few_letters" in found[4][0] and "few_characters" in found[5][0] and "special_characters" in found[6][0]
+    quality_of = {r["doc_id"]: r["quality"] for r in text.text_quality(df).collect()}
+    assert quality_of[0] == quality_of[1] == pytest.approx(0.4) and quality_of[5] == pytest.approx(0.75)  # halved for its one letter, then the mean with a Flesch ease over 100
+    summary = {r["issue"]: r["n"] for r in text.issue_summary(text.quality_issues(df)).collect()}
+    assert summary["too_short"] == 3
+    grown = {r["doc_id"]: r["text"] for r in text.with_insertions(df, 2).collect()}
+    assert grown[0] is None or grown[0] == ""
+    assert grown[2] == "short" and len(grown[6].split(" ")) == len(rows[6][1].split(" ")) + 2 and set(grown[6].split(" ")) == set(rows[6][1].split(" "))
+    empty = df.limit(0)
+    assert text.quality_issues(empty).count() == text.text_quality(empty).count() == text.with_insertions(empty).count() == 0
+
+
+def test_discriminants_part_classes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(m, 1, (60, 3)) * [1, 5, 1] + [0, 0, 1e4] for m in ([0, 0, 0], [4, 0, 0], [0, 3, 0])])
+    y = np.repeat([0, 1, 2], 60)
+    df = spark.createDataFrame([(int(c), *map(float, v)) for c, v in zip(y, x, strict=True)] + [(0, None, 1.0, 1.0)], "y int, a double, b double, c double")
+    got = features.discriminant(df, ["a", "b", "c"], "y", 5).toPandas()
+    w = got.pivot(index="column_name", columns="axis", values="weight").to_numpy()
+    within = sum(((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in range(3))) / (len(x) - 3)
+    assert np.allclose(w.T @ within @ w, np.eye(2), atol=1e-6) and got.groupby("axis")["share"].first().sum() == pytest.approx(1.0)
+    means = np.array([x[y == c].mean(0) for c in range(3)])
+    between = (means - x.mean(0)).T @ (means - x.mean(0))
+    assert np.allclose(w.T @ between @ w, np.diag(np.diag(w.T @ between @ w)), atol=1e-6)
+    placed = features.discriminated(df.na.drop(), features.discriminant(df, ["a", "b", "c"], "y", 2))
+    assert placed.count() == 180 and {"axis_1", "axis_2"} <= set(placed.columns)
+    assert features.discriminant(df.where("y = 0"), ["a", "b"], "y").count() == features.discriminant(df.limit(0), ["a"], "y").count() == 0
+
+
+def test_transformed_metrics_on_odd_tables(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0, "a"), (2.0, 4.0, 5.0, None), (3.0, float("nan"), 5.0, "c")], "a double, b double, c double, s string")
+    row = features.transformed_metrics(df).first()
+    assert (row["missing_values"], row["columns_with_missing"], row["high_pairs"]) == (2, 2, 1) and row["mean_correlation"] == pytest.approx(0.5)
+    assert features.transformed_metrics(df.limit(0)).first()["missing_ratio"] == 0.0 and features.transformed_metrics(df.select("s")).first()["high_pairs"] == 0
+
+
+def test_criteria_agree_on_the_number_of_groups(spark):
+    from tabulon.operators import groups
+
+    choice = spark.createDataFrame([(2, 9.0, 0.5, False), (3, 2.0, 0.9, True), (4, 1.5, 0.4, False)], "k int, cost double, silhouette double, elbow boolean")
+    gaps = spark.createDataFrame([(2, 0.9), (4, 0.1)], "k int, gap double")
+    assert groups.agreed_k(choice) == groups.agreed_k(choice, gaps) == 3
+    assert groups.agreed_k(choice.withColumn("silhouette", -F.col("silhouette")), gaps) == 3
+
+
+def test_whole_jobs(spark):
+    from tabulon.operators import models
+    from tabulon.plans import pipelines
+
+    df = spark.range(400).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.hash("id") % 100).cast("double").alias("b"), F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("g"))
+    df = df.withColumn("y", 3 * F.col("a") + F.rand(1))
+    made = pipelines.engineer(df.drop("id"), "y")
+    assert "a" in made["data"].columns and made["scores"].count() >= 2 and made["metrics"].first()["n_rows"] == 400
+    trained = pipelines.train(df, "y", ["a", "b"], "id")
+    assert trained["metrics"].first()["r2"] > 0.9 and trained["baseline"].first()["improvement"] > 0.5
+    told = pipelines.explain(models.fit(df, "y", ["a", "b"]), df, "y", ["a", "b"], "id")
+    assert told["importance"].first()["feature"] == "a" and told["dependence"].count() == 10 and told["permutation"].count() == 2
+    both = pipelines.ensemble(df, "y", ["a", "b"], "id", ["linear", "tree"])
+    assert both["metrics"].count() == 3 and both["diversity"].count() == 1
+    assert pipelines.automl(df, "y", "id")["models"].where("rank = 1").first()["test"] > 0.8
+    assert pipelines.report(df)["insights"].where("rule = 'few_rows'").count() == 1
+
+
+def test_correlations_beside_constants_are_null(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, 4.0), (3.0, 5.0, 6.0), (None, 5.0, 1.0)], "a double, b double, y double")
+    found = {(r["column_a"], r["column_b"]): r["correlation"] for r in profile.correlation_pairs(df).collect()}
+    assert found[("a", "b")] is None and found[("b", "y")] is None and found[("a", "y")] == pytest.approx(1.0)
+    rows = {r["column_name"]: r["correlation"] for r in profile.target_correlation(df, "y").collect()}
+    assert rows["b"] is None and rows["a"] == pytest.approx(1.0)
+    assert metrics.spearman(df, "b", "y").first()["spearman"] is None
+    assert clean.drop_correlated_columns(df).columns == ["a", "b"]
+    assert profile.correlation_pairs(df.limit(0)).where("correlation IS NOT NULL").count() == 0
