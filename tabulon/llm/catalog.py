@@ -6,12 +6,15 @@ from tabulon.llm.bpe import op9_bpe
 from tabulon.llm.chat import OP3_SQL, op3_chat_format
 from tabulon.llm.decontaminate import op7_decontaminate
 from tabulon.llm.html import op1_html_extract
+from tabulon.llm.pieces import op13_pieces
 from tabulon.llm.pii import op8_pii_spans
 from tabulon.llm.quality import op4_quality
 from tabulon.llm.repeats import op6_repeats
 from tabulon.llm.secrets import op10_secrets
 from tabulon.llm.simhash import op2_simhash
 from tabulon.llm.urls import op5_url_filter
+from tabulon.llm.variants import OP12_SQL, op12_variants
+from tabulon.llm.whiten import op11_whiten
 
 QUERIES: dict = {
     "op1_html_extract": op1_html_extract,
@@ -24,6 +27,9 @@ QUERIES: dict = {
     "op8_pii_spans": op8_pii_spans,
     "op9_bpe": op9_bpe,
     "op10_secrets": op10_secrets,
+    "op11_whiten": op11_whiten,
+    "op12_variants": op12_variants,
+    "op13_pieces": op13_pieces,
 }
 
-ORACLE_SQL: dict = {"op3_chat_format": OP3_SQL}
+ORACLE_SQL: dict = {"op3_chat_format": OP3_SQL, "op12_variants": OP12_SQL}
