@@ -48,15 +48,18 @@ def assign(df: DataFrame, columns: list[str], k: int, method: str = "kmeans", se
 
 
 def density_groups(df: DataFrame, key: str, columns: list[str], eps: float, least: int = 5) -> DataFrame:
-    """``key, cluster`` by density (DBSCAN) in up to three dimensions; noise is -1, a cluster is its smallest core key.
+    """``key, cluster`` by density (DBSCAN); noise is -1, a cluster is its smallest core key.
 
-    Points meet only those in their own and neighbouring cells of an eps grid; core points are linked and labelled by
-    minimum-label rounds, each checkpointed.
+    In up to three columns points meet only those in their own and neighbouring cells of an eps grid; core points are linked
+    and labelled by minimum-label rounds, each checkpointed. More columns, or one array column, go through
+    :func:`tabulon.operators.density.density_groups`.
     """
     from itertools import product
 
-    if len(columns) > 3:
-        raise ValueError("density groups take at most three columns")
+    from tabulon.operators import density
+
+    if len(columns) > 3 or dict(df.dtypes)[columns[0]].startswith("array"):
+        return density.density_groups(df, key, columns, eps, least)
     pts = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop()
     cell = lambda i: F.floor(F.col(f"x{i}") / eps)
     n = len(columns)
