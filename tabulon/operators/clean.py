@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import datetime_columns, fences, null_out_nan, numeric_columns, quantiles, string_columns
+from tabulon.functions.selection import quantile_arrays
+from tabulon.functions.stats import datetime_columns, fences, null_out_nan, numeric_columns, string_columns
 from tabulon.functions.storage import cut
 from tabulon.operators.profile import column_types, correlation_pairs, distinct_counts, missing_summary
 
@@ -103,16 +104,17 @@ def sanitise(value: Column, kind: str = "string", max_length: int = 1000) -> Col
 def _limits(df: DataFrame, columns: list[str], method: str, *, exact: bool, low: float = 0.05, high: float = 0.95, limit: float = 3.0) -> DataFrame:
     """One row with a lower and an upper limit for each column."""
     out = []
+    points = {"iqr": [0.25, 0.75], "zscore": []}.get(method, [low, high])
+    found = quantile_arrays(df, [F.col(f"`{c}`") for c in columns], points, exact=exact) if points else []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
         if method == "iqr":
-            q = quantiles(x, [0.25, 0.75], exact=exact)
+            q = found[i]
             a, b = fences(q[0], q[1], F.count(x))
         elif method == "zscore":
             a, b = F.avg(x) - limit * F.stddev_pop(x), F.avg(x) + limit * F.stddev_pop(x)
         else:
-            q = quantiles(x, [low, high], exact=exact)
-            a, b = q[0], q[1]
+            a, b = found[i][0], found[i][1]
         out += [a.alias(f"low_{i}"), b.alias(f"high_{i}")]
     return df.agg(*out)
 
@@ -164,9 +166,11 @@ def fill_values(df: DataFrame, columns: dict[str, str] | None = None, *, constan
         columns = {c: "median" if c in numbers else "last" if c in dates else "mode" for c in df.columns}
     kinds = dict(df.dtypes)
     stats = []
+    middle = [c for c, how in columns.items() if how == "median"]
+    medians = dict(zip(middle, quantile_arrays(df, [F.col(f"`{c}`") for c in middle], [0.5], exact=exact), strict=True))
     for i, (c, how) in enumerate(columns.items()):
         x = F.col(f"`{c}`")
-        value = {"mean": lambda x=x: F.avg(x), "median": lambda x=x: quantiles(x, [0.5], exact=exact)[0], "mode": lambda x=x: F.mode(x, True), "last": lambda x=x: F.max(x), "constant": lambda: F.first(F.lit(constant))}[how]()
+        value = {"mean": lambda x=x: F.avg(x), "median": lambda c=c: medians[c][0], "mode": lambda x=x: F.mode(x, True), "last": lambda x=x: F.max(x), "constant": lambda: F.first(F.lit(constant))}[how]()
         if how == "mode" and kinds[c] == "string":
             value = F.coalesce(value, F.lit("Unknown"))
         stats.append(value.alias(f"fill_{i}"))
@@ -333,7 +337,7 @@ def chronological_split(df: DataFrame, order_by: list[str], test: float = 0.2) -
     return placed.withColumn("part", F.when(F.col("position") < F.floor(F.lit(n * (1 - test))), "train").otherwise("test"))
 
 
-def _in_ranges(df: DataFrame, order_by: list) -> DataFrame:
+def in_ranges(df: DataFrame, order_by: list) -> DataFrame:
     """``df`` sorted over ranges, with the number of its range; written once, since another run may cut ranges elsewhere."""
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     return cut(ordered.withColumns({"range_": F.spark_partition_id(), "in_range_": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
@@ -352,19 +356,42 @@ def _offsets(sizes: DataFrame, name: str) -> Column:
 
 def positions(df: DataFrame, order_by: list) -> DataFrame:
     """``df`` with ``position``, 0 to n - 1 in a total order, without a window over all rows in one task."""
-    ordered = _in_ranges(df, order_by)
+    ordered = in_ranges(df, order_by)
     offset = _offsets(ordered.groupBy("range_").agg(F.count("*").alias("n_")), "n_")
     return ordered.withColumn("position", (F.col("in_range_") + offset).cast("long")).drop("range_", "in_range_")
 
 
 def running_totals(df: DataFrame, order_by: list, sums: dict[str, str]) -> DataFrame:
     """``df`` with, by new name, the sum of a column up to and with each row in the given total order, range by range."""
-    ordered = _in_ranges(df, order_by)
+    ordered = in_ranges(df, order_by)
     sizes = ordered.groupBy("range_").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     w = Window.partitionBy("range_").orderBy("in_range_").rowsBetween(Window.unboundedPreceding, 0)
     return ordered.withColumns({n: F.sum(c).over(w) + _offsets(sizes, n) for n, c in sums.items()}).drop("range_", "in_range_")
 
 
+def grouped_running_totals(df: DataFrame, key: str, order_by: list, sums: dict[str, str]) -> DataFrame:
+    """``df`` with, by new name, the sum of a column over the rows of the same ``key`` up to and with each in the given order,
+    and ``<name>_all`` over all rows of the key.
+
+    All keys lie in ranges together, so that no key is one task; the driver gets a row for each range and key that meet.
+    """
+    ordered = in_ranges(df, [key, *order_by])
+    met = ordered.groupBy("range_", key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()
+    totals: dict = {}
+    rows = []
+    for m in sorted(met, key=lambda m: m["range_"]):
+        so_far = totals.setdefault(m[key], dict.fromkeys(sums, 0))
+        rows.append((m["range_"], m[key], dict(so_far)))
+        for n in sums:
+            so_far[n] += m[n] or 0
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.groupBy().agg(*[F.sum(c).alias(n) for n, c in sums.items()]).schema}
+    schema = f"range_ int, `{key}` {dict(df.dtypes)[key]}, " + ", ".join(f"{n}_before {kinds[n]}, {n}_all {kinds[n]}" for n in sums)
+    places = df.sparkSession.createDataFrame([(r, k, *[v for n in sums for v in (so_far[n], totals[k][n])]) for r, k, so_far in rows], schema)
+    w = Window.partitionBy("range_", key).orderBy("in_range_").rowsBetween(Window.unboundedPreceding, 0)
+    found = ordered.join(F.broadcast(places), ["range_", key])
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *[e for n, c in sums.items() for e in ((F.sum(c).over(w) + F.col(f"{n}_before")).alias(n), F.col(f"{n}_all"))])
+
+
 def append_columns(left: DataFrame, left_order: list, right: DataFrame, right_order: list) -> DataFrame:
     """Columns of two tables side by side, row by row in the given total orders; the longer table's rest meets nulls.
 

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.rules import Rule, apply_rules, banded
-from tabulon.functions.stats import chi2_p, ks_p, null_out_nan, numeric_columns, quantiles, sample_kurtosis, sample_skewness, spread_rows, with_p_value
+from tabulon.functions.selection import quantile_arrays
+from tabulon.functions.stats import chi2_p, ks_p, null_out_nan, numeric_columns, sample_kurtosis, sample_skewness, spread_rows, with_p_value
+from tabulon.functions.storage import cut
+from tabulon.operators.clean import in_ranges
 
 PSI_BINS, PSI_FLOOR, PSI_LIMIT = 10, 0.001, 0.2
 WASSERSTEIN_LIMIT = JS_LIMIT = 0.1
@@ -35,9 +38,10 @@ def reference_statistics(df: DataFrame, columns: list[str] | None = None, *, exa
     df = null_out_nan(df)
     points = [i / PSI_BINS for i in range(PSI_BINS + 1)]
     aggs, parts = [], {}
+    edges = quantile_arrays(df, [F.col(f"`{c}`").cast("double") for c in columns], points, exact=exact)
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        named = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x), "least": F.min(x), "most": F.max(x), "edges": quantiles(x, points, exact=exact)}
+        named = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x), "least": F.min(x), "most": F.max(x), "edges": edges[i]}
         aggs += [e.alias(f"{i}_{n}") for n, e in named.items()]
         parts[c] = [(n, F.col(f"{i}_{n}")) for n in named]
     return spread_rows(df.agg(*aggs), parts, "feature")
@@ -60,55 +64,76 @@ def _bin(v: Column, edges: Column) -> Column:
     return F.when((at > 0) & (at < last), at)
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, *, exact: bool = True) -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, *, exact: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """``feature, psi``: population stability over ten quantile bins of the reference, shares at least 0.001.
 
-    Current values beyond the edges stay in the denominator only.
+    Current values beyond the edges stay in the denominator only. Here and below ``counts`` is :func:`both_sides` of the
+    tables, where a caller has it.
     """
     columns = columns or [c for c in numeric_columns(reference) if c in current.columns]
     edges = F.broadcast(reference_statistics(reference, columns, exact=exact).select("feature", "edges"))
-    binned = both_sides(reference, current, columns).join(edges, "feature").withColumn("bin", _bin(F.col("v"), F.col("edges")))
+    counts = both_sides(reference, current, columns) if counts is None else counts
+    binned = counts.join(edges, "feature").withColumn("bin", _bin(F.col("v"), F.col("edges"))).groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     totals = binned.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     bins = F.broadcast(reference.sparkSession.range(1, PSI_BINS + 1).select(F.col("id").cast("int").alias("bin")))
-    counts = binned.where("bin IS NOT NULL").groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    every = totals.crossJoin(bins).join(counts, ["feature", "bin"], "left")
+    every = totals.crossJoin(bins).join(binned.where("bin IS NOT NULL"), ["feature", "bin"], "left")
     share = lambda k, n: F.greatest(F.coalesce(F.try_divide(F.coalesce(k, F.lit(0)), n), F.lit(0.0)), F.lit(PSI_FLOOR))
     r, c = share(F.col("r"), F.col("nr")), share(F.col("c"), F.col("nc"))
     return every.groupBy("feature").agg(F.sum((c - r) * F.ln(c / r)).alias("psi"))
 
 
-def _cumulated(counts: DataFrame) -> DataFrame:
-    """Value counts with both empirical distribution functions."""
-    every, upto = Window.partitionBy("feature"), Window.partitionBy("feature").orderBy("v")
-    return counts.withColumns({"nr": F.sum("r").over(every), "nc": F.sum("c").over(every)}).withColumns({"fr": F.sum("r").over(upto) / F.col("nr"), "fc": F.sum("c").over(upto) / F.col("nc")})
+_PLACES = "range_ int, feature string, r0 long, c0 long, nr long, nc long, next_v double"
+
 
+def _cumulated(counts: DataFrame) -> DataFrame:
+    """Value counts with both empirical distribution functions and ``step``, the distance to the feature's next value.
 
-def ks(reference: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    Values of all features lie in ranges together, so that no feature is one task; what a range needs of the ones before and
+    behind it is a row for each range and feature that meet.
+    """
+    placed = in_ranges(counts, ["feature", "v"])
+    met = placed.groupBy("feature", "range_").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.min("v").alias("v")).collect()
+    met = sorted(met, key=lambda m: (m["feature"], m["range_"]))
+    totals: dict[str, list[int]] = {}
+    places = []
+    for m, after in zip(met, [*met[1:], None], strict=True):
+        upto = totals.setdefault(m["feature"], [0, 0])
+        same = after is not None and after["feature"] == m["feature"]
+        places.append([m["range_"], m["feature"], *upto, 0, 0, after["v"] if same else None])
+        upto[0] += m["r"]
+        upto[1] += m["c"]
+    for place in places:
+        place[4:6] = totals[place[1]]
+    found = placed.join(F.broadcast(counts.sparkSession.createDataFrame(places, _PLACES)), ["range_", "feature"])
+    w = Window.partitionBy("range_", "feature").orderBy("v")
+    part = lambda k: (F.sum(k).over(w) + F.col(f"{k}0")) / F.col(f"n{k}")
+    return found.select("feature", "v", "r", "c", "nr", "nc", part("r").alias("fr"), part("c").alias("fc"), (F.coalesce(F.lead("v").over(w), F.col("next_v")) - F.col("v")).alias("step"))
+
+
+def ks(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, *, counts: DataFrame | None = None) -> DataFrame:
     """``feature, ks, n_reference, n_current, p_value``: the largest distance of the distribution functions."""
-    found = _cumulated(both_sides(reference, current, columns)).groupBy("feature").agg(F.max(F.abs(F.col("fr") - F.col("fc"))).alias("ks"), F.first("nr").alias("n_reference"), F.first("nc").alias("n_current"))
+    counts = both_sides(reference, current, columns) if counts is None else counts
+    found = _cumulated(counts).groupBy("feature").agg(F.max(F.abs(F.col("fr") - F.col("fc"))).alias("ks"), F.first("nr").alias("n_reference"), F.first("nc").alias("n_current"))
     return with_p_value(found, "p_value", ks_p, "ks", "n_reference", "n_current")
 
 
-def wasserstein(reference: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def wasserstein(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, *, counts: DataFrame | None = None) -> DataFrame:
     """``feature, wasserstein``: on the reference's range scaled to [0, 1], the current values clipped to it."""
-    counts = both_sides(reference, current, columns)
-    every = Window.partitionBy("feature")
+    counts = both_sides(reference, current, columns) if counts is None else counts
     known = F.when(F.col("r") > 0, F.col("v"))
-    scaled = counts.withColumns({"lo": F.min(known).over(every), "hi": F.max(known).over(every)}).where("hi > lo")
+    limits = F.broadcast(counts.groupBy("feature").agg(F.min(known).alias("lo"), F.max(known).alias("hi")))
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
-    merged = scaled.groupBy("feature", x.alias("v")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    step = F.lead("v").over(Window.partitionBy("feature").orderBy("v")) - F.col("v")
-    return _cumulated(merged).withColumn("step", step).groupBy("feature").agg(F.coalesce(F.sum(F.abs(F.col("fr") - F.col("fc")) * F.col("step")), F.lit(0.0)).alias("wasserstein"))
+    merged = counts.join(limits, "feature").where("hi > lo").groupBy("feature", x.alias("v")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    return _cumulated(merged).groupBy("feature").agg(F.coalesce(F.sum(F.abs(F.col("fr") - F.col("fc")) * F.col("step")), F.lit(0.0)).alias("wasserstein"))
 
 
-def jensen_shannon(reference: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def jensen_shannon(reference: DataFrame, current: DataFrame, columns: list[str] | None = None, *, counts: DataFrame | None = None) -> DataFrame:
     """``feature, js_distance, js_divergence`` over min(50, root of the smaller count) equal bins of the joint range."""
-    counts = both_sides(reference, current, columns)
-    every = Window.partitionBy("feature")
-    placed = counts.withColumns({"lo": F.min("v").over(every), "hi": F.max("v").over(every), "nr": F.sum("r").over(every), "nc": F.sum("c").over(every)})
+    counts = both_sides(reference, current, columns) if counts is None else counts
+    spans = F.broadcast(counts.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("r").alias("nr"), F.sum("c").alias("nc")).where("hi > lo"))
     bins = F.least(F.lit(50), F.floor(F.sqrt(F.least("nr", "nc"))).cast("int"))
     at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), bins - 1).cast("int")
-    binned = placed.where("hi > lo").groupBy("feature", bins.alias("bins"), at.alias("bin")).agg((F.sum("r") / F.first("nr")).alias("p"), (F.sum("c") / F.first("nc")).alias("q"))
+    binned = counts.join(spans, "feature").groupBy("feature", bins.alias("bins"), at.alias("bin")).agg((F.sum("r") / F.first("nr")).alias("p"), (F.sum("c") / F.first("nc")).alias("q"))
     p, q = F.col("p") + 1e-10, F.col("q") + 1e-10
     total = binned.groupBy("feature").agg(F.first("bins").alias("bins"), F.count("*").alias("k"), F.sum(p).alias("sp"), F.sum(q).alias("sq"))
     empty = (F.col("bins") - F.col("k")) * 1e-10  # bins without any value count with the added share
@@ -148,8 +173,9 @@ def numeric_drift(reference: DataFrame, current: DataFrame, columns: list[str] |
 
     The score is the largest ratio of statistic and limit among the methods that found drift (KS counts as it is).
     """
-    found = ks(reference, current, columns)
-    for part in (psi(reference, current, columns), wasserstein(reference, current, columns), jensen_shannon(reference, current, columns).drop("js_divergence")):
+    counts = cut(both_sides(reference, current, columns))
+    found = ks(reference, current, columns, counts=counts)
+    for part in (psi(reference, current, columns, counts=counts), wasserstein(reference, current, columns, counts=counts), jensen_shannon(reference, current, columns, counts=counts).drop("js_divergence")):
         found = found.join(part, "feature", "left")
     tests = [("kolmogorov_smirnov", F.col("p_value") < P_LIMIT, F.col("ks")), ("psi", F.col("psi") > PSI_LIMIT, F.col("psi") / PSI_LIMIT), ("wasserstein", F.col("wasserstein") > WASSERSTEIN_LIMIT, F.col("wasserstein") / WASSERSTEIN_LIMIT), ("jensen_shannon", F.col("js_distance") > JS_LIMIT, F.col("js_distance") / JS_LIMIT)]
     score = F.greatest(*[F.coalesce(F.when(holds, value), F.lit(0.0)) for _, holds, value in tests])

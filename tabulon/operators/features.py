@@ -135,14 +135,15 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard", *, fit_on
 
     A column without spread becomes 0.
     """
-    from tabulon.functions.stats import quantiles
+    from tabulon.functions.selection import quantile_arrays
 
     train = fit_on if fit_on is not None else df
     aggs = []
+    quartiles = quantile_arrays(train, [F.col(f"`{c}`") for c in columns], [0.25, 0.5, 0.75], exact=exact) if method == "robust" else []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
         if method == "robust":
-            q = quantiles(x, [0.25, 0.5, 0.75], exact=exact)
+            q = quartiles[i]
             a, b = q[1], q[2] - q[0]
         else:
             a, b = (F.avg(x), F.stddev_pop(x)) if method == "standard" else (F.min(x), F.max(x) - F.min(x))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import quantiles
+from tabulon.functions.selection import quantile_arrays
 
 STATE = "kind string, column_name string, a double, b double"
 
@@ -22,9 +22,10 @@ def fit_numbers(df: DataFrame, columns: list[str], *, fill: str | None = "mean",
     the steps before leave; two or three aggregates over ``df``."""
     now, state = {c: F.col(f"`{c}`").cast("double") for c in columns}, None
 
-    def add(kind: str, of) -> None:
+    def add(kind: str, of, at: list[float] | None = None) -> None:
         nonlocal state
-        pairs = [of(now[c]) for c in columns]
+        found = quantile_arrays(df, list(now.values()), at, exact=exact) if at else [None] * len(columns)
+        pairs = [of(now[c], q) for c, q in zip(columns, found, strict=True)]
         found = _spread(df.agg(*[e.alias(f"{n}_{i}") for i, p in enumerate(pairs) for n, e in zip("ab", p, strict=True)]), kind, columns)
         values = {r["column_name"]: (r["a"], r["b"]) for r in found.collect()}  # a row for each column
         rows = df.sparkSession.createDataFrame([(kind, c, *map(_float, values[c])) for c in columns], STATE)
@@ -33,11 +34,13 @@ def fit_numbers(df: DataFrame, columns: list[str], *, fill: str | None = "mean",
             now[c] = _step(kind, now[c], *values[c])
 
     if fill:
-        add("fill", lambda x: (F.avg(x) if fill == "mean" else quantiles(x, [0.5], exact=exact)[0], F.lit(None)))
+        add("fill", lambda x, q: (F.avg(x) if q is None else q[0], F.lit(None)), None if fill == "mean" else [0.5])
     if clip:
-        add("clip", lambda x: (quantiles(x, [clip[0]], exact=exact)[0], quantiles(x, [clip[1]], exact=exact)[0]))
-    if scale:
-        add("scale", {"standard": lambda x: (F.avg(x), F.stddev_pop(x)), "minmax": lambda x: (F.min(x), F.max(x) - F.min(x)), "robust": lambda x: (quantiles(x, [0.5], exact=exact)[0], quantiles(x, [0.75], exact=exact)[0] - quantiles(x, [0.25], exact=exact)[0])}[scale])
+        add("clip", lambda x, q: (q[0], q[1]), list(clip))
+    if scale == "robust":
+        add("scale", lambda x, q: (q[1], q[2] - q[0]), [0.25, 0.5, 0.75])
+    elif scale:
+        add("scale", {"standard": lambda x, q: (F.avg(x), F.stddev_pop(x)), "minmax": lambda x, q: (F.min(x), F.max(x) - F.min(x))}[scale])
     return state
 
 

@@ -10,7 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import correlation, datetime_columns, fences, null_out_nan, numeric_columns, quantiles, sample_kurtosis, sample_skewness, spread_rows, string_columns
+from tabulon.functions.selection import quantile_arrays
+from tabulon.functions.stats import correlation, datetime_columns, fences, null_out_nan, numeric_columns, sample_kurtosis, sample_skewness, spread_rows, string_columns
 
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "t", "f")
@@ -90,9 +91,10 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, *, exact: b
     df = null_out_nan(df)
     columns = columns or numeric_columns(df)
     aggs, parts = [], {}
+    quartiles = quantile_arrays(df, [F.col(f"`{c}`") for c in columns], [0.25, 0.5, 0.75], exact=exact)
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
-        named = {"n": F.count(x), "null_count": F.count_if(x.isNull()), "min_value": F.min(x).cast("double"), "max_value": F.max(x).cast("double"), "mean_value": F.avg(x).cast("double"), "std_value": F.stddev_samp(x), "skewness": sample_skewness(x.cast("double")), "kurtosis": sample_kurtosis(x.cast("double")), "q": quantiles(x, [0.25, 0.5, 0.75], exact=exact)}
+        named = {"n": F.count(x), "null_count": F.count_if(x.isNull()), "min_value": F.min(x).cast("double"), "max_value": F.max(x).cast("double"), "mean_value": F.avg(x).cast("double"), "std_value": F.stddev_samp(x), "skewness": sample_skewness(x.cast("double")), "kurtosis": sample_kurtosis(x.cast("double")), "q": quartiles[i]}
         aggs += [e.alias(f"{i}_{n}") for n, e in named.items()]
         held = lambda n, i=i: F.col(f"{i}_{n}")
         parts[c] = [*[(n, held(n)) for n in named if n != "q"], *[(n, held("q")[k]) for k, n in enumerate(("q1", "median", "q3"))]]
@@ -143,26 +145,21 @@ def _parses_as_datetime(x: Column) -> Column:
 def column_types(df: DataFrame, *, compat: bool = False) -> DataFrame:
     """``column_name, logical_type``: numeric, id, categorical, datetime, boolean or text, judged on all rows.
 
-    Digit strings are numeric before they can be dates. One pass for the parse ratios, one count of distinct values.
+    Digit strings are numeric before they can be dates. One count of values; each distinct text is parsed once.
     """
     kinds = dict(df.dtypes)
     texts, numbers, dates = string_columns(df), numeric_columns(df), datetime_columns(df)
-    named = {}
-    for i, c in enumerate(df.columns):
-        x = F.col(f"`{c}`")
-        named[f"{i}_n"] = F.count(x)
-        if c in texts:
-            t = F.trim(x)
-            named |= {f"{i}_email": F.count_if(x.rlike(EMAIL)), f"{i}_number": F.count_if(x.try_cast("double").isNotNull()), f"{i}_date": F.count_if(_parses_as_datetime(x)), f"{i}_bool": F.count_if(F.lower(t).isin(*BOOLEAN_WORDS)), f"{i}_length": F.avg(F.char_length(x))}
-    row = df.agg(F.count("*").alias("rows_"), *[e.alias(n) for n, e in named.items()])
-    none = F.lit(None).cast("double")
-    share = lambda i, what: F.try_divide(F.col(f"{i}_{what}"), F.col(f"{i}_n")).cast("double")
-    parts = {}
-    for i, c in enumerate(df.columns):
-        is_text = c in texts
-        kind = "datetime" if c in dates else "boolean" if kinds[c] == "boolean" else "number" if c in numbers else "string" if is_text else "other"
-        parts[c] = [("kind", F.lit(kind)), ("named_id", F.lit(named_as_id(c, compat=compat))), ("n", F.col(f"{i}_n")), ("n_rows", F.col("rows_")), *[(w, share(i, w) if is_text else none) for w in ("email", "number", "date", "bool")], ("length", F.col(f"{i}_length") if is_text else none)]
-    facts = spread_rows(row, parts).join(distinct_counts(df), "column_name")
+    x, is_text = F.col("value"), F.col("column_name").isin(*texts) if texts else F.lit(False)
+    weighed = lambda holds: F.sum(F.when(is_text & holds, F.col("n")).otherwise(0))
+    judged = value_counts(df).groupBy("column_name").agg(
+        F.count("*").alias("unique_count"), F.sum("n").alias("n"), weighed(x.rlike(EMAIL)).alias("email_"), weighed(x.try_cast("double").isNotNull()).alias("number_"), weighed(_parses_as_datetime(x)).alias("date_"),
+        weighed(F.lower(F.trim(x)).isin(*BOOLEAN_WORDS)).alias("bool_"), F.sum(F.when(is_text, F.char_length(x) * F.col("n"))).alias("length_"),
+    )
+    kind = lambda c: "datetime" if c in dates else "boolean" if kinds[c] == "boolean" else "number" if c in numbers else "string" if c in texts else "other"
+    every = df.sparkSession.createDataFrame([(c, kind(c), named_as_id(c, compat=compat)) for c in df.columns], "column_name string, kind string, named_id boolean")
+    share = lambda c: F.when(F.col("kind") == "string", F.try_divide(F.col(c), F.col("n")).cast("double"))
+    facts = every.join(judged, "column_name", "left").na.fill(0, ["unique_count", "n"]).crossJoin(F.broadcast(df.agg(F.count("*").alias("n_rows"))))
+    facts = facts.withColumns({"email": share("email_"), "number": share("number_"), "date": share("date_"), "bool": share("bool_"), "length": share("length_")})
     unique = F.coalesce(F.try_divide("unique_count", "n_rows"), F.lit(0.0))
     decided = (
         F.when(F.col("n") == 0, "text").when(F.col("kind").isin("datetime", "boolean"), F.col("kind")).when(F.col("kind") == "other", "text")
