@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.stats import chi2_p, correlation, normal_two_sided, t_two_sided, with_p_value
-from tabulon.operators.clean import running_totals
+from tabulon.operators.clean import grouped_running_totals, running_totals
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom (fixed values of the distribution).
 T_95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045)
@@ -82,6 +82,45 @@ def ranking_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return curve.crossJoin(F.broadcast(loss))
 
 
+def _by_class(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
+    """``class, y, s``: for each row with a known class and score, one row for each class of ``scores`` (class: column)."""
+    y = F.col(f"`{actual}`").cast("string")
+    each = F.array(*[F.struct(F.lit(c).alias("class"), (y == c).cast("long").alias("y"), F.col(f"`{s}`").cast("double").alias("s")) for c, s in scores.items()])
+    return df.where(y.isNotNull()).select(F.explode(each).alias("r")).select("r.*").where(F.col("s").isNotNull() & ~F.isnan("s"))
+
+
+def class_curves(df: DataFrame, actual: str, scores: dict[str, str]) -> DataFrame:
+    """``class, positives, n, roc_auc, average_precision, brier``: each class against the rest, ties exact.
+
+    ``scores`` names the score column of each class. Values of all classes are counted once and placed in ranges together;
+    a class without positives or without others has no area (null).
+    """
+    rows = _by_class(df, actual, scores)
+    counted = rows.groupBy("class", "s").agg(F.sum("y").alias("p"), F.count("*").alias("k"))
+    c = grouped_running_totals(counted, "class", [F.desc("s")], {"tp": "p", "upto": "k"})
+    negatives = F.col("k") - F.col("p")
+    area = F.sum(negatives * (F.col("tp") - F.col("p") / 2))
+    precision = F.sum(F.try_divide(F.col("p"), F.col("tp_all")) * F.col("tp") / F.col("upto"))
+    square = F.sum(F.col("p") * (1 - F.col("s")) * (1 - F.col("s")) + negatives * F.col("s") * F.col("s"))
+    a = c.groupBy("class").agg(F.first("tp_all").alias("positives"), F.first("upto_all").alias("n"), area.alias("a_"), precision.alias("average_precision"), square.alias("b_"))
+    return a.select("class", "positives", "n", F.try_divide("a_", F.col("positives") * (F.col("n") - F.col("positives"))).alias("roc_auc"), "average_precision", (F.col("b_") / F.col("n")).alias("brier"))
+
+
+def class_curve_means(curves: DataFrame) -> DataFrame:
+    """One row: macro means and means weighted by positives of the areas and precisions of :func:`class_curves`."""
+    weighted = lambda c: F.try_divide(F.sum(F.col(c) * F.col("positives")), F.sum(F.when(F.col(c).isNotNull(), F.col("positives"))))
+    return curves.agg(F.avg("roc_auc").alias("roc_auc_macro"), weighted("roc_auc").alias("roc_auc_weighted"), F.avg("average_precision").alias("average_precision_macro"), weighted("average_precision").alias("average_precision_weighted"))
+
+
+def calibration(df: DataFrame, actual: str, scores: dict[str, str], bins: int = 10) -> DataFrame:
+    """``class, bin, n, mean_score, share, error``: scores in equal bins of [0, 1] against the share of rows of the class;
+    ``error`` is the class's expected calibration error, on each of its rows. One aggregate."""
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("s") * bins))).cast("int")
+    binned = _by_class(df, actual, scores).groupBy("class", at.alias("bin")).agg(F.count("*").alias("n"), F.avg("s").alias("mean_score"), F.avg("y").alias("share"))
+    every = Window.partitionBy("class")  # at most ``bins`` rows of each class
+    return binned.withColumn("error", F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("share"))).over(every) / F.sum("n").over(every))
+
+
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: mean, deviation, skewness and kurtosis (both biased) of the residuals, and the share beyond both fences."""
     e = (F.col(actual) - F.col(predicted)).cast("double")

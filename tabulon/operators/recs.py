@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.storage import cut
+
 
 def prepare(df: DataFrame, user: str, item: str, rating: str, *, least_user: int = 5, least_item: int = 5) -> DataFrame:
     """``user, item, rating``: one row for each pair (the first by rating), of active users and items."""
@@ -128,6 +130,50 @@ def factorise(ratings: DataFrame, *, rank: int = 10, rounds: int = 5, implicit:
     return model.transform(rows).crossJoin(mean).select("user", "item", F.coalesce(F.nanvl("prediction", F.col("mean_")), "mean_").cast("double").alias("score"))
 
 
+def biases(ratings: DataFrame, *, rounds: int = 3, damping: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mean rating (one row ``mean``), ``user, user_bias`` and ``item, item_bias``.
+
+    Items first, then users, each from what the mean and the other side leave, summed over the ratings plus ``damping``, in
+    turn for ``rounds``; so that a side with few ratings stays near 0. Two joins and two sums for each round.
+    """
+    mean = cut(ratings.agg(F.avg("rating").alias("mean")))
+    rows = ratings.crossJoin(F.broadcast(mean)).select("user", "item", (F.col("rating") - F.col("mean")).alias("d"))
+    side = lambda left, key: cut(left.groupBy(key).agg((F.sum("d") / (F.count("*") + damping)).alias(f"{key}_bias")))
+    less = lambda known, key: rows.join(known, key).withColumn("d", F.col("d") - F.col(f"{key}_bias"))
+    items = side(rows, "item")
+    users = side(less(items, "item"), "user")
+    for _ in range(rounds - 1):
+        items = side(less(users, "user"), "item")
+        users = side(less(items, "item"), "user")
+    return mean, users, items
+
+
+def biased_scores(pairs: DataFrame, mean: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs`` with ``score``: the mean and both biases; users and items not seen have none."""
+    known = pairs.join(users, "user", "left").join(items, "item", "left").crossJoin(F.broadcast(mean))
+    return known.select(*[F.col(f"`{c}`") for c in pairs.columns], (F.col("mean") + F.coalesce("user_bias", F.lit(0.0)) + F.coalesce("item_bias", F.lit(0.0))).alias("score"))
+
+
+def factorise_biased(ratings: DataFrame, asked: DataFrame | None = None, *, rank: int = 10, rounds: int = 5, bias_rounds: int = 3, damping: float = 10.0, regularisation: float = 0.5, seed: int = 42) -> DataFrame:
+    """``user, item, score`` of ``asked`` pairs (by default those rated): mean, biases, and factors of what these leave.
+
+    The factors are alternating least squares over the residuals, in units of their deviation, so that they needn't carry how
+    users and items rate in general; a user or item without factors keeps mean and biases. ``bias_rounds=0`` leaves the
+    biases out.
+    """
+    from pyspark.ml.recommendation import ALS
+
+    asked = (ratings if asked is None else asked).select("user", "item")
+    mean, users, items = biases(ratings, rounds=bias_rounds, damping=damping)
+    as_ids = lambda df, *more: df.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), *more)
+    left = as_ids(biased_scores(ratings.select("user", "item", "rating"), mean, users, items), (F.col("rating") - F.col("score")).alias("rating"))
+    unit = left.agg(F.stddev_pop("rating")).first()[0] or 1.0
+    left = left.withColumn("rating", F.col("rating") / unit)
+    model = ALS(rank=rank, maxIter=rounds, regParam=regularisation, userCol="user", itemCol="item", ratingCol="rating", seed=seed, coldStartStrategy="nan").fit(left)
+    found = model.transform(as_ids(biased_scores(asked, mean, users, items), "score"))
+    return found.select("user", "item", (F.col("score") + unit * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0))).cast("double").alias("score"))
+
+
 def blend(parts: dict[str, tuple[DataFrame, float]], how: str = "average") -> DataFrame:
     """``user, item, score`` from several score tables: weighted ``average``, ``rank`` fusion (1 / (mean rank + 1)) or ``sum``."""
     rows = None

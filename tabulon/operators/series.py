@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import correlation, fences, sample_kurtosis, sample_skewness
+from tabulon.functions.stats import correlation, fences, sample_kurtosis, sample_skewness, t_two_sided, with_p_value
 from tabulon.operators.clean import interpolated, keep_first
 
 #: Candidate seasons, in steps of the series.
@@ -130,6 +130,130 @@ def decomposition_strength(parts: DataFrame, series: str = "series", y: str = "y
     return parts.groupBy(series).agg(share("trend").alias("trend_strength"), share("seasonal").alias("seasonal_strength"), share("residual").alias("residual_strength"))
 
 
+def trend_test(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:
+    """``series, slope, intercept, r2, n, t, p_value, trend``: the line over the positions, Student's t of its slope with its
+    two-sided p-value, and ``increasing`` or ``decreasing`` only where that is below 0.05. Fewer than three values: null."""
+    x = F.col(y).cast("double")
+    fit = indexed(df, series, ts).groupBy(series).agg(F.regr_slope(x, "t").alias("slope"), F.regr_intercept(x, "t").alias("intercept"), F.regr_r2(x, "t").alias("r2"), F.regr_sxx(x, "t").alias("sxx"), F.regr_syy(x, "t").alias("syy"), F.count(x).alias("n"))
+    rest = F.when(F.col("n") > 2, F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")) / (F.col("n") - 2))
+    tested = with_p_value(fit.withColumns({"t": F.try_divide("slope", F.sqrt(rest / F.col("sxx"))), "dof_": F.col("n") - 2}), "p_value", t_two_sided, "t", "dof_")
+    known = F.when(F.col("p_value").isNull() | (F.col("p_value") >= 0.05), "none").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
+    return tested.select(series, "slope", "intercept", "r2", "n", "t", "p_value", known.alias("trend"))
+
+
+#: MacKinnon's response surfaces for one series with a constant, by level (fixed values): limit = a + b/n + c/n^2 + d/n^3.
+ADF_LIMITS = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
+#: Critical values of the KPSS statistic around a level, by level (fixed values).
+KPSS_LIMITS = {0.10: 0.347, 0.05: 0.463, 0.025: 0.574, 0.01: 0.739}
+
+
+def _least_squares(gram, m: float, p: int):
+    """t of the second regressor and the residual sum of squares, from products of (1, x, d1 .. dp, d) over ``m`` rows."""
+    import numpy as np
+
+    k = p + 2
+    a, b = gram[:k, :k], gram[:k, -1]
+    if m <= k or np.linalg.matrix_rank(a) < k:
+        return None, None
+    inverse = np.linalg.inv(a)
+    beta = inverse @ b
+    rss = max(0.0, float(gram[-1, -1] - beta @ b))
+    error = (rss / (m - k) * inverse[1, 1]) ** 0.5
+    return (float(beta[1] / error) if error > 0 else None), rss
+
+
+def adf(df: DataFrame, lags: int | None = None, most: int = 12, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:
+    """``series, lags, n, adf, limit_1, limit_5, limit_10, p_value, stationary``: the augmented Dickey-Fuller test with a
+    constant; ``lags=None`` takes the number up to ``most`` with the least Akaike criterion, all on the same rows.
+
+    The products of the level, the lagged differences and the difference are summed in one aggregate for each series; only
+    those small matrices meet Python. ``p_value`` lies between 0.01 and 0.1 by interpolation of the critical values and is
+    cut there. Too few rows or a constant series: null.
+    """
+    import numpy as np
+    import pandas as pd
+
+    p = most if lags is None else lags
+    w = _w(series, ts)
+    centred = F.col(y).cast("double") - F.avg(F.col(y).cast("double")).over(Window.partitionBy(series))
+    rows = df.select(series, ts, centred.alias("y_")).withColumn("x_", F.lag("y_").over(w)).withColumn("d_", F.col("y_") - F.col("x_"))
+    rows = rows.withColumns({f"d{i}_": F.lag("d_", i).over(w) for i in range(1, p + 1)})
+    names = ["one_", "x_", *[f"d{i}_" for i in range(1, p + 1)], "d_"]
+    rows = rows.withColumn("one_", F.lit(1.0))
+    # with lags to choose from, all fits use the rows that have all lags; the chosen one then uses every row that it can
+    uses = sorted({p} if lags is not None else {p, *range(p + 1)})
+    sums = []
+    for q in uses:
+        known = F.col(f"d{q}_").isNotNull() if q else F.col("x_").isNotNull()
+        mine = [*names[: q + 2], "d_"]
+        sums += [F.array(*[F.coalesce(F.sum(F.when(known, F.col(a) * F.col(b))), F.lit(0.0)) for i, a in enumerate(mine) for b in mine[i:]]).alias(f"g{q}")]
+    grams = rows.groupBy(series).agg(*sums, F.count("d_").alias("m_"))
+
+    def matrix(flat, k: int):
+        out = np.zeros((k, k))
+        out[np.triu_indices(k)] = flat
+        return out + np.triu(out, 1).T
+
+    def solve(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                held = {q: matrix(getattr(r, f"g{q}"), q + 3) for q in uses}
+                best = p
+                if lags is None:
+                    full, m = held[p], held[p][0, 0]
+                    found = []
+                    for q in range(p + 1):
+                        keep = [*range(q + 2), p + 2]
+                        rss = _least_squares(full[np.ix_(keep, keep)], m, q)[1]
+                        if rss:
+                            found.append((m * np.log(rss / m) + 2 * (q + 2), q))
+                    best = min(found)[1] if found else 0
+                t, _ = _least_squares(held[best], held[best][0, 0], best)
+                out.append((r[0], best, int(held[best][0, 0]), t))
+            yield pd.DataFrame(out, columns=[series, "lags", "n", "adf"]).astype({"adf": "float64"})
+
+    kind = dict(df.dtypes)[series]
+    found = grams.mapInPandas(solve, f"`{series}` {kind}, lags int, n long, adf double").withColumn("adf", F.when(~F.isnan("adf"), F.col("adf")))
+    limit = lambda a: sum((F.lit(c) / F.pow(F.col("n").cast("double"), F.lit(float(i))) for i, c in enumerate(ADF_LIMITS[a])), F.lit(0.0))
+    limits = {f"limit_{int(a * 100)}": F.when(F.col("n") > 0, limit(a)) for a in sorted(ADF_LIMITS)}
+    return found.withColumns(limits).withColumns({"p_value": _between("adf", [("limit_1", 0.01), ("limit_5", 0.05), ("limit_10", 0.10)]), "stationary": F.col("adf") < F.col("limit_5")})
+
+
+def _between(statistic: str, points: list[tuple]) -> Column:
+    """A p-value by linear interpolation among (critical value, level) in rising order of the value, cut at both ends."""
+    at = [(F.col(v) if isinstance(v, str) else F.lit(v), p) for v, p in points]
+    x = F.col(statistic)
+    out = F.lit(at[-1][1])
+    for (a, p), (b, q) in reversed(list(zip(at, at[1:], strict=False))):
+        out = F.when(x <= b, p + (q - p) * (x - a) / (b - a)).otherwise(out)
+    return F.when(x.isNotNull(), F.when(x <= at[0][0], at[0][1]).otherwise(out))
+
+
+def kpss(df: DataFrame, lags: int | None = None, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:
+    """``series, lags, n, kpss, p_value, stationary``: the test around a level with Bartlett's weights over ``lags``, by default
+    the next whole number of 12 (n / 100)^(1/4) for each series. ``p_value`` is interpolated and cut at 0.01 and 0.1.
+
+    Products with each lag are counted in one aggregate; the largest default of all series bounds the lags looked at.
+    """
+    w = _w(series, ts)
+    value = F.col(y).cast("double")
+    rows = df.select(series, ts, value.alias("y_")).where("y_ IS NOT NULL").withColumn("e_", F.col("y_") - F.avg("y_").over(Window.partitionBy(series)))
+    rows = rows.withColumn("s_", F.sum("e_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    auto = F.ceil(12 * F.pow(F.col("n") / 100.0, F.lit(0.25))).cast("int")
+    if lags is None:
+        most = df.where(value.isNotNull()).groupBy(series).agg(F.count("*").alias("n")).agg(F.max(F.least(auto, F.greatest(F.col("n") - 1, F.lit(0)))).alias("m")).first()["m"] or 0
+    else:
+        most = lags
+    rows = rows.withColumns({f"e{k}_": F.lag("e_", k).over(w) for k in range(1, most + 1)})
+    sums = rows.groupBy(series).agg(F.count("*").alias("n"), F.sum(F.col("s_") * F.col("s_")).alias("ss_"), F.sum(F.col("e_") * F.col("e_")).alias("g0"), *[F.coalesce(F.sum(F.col("e_") * F.col(f"e{k}_")), F.lit(0.0)).alias(f"g{k}") for k in range(1, most + 1)])
+    own = F.least(auto, F.greatest(F.col("n") - 1, F.lit(0))).cast("int") if lags is None else F.lit(lags)
+    weighted = sum((F.when(F.lit(k) <= F.col("lags"), 2 * (1 - k / (F.col("lags") + 1.0)) * F.col(f"g{k}")).otherwise(0.0) for k in range(1, most + 1)), F.col("g0"))
+    found = sums.withColumn("lags", own).withColumn("kpss", F.try_divide("ss_", F.col("n") * weighted))
+    points = sorted((v, p) for p, v in KPSS_LIMITS.items())
+    return found.select(series, "lags", "n", "kpss").withColumns({"p_value": _between("kpss", points), "stationary": F.col("kpss") < KPSS_LIMITS[0.05]})
+
+
 def stationarity(df: DataFrame, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:
     """``series, adf, kpss, stationary``: Dickey-Fuller t (constant, no lags) and KPSS (level, no lags) statistics.
 
