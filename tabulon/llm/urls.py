@@ -27,24 +27,35 @@ xxx-tube sex-cams hot-adult-chat porn-free nude-pics escort-city live-sex-girls
 backlink-farm click-farm traffic-spam seo-spam-network free-money-fast payday-loans quick-loan-now crypto-doubler bitcoin-profit
 get-rich-now work-from-home-cash fake-watches replica-bags cheap-replica cheap-followers buy-likes warez-world crack-keygen
 serial-crackz torrent-movies free-iphone-win lottery-winner prize-claim malware-drop phish-login hacked-accounts account-verify
-ads-server ad-tracker track-pixel banner-ads popup-ads-network""".split()
+ads-server ad-tracker track-pixel banner-ads popup-ads-network discount-pharmacy canadian-meds weight-loss-pills buy-pills-now
+cheap-viagra-store keto-diet-offer bonus-casino blackjack-table jackpot-city lucky-slots betting-tips-vip football-bets hot-singles
+adult-dating sexy-girls-online nude-live-chat xxx-movies free-sex-clips cash-advance instant-loan-approval double-your-money
+forex-profit-bot crypto-giveaway win-free-gift prize-winner free-giftcards replica-handbags fake-designer-shop followers-for-sale
+buy-backlinks spam-mailer mass-mail-sender pirate-movies cracked-software keygen-download free-serials phishing-kit account-hack
+virus-alert-fix click-tracker ads-exchange popunder-ads""".split()
 ALLOWED_SITES = """news daily-news evening-post weather-report city-library university-press science-journal health-clinic museum
 gardening recipes travel-guide history-notes open-data docs wiki forum photo-blog tech-review music-school sports-club car-repair
-bookshop kindergarten town-council river-walk mountain-hut hiking chess-club bakery farm-shop organic-farm bike-rental film-review
+bookshop kindergarten town-council river-walk mountain-hut hiking chess-club bakery organic-farm bike-rental film-review
 language-course school-paper pharmacy-museum green-energy north-harbour castle-tours stone-bridge old-mill silver-lake blue-heron
 winter-sports summer-camp lighthouse orchard violin-makers astronomy geology ornithology mathematics linguistics theatre opera
 cathedral monastery railway tramway airport ferry-lines post-office fire-brigade parliament ministry embassy statistics archive
 almanac dictionary thesaurus encyclopedia atlas herald tribune gazette chronicle observer courier sentinel ledger register
 bibliotheque jardin-botanique cuisine-facile marche-du-livre bahnhof stadtwerke buchhandlung wetterdienst gemeinde ayuntamiento
-biblioteca periodico senderismo cocina-casera anderson-law thornton-dairy wintershall ernst-meier theodor-storm anthem-choir the-morning-paper nothing-but-truth fourth-street smith-and-sons
-another-thing earth-and-water bath-house north-south-line motion-pictures station-master education-first nations-in-brief traditions
-that-was-then with-or-without father-and-son leather-works weather-station rhythm-and-song breath-of-air health-nation path-finder
-thoughts-on-art the-hour the-inner-garden here-and-there reading-room evening-hour rest-and-read heron-island eden-house sheridan-court
-marathon-men authority-control method-in-theory youth-orchestra month-by-month truth-and-reason action-group section-nine mention-of-honour
-intention question-time relation-theory edition-press ration-book notion-of-space the-throne thirty-three thorough-thinking""".split()
+biblioteca periodico senderismo cocina-casera bluebird-cafe lakeside-dental maple-carpentry pixel-studio quiet-rooms red-barn-music
+garden-centre plumbing-supplies hardware-store furniture-maker coffee-roasters tea-house pottery-class knitting-circle dance-academy
+swimming-pool rowing-club cycling-routes marathon-training yoga-studio veterinary-practice animal-shelter bee-keeping dog-training
+horse-riding sailing-school fishing-report camping-site youth-hostel guest-rooms city-map bus-timetable road-works parking-guide
+tax-office job-board career-advice law-firm notary insurance-advice housing-cooperative real-estate architects structural-engineering
+physics-lab chemistry-teacher biology-notes economics-review philosophy-today poetry-magazine short-stories comics-archive radio-drama
+jazz-festival choir-practice guitar-lessons piano-tuning film-club photo-contest art-gallery design-week fashion-blog recipe-box
+vegan-kitchen wine-cellar cheese-dairy fruit-growers seed-bank tree-nursery forest-rangers wind-turbines solar-roof water-board
+recycling-centre volunteer-fund scout-group parish-church""".split()
 #: Pages of every kind of site; those of the blocked ones besides.
-PREFIXES = (("", "com"), ("www.", "net"), ("m.", "org"), ("blog.", "com"))
-PATHS = ("/", "/about", "/en/12", "/de/301.html", "/fr/88/", "/es/77", "/index.html", "/2020/05/")
+PREFIXES, ENDINGS = ("", "www.", "m.", "blog."), ("com", "net", "org")
+PATHS = (
+    "/", "/about", "/contact.html", "/index.php", "/news/2021/03/annual-report", "/products/item-4471", "/articles/how-to-plant-roses", "/docs/guide/install", "/team/maria", "/search",
+    "/events/summer", "/2019/11/24/first-snow", "/category/tools", "/blog/post-88", "/images/map.png", "/impressum",
+)
 BLOCKED_PATHS = ("/buy/cheap", "/win/now", "/casino/bonus", "/xxx/12")
 
 
@@ -110,10 +121,10 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table (site, url, label): label 1 is to be blocked. Its size is fixed."""
     rows = []
     for label, sites, more in ((1, BLOCKED_SITES, BLOCKED_PATHS), (0, ALLOWED_SITES, ())):
-        for i, site in enumerate(sites):
-            for j, (pre, end) in enumerate(PREFIXES):
-                rows.append((site, f"http://{pre}{site}.example.{end}{PATHS[(i + 3 * j) % len(PATHS)]}", label))
-            rows += [(site, f"https://{site}.example.net{path}", label) for path in more]
+        for i, site in enumerate(sites):  # no ending goes with one label
+            for j, pre in enumerate(PREFIXES):
+                rows.append((site, f"http://{pre}{site}.example.{ENDINGS[(i + j) % len(ENDINGS)]}{PATHS[(i + 3 * j) % len(PATHS)]}", label))
+            rows += [(site, f"https://{site}.example.{ENDINGS[(i + j) % len(ENDINGS)]}{path}", label) for j, path in enumerate(more)]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{site}', '{url}', {label})" for site, url, label in rows) + " AS t(site, url, label)")
 
 
