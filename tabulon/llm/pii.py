@@ -63,12 +63,16 @@ AREAS = """201 202 205 206 212 213 214 215 216 301 303 305 310 312 313 314 315 3
 #: Words before a span that speak for personal data and against, and words after it that speak against.
 FOR = r"(?i)(?:phone|tel|telefon|téléphone|teléfono|mobile|cell|fax|call|ssn|social security|passport|iban|account|konto|compte|cuenta|card|karte|tarjeta|carte|dob|born|name|named|contact|contacto|signed|patient|client|herr|frau|mr|mrs|ms|dr|prof|señor|señora|madame|monsieur)\.?(?: (?:number|no|is|at|by))?:?\x20*$"
 AGAINST = r"(?i)(?:isbn|issn|version|page|pages|pp|vol|volume|chapter|figure|fig|table|year|years|price|total|item|order|model|serial|room|part|street|saint|san|st|in|near|of|on)\.?:?\x20*$"
+#: Articles and the like, of the four languages, which don't stand before a person's name.
+ARTICLES = r"(?i)(?<![\p{L}\p{N}])(?:the|a|an|our|your|my|his|its|their|this|that|these|those|every|each|some|any|no|to|into|at|from|der|die|das|den|dem|des|ein|eine|einen|le|la|les|l'|un|une|du|au|aux|el|los|las|una|del|al)\x20$"
 AFTER = r"(?i)^\x20?(?:%|€|\$|kg|km|mm|cm|mb|gb|hz|usd|eur|euros?|dollars?|pages?|inc|ltd|gmbh|street|avenue|road|river|lake|university|museum|park|city)\b"
 STRICT = r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\)[\x20-]?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|(?:[0-9]{2}[\x20]){4}[0-9]{2}|[0-9]{4}(?:[\x20-][0-9]{4}){3})$"
 LOOSE = r"^(?:[0-9]{4}[-.][0-9]{2}(?:[-.][0-9]{2})?|[0-9]{4}[\x20-][0-9]{4}|[0-9]{2}[.-][0-9]{2}|[0-9]{1,3}(?:[\x20.][0-9]{3})+|97[89]-?.*)$"
 LABELERS = ("shape", "gazetteer", "check", "context")
 #: First guesses of the labelers' shares of right votes, by kind; sums rarely come out right or wrong by chance.
-GUESS = {"number": (0.85, 0.85, 0.97, 0.85), "name": (0.85, 0.85, 0.85, 0.85)}
+GUESS = {"number": (0.85, 0.85, 0.97, 0.85), "name": (0.6, 0.85, 0.85, 0.95)}
+#: What those shares are at most. Two capitalised words alone say little: titles and places look the same.
+MOST = {"number": (0.99, 0.99, 0.99, 0.99), "name": (0.7, 0.99, 0.99, 0.99)}
 
 
 def marked(text: Column, pattern: str, gate: str) -> Column:
@@ -193,7 +197,8 @@ def _name_features(span: Column) -> Column:
     shape = _vote(initial | (~begins & ~short & (first != last)), (first == last) | short)
     given = _vote(first.isin(GIVEN), first.isin(PLACES))
     family = _vote(last.isin(FAMILY), last.isin(PLACES))
-    context = _vote(span["before"].rlike(FOR), span["before"].rlike(AGAINST) | span["after"].rlike(AFTER) | span["after"].rlike(r"^\x20\p{Lu}\p{Ll}"))
+    against = span["before"].rlike(AGAINST) | span["before"].rlike(ARTICLES) | span["after"].rlike(AFTER) | span["after"].rlike(r"^\x20\p{Lu}\p{Ll}")
+    context = _vote(span["before"].rlike(FOR), against)
     size = F.when(F.char_length(span["match"]) > 14, "l").otherwise("s")
     return F.concat(shape, given, family, context, size, F.when(initial, "i").otherwise("o"), F.when(begins, "b").otherwise("m"))
 
@@ -241,12 +246,12 @@ class SpanModel:
     threshold: float = 0.6
 
 
-def fit_kind(counts: dict[str, int], guess: tuple[float, ...] = GUESS["name"], *, rounds: int = 60, steps: int = 800, prior: float = 0.2, sure: float = 20.0) -> KindModel:
+def fit_kind(counts: dict[str, int], guess: tuple[float, ...] = GUESS["name"], most: tuple[float, ...] = MOST["name"], *, rounds: int = 60, steps: int = 800, prior: float = 0.2, sure: float = 20.0) -> KindModel:
     """Expectation maximisation over vote patterns, then a logistic regression on its posteriors.
 
     ``counts`` has the number of candidates by pattern, a bounded number of them whatever the corpus. Each labeler has one
     share of right votes on either class; abstentions say nothing. ``sure`` pseudo-votes hold rare labelers near their
-    first ``guess``, and shares stay between 0.5 and 0.99, so a labeler never counts against what it says. Patterns weigh by
+    first ``guess``, and shares stay between 0.5 and ``most``, so a labeler never counts against what it says. Patterns weigh by
     the square root of their counts in the regression, so that one frequent pattern does not drown the rest.
     """
     keys = sorted(counts)
@@ -262,7 +267,7 @@ def fit_kind(counts: dict[str, int], guess: tuple[float, ...] = GUESS["name"], *
         p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + ((true - false) * said).sum(1))))
         for k, (weight, agrees) in enumerate(((n * p, yes), (n * (1 - p), ~yes))):
             right[k] = (weight @ (said & agrees) + first * sure) / (weight @ said + sure)
-        right = np.clip(right, 0.5, 0.99)
+        right = np.clip(right, 0.5, np.array(most))
         share = float(np.clip((n @ p + sure * prior) / (n.sum() + sure), 0.02, 0.6))
     names = sorted({(i, c) for k in keys for i, c in enumerate(k)})
     at = {name: j for j, name in enumerate(names)}
@@ -287,7 +292,7 @@ def train_spans(docs: DataFrame) -> SpanModel:
     counts: dict[str, dict[str, int]] = {}
     for r in rows:
         counts.setdefault(r["kind"], {})[r["pattern"]] = r["count"]
-    return SpanModel({kind: fit_kind(c, GUESS[kind]) for kind, c in sorted(counts.items())})
+    return SpanModel({kind: fit_kind(c, GUESS[kind], MOST[kind]) for kind, c in sorted(counts.items())})
 
 
 def _taken(model: SpanModel, kind: str):
@@ -303,8 +308,27 @@ def with_spans(docs: DataFrame, text: Column, model: SpanModel) -> DataFrame:
     spans = parts.select("row", *[_of_kind(F.col(k), k).alias(k) for k in KINDS], *[F.filter(_candidates(F.col(k), k), _taken(model, k)).alias(k) for k in further])
     if not further:
         return spans.withColumn("added", F.array().cast("array<struct<kind:string,start:int,end:int,pattern:string>>"))
-    crossed = lambda c: F.exists(F.concat(*KINDS), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    return spans.select("row", *KINDS, F.filter(F.concat(*further), lambda c: ~crossed(c)).alias("added"))
+    return spans.select("row", *KINDS, _apart(F.concat(*further), [F.col(k) for k in KINDS]).alias("added"))
+
+
+#: More than any place in a text.
+_FAR = 2**30
+
+
+def _apart(candidates: Column, base: list[Column]) -> Column:
+    """The candidates that overlap no base span, by start: all spans in one sorted list, and for each the furthest end of the
+    base spans before it and the nearest start of those behind, so that the time follows the number of spans."""
+    kind = "struct<kind:string,start:int,end:int,pattern:string>"
+    of = lambda spans, flag, held: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(flag).alias("flag"), s["end"].alias("end"), held(s).alias("held")))
+    every = F.array_sort(F.concat(*[of(b, 0, lambda s: F.lit(None).cast(kind)) for b in base], of(candidates, 1, lambda s: s.cast(kind))))
+
+    def kept(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: F.when(s["flag"] == 0, s["end"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(running(F.transform(F.reverse(spans), lambda s: F.when(s["flag"] == 0, _FAR - s["start"]).otherwise(0)), F.greatest))
+        free = F.zip_with(F.arrays_zip(spans.alias("s"), reach.alias("reach")), ahead, lambda x, a: F.when((x["s"]["flag"] == 1) & (x["reach"] <= x["s"]["start"]) & (_FAR - a >= x["s"]["end"]), x["s"]["held"]))
+        return F.filter(free, lambda c: c.isNotNull())
+
+    return F.when((F.size(candidates) == 0) | (F.size(F.concat(*base)) == 0), candidates).otherwise(_let(every, kept))
 
 
 def find_pii(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import pieces, variants, whiten
+from tabulon.llm import pieces, pii, urls, variants, whiten
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,3 +226,85 @@ def test_other_models_are_refused():
     for data in (b"", b"\x0a\x03\x0a\x01a", b"\x12\x02\x18\x01"):
         with pytest.raises(ValueError, match="models"):
             pieces.Model(data)
+
+
+# --- 5 and 8 on names that their lists don't hold ---
+
+#: None of these is in a gazetteer.
+OTHER_GIVEN = "Oluwaseun Priya Jiro Kateryna Milos Ingeborg Siobhan Thabo Yusuf Aylin Bogdan Chidi Dagny Eero Fatoumata Giulia Hyun Ivana Kwame Leocadia".split()
+OTHER_FAMILY = "Adeyemi Raghunathan Tanaka Shevchenko Novak Haugen Gallagher Mokoena Demir Yilmaz Popescu Okafor Lindqvist Virtanen Diallo Bianchi Kowalski Horvat Mensah Ferreira".split()
+OTHER_AREAS = ["231", "331", "531", "636", "928"]
+
+
+def planted_strangers(seed, n):
+    """Texts with names and numbers that only context and shape give away, and capitalised look-alikes."""
+    rng = random.Random(seed)
+    pick, digit = rng.choice, lambda k: "".join(rng.choices("0123456789", k=k))
+    yes = {
+        "named": lambda: (pick(["signed", "Mr.", "patient", "contact", "name:", "Dr."]), f"{pick(OTHER_GIVEN)} {pick(OTHER_FAMILY)}"),
+        "initial": lambda: (pick(["name:", "Dr.", "contact", "with"]), f"{pick(OTHER_GIVEN)} {pick('ABCD')}. {pick(OTHER_FAMILY)}"),
+        "social": lambda: (pick(["my ssn is", "social security", "SSN:", "they gave"]), f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
+        "phone": lambda: (pick(["call", "phone:", "reach us on", "mobile"]), f"({pick(OTHER_AREAS)}) {rng.randrange(200, 999)}-{digit(4)}"),
+    }
+    no = [
+        lambda: (pick(["on", "since", "version", "dated"]), f"{rng.randrange(1950, 2030)}-{rng.randrange(10, 12)}-{rng.randrange(10, 28)}"),
+        lambda: (pick(["isbn", "order", "total", "about"]), f"{rng.randrange(10, 99)} {digit(3)} {digit(3)}"),
+        lambda: (pick(["near", "in", "to", "the"]), pick(["Porto Alegre", "Cold Harbour", "Silver Dragon", "Elm Crescent", "Golden Gate"])),
+        lambda: (pick(["the", "a", "our"]), pick(["Annual Report", "Data Protection", "Quality Control", "Blue Whale", "Supreme Being"])),
+        lambda: (pick(["on", "every"]), pick(["Monday Morning", "Friday Night"])),
+    ]
+    texts, wanted = [], []
+    for _ in range(n):
+        text, spans = "", set()
+        for _ in range(rng.randrange(4)):
+            kind = pick(list(yes)) if rng.random() < 0.3 else None
+            before, match = yes[kind]() if kind else pick(no)()
+            text += before + " "
+            if kind:
+                spans.add((len(text), len(text) + len(match), kind))
+            text += match + pick([" and so on ", ". ", ", they said "])
+        texts.append(text)
+        wanted.append(spans)
+    return texts, wanted
+
+
+def test_names_and_numbers_outside_the_lists(spark):
+    assert not set(OTHER_GIVEN) & set(pii.GIVEN) and not set(OTHER_FAMILY) & set(pii.FAMILY) and not set(OTHER_AREAS) & set(pii.AREAS)
+    docs = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train_spans(docs(planted_strangers(1, 1500)[0]))
+    texts, wanted = planted_strangers(2, 800)
+    found = {r["doc_id"]: {(s["start"], s["end"]) for s in r["added"]} for r in pii.find_pii(docs(texts), model).collect()}
+    hit, n = Counter(), Counter()
+    for i, spans in enumerate(wanted):
+        for a, b, kind in spans:
+            n[kind] += 1
+            hit[kind] += (a, b) in found[i]
+    assert all(hit[k] >= 0.8 * n[k] for k in n) and len(n) == 4
+    right = sum(len(found[i] & {(a, b) for a, b, _ in w}) for i, w in enumerate(wanted))
+    assert right >= 0.9 * sum(map(len, found.values()))
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    """Against a plain test of all pairs, with many spans of several kinds in a text."""
+    rng = random.Random(7)
+    parts = ["4111 1111 1111 1111", "Anna Keller", "+49 30 1234567", "555-12-1234", "1.2.3.4", "a@b.co", "(212) 555-0199", "and", "4111 1111", "79927398713 12", "Mr. Paul Meyer"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.train_spans(docs)
+    got = {r["doc_id"]: r for r in pii.find_pii(docs, model).collect()}
+    every = {r["doc_id"]: r for r in pii.with_spans(docs, F.col("text"), model).select("row.doc_id", *pii.KINDS, "added").collect()}
+    taken = {r["doc_id"]: [c for k in pii.CANDIDATES for c in r[k]] for r in docs.select("doc_id", *[pii.marked(F.col("text"), p, pii.GATES[k]).alias(k) for k, p in pii.CANDIDATES.items()]).select("doc_id", *[F.filter(pii._candidates(F.col(k), k), pii._taken(model, k)).alias(k) for k in pii.CANDIDATES]).collect()}
+    for i in got:
+        base = [s for k in pii.KINDS for s in every[i][k]]
+        want = {(c["kind"], c["start"], c["end"]) for c in taken[i] if not any(s["start"] < c["end"] and c["start"] < s["end"] for s in base)}
+        assert {(c["kind"], c["start"], c["end"]) for c in got[i]["added"]} == want
+    assert any(len(taken[i]) > len(got[i]["added"]) for i in got)
+
+
+def test_url_verdicts_of_ordinary_and_telling_sites(spark):
+    ordinary = ["the-weekly-thread", "northern-lights", "thistle-and-thorn", "athens-today", "rather-good-tea", "fourth-edition", "old-town-hall", "riverbank"]
+    telling = ["viagra-pills-now", "casino-bonus-spins", "xxx-adult-videos", "spam-backlink-farm"]
+    rows = [(i, f"https://{site}.example.{end}/page/{i}") for i, (site, end) in enumerate((s, e) for s in ordinary + telling for e in ("com", "net", "org"))]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    n = 3 * len(ordinary)
+    assert [got[i] for i in range(n)].count("block") <= 1 and all(got[i] == "block" for i in range(n, len(rows)))
