@@ -147,6 +147,18 @@ def ks_p(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101))))
 
 
+def signed_rank_p(w: float, n: int, z: float, ties: float) -> float:
+    """Two-sided p-value of the signed-rank statistic ``w``, the smaller sum of ranks: exact for up to 25 differences without
+    ties (the share of sign patterns with no larger sum), else the normal one of ``z``."""
+    if n > 25 or ties or w != int(w):
+        return normal_two_sided(z)
+    ways = [1] + [0] * (n * (n + 1) // 2)  # sign patterns by their sum of ranks
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+
+
 def with_p_value(df: DataFrame, name: str, formula, *inputs: str) -> DataFrame:
     """``df`` with a p-value column computed from ``inputs`` by a vectorised function; meant for results of few rows."""
     @F.pandas_udf("double")

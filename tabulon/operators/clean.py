@@ -388,7 +388,8 @@ def grouped_running_totals(df: DataFrame, key: str, order_by: list, sums: dict[s
     schema = f"range_ int, `{key}` {dict(df.dtypes)[key]}, " + ", ".join(f"{n}_before {kinds[n]}, {n}_all {kinds[n]}" for n in sums)
     places = df.sparkSession.createDataFrame([(r, k, *[v for n in sums for v in (so_far[n], totals[k][n])]) for r, k, so_far in rows], schema)
     w = Window.partitionBy("range_", key).orderBy("in_range_").rowsBetween(Window.unboundedPreceding, 0)
-    found = ordered.join(F.broadcast(places), ["range_", key])
+    places = places.withColumnsRenamed({"range_": "place_range_", key: "place_key_"})
+    found = ordered.join(F.broadcast(places), (F.col("range_") == F.col("place_range_")) & F.col(f"`{key}`").eqNullSafe(F.col("place_key_")))
     return found.select(*[F.col(f"`{c}`") for c in df.columns], *[e for n, c in sums.items() for e in ((F.sum(c).over(w) + F.col(f"{n}_before")).alias(n), F.col(f"{n}_all"))])
 
 

@@ -188,6 +188,24 @@ def multivariate_drift(reference: DataFrame, current: DataFrame, columns: list[s
     return ks(reference, current, columns).agg((F.min("p_value") < F.lit(p) / F.count("*")).alias("drifted"), F.min("p_value").alias("least_p"), F.count("*").alias("n_features"))
 
 
+def target_drift(reference: DataFrame, current: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """``kind, feature, method, statistic, p_value, drift_score, drifted, severity`` of the target and of predictions.
+
+    ``targets`` maps a kind (``target``, ``prediction``) to its column. Numbers are judged by the Kolmogorov-Smirnov distance,
+    which is the score where it is significant; classes by the chi-square test of :func:`chi_square`.
+    """
+    numeric = set(numeric_columns(reference))
+    numbers, classes = [c for c in targets.values() if c in numeric], [c for c in targets.values() if c not in numeric]
+    found = None
+    if numbers:
+        found = ks(reference, current, numbers).select("feature", F.lit("kolmogorov_smirnov").alias("method"), F.col("ks").alias("statistic"), "p_value", F.when(F.col("p_value") < P_LIMIT, F.col("ks")).otherwise(0.0).alias("drift_score"), (F.col("p_value") < P_LIMIT).alias("drifted"))
+    if classes:
+        part = chi_square(reference, current, classes).select("feature", F.lit("chi_square").alias("method"), F.col("chi2").alias("statistic"), "p_value", "drift_score", "drifted")
+        found = part if found is None else found.unionByName(part)
+    named = reference.sparkSession.createDataFrame(list(targets.items()), "kind string, feature string")
+    return F.broadcast(named).join(found, "feature").select("kind", "feature", "method", "statistic", "p_value", "drift_score", "drifted", severity(F.col("drift_score")).alias("severity"))
+
+
 def severity(score: Column) -> Column:
     return banded(score, SEVERITIES, "low")
 

@@ -100,10 +100,11 @@ def target_encode(df: DataFrame, column: str, target: str, out: str, *, smoothin
 
 def leave_one_out_encode(df: DataFrame, column: str, target: str, out: str) -> DataFrame:
     """``df`` with the mean target of the other rows of the same value; the overall mean where there is none."""
-    w = Window.partitionBy(column)
     mean = F.broadcast(df.agg(F.avg(target).alias("mean_")))
-    rest = F.try_divide(F.sum(target).over(w) - F.col(target), F.count(target).over(w) - 1)
-    return df.withColumn(out, rest).crossJoin(mean).withColumn(out, F.coalesce(out, "mean_")).drop("mean_")
+    sums = df.groupBy(F.col(f"`{column}`").alias("value_")).agg(F.sum(target).alias("sum_"), F.count(target).alias("n_"))  # a row for each value
+    rest = F.try_divide(F.col("sum_") - F.col(target), F.col("n_") - 1)
+    met = df.join(sums, F.col(f"`{column}`").eqNullSafe(F.col("value_")), "left").crossJoin(mean)
+    return met.withColumn(out, F.coalesce(rest, "mean_")).drop("value_", "sum_", "n_", "mean_")
 
 
 def weight_of_evidence(df: DataFrame, column: str, target: str, out: str) -> DataFrame:
@@ -241,9 +242,14 @@ def datetime_features(df: DataFrame, column: str) -> DataFrame:
 
 
 def f_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """``column_name, f``: analysis of variance of each column between the classes of ``label``, from grouped sums."""
-    rows = df.where(F.col(label).isNotNull())
-    grouped = rows.groupBy(label).agg(*[e for i, c in enumerate(columns) for e in (F.count(f"`{c}`").alias(f"n{i}"), F.sum(F.col(f"`{c}`").cast("double")).alias(f"s{i}"), F.sum(F.col(f"`{c}`").cast("double") * F.col(f"`{c}`")).alias(f"q{i}"))])
+    """``column_name, f``: analysis of variance of each column between the classes of ``label``, from grouped sums.
+
+    Values are taken from the column's mean first, as squares of values far from 0 lose the digits that matter.
+    """
+    rows = df.where(F.col(label).isNotNull()).select(F.col(f"`{label}`").alias("label_"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    means = F.broadcast(rows.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(columns))]))
+    x = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(len(columns))]
+    grouped = rows.crossJoin(means).groupBy("label_").agg(*[e for i, v in enumerate(x) for e in (F.count(v).alias(f"n{i}"), F.sum(v).alias(f"s{i}"), F.sum(v * v).alias(f"q{i}"))])
     row = grouped.agg(F.count("*").alias("k"), *[e for i in range(len(columns)) for e in (F.sum(f"n{i}").alias(f"n{i}"), F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"q{i}").alias(f"q{i}"), F.sum(F.try_divide(F.col(f"s{i}") * F.col(f"s{i}"), F.col(f"n{i}"))).alias(f"g{i}"))])
 
     def f(i: int) -> Column:
@@ -381,11 +387,15 @@ def split(df: DataFrame, key: str, *, test: float = 0.2, validation: float = 0.0
 
 
 def folds(df: DataFrame, key: str, k: int = 5, *, stratify: str | None = None, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold`` 0 to k - 1: by the hash of ``key``, or dealt in hash order within each class."""
+    """``df`` with ``fold`` 0 to k - 1: by the hash of ``key``, or dealt in hash order within each class; classes lie in
+    ranges together, so that a large one is no single task."""
     if stratify is None:
         return df.withColumn("fold", F.floor(_place(F.col(key), seed) * k).cast("int"))
-    w = Window.partitionBy(stratify).orderBy(_place(F.col(key), seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    from tabulon.operators.clean import grouped_running_totals
+
+    placed = df.withColumns({"place_": _place(F.col(key), seed), "one_": F.lit(1)})
+    dealt = grouped_running_totals(placed, stratify, ["place_", key], {"upto_": "one_"})
+    return dealt.withColumn("fold", F.pmod(F.col("upto_") - 1, F.lit(k)).cast("int")).drop("place_", "one_", "upto_", "upto__all")
 
 
 def repeated_folds(df: DataFrame, key: str, k: int = 5, repeats: int = 3, *, seed: int = 42) -> DataFrame:

@@ -14,19 +14,28 @@ from pyspark.sql import functions as F
 from tabulon.functions.stats import correlation, numeric_columns
 from tabulon.functions.storage import cut
 from tabulon.operators.clean import drop_constant_columns, drop_correlated_columns, fill_values
+from tabulon.operators.decompose import fit_components, on_components
 from tabulon.operators.features import scale
 
 # --- preparation and grouping ------------------------------------------------------------------------------------
 
 
-def prepare(df: DataFrame, key: str, columns: list[str] | None = None, method: str = "standard") -> tuple[DataFrame, list[str]]:
-    """Numeric columns filled with their means, without constant and correlated ones, scaled; and their names."""
+def prepare(df: DataFrame, key: str, columns: list[str] | None = None, method: str = "standard", most: int = 50) -> tuple[DataFrame, list[str]]:
+    """Numeric columns filled with their means, without constant and correlated ones, scaled; and their names.
+
+    More than ``most`` columns become as many principal components.
+    """
     columns = columns or [c for c in numeric_columns(df) if c != key]
     rows = fill_values(df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), dict.fromkeys(columns, "mean"))
     rows = drop_correlated_columns(drop_constant_columns(rows.select(*columns))).columns
     kept = [c for c in columns if c in rows]
     filled = fill_values(df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in kept]), dict.fromkeys(kept, "mean"))
-    return scale(filled, kept, method), kept
+    scaled = scale(filled, kept, method)
+    if len(kept) <= most:
+        return scaled, kept
+    reduced = on_components(scaled, fit_components(scaled, kept, share=1.0, most=most))
+    names = [c for c in reduced.columns if c.startswith("pc_") and c not in kept]
+    return reduced.select(key, *names), names
 
 
 def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,12 +45,18 @@ def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
-def assign(df: DataFrame, columns: list[str], k: int, method: str = "kmeans", seed: int = 1) -> DataFrame:
-    """``df`` with ``cluster`` (and ``probability`` for mixtures): kmeans, bisecting or mixture of ``k`` groups."""
+def assign(df: DataFrame, columns: list[str], k: int, method: str = "kmeans", seed: int = 1, starts: int = 1) -> DataFrame:
+    """``df`` with ``cluster`` (and ``probability`` for mixtures): kmeans, bisecting or mixture of ``k`` groups.
+
+    Of several ``starts`` the one with the least cost (the largest likelihood for mixtures) counts; each is a fit of its own.
+    """
     from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 
-    made = {"kmeans": lambda: KMeans(k=k, seed=seed), "bisecting": lambda: BisectingKMeans(k=k, seed=seed), "mixture": lambda: GaussianMixture(k=k, seed=seed)}[method]()
-    out = made.setPredictionCol("cluster").fit(vectors(df, columns)).transform(vectors(df, columns))
+    made = {"kmeans": KMeans, "bisecting": BisectingKMeans, "mixture": GaussianMixture}[method]
+    rows = vectors(df, columns)
+    cost = lambda m: -m.summary.logLikelihood if method == "mixture" else m.summary.trainingCost
+    fitted = [made(k=k, seed=seed + i, predictionCol="cluster").fit(rows) for i in range(starts)]
+    out = (fitted[0] if starts == 1 else min(fitted, key=cost)).transform(rows)
     if method == "mixture":
         out = out.withColumn("probability", F.array_max(MF.vector_to_array("probability")))
     return out.drop("features")

@@ -60,6 +60,41 @@ def deployment(score_row: DataFrame, *, saving: float, volume: float) -> DataFra
     return score_row.select("score", banded(s, [(0.9, "low"), (0.75, "medium")], "high").alias("risk"), banded(s, [(0.9, "ready"), (0.75, "pilot")], "not_ready").alias("readiness"), (s * saving * volume).alias("expected_saving"))
 
 
+#: Bands of the mean score for deployment: lower limit, readiness, impact, text.
+READINESS = [(0.8, "Ready", "High", "Model meets performance criteria for deployment"), (0.6, "Needs Review", "Medium", "Model performance is acceptable but should be reviewed"), (-1e300, "Not Ready", "High", "Model performance is below deployment threshold")]
+
+
+def readiness(metrics: DataFrame) -> DataFrame:
+    """One row ``score, readiness, impact, description, actionable`` from the mean of metrics (name, value); without any the
+    readiness is unknown."""
+    s = F.col("score")
+    pick = lambda k, other: F.coalesce(*[F.when(s > band[0], band[k]) for band in READINESS], F.lit(other))
+    row = metrics.agg(F.avg("value").alias("score"))
+    return row.select("score", pick(1, "Unknown").alias("readiness"), pick(2, "Medium").alias("impact"), pick(3, "Cannot assess deployment readiness without performance metrics").alias("description"), (pick(1, "Unknown") != "Ready").alias("actionable"))
+
+
+def key_features(importances: DataFrame, share: float = 0.15) -> DataFrame:
+    """``feature, rank, importance, share, description`` of the features with over ``share`` of all importance (feature,
+    importance); a row for each feature goes through one window."""
+    from pyspark.sql import Window
+
+    every = importances.withColumn("share", F.try_divide("importance", F.sum("importance").over(Window.partitionBy())))
+    ranked = every.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))).where(F.col("share") > share)
+    return ranked.select("feature", "rank", "importance", "share", F.format_string("'%s' ranks #%d with %.1f%% importance", "feature", "rank", 100 * F.col("share")).alias("description"))
+
+
+def summary_lists(insights: DataFrame, k: int = 5) -> DataFrame:
+    """``list, place, rule, message``: the ``k`` most severe rows of each list. Critical and warning rows are ``risks``, the rest
+    ``findings``; rules of ``action`` in their severity's order are ``next_steps``."""
+    from pyspark.sql import Window
+
+    weight = F.when(F.col("severity") == "critical", 0).when(F.col("severity").isin("warning", "high"), 1).when(F.col("severity") == "medium", 2).otherwise(3)
+    lists = F.array(F.when(weight < 2, "risks").otherwise("findings"), F.when(weight < 3, "next_steps"))
+    rows = insights.select("rule", "message", weight.alias("w"), F.explode(F.filter(lists, lambda x: x.isNotNull())).alias("list"))
+    place = F.row_number().over(Window.partitionBy("list").orderBy("w", "rule"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("list", "place", "rule", "message")
+
+
 def confidence(insights: DataFrame) -> DataFrame:
     """One row ``confidence, n, n_critical``: mean weight of the severities (1, .7, .3)."""
     weight = F.when(F.col("severity") == "critical", 1.0).when(F.col("severity") == "warning", 0.7).otherwise(0.3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.stats import chi2_p, correlation, normal_two_sided, t_two_sided, with_p_value
+from tabulon.functions.stats import chi2_p, correlation, signed_rank_p, t_two_sided, with_p_value
 from tabulon.operators.clean import grouped_running_totals, running_totals
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom (fixed values of the distribution).
@@ -155,7 +155,7 @@ def paired_comparison(scores: DataFrame, model: str = "model", fold: str = "fold
 
 def wilcoxon(scores: DataFrame, model: str = "model", fold: str = "fold", score: str = "score") -> DataFrame:
     """``model_a, model_b, n, w, z, p_value``: signed ranks of the differences over shared folds, zeros left out, ties at
-    their mean rank; the p-value is the normal one with the correction for ties."""
+    their mean rank; the p-value is exact for up to 25 folds without ties, else the normal one with the correction for ties."""
     a, b = (scores.select(F.col(model).alias(f"model_{s}"), F.col(fold).alias("fold_"), F.col(score).alias(f"score_{s}")) for s in "ab")
     pairs = a.join(b, "fold_").where("model_a < model_b").select("model_a", "model_b", F.round(F.col("score_a") - F.col("score_b"), 12).alias("d")).where("d <> 0")
     by = Window.partitionBy("model_a", "model_b")
@@ -164,8 +164,8 @@ def wilcoxon(scores: DataFrame, model: str = "model", fold: str = "fold", score:
     sums = ranked.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"), F.sum(F.col("ties") * F.col("ties") - 1).alias("t"))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
-    out = sums.select("model_a", "model_b", "n", F.least("up", "down").alias("w"), F.coalesce(F.try_divide(F.least("up", "down") - n * (n + 1) / 4, spread), F.lit(0.0)).alias("z"))
-    return with_p_value(out, "p_value", normal_two_sided, "z")
+    out = sums.select("model_a", "model_b", "n", F.least("up", "down").alias("w"), F.coalesce(F.try_divide(F.least("up", "down") - n * (n + 1) / 4, spread), F.lit(0.0)).alias("z"), F.col("t").cast("double").alias("t_"))
+    return with_p_value(out, "p_value", signed_rank_p, "w", "n", "z", "t_").drop("t_")
 
 
 def friedman(scores: DataFrame, model: str = "model", fold: str = "fold", score: str = "score") -> DataFrame:

@@ -141,21 +141,30 @@ def importance(model: PipelineModel, columns: list[str]) -> list[tuple[str, floa
     return sorted(zip(columns, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, target: str, columns: list[str], key: str, seed: int = 1) -> DataFrame:
-    """``column_name, importance``: the rise in RMSE when a column is dealt anew among the rows.
+def permutation_importance(model: PipelineModel, df: DataFrame, target: str, columns: list[str], key: str, seed: int = 1, repeats: int = 1) -> DataFrame:
+    """``column_name, importance, spread``: the mean rise in RMSE when a column is dealt anew among the rows, and its deviation
+    over ``repeats`` (null for one).
 
-    Values move by joining hash-ordered positions, so no single task orders all rows.
+    Rows get one place each, by hash; a repeat gives every row the values of the one some places on, and all columns are
+    judged by one scoring of as many variants of each row. No single task orders all rows.
     """
+    import random
+
     from tabulon.operators.clean import positions
 
-    base = V.regression(score(model, df), target, "prediction").first()["rmse"]
-    rows = []
-    place = lambda d, salt: positions(d.withColumn("h_", F.xxhash64(key, F.lit(salt))), ["h_", key]).drop("h_")
-    for i, c in enumerate(columns):
-        moved = place(df.select(key, F.col(c).alias("new_")), seed + i).select("position", "new_")
-        dealt = place(df, seed - 1 - i).join(moved, "position").withColumn(c, F.col("new_")).drop("new_", "position")
-        rows.append((c, float(V.regression(score(model, dealt), target, "prediction").first()["rmse"] - base)))
-    return df.sparkSession.createDataFrame(rows, "column_name string, importance double")
+    placed = positions(df.withColumn("h_", F.xxhash64(key, F.lit(seed))), ["h_", key]).drop("h_")
+    n, rng, parts = placed.count(), random.Random(seed), []
+    for repeat in range(repeats):
+        step = rng.randrange(1, n) if n > 1 else 0
+        other = placed.select(F.pmod(F.col("position") - step, F.lit(n)).alias("position"), *[F.col(f"`{c}`").alias(f"new_{i}") for i, c in enumerate(columns)])
+        variant = lambda name, i: F.struct(F.lit(name).alias("variant_"), *[F.col(f"new_{j}" if j == i else f"`{c}`").alias(c) for j, c in enumerate(columns)])
+        every = F.array(variant(None, -1), *[variant(c, i) for i, c in enumerate(columns)])
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+        parts.append(placed.join(other, "position").select(*rest, F.explode(every).alias("v_"), F.lit(repeat).alias("repeat_")).select(*rest, "repeat_", "v_.*"))
+    judged = V.regression(score(model, reduce(DataFrame.unionByName, parts)), target, "prediction", ["repeat_", "variant_"]).select("repeat_", "variant_", "rmse")
+    base = judged.where("variant_ IS NULL").select("repeat_", F.col("rmse").alias("base_"))
+    rise = judged.where("variant_ IS NOT NULL").join(F.broadcast(base), "repeat_").groupBy(F.col("variant_").alias("column_name"))
+    return rise.agg(F.avg(F.col("rmse") - F.col("base_")).alias("importance"), F.stddev_samp(F.col("rmse") - F.col("base_")).alias("spread"))
 
 
 def partial_dependence(model: PipelineModel, df: DataFrame, column: str, key: str, points: int = 10, share: float | None = None) -> DataFrame:

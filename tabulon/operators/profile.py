@@ -170,6 +170,72 @@ def column_types(df: DataFrame, *, compat: bool = False) -> DataFrame:
     return facts.select("column_name", decided.alias("logical_type"), "unique_count", unique.alias("unique_ratio"))
 
 
+def _texts_judged(df: DataFrame, texts: list[str]) -> DataFrame:
+    """``column_name, known, unique_count, length, numbers, whole, dates`` of text columns, each distinct text parsed once.
+
+    ``numbers`` and ``dates`` are rows that parse, ``whole`` says whether all the numbers are whole.
+    """
+    x, n = F.col("value"), F.col("n")
+    number = x.try_cast("double")
+    counted = value_counts(df.select(*[F.col(f"`{c}`") for c in texts]), texts)
+    judged = counted.groupBy("column_name").agg(
+        F.sum("n").alias("known"), F.count("*").alias("unique_count"), (F.sum(F.char_length(x) * n) / F.sum("n")).alias("length"), F.sum(F.when(number.isNotNull() & ~F.isnan(number), n).otherwise(0)).alias("numbers"),
+        F.bool_and(F.when(number.isNotNull() & ~F.isnan(number), number == F.floor(number))).alias("whole"), F.sum(F.when(_parses_as_datetime(x), n).otherwise(0)).alias("dates"),
+    )
+    named = df.sparkSession.createDataFrame([(c,) for c in texts], "column_name string")
+    return named.join(judged, "column_name", "left").na.fill(0, ["known", "unique_count", "numbers", "dates"]).crossJoin(F.broadcast(df.agg(F.count("*").alias("n_rows"))))
+
+
+def simple_types(df: DataFrame) -> DataFrame:
+    """``column_name, simple_type``: numeric, datetime or boolean by the column's type; texts are categorical if fewer than half
+    of the rows are distinct or their mean length is below 50, else text."""
+    texts, numbers, dates = string_columns(df), numeric_columns(df), datetime_columns(df)
+    kind = lambda c: "numeric" if c in numbers else "datetime" if c in dates else "boolean" if dict(df.dtypes)[c] == "boolean" else "categorical"
+    named = df.sparkSession.createDataFrame([(c, kind(c)) for c in df.columns if c not in texts], "column_name string, simple_type string")
+    if not texts:
+        return named
+    few = F.coalesce(F.try_divide("unique_count", "n_rows"), F.lit(0.0)) < 0.5
+    judged = _texts_judged(df, texts).select("column_name", F.when(few | (F.coalesce("length", F.lit(0.0)) < 50), "categorical").otherwise("text").alias("simple_type"))
+    return named.unionByName(judged)
+
+
+def text_column_types(df: DataFrame, *, categories: int = 50) -> DataFrame:
+    """``column_name, inferred_type`` of text columns by all rows: ``object`` where over nine tenths are missing, ``datetime`` or a
+    number (``integer``, ``float``) where over eight tenths of the rows parse, ``category`` with under a tenth distinct and
+    fewer than ``categories`` values, else ``object``."""
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_rows")), F.lit(0.0))
+    kind = (
+        F.when((F.col("n_rows") == 0) | (share("known") < 0.1), "object").when(share("dates") > 0.8, "datetime")
+        .when(share("numbers") > 0.8, F.when(F.col("whole"), "integer").otherwise("float"))
+        .when((share("unique_count") < 0.1) & (F.col("unique_count") < categories), "category").otherwise("object")
+    )
+    texts = string_columns(df)
+    if not texts:
+        return df.sparkSession.createDataFrame([], "column_name string, inferred_type string")
+    return _texts_judged(df, texts).select("column_name", kind.alias("inferred_type"))
+
+
+def feature_scores(df: DataFrame, target: str | None = None) -> DataFrame:
+    """``column_name, missing_ratio, unique_ratio, target_correlation, score`` of every column but the target.
+
+    The score is completeness, halved below a hundredth of distinct rows, times .7 above 99 hundredths, times one plus the
+    size of the correlation with a numeric target, and at most 1.
+    """
+    columns = [c for c in df.columns if c != target]
+    facts = missing_summary(df.select(*[F.col(f"`{c}`") for c in columns])).select("column_name", F.col("null_ratio").alias("missing_ratio"))
+    facts = facts.join(distinct_counts(null_out_nan(df), columns), "column_name").crossJoin(F.broadcast(df.agg(F.count("*").alias("n_"))))
+    facts = facts.withColumn("unique_ratio", F.coalesce(F.try_divide("unique_count", "n_"), F.lit(0.0)))
+    numbers = [c for c in numeric_columns(df) if c in columns] if target in numeric_columns(df) else []
+    if numbers:
+        row = null_out_nan(df).agg(*[correlation(c, target).alias(f"r{i}") for i, c in enumerate(numbers)])
+        facts = facts.join(spread_rows(row, {c: [("target_correlation", F.col(f"r{i}"))] for i, c in enumerate(numbers)}), "column_name", "left")
+    else:
+        facts = facts.withColumn("target_correlation", F.lit(None).cast("double"))
+    u = F.col("unique_ratio")
+    score = (1 - F.col("missing_ratio")) * F.when(u < 0.01, 0.5).when(u > 0.99, 0.7).otherwise(1.0) * (1 + F.abs(F.coalesce("target_correlation", F.lit(0.0))))
+    return facts.select("column_name", "missing_ratio", "unique_ratio", "target_correlation", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+
+
 def feature_types(df: DataFrame, target: str | None = None) -> DataFrame:
     """``column_name, feature_type``: numeric, ordinal, binary, categorical, text, datetime or target."""
     texts, numbers, dates = string_columns(df), numeric_columns(df), datetime_columns(df)
@@ -294,6 +360,39 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
     return counts.select("label", "n", (F.col("n") / F.sum("n").over(every)).alias("share"), (F.max("n").over(every) / F.min("n").over(every)).alias("imbalance_ratio"))
 
 
+def target_summary(df: DataFrame, target: str) -> DataFrame:
+    """``measure, value`` of a numeric target: rows, nulls, distinct values, moments, quartiles and the share outside fences.
+
+    For a target of classes see :func:`class_distribution`. NaN counts as missing; a target without values has counts only.
+    """
+    x = F.col(f"`{target}`").cast("double")
+    rows = df.select(F.when(~F.isnan(x), x).alias("x"))
+    q = quantile_arrays(rows, [F.col("x")], [0.25, 0.5, 0.75])[0]
+    low, high = fences(q[0], q[2], F.count("x"))
+    facts = rows.agg(low.alias("low"), high.alias("high")).first()
+    outside = (F.col("x") < F.lit(facts["low"]).cast("double")) | (F.col("x") > F.lit(facts["high"]).cast("double"))
+    measures = {
+        "rows": F.count("*"), "nulls": F.count_if(F.col("x").isNull()), "distinct": F.count_distinct("x"), "mean": F.avg("x"), "std": F.stddev_samp("x"), "skewness": sample_skewness(F.col("x")), "kurtosis": sample_kurtosis(F.col("x")),
+        "least": F.min("x"), "q1": q[0], "median": q[1], "q3": q[2], "most": F.max("x"), "outlier_share": F.coalesce(F.try_divide(F.count_if(outside), F.count("x")), F.lit(0.0)),
+    }
+    row = rows.agg(*[e.cast("double").alias(n) for n, e in measures.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in measures])).alias("r")).select("r.*")
+
+
+def group_categories(df: DataFrame, group: str, columns: list[str], k: int = 3) -> DataFrame:
+    """``group, column_name, rank, value, n, share``: the ``k`` most frequent values of each column in each group, ties to the
+    smaller value; shares are of the group's known values. Counted before the window, which ranks distinct values."""
+    from pyspark.sql import Window
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    counts = df.select(F.col(f"`{group}`").alias("group"), F.explode(pairs).alias("p")).select("group", "p.*").where("value IS NOT NULL").groupBy("group", "column_name", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("group", "column_name").agg(F.sum("n").alias("all_")).withColumnsRenamed({"group": "g_", "column_name": "c_"})
+    w = Window.partitionBy("group", "column_name").orderBy(F.desc("n"), "value")
+    best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    joined = best.join(totals, F.col("group").eqNullSafe(F.col("g_")) & (F.col("column_name") == F.col("c_")))
+    return joined.select("group", "column_name", "rank", "value", "n", (F.col("n") / F.col("all_")).alias("share"))
+
+
 def group_profile(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """One row for each group and numeric column: size, share of all rows, mean, std, min, max, median."""
     total = F.broadcast(df.agg(F.count("*").alias("all_")))
@@ -329,12 +428,13 @@ def metric_window(df: DataFrame, since, *, name: str = "name", value: str = "val
 
 def latency_profile(df: DataFrame, *, name: str = "name", value: str = "value") -> DataFrame:
     """Average, extremes and nearest-rank median, p95 and p99 (the value at index ``int(n * p)``) of each operation."""
-    from pyspark.sql import Window
+    from tabulon.operators.clean import grouped_running_totals
 
-    w = Window.partitionBy(name)
-    ranked = df.where(F.col(value).isNotNull()).select(F.col(name).alias("name"), F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("v")))
-    return ranked.groupBy("name").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(name).alias("name"), F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    c = grouped_running_totals(counts, "name", ["v"], {"upto": "k"})  # by distinct values, in ranges of all operations
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("upto_all") * p), F.col("v")))
+    total = F.sum("k")
+    return c.groupBy("name").agg(total.alias("n"), (F.sum(F.col("v") * F.col("k")) / total).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def request_summary(df: DataFrame, *, value: str = "value", failed: Column, slow: float = 1.0, ts: str = "ts") -> DataFrame:

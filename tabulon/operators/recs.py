@@ -22,6 +22,18 @@ def statistics(ratings: DataFrame) -> DataFrame:
     return a.withColumn("sparsity", 1 - F.col("interactions") / (F.col("users") * F.col("items")))
 
 
+def activity_histograms(ratings: DataFrame, bins: int = 10) -> DataFrame:
+    """``side, bin, low, high, n``: how many users (items) have how many ratings, in equal bins from the least to the most; and
+    the same of the ratings themselves. Empty bins have no row; one value only is one bin."""
+    parts = [ratings.groupBy(side).agg(F.count("*").cast("double").alias("v")).select(F.lit(side).alias("side"), "v") for side in ("user", "item")]
+    rows = parts[0].unionByName(parts[1]).unionByName(ratings.select(F.lit("rating").alias("side"), F.col("rating").cast("double").alias("v")))
+    spans = F.broadcast(rows.groupBy("side").agg(F.min("v").alias("least"), F.max("v").alias("most")))  # three rows
+    width = (F.col("most") - F.col("least")) / bins
+    at = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("least"), width)), F.lit(bins - 1)), F.lit(0)).cast("int")
+    counted = rows.join(spans, "side").groupBy("side", "least", "most", at.alias("bin")).agg(F.count("*").alias("n"))
+    return counted.select("side", "bin", (F.col("least") + F.col("bin") * width).alias("low"), (F.col("least") + (F.col("bin") + 1) * width).alias("high"), "n")
+
+
 #: Ratings of one item (or user) that one task pairs at once; larger groups are cut into blocks of about this size.
 BLOCK = 500
 
@@ -291,6 +303,15 @@ def algorithm_choice(ratings: DataFrame) -> DataFrame:
     return s.select(pick.alias("algorithm"), "sparsity", "users")
 
 
+def algorithms(ratings: DataFrame, *, attributes: bool = False) -> DataFrame:
+    """``algorithm`` rows worth training: popularity and factors always, collaborative filtering below a sparsity of .99 with
+    over 100 users and items, content where items have attributes."""
+    facts = statistics(ratings)
+    dense = (F.col("sparsity") < 0.99) & (F.col("users") > 100) & (F.col("items") > 100)
+    listed = F.array(F.lit("popularity"), F.lit("matrix_factorisation"), F.when(dense, "collaborative"), F.lit("content" if attributes else None).cast("string"))
+    return facts.select(F.explode(F.filter(listed, lambda a: a.isNotNull())).alias("algorithm"))
+
+
 def best_model(metrics: DataFrame) -> DataFrame:
     """The row of ``metrics`` (model, precision, recall, ndcg) with the best .4 · precision + .3 · recall + .3 · NDCG."""
     scored = metrics.withColumn("combined", 0.4 * F.col("precision") + 0.3 * F.col("recall") + 0.3 * F.col("ndcg"))

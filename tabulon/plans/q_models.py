@@ -52,7 +52,12 @@ def embedding_projection(spark, d):
     return G.projected(_vectors(spark, d), ["embedding"]).select("vec_id", "projection")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT c_custkey AS k, c_acctbal / 1000 AS x, c_nationkey / 2.0 AS y FROM customer),
+near AS (SELECT a.k, b.k AS o FROM v a JOIN v b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.6 * 0.6), core AS (SELECT k FROM near GROUP BY k HAVING count(*) >= 4),
+links AS (SELECT k, o FROM near WHERE k IN (FROM core) AND o IN (FROM core)),
+walk AS (SELECT k, k AS c FROM core UNION SELECT l.o, min(w.c) FROM walk w JOIN links l ON l.k = w.k WHERE w.c < l.o GROUP BY l.o),
+label AS (SELECT k, min(c) AS c FROM walk GROUP BY k), found AS (SELECT n.k, min(c) AS c FROM near n JOIN label l ON l.k = n.o GROUP BY n.k)
+SELECT v.k AS c_custkey, coalesce(found.c, -1)::BIGINT AS "cluster" FROM v LEFT JOIN found USING (k)""")
 def customer_density_groups(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_nationkey") / 2.0).alias("y"))
     return G.density_groups(rows, "c_custkey", ["x", "y"], 0.6, 4)
@@ -108,10 +113,13 @@ def orders_isolation(spark, d):
     return G.flag(G.isolation_scores(rows, ["o_totalprice", "day"], trees=20, key="o_orderkey"), "score", 0.01)
 
 
-@query()
+@query(f"""WITH m AS (SELECT avg(c_acctbal) AS a, stddev_pop(c_acctbal) AS s, avg(c_nationkey) AS b, stddev_pop(c_nationkey) AS t FROM customer), v AS (SELECT c_custkey AS k, (c_acctbal - a) / s AS x, (c_nationkey - b) / t AS y FROM customer, m),
+near AS (SELECT a.k AS a, b.k AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM v a JOIN v b ON a.k <> b.k QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.k) <= 5),
+reach AS (SELECT a AS b, max(d) AS kb FROM near GROUP BY a), density AS (SELECT a, 1 / avg(greatest(d, kb, 1e-9)) AS l FROM near JOIN reach USING (b) GROUP BY a)
+SELECT n.a AS c_custkey, {r('avg(o.l) / any_value(own.l)', 6)} AS lof FROM near n JOIN density o ON o.a = n.b JOIN density own ON own.a = n.a GROUP BY n.a""")
 def customer_outlier_factor(spark, d):
     rows, names = G.prepare(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
-    return G.local_outlier_factor(rows, "c_custkey", names, 5)
+    return fine(G.local_outlier_factor(rows, "c_custkey", names, 5), "lof", digits=6)
 
 
 @query()

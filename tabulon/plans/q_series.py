@@ -112,9 +112,12 @@ def daily_drift_forecast(spark, d):
     return fine(long(_key(S.forecast(_daily(spark, d), 10, method="drift")), "h"), "forecast", "lower", "upper")
 
 
-@query()
+@query(f"""WITH {_IDX}, l AS (SELECT series, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM idx GROUP BY series), e AS (SELECT idx.series, t, ts, y - a - b * t AS e, a, b FROM idx JOIN l USING (series)),
+k AS (SELECT series, t % 7 AS k, avg(e) AS v FROM e GROUP BY ALL), m AS (SELECT series, any_value(a) AS a, any_value(b) AS b, stddev_samp(e) AS s, max(t) AS t, max(ts) AS last FROM e GROUP BY series)
+SELECT m.series, h AS h, strftime(last + h * INTERVAL 1 DAY, '%Y-%m-%d') AS ts, {r('a + b * (t + h) + coalesce(v, 0)')} AS forecast, {r('a + b * (t + h) + coalesce(v, 0) - 1.96 * s')} AS lower, {r('a + b * (t + h) + coalesce(v, 0) + 1.96 * s')} AS upper
+FROM m CROSS JOIN range(1, 11) g(h) LEFT JOIN k ON k.series = m.series AND k.k = (t + h) % 7""")
 def daily_trend_forecast(spark, d):
-    return S.forecast(_daily(spark, d), 10, method="trend")
+    return fine(long(_key(S.forecast(_daily(spark, d), 10, method="trend")), "h"), "forecast", "lower", "upper")
 
 
 @query(f"WITH {_DAILY}, p AS (SELECT series, y AS a, lag(y, 7) OVER (PARTITION BY series ORDER BY ts) AS p FROM daily) SELECT series, count(*) AS n, {r('sqrt(avg((a - p) * (a - p)))')} AS rmse, {r('avg(abs(a - p))')} AS mae, {r('100 * avg(abs((a - p) / a)) FILTER (a != 0)')} AS mape, {r('100 * avg(2 * abs(a - p) / (abs(a) + abs(p)))')} AS smape, {r('1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*))')} AS r2 FROM p WHERE p IS NOT NULL GROUP BY series")

@@ -51,15 +51,23 @@ def events_bucket_windows(spark, d):
     return long(_text(T.bucket_counts(table(spark, d, "events"), EDGES), "start"), "bin")
 
 
-@query()
+@query(f"""WITH b AS (SELECT date_trunc('day', ts) AS s, CASE WHEN value >= 0 AND value < 100 THEN CASE WHEN value < 10 THEN 1 WHEN value < 25 THEN 2 WHEN value < 50 THEN 3 ELSE 4 END END AS bin FROM events),
+n AS (SELECT s, count(*) AS n FROM b GROUP BY s HAVING count(*) >= 10), c AS (SELECT s, bin, count(*) AS k FROM b GROUP BY ALL),
+p AS (SELECT n.s, n, greatest(coalesce(k, 0) / n, 0.001) AS c FROM n CROSS JOIN range(1, 5) g(bin) LEFT JOIN c ON c.s = n.s AND c.bin = g.bin)
+SELECT {TS.format('s')} AS start, n, {r('sum((c - 0.25) * ln(c / 0.25))', 6)} AS psi FROM p GROUP BY s, n""")
 def events_window_psi(spark, d):
-    return T.window_psi(T.bucket_counts(table(spark, d, "events"), EDGES), [0.25, 0.25, 0.25, 0.25], least=10)
+    found = T.window_psi(T.bucket_counts(table(spark, d, "events"), EDGES), [0.25, 0.25, 0.25, 0.25], least=10)
+    return fine(_text(found, "start"), "psi", digits=6)
 
 
-@query()
+@query(f"""WITH RECURSIVE a AS (SELECT event_type AS key, ts, value AS score, epoch(ts) AS sec, floor(epoch(ts) / 86400) AS day, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS i FROM events WHERE value > 20),
+w AS (SELECT key, ts, score, i, true AS sent, sec AS last, day, 1 AS k FROM a WHERE i = 1
+UNION ALL SELECT a.key, a.ts, a.score, a.i, s, CASE WHEN s THEN a.sec ELSE w.last END, a.day, CASE WHEN a.day = w.day THEN w.k ELSE 0 END + s::INT
+  FROM w JOIN a ON a.key = w.key AND a.i = w.i + 1, LATERAL (SELECT a.sec - w.last >= 3600 AND (a.day <> w.day OR w.k < 5) AS s))
+SELECT key, {TS.format('ts')} AS ts, score FROM w WHERE sent""")
 def events_alerts(spark, d):
     alerts = table(spark, d, "events").where("value > 20").select(F.col("event_type").alias("key"), "ts", F.col("value").alias("score"))
-    return T.limited_alerts(alerts, cooldown_seconds=3600, daily=5)
+    return _text(T.limited_alerts(alerts, cooldown_seconds=3600, daily=5), "ts")
 
 
 @query("SELECT user_id, event_type, min(ts)::DATE::VARCHAR AS day FROM events GROUP BY user_id, event_type")

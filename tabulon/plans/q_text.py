@@ -269,9 +269,11 @@ def part_rules(spark, d):
     return fine(R.pair_rules(rows, "o_custkey", "x", least_support=0.002), "support", "confidence", "lift", digits=6)
 
 
-@query()
+@query(f"""WITH s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, ((a.p_brand = b.p_brand)::INT + (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT) / 3 AS s FROM part a JOIN part b ON a.p_partkey <> b.p_partkey)
+SELECT a, b, {r('s', 6)} AS similarity FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5""")
 def part_content_similarity(spark, d):
-    return R.content_similarity(table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"], neighbours=5)
+    found = R.content_similarity(table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"], neighbours=5)
+    return fine(found, "similarity", digits=6)
 
 
 @query(f"WITH {_RATINGS}, s AS (SELECT count(DISTINCT \"user\") AS users, 1 - count(*) / (count(DISTINCT \"user\") * count(DISTINCT item)) AS s FROM ratings) SELECT CASE WHEN s > 0.99 THEN 'matrix_factorisation' WHEN users > 10000 THEN 'item_based' WHEN s < 0.9 THEN 'user_based' ELSE 'hybrid' END AS algorithm, {r('s', 6)} AS sparsity, users FROM s")
