@@ -37,7 +37,7 @@ STRONG_WORDS = frozenset(
 )
 WEAK_WORDS = frozenset("banner promo promotion side foot head header notice notices alert warning share sharing social widget search form copyright legal disclaimer skip note".split())
 #: Words that make a class name speak of the page's layout or state instead, and those of main text.
-LAYOUT_WORDS = frozenset("no non not without has have with layout open closed enabled allowed status".split())
+LAYOUT_WORDS = frozenset("no non not without has have with layout open closed enabled allowed status hoc work works".split())
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 
 _NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*+")
@@ -47,6 +47,9 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _LETTERS = re.compile(r"[a-z]++")
 
+#: Words from which a block is running text.
+RUNNING = 40
+
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "hint")
 
 #: The labelled table: words, link density, the same of the block before and after, hint (1 weak, 2 strong), label.
@@ -138,6 +141,10 @@ LABELLED = """
 40 0.2 90 0.0 12 0.1 0 1
 150 0.0 10 0.0 9 0.2 0 1
 25 0.3 60 0.0 30 0.0 0 1
+25 0.55 25 0.55 25 0.55 0 1
+40 0.55 0 0.0 40 0.55 0 1
+60 0.55 60 0.5 0 0.0 0 1
+30 0.5 40 0.6 30 0.55 0 1
 18 0.4 50 0.0 60 0.0 0 1
 7 0.4 50 0.0 60 0.0 0 1
 4 1.0 70 0.0 80 0.0 0 1
@@ -178,7 +185,8 @@ def block_tree() -> Forest:
 class Block:
     """A flat block of text: words, words inside links, and where it stands.
 
-    ``hint`` is 0 for none, 1 for a weak one, 2 for a strong one, 3 for reader comments.
+    ``hint`` is 0 for none, 1 for a weak one, 2 for a strong one, 3 for reader comments; ``inside`` says whether the block is
+    part of a ``main`` or ``article`` element.
     """
 
     text: str
@@ -186,6 +194,7 @@ class Block:
     linked: int
     framed: bool
     hint: int
+    inside: bool = False
 
     @property
     def density(self) -> float:
@@ -231,7 +240,7 @@ def _decoded(text: str) -> list[str]:
 def blocks(html: str) -> list[Block]:
     """Flat blocks in page order, in time linear in the page.
 
-    Tags of block elements part blocks; inline ones do not. Character references are decoded, white space inside a block
+    Tags of block elements part blocks; inline ones do not, and inside ``pre`` their classes mark code, not parts. Character references are decoded, white space inside a block
     becomes one space. ``main`` and ``article`` elements end the hints of what stands around them, but for comments. A tag
     that does not end before the page does is dropped with what follows it; an unclosed comment or script likewise.
     """
@@ -249,7 +258,7 @@ def blocks(html: str) -> list[Block]:
         if text:
             words = _decoded("".join(text))
             if words:
-                out.append(Block(" ".join(words), len(words), len(_decoded(" ".join(linked))), framed, hint))
+                out.append(Block(" ".join(words), len(words), len(_decoded(" ".join(linked))), framed, hint, in_article))
             text, linked = [], []
 
     def push(name: str, attributes: str) -> None:
@@ -331,7 +340,7 @@ def blocks(html: str) -> list[Block]:
                 if count[name] and opened[-1][0] == name:
                     flush()
                     pop()
-            elif not attributes.endswith("/") and (count[name] or _role(name, attributes, in_article) != (False, 0)):
+            elif not attributes.endswith("/") and not count["pre"] and (count[name] or _role(name, attributes, in_article) != (False, 0)):
                 flush()
                 push(name, attributes)
         else:
@@ -351,12 +360,13 @@ def blocks(html: str) -> list[Block]:
 
 
 def _features(found: list[Block]) -> np.ndarray:
-    """The tree's features. Hints are void on a page that has running text under hints alone: they speak of its layout."""
+    """The tree's features. Hints are void on a page that has running text under hints alone: they speak of its layout. Inside
+    an article a hint does not overrule running text, but for reader comments."""
     plain = sum(b.words for b in found if not b.framed and not b.hint)
-    void = plain < 10 and any(b.hint in (1, 2) and not b.framed and b.words >= 40 and b.density < 0.5 for b in found)
+    void = plain < 10 and any(b.hint in (1, 2) and not b.framed and b.words >= RUNNING and b.density < 0.5 for b in found)
     w = np.array([0, *(b.words for b in found), 0], float)
     d = np.array([0, *(b.density for b in found), 0])
-    hint = [2 if b.hint == 3 else 0 if void else b.hint for b in found]
+    hint = [2 if b.hint == 3 else 0 if void or b.inside and b.words >= RUNNING and b.density < 0.3 else b.hint for b in found]
     return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], hint])
 
 
