@@ -224,14 +224,14 @@ def similar_documents(df: DataFrame, *, limit: float = 0.7, k: int = 20) -> Data
     pairs. Classes are searched above falling bounds until ``k`` pairs lie safely above one, at last above ``limit``.
     """
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    docs = _raw_weights(df).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df_", "term", "n", "w"))).alias("v")).withColumn("norm", F.sqrt(square(F.col("v"))))
+    docs = _raw_weights(df).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df_", "term", "n", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     same = F.sha2(F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["term"], x["n"])), " "), 256)
-    docs = docs.select("doc_id", same.alias("class"), F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
-    members = cut(docs.withColumn("i", F.row_number().over(Window.partitionBy("class").orderBy("doc_id"))).where(F.col("i") <= k + 1))
-    ids = members.select("class", "doc_id", "i")
+    docs = cut(docs.select("doc_id", same.alias("class"), F.transform("v", lambda x: F.struct(x["term"].alias("term"), (x["w"] / F.col("norm")).alias("w"))).alias("v")))
+    # ranks are of ids alone; vectors stay where they are but for those of the first document of each class
+    ids = cut(docs.select("class", "doc_id").withColumn("i", F.row_number().over(Window.partitionBy("class").orderBy("doc_id"))).where(F.col("i") <= k + 1))
     # norms over two of three classes of terms differ by no more than the vectors do
     part = lambda h: F.sqrt(square(F.filter("v", lambda x: F.pmod(F.xxhash64(x["term"]), F.lit(3)) == h)))
-    firsts = members.where("i = 1").select("class", "v", part(0).alias("f0"), part(1).alias("f1"))
+    firsts = _only(docs, ids.where("i = 1").select("doc_id"), "doc_id").select("class", "v", part(0).alias("f0"), part(1).alias("f1"))
     left, right = ids.select("class", F.col("doc_id").alias("l"), F.col("i").alias("il")), ids.select("class", F.col("doc_id").alias("r"), F.col("i").alias("ir"))
     within = left.join(right, "class").where("il < ir").select("l", "r", F.lit(1.0).alias("similarity"))
     bounds = [b for b in (1 - 2e-6, 0.95, 0.85) if b > limit] + [limit]
@@ -246,6 +246,11 @@ def similar_documents(df: DataFrame, *, limit: float = 0.7, k: int = 20) -> Data
     return df.sparkSession.createDataFrame(rows, top.schema)
 
 
+def _only(df: DataFrame, keys: DataFrame, on: str, few: int = 500_000) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys``; without moving them where the keys are few enough to be broadcast."""
+    return df.join(F.broadcast(keys) if keys.count() <= few else keys, on, "left_semi")
+
+
 def _class_pairs(firsts: DataFrame, bound: float) -> DataFrame:
     """``ca, cb, similarity`` of all pairs of unit vectors (class, v, f0, f1) with a cosine above ``bound``.
 
@@ -262,7 +267,9 @@ def _class_pairs(firsts: DataFrame, bound: float) -> DataFrame:
     around = F.array(*[F.array(F.col("g0") + i, F.col("g1") + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     there = rare.select(F.col("class").alias("cb"), F.explode("t").alias("term"), around.alias("g")).select("cb", "term", F.explode("g").alias("g")).select("cb", "term", F.col("g")[0].alias("g0"), F.col("g")[1].alias("g1"))
     pairs = here.join(there, ["term", "g0", "g1"]).where("ca < cb").select("ca", "cb").distinct()
-    full = pairs.join(firsts.select(F.col("class").alias("ca"), F.col("v").alias("va")), "ca").join(firsts.select(F.col("class").alias("cb"), F.map_from_entries("v").alias("vb")), "cb")
+    pairs = cut(pairs)  # only vectors that are in a pair move
+    used = _only(firsts, pairs.select(F.col("ca").alias("class")).unionByName(pairs.select(F.col("cb").alias("class"))).distinct(), "class").select("class", "v")
+    full = pairs.join(used.select(F.col("class").alias("ca"), F.col("v").alias("va")), "ca").join(used.select(F.col("class").alias("cb"), F.map_from_entries("v").alias("vb")), "cb")
     dot = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("vb", x["term"]), F.lit(0.0)))
     return full.select("ca", "cb", dot.alias("similarity")).where(F.col("similarity") > bound)
 
