@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import lower_ascii, table
 
 #: Rules of the registered query: (host, path, verdict).
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 #: Width of the hashed feature space and the n-gram lengths.
 BUCKETS, GRAMS = 16384, (3, 4)
