@@ -54,10 +54,10 @@ def trade_offs(metrics: DataFrame) -> DataFrame:
     return apply_rules(metrics.withColumn("precision_less_recall", F.col("precision") - F.col("recall")), TRADE_RULES)
 
 
-def deployment(score_row: DataFrame, *, saving: float, volume: float) -> DataFrame:
-    """``score, risk, readiness, expected_saving`` of a model by its score."""
+def deployment(score_row: DataFrame, *, saving: float, volume: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``score, risk, readiness, expected_saving`` of a model by its score, behind the columns ``keys``."""
     s = F.col("score")
-    return score_row.select("score", banded(s, [(0.9, "low"), (0.75, "medium")], "high").alias("risk"), banded(s, [(0.9, "ready"), (0.75, "pilot")], "not_ready").alias("readiness"), (s * saving * volume).alias("expected_saving"))
+    return score_row.select(*keys, "score", banded(s, [(0.9, "low"), (0.75, "medium")], "high").alias("risk"), banded(s, [(0.9, "ready"), (0.75, "pilot")], "not_ready").alias("readiness"), (s * saving * volume).alias("expected_saving"))
 
 
 #: Bands of the mean score for deployment: lower limit, readiness, impact, text.

@@ -277,7 +277,7 @@ def brand_importance_insights(spark, d):
 @query(f"SELECT event_type, {r('v')} AS score, CASE WHEN v >= 0.9 THEN 'low' WHEN v >= 0.75 THEN 'medium' ELSE 'high' END AS risk, {r('v * 10 * 100', 2)} AS expected_saving FROM (SELECT event_type, avg(value) / 100 AS v FROM events GROUP BY event_type)")
 def event_deployment(spark, d):
     rows = table(spark, d, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("score"))
-    out = rows.select("event_type", "score").join(I.deployment(rows, saving=10.0, volume=100.0).distinct(), "score").select("event_type", "score", "risk", "expected_saving")
+    out = I.deployment(rows, saving=10.0, volume=100.0, keys=("event_type",)).select("event_type", "score", "risk", "expected_saving")
     return fine(fine(out, "score"), "expected_saving", digits=2)
 
 
