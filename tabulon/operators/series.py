@@ -363,18 +363,22 @@ def with_external(df: DataFrame, external: DataFrame, columns: list[str], *, lag
 def autoregression(df: DataFrame, lags: int = 2, series: str = "series", ts: str = "ts", y: str = "y") -> DataFrame:
     """``series, n, coefficients, sigma, last``: least squares of each value on a constant and its ``lags`` predecessors.
 
-    The normal equations are aggregated in one pass; each series' small matrix is solved in a vectorised step over one row
-    for each series. Series with too few rows have no coefficients.
+    The normal equations are aggregated over each series less its mean, in units of its deviation, so that a high level or a
+    large unit costs no digits; each series' small matrix is solved in a vectorised step over one row for each series.
+    Series with too few rows have no coefficients.
     """
-    w = _w(series, ts)
-    xs = [F.lit(1.0), *[F.lag(F.col(y).cast("double"), k).over(w) for k in range(1, lags + 1)]]
-    rows = df.select(series, F.col(y).cast("double").alias("y_"), F.row_number().over(w).alias("t_"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+    w, whole = _w(series, ts), Window.partitionBy(series)
+    level = df.select(series, ts, F.col(y).cast("double").alias("y_")).withColumns({"mean_": F.avg("y_").over(whole), "unit_": F.stddev_pop("y_").over(whole)})
+    level = level.withColumn("unit_", F.when(F.col("unit_") > 0, F.col("unit_")).otherwise(1.0)).withColumn("y_", (F.col("y_") - F.col("mean_")) / F.col("unit_"))
+    xs = [F.lit(1.0), *[F.lag("y_", k).over(w) for k in range(1, lags + 1)]]
+    rows = level.select(series, "mean_", "unit_", "y_", F.row_number().over(w).alias("t_"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
     full = F.col(f"x{lags}").isNotNull() & F.col("y_").isNotNull()
     width = lags + 1
     sums = [F.sum(F.when(full, F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"m{i}_{j}") for i in range(width) for j in range(width)]
     sums += [F.sum(F.when(full, F.col(f"x{i}") * F.col("y_"))).alias(f"v{i}") for i in range(width)]
-    last = F.array(*[F.max_by(F.col("y_") if k == 0 else F.col(f"x{k}"), "t_") for k in range(lags)])
-    grouped = rows.groupBy(series).agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("y_") * F.col("y_"))).alias("yy"), *sums, last.alias("last"))
+    back = lambda z: F.col("mean_") + F.col("unit_") * z
+    last = F.array(*[F.max_by(back(F.col("y_") if k == 0 else F.col(f"x{k}")), "t_") for k in range(lags)])
+    grouped = rows.groupBy(series, F.col("mean_").alias("mean"), F.col("unit_").alias("unit")).agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("y_") * F.col("y_"))).alias("yy"), *sums, last.alias("last"))
 
     def solve(batches):
         import numpy as np
@@ -388,7 +392,8 @@ def autoregression(df: DataFrame, lags: int = 2, series: str = "series", ts: str
                 m = np.array([[getattr(row, f"m{i}_{j}") for j in range(width)] for i in range(width)])
                 v = np.array([getattr(row, f"v{i}") for i in range(width)])
                 beta = np.linalg.lstsq(m, v, rcond=None)[0]
-                out.append((beta.tolist(), float(np.sqrt(max(row.yy - 2 * beta @ v + beta @ m @ beta, 0.0) / (row.n - width)))))
+                sigma = row.unit * float(np.sqrt(max(row.yy - 2 * beta @ v + beta @ m @ beta, 0.0) / (row.n - width)))
+                out.append(([float(row.mean * (1 - beta[1:].sum()) + row.unit * beta[0]), *beta[1:].tolist()], sigma))
             yield pdf[[series, "n", "last"]].assign(coefficients=[b for b, _ in out], sigma=[s for _, s in out])[[series, "n", "coefficients", "sigma", "last"]]
 
     kind = dict(df.dtypes)[series]
