@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,64 +36,106 @@ def activity_histograms(ratings: DataFrame, bins: int = 10) -> DataFrame:
     return counted.select("side", "bin", (F.col("least") + F.col("bin") * width).alias("low"), (F.col("least") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-#: Ratings of one item (or user) that one task pairs at once; larger groups are cut into blocks of about this size.
-BLOCK = 500
+#: Pairs of ratings by one user (or item) that a block of items meets, and those that a task holds at once.
+BLOCK, CHUNK = 16_000_000, 2_000_000
 
 
-def _dots(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``a, b, dot``: the sum of rating products over shared ``z`` for all pairs a < b of ``x, z, rating``, each once.
+def _met(rows: DataFrame, finish, schema: str, *, most: int | None = None, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """``finish`` over all pairs of different ``x`` that share ``z``, in both directions, all pairs of an ``x`` at once.
 
-    Groups of over ``block`` rows are cut by the hash of ``x``, a power of two of parts, and block meets block. Blocks of the
-    same hash range come together in one task whatever their z, so their products are summed before the shuffle.
+    ``x`` is cut into ranges of about ``block`` pairs, and each ``z`` sends its list once to every range it has an ``x`` in; no
+    pair is shuffled. A task goes through its range ``chunk`` pairs at a time (or one ``x``). ``finish(a, b, dot, qa, sa, qb, sb)``
+    gets arrays ordered by ``a`` and ``b`` with the sum of rating products, the squares' sums and the sums of either side.
     """
-    sized = rows.join(rows.groupBy("z").agg(F.count("*").alias("m_")), "z")
-    light = sized.where(F.col("m_") <= block)
-    plain = light.select(F.col("x").alias("a"), "z", F.col("rating").alias("ra")).join(light.select(F.col("x").alias("b"), "z", F.col("rating").alias("rb")), "z").where("a < b").select("a", "b", (F.col("ra") * F.col("rb")).alias("d"))
-    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("m_") / block))).cast("int")
-    heavy = sized.where(F.col("m_") > block).withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    lists = heavy.groupBy("z", "parts", "p").agg(F.collect_list(F.struct("x", "rating")).alias("l"))
-    left = lists.select("z", "parts", "p", F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("q"), F.col("l").alias("la"))
-    right = lists.select("z", "parts", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"), F.col("l").alias("lb"))
-    met = left.join(right, ["z", "parts", "p", "q"]).repartition("parts", "p", "q")
-    cells = met.select("p", "q", F.explode("la").alias("l"), "lb").select("p", "q", "l", F.explode("lb").alias("r")).where("p < q OR l.x < r.x")
-    blocks = cells.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"), (F.col("l.rating") * F.col("r.rating")).alias("d"))
-    both = [side.groupBy("a", "b").agg(F.sum("d").alias("d")) for side in (plain, blocks)]
-    return both[0].unionByName(both[1]).groupBy("a", "b").agg(F.sum("d").alias("dot"))
+    rows = rows.where("x IS NOT NULL")
+    met = F.col("z").isNotNull() if most is None else F.col("z").isNotNull() & (F.col("m") <= most)
+    work = rows.groupBy("z").agg(F.count("*").alias("m")).where(met).agg(F.sum(F.col("m") * F.col("m")).alias("w")).first()["w"] or 0
+    whole = Window.partitionBy("x")
+    blocks = max(1, -(-int(work) // block))
+    ranged = rows.repartitionByRange(blocks, "x")
+    placed = cut(ranged.select("x", "z", F.col("rating").cast("double").alias("r"), F.sum(F.col("rating") * F.col("rating")).over(whole).cast("double").alias("q"), F.sum("rating").over(whole).cast("double").alias("s"), F.spark_partition_id().alias("p")))
+    lists = placed.groupBy("z").agg(F.collect_list(F.struct("x", "r", "q", "s", "p")).alias("l")).withColumn("m", F.size("l")).where(met)
+    sent = lists.select(F.explode(F.array_distinct("l.p")).alias("p"), *[F.col(f"l.{c}").alias(c) for c in ("x", "r", "q", "s")], F.col("l.p").alias("of"))
+    names = ("x", "r", "q", "s", "of")
+
+    def one(p, parts):
+        sizes = np.concatenate([part["x"].map(len).to_numpy() for part in parts])
+        x, r, q, s, of = (np.concatenate([v for part in parts for v in part[c]]) for c in names)
+        ids, at = np.unique(x, return_inverse=True)
+        norm, total = np.empty(len(ids)), np.empty(len(ids))
+        norm[at], total[at] = q, s
+        starts, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+        own = np.flatnonzero(of == p)
+        own = own[np.argsort(at[own], kind="stable")]
+        upto, ends = np.cumsum(size[own]), np.flatnonzero(np.r_[at[own][1:] != at[own][:-1], True])
+        i = 0
+        while i < len(own):
+            done = upto[i - 1] if i else 0
+            k = np.searchsorted(upto[ends], done + chunk, side="right") - 1
+            j = int(ends[max(k, np.searchsorted(ends, i))]) + 1
+            mine = own[i:j]
+            n = size[mine]
+            left = np.repeat(mine, n)
+            right = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key = at[left].astype(np.int64) * len(ids) + at[right]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            dot, a, b = np.add.reduceat((r[left] * r[right])[order], first), key[first] // len(ids), key[first] % len(ids)
+            a, b, dot = (v[a != b] for v in (a, b, dot))
+            if len(a):
+                yield finish(ids[a], ids[b], dot, norm[a], total[a], norm[b], total[b])
+            i = j
+
+    def work_on(frames):
+        held, p = [], None
+        for f in frames:
+            for now, part in f.groupby("p", sort=False):
+                if held and now != p:
+                    yield from one(p, held)
+                    held = []
+                p = now
+                held.append(part)
+        if held:
+            yield from one(p, held)
+
+    return sent.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(work_on, schema)
 
 
 def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int | None = 50, most: int | None = None) -> DataFrame:
     """``a, b, similarity`` between items (or users) that share users (items), the best ``neighbours`` of each (or all).
 
     ``metric``: cosine, pearson or euclid (1 / (1 + distance)) on the zero-filled matrix; all come from the sums of shared
-    ratings and the norms. All ratings count, unless ``most`` leaves out sides with more.
+    ratings and the norms. All ratings count, unless ``most`` leaves out sides with more: these give no pairs, but stay in the norms.
     """
     other = "user" if by == "item" else "item"
     rows = ratings.select(F.col(by).alias("x"), F.col(other).alias("z"), "rating")
-    used = rows
-    if most is not None:
-        light = rows.groupBy("z").agg(F.count("*").alias("n_")).where(F.col("n_") <= most).select("z")
-        used = rows.join(light, "z", "left_semi")
-    dots = _dots(used)
-    norms = rows.groupBy("x").agg(F.sum(F.col("rating") * F.col("rating")).alias("q"), F.sum("rating").alias("s"))
-    joined = dots.join(norms.select(F.col("x").alias("a"), F.col("q").alias("qa"), F.col("s").alias("sa")), "a").join(norms.select(F.col("x").alias("b"), F.col("q").alias("qb"), F.col("s").alias("sb")), "b")
-    if metric == "cosine":
-        value = F.try_divide("dot", F.sqrt("qa") * F.sqrt("qb"))
-    elif metric == "euclid":
-        value = 1 / (1 + F.sqrt(F.greatest(F.lit(0.0), F.col("qa") + F.col("qb") - 2 * F.col("dot"))))
-    else:
-        joined = joined.crossJoin(F.broadcast(rows.agg(F.count_distinct("z").alias("n"))))
-        value = F.try_divide(F.col("dot") - F.col("sa") * F.col("sb") / F.col("n"), F.sqrt(F.col("qa") - F.col("sa") * F.col("sa") / F.col("n")) * F.sqrt(F.col("qb") - F.col("sb") * F.col("sb") / F.col("n")))
-    pairs = joined.select("a", "b", value.alias("similarity"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    if neighbours is None:
-        return both
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return both.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= neighbours).drop("i_")
+    kind = dict(rows.dtypes)["x"]
+    width = rows.agg(F.count_distinct("z")).first()[0] if metric == "pearson" else 0
+
+    def finish(a, b, dot, qa, sa, qb, sb):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if metric == "cosine":
+                low, value = np.sqrt(qa) * np.sqrt(qb), dot
+            elif metric == "euclid":
+                low, value = 1 + np.sqrt(np.maximum(0.0, qa + qb - 2 * dot)), np.ones(len(dot))
+            else:
+                low, value = np.sqrt(qa - sa * sa / width) * np.sqrt(qb - sb * sb / width), dot - sa * sb / width
+            value = np.where(low == 0, np.nan, value / low)
+        out = pd.DataFrame({"a": a, "b": b, "similarity": value})
+        if neighbours is None:
+            return out
+        out = out.sort_values("similarity", ascending=False, kind="stable")  # ties stay by b
+        return out[out.groupby("a", sort=False).cumcount() < neighbours]
+
+    return _met(rows, finish, f"a {kind}, b {kind}, similarity double", most=most)
 
 
 def predict_items(ratings: DataFrame, similar: DataFrame, *, k: int = 50) -> DataFrame:
     """``user, item, score`` for items near what a user rated: Σ similarity · rating / Σ |similarity| over ``k`` neighbours."""
-    near = ratings.join(similar.select(F.col("a").alias("item"), F.col("b").alias("candidate"), "similarity"), "item")
+    lists = similar.groupBy(F.col("a").alias("item")).agg(F.collect_list(F.struct(F.col("b").alias("candidate"), "similarity")).alias("l"))
+    held = ratings.select("user", "item", "rating").join(lists, "item").repartition("user")  # lists move, their rows don't
+    near = held.select("user", "item", "rating", F.inline("l"))
     w = Window.partitionBy("user", "candidate").orderBy(F.desc("similarity"), "item")
     top = near.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= k)
     return top.groupBy("user", F.col("candidate").alias("item")).agg(F.try_divide(F.sum(F.col("similarity") * F.col("rating")), F.sum(F.abs("similarity"))).alias("score"))
@@ -101,7 +145,9 @@ def predict_users(ratings: DataFrame, similar: DataFrame, *, k: int = 50) -> Dat
     """``user, item, score``: the user's mean plus the weighted deviations of ``k`` similar users who rated the item."""
     means = ratings.groupBy("user").agg(F.avg("rating").alias("mean"))
     theirs = ratings.join(means, "user").select(F.col("user").alias("b"), "item", (F.col("rating") - F.col("mean")).alias("d"))
-    near = similar.join(theirs, "b")
+    lists = theirs.groupBy("b").agg(F.collect_list(F.struct("item", "d")).alias("l"))
+    held = similar.select("a", "b", "similarity").join(lists, "b").repartition("a")  # lists move, their rows don't
+    near = held.select("a", "b", "similarity", F.inline("l"))
     w = Window.partitionBy("a", "item").orderBy(F.desc("similarity"), "b")
     top = near.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= k)
     moved = top.groupBy(F.col("a").alias("user"), "item").agg(F.try_divide(F.sum(F.col("similarity") * F.col("d")), F.sum(F.abs("similarity"))).alias("move"))
@@ -119,9 +165,16 @@ def popular(ratings: DataFrame, k: int = 100) -> DataFrame:
 
 
 def top_n(scores: DataFrame, seen: DataFrame, n: int = 10) -> DataFrame:
-    """``user, item, score, rank``: the ``n`` best items of each user that the user has not seen."""
-    fresh = scores.join(seen.select("user", "item"), ["user", "item"], "left_anti")
+    """``user, item, score, rank``: the ``n`` best items of each user that the user has not seen.
+
+    They are among the best ``n`` and as many more as the user has seen; only these meet what was seen. Pairs of
+    ``scores`` are unique.
+    """
     w = Window.partitionBy("user").orderBy(F.desc("score"), "item")
+    known = seen.select("user", "item").distinct()
+    first = scores.withColumn("rank", F.row_number().over(w)).join(known.groupBy("user").agg(F.count("*").alias("m_")), "user", "left")
+    first = first.where(F.col("rank") <= n + F.coalesce("m_", F.lit(0))).drop("rank", "m_")
+    fresh = first.join(known, ["user", "item"], "left_anti")
     return fresh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -276,14 +329,11 @@ def pair_rules(baskets: DataFrame, basket: str, item: str, *, least_support: flo
     rows = baskets.select(F.col(basket).alias("k"), F.col(item).alias("x")).distinct()
     total = F.broadcast(rows.agg(F.count_distinct("k").alias("total")))
     counts = rows.groupBy("x").agg(F.count("*").alias("n_"))
-    used = rows
-    if most is not None:
-        used = rows.join(rows.groupBy("k").agg(F.count("*").alias("m_")).where(F.col("m_") <= most).select("k"), "k", "left_semi")
-    once = _dots(used.select("x", F.col("k").alias("z"), F.lit(1).cast("bigint").alias("rating"))).withColumnRenamed("dot", "n")
-    pairs = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    joined = pairs.join(counts.select(F.col("x").alias("a"), F.col("n_").alias("na")), "a").join(counts.select(F.col("x").alias("b"), F.col("n_").alias("nb")), "b").crossJoin(total)
-    out = joined.select("a", "b", "n", (F.col("n") / F.col("total")).alias("support"), (F.col("n") / F.col("na")).alias("confidence"), (F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("lift"))
-    return out.where(F.col("support") >= least_support)
+    kind = dict(rows.dtypes)["x"]
+    met = _met(rows.select("x", F.col("k").alias("z"), F.lit(1.0).alias("rating")), lambda a, b, dot, *_: pd.DataFrame({"a": a, "b": b, "n": dot.astype(np.int64)}), f"a {kind}, b {kind}, n long", most=most)
+    pairs = met.crossJoin(total).withColumn("support", F.col("n") / F.col("total")).where(F.col("support") >= least_support)
+    joined = pairs.join(counts.select(F.col("x").alias("a"), F.col("n_").alias("na")), "a").join(counts.select(F.col("x").alias("b"), F.col("n_").alias("nb")), "b")
+    return joined.select("a", "b", "n", "support", (F.col("n") / F.col("na")).alias("confidence"), (F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("lift"))
 
 
 def rerank_diverse(recommended: DataFrame, similar: DataFrame, *, weight: float = 0.1, compat: bool = False) -> DataFrame:
