@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once and written to the shared folder as Parquet: for rows that are read several times."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

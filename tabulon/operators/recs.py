@@ -7,15 +7,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.storage import cut
+from tabulon.functions.storage import cut, stored
 
 
 def prepare(df: DataFrame, user: str, item: str, rating: str, *, least_user: int = 5, least_item: int = 5) -> DataFrame:
     """``user, item, rating``: one row for each pair (the first by rating), of active users and items."""
-    from tabulon.operators.clean import active, keep_first
-
     rows = df.select(F.col(user).alias("user"), F.col(item).alias("item"), F.col(rating).cast("double").alias("rating")).na.drop()
-    return active(keep_first(rows, ["user", "item"], ["rating"]), "user", "item", least_user, least_item)
+    rows = stored(rows.groupBy("user", "item").agg(F.min("rating").alias("rating")), "ratings")
+    kept = rows
+    for side, least in (("user", least_user), ("item", least_item)):
+        idle = rows.groupBy(side).agg(F.count("*").alias("n_")).where(F.col("n_") < least).select(side)
+        kept = kept.join(_light(idle), side, "left_anti")
+    return stored(kept.select("user", "item", "rating"), "ratings")
+
+
+def _light(keys: DataFrame, few: int = 500_000) -> DataFrame:
+    """``keys``, to be broadcast where they are few, so that the side they are joined to stays in place."""
+    return F.broadcast(keys) if keys.limit(few + 1).count() <= few else keys
 
 
 def statistics(ratings: DataFrame) -> DataFrame:
@@ -199,10 +207,11 @@ def biases(ratings: DataFrame, *, rounds: int = 3, damping: float = 10.0) -> tup
     """The mean rating (one row ``mean``), ``user, user_bias`` and ``item, item_bias``.
 
     Items first, then users, each from what the mean and the other side leave, summed over the ratings plus ``damping``, in
-    turn for ``rounds``; so that a side with few ratings stays near 0. Two joins and two sums for each round.
+    turn for ``rounds``; so that a side with few ratings stays near 0. Two joins and two sums for each round, over rows that
+    are written once.
     """
     mean = cut(ratings.agg(F.avg("rating").alias("mean")))
-    rows = ratings.crossJoin(F.broadcast(mean)).select("user", "item", (F.col("rating") - F.col("mean")).alias("d"))
+    rows = stored(ratings.crossJoin(F.broadcast(mean)).select("user", "item", (F.col("rating") - F.col("mean")).alias("d")), "deviations")
     side = lambda left, key: cut(left.groupBy(key).agg((F.sum("d") / (F.count("*") + damping)).alias(f"{key}_bias")))
     less = lambda known, key: rows.join(known, key).withColumn("d", F.col("d") - F.col(f"{key}_bias"))
     items = side(rows, "item")
