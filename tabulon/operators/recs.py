@@ -139,14 +139,142 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
     return _met(rows, finish, f"a {kind}, b {kind}, similarity double", most=most)
 
 
-def predict_items(ratings: DataFrame, similar: DataFrame, *, k: int = 50) -> DataFrame:
+def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int, block: int, chunk: int) -> DataFrame:
+    """``then(found, seen)`` over the scores of items near what users rated, whole users at a time.
+
+    Users lie in ranges of about ``block`` ratings met by neighbours; an item's list of neighbours goes once to each range
+    that rated it, and the rows of candidates are made, ranked and summed there ``chunk`` at a time (or one user), never
+    shuffled. ``found`` has ``user, item, score`` (and ``worth``, if ``similar`` gives one for ``b``), ordered by user and item;
+    ``seen`` whether the user rated it.
+    """
+    met = similar.where("a IS NOT NULL AND b IS NOT NULL")
+    value = {"s": "similarity"} | ({"w": "worth"} if "worth" in met.columns else {})
+    listed = F.collect_list(F.struct("b", *[F.coalesce(c, F.lit(float("nan"))).alias(n) for n, c in value.items()]))  # in one order
+    lists = met.groupBy(F.col("a").alias("item")).agg(listed.alias("l")).select("item", *[F.col(f"l.{n}").alias(n) for n in ("b", *value)])
+    lists = stored(lists, "neighbours")
+    rows = ratings.where("user IS NOT NULL AND item IS NOT NULL").select("user", "item", F.col("rating").cast("double").alias("r"))
+    width = lists.agg(F.avg(F.size("b"))).first()[0] or 1.0
+    blocks = max(1, -(-int(rows.count() * width) // block))
+    placed = stored(rows.repartitionByRange(blocks, "user").withColumn("p", F.spark_partition_id()), "ranges")
+    sent = placed.groupBy("p", "item").agg(F.min("user").alias("user")).join(lists, "item")  # no null, which would turn ids to floats
+    empty = {n: F.array().cast(lists.schema[n].dataType) for n in ("b", *value)}  # not null: Arrow's writer takes long over runs of null lists
+    both = placed.withColumns(empty).unionByName(sent.withColumn("r", F.lit(None).cast("double")))
+
+    def one(_, parts):
+        every = pd.concat(parts, ignore_index=True)
+        size = every["b"].map(len).to_numpy()
+        listed, mine = every[size > 0], every.loc[size == 0, ["user", "item", "r"]]
+        if not len(listed) or not len(mine):
+            return
+        listed = listed.sort_values("item", kind="stable")
+        size = listed["b"].map(len).to_numpy()
+        start = np.cumsum(size) - size
+        ids, cand = np.unique(np.concatenate(listed["b"].to_list()), return_inverse=True)
+        near = np.concatenate(listed["s"].to_list()).astype(float)
+        worth = np.full(len(ids), np.nan)
+        if "w" in listed:
+            worth[cand] = np.concatenate(listed["w"].to_list()).astype(float)
+        users, u = np.unique(mine["user"].to_numpy(), return_inverse=True)
+        items, i = np.unique(mine["item"].to_numpy(), return_inverse=True)
+        order = np.lexsort((i, u))
+        u, i, r = u[order], i[order], mine["r"].to_numpy(dtype=float)[order]
+        at = np.searchsorted(ids, items).clip(max=len(ids) - 1)
+        at = np.where(ids[at] == items, at, -1)[i]  # a user's own item among the candidates
+        known = np.unique((u.astype(np.int64) * len(ids) + at)[at >= 0])
+        with_list = items.searchsorted(listed["item"].to_numpy())
+        which = np.full(len(items), -1)
+        which[with_list] = np.arange(len(listed))
+        l = which[i]
+        u, r, l = u[l >= 0], r[l >= 0], l[l >= 0]
+        upto = np.cumsum(size[l])
+        ends = np.flatnonzero(np.r_[u[1:] != u[:-1], True]) if len(u) else np.array([], int)
+        first = 0
+        while first < len(u):
+            done = upto[first - 1] if first else 0
+            e = np.searchsorted(upto[ends], done + chunk, side="right") - 1
+            last = int(ends[max(e, np.searchsorted(ends, first))]) + 1
+            n = size[l[first:last]]
+            src = np.repeat(np.arange(first, last), n)
+            to = np.repeat(start[l[first:last]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key = u[src].astype(np.int64) * len(ids) + cand[to]
+            turn = np.argsort(key, kind="stable")  # sources of a pair stay by item
+            key, sim, rate = key[turn], near[to[turn]], r[src[turn]]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            many = np.diff(np.r_[heads, len(key)])
+            if many.max() > k:
+                turn = np.lexsort((-sim, key))
+                key, sim, rate = key[turn], sim[turn], rate[turn]
+                keep = np.arange(len(key)) - np.repeat(heads, many) < k
+                key, sim, rate = key[keep], sim[keep], rate[keep]
+                heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            top, low = sim * rate, np.abs(sim)
+            above, below = np.add.reduceat(np.where(np.isnan(top), 0.0, top), heads), np.add.reduceat(np.where(np.isnan(low), 0.0, low), heads)
+            bare = np.logical_and.reduceat(np.isnan(top), heads) | (below == 0)
+            score = np.where(bare, np.nan, above / np.where(bare, 1.0, below))
+            pair = key[heads]
+            found = pd.DataFrame({"user": users[pair // len(ids)], "item": ids[pair % len(ids)], "score": score} | ({"worth": worth[pair % len(ids)]} if "w" in listed else {}))
+            yield then(found, np.isin(pair, known, assume_unique=True))
+            first = last
+
+    return both.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(_by_range(one), schema)
+
+
+def _by_range(one):
+    """``one(p, parts)`` for the frames of each range ``p`` that follow one another."""
+
+    def work(frames):
+        held, p = [], None
+        for f in frames:
+            for now, part in f.groupby("p", sort=False):
+                if held and now != p:
+                    yield from one(p, held)
+                    held = []
+                p = now
+                held.append(part)
+        if held:
+            yield from one(p, held)
+
+    return work
+
+
+def _best(found: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series]:
+    """Rows by user, falling score and item, and their rank for the user."""
+    found = found.sort_values(["user", "score"], ascending=[True, False], kind="stable", na_position="last")  # ties stay by item
+    return found, found.groupby("user", sort=False).cumcount() + 1
+
+
+def _pair(ratings: DataFrame, similar: DataFrame, *more: str) -> str:
+    kinds = dict(ratings.dtypes), dict(similar.dtypes)
+    return ", ".join([f"user {kinds[0]['user']}", f"item {kinds[1]['b']}", *more])
+
+
+def predict_items(ratings: DataFrame, similar: DataFrame, *, k: int = 50, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """``user, item, score`` for items near what a user rated: Σ similarity · rating / Σ |similarity| over ``k`` neighbours."""
-    lists = similar.groupBy(F.col("a").alias("item")).agg(F.collect_list(F.struct(F.col("b").alias("candidate"), "similarity")).alias("l"))
-    held = ratings.select("user", "item", "rating").join(lists, "item").repartition("user")  # lists move, their rows don't
-    near = held.select("user", "item", "rating", F.inline("l"))
-    w = Window.partitionBy("user", "candidate").orderBy(F.desc("similarity"), "item")
-    top = near.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= k)
-    return top.groupBy("user", F.col("candidate").alias("item")).agg(F.try_divide(F.sum(F.col("similarity") * F.col("rating")), F.sum(F.abs("similarity"))).alias("score"))
+    return _scored(ratings, similar, lambda found, _: found, _pair(ratings, similar, "score double"), k=k, block=block, chunk=chunk)
+
+
+def recommend_items(ratings: DataFrame, similar: DataFrame, n: int = 10, *, k: int = 50, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """``user, item, score, rank``: :func:`top_n` of :func:`predict_items` among items that the user has not rated, without
+    a row for each candidate leaving its task."""
+
+    def best(found, seen):
+        found, rank = _best(found[~seen])
+        return found.assign(rank=rank.astype("int32"))[rank <= n]
+
+    return _scored(ratings, similar, best, _pair(ratings, similar, "score double", "rank int"), k=k, block=block, chunk=chunk)
+
+
+def blend_popular(ratings: DataFrame, similar: DataFrame, popular: DataFrame, *, k: int = 50, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """``user, item, score``: :func:`blend` by ``rank`` of :func:`predict_items` and of the popularity (item, score) of the same
+    items; both are ranked where a user's items are scored. Popularity comes along with the neighbours."""
+
+    def both(found, _):
+        own = _best(found)[1]
+        popular = _best(found.assign(score=found["worth"]).dropna(subset="score"))[1]
+        return found[["user", "item"]].assign(score=1 / (pd.concat([own, popular], axis=1).mean(axis=1) + 1))
+
+    worth = similar.join(popular.select(F.col("item").alias("b"), F.col("score").cast("double").alias("worth")), "b", "left")
+    return _scored(ratings, worth, both, _pair(ratings, similar, "score double"), k=k, block=block, chunk=chunk)
 
 
 def predict_users(ratings: DataFrame, similar: DataFrame, *, k: int = 50) -> DataFrame:

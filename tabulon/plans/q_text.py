@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabulon.functions.storage import stored
 from tabulon.operators import recs as R
 from tabulon.operators import text as X
 from tabulon.plans.q_profile import fine, long, r
@@ -216,8 +217,8 @@ def ratings_statistics(spark, d):
 def _recommended(spark, d):
     ratings = _ratings(spark, d)
     train = ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) > 0)
-    scores = R.predict_items(train, R.similarity(train, neighbours=20))
-    return R.with_fallback(R.top_n(scores, train, 10), ratings, train, 10), ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) == 0), train
+    found = stored(R.recommend_items(train, R.similarity(train, neighbours=20), 10), "recommended")
+    return R.with_fallback(found, ratings, train, 10), ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) == 0), train
 
 
 @query()
@@ -258,9 +259,7 @@ def recs_factorised(spark, d):
 @query()
 def recs_blended(spark, d):
     ratings = _ratings(spark, d)
-    best = R.popularity(ratings).select("item", F.col("score").alias("p"))
-    items = R.predict_items(ratings, R.similarity(ratings, neighbours=10))
-    return R.blend({"items": (items, 0.7), "popular": (items.join(best, "item").select("user", "item", F.col("p").alias("score")), 0.3)}, "rank")
+    return R.blend_popular(ratings, R.similarity(ratings, neighbours=10), R.popularity(ratings).select("item", "score"))
 
 
 @query(f"WITH k AS (SELECT DISTINCT o_custkey AS k, l_partkey AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT x, count(*) AS n FROM k GROUP BY x), t AS (SELECT count(DISTINCT k) AS t FROM k), p AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM k a JOIN k b ON a.k = b.k AND a.x <> b.x GROUP BY ALL) SELECT a, b, p.n AS n, {r('p.n / t', 6)} AS support, {r('p.n / na.n', 6)} AS confidence, {r('p.n * t / (na.n * nb.n)', 6)} AS lift FROM p JOIN n na ON na.x = a JOIN n nb ON nb.x = b, t WHERE p.n / t >= 0.002")
