@@ -110,11 +110,12 @@ def _met(rows: DataFrame, finish, schema: str, *, most: int | None = None, block
     return sent.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(work_on, schema)
 
 
-def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int | None = 50, most: int | None = None) -> DataFrame:
+def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int | None = 50, most: int | None = None, totals: bool = False) -> DataFrame:
     """``a, b, similarity`` between items (or users) that share users (items), the best ``neighbours`` of each (or all).
 
     ``metric``: cosine, pearson or euclid (1 / (1 + distance)) on the zero-filled matrix; all come from the sums of shared
     ratings and the norms. All ratings count, unless ``most`` leaves out sides with more: these give no pairs, but stay in the norms.
+    ``totals`` gives ``a, total, size`` instead: the sums of an item's similarities to all others, and of their absolute values.
     """
     other = "user" if by == "item" else "item"
     rows = ratings.select(F.col(by).alias("x"), F.col(other).alias("z"), "rating")
@@ -130,13 +131,60 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
             else:
                 low, value = np.sqrt(qa - sa * sa / width) * np.sqrt(qb - sb * sb / width), dot - sa * sb / width
             value = np.where(low == 0, np.nan, value / low)
+        if totals:
+            heads = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            value = np.where(np.isnan(value), 0.0, value)
+            return pd.DataFrame({"a": a[heads], "total": np.add.reduceat(value, heads), "size": np.add.reduceat(np.abs(value), heads)})
         out = pd.DataFrame({"a": a, "b": b, "similarity": value})
         if neighbours is None:
             return out
         out = out.sort_values("similarity", ascending=False, kind="stable")  # ties stay by b
         return out[out.groupby("a", sort=False).cumcount() < neighbours]
 
-    return _met(rows, finish, f"a {kind}, b {kind}, similarity double", most=most)
+    return _met(rows, finish, f"a {kind}, total double, size double" if totals else f"a {kind}, b {kind}, similarity double", most=most)
+
+
+def reachable(ratings: DataFrame, *, block: int = 1_000_000, room: int = 1 << 30) -> DataFrame:
+    """``user, items``: how many items are similar to any that the user rated, that is, share a user with another item.
+
+    Users lie in ranges of about ``block`` ratings; a range gets once the list of each user that shares an item with one of its
+    own. There each list is a row of bits, some candidates (``room`` bits over all lists) at a time: an item's row joins those of
+    its users, a user's those of the items. Where all users share items with all, a range holds all lists.
+    """
+    rows = ratings.where("user IS NOT NULL AND item IS NOT NULL").select("user", "item")
+    blocks = max(1, -(-rows.count() // block))
+    placed = stored(rows.repartitionByRange(blocks, "user").withColumn("p", F.spark_partition_id()), "ranges")
+    shared = placed.select("p", "item").distinct().join(placed.select("item", "user"), "item").select("p", "user").distinct()
+    sent = shared.join(placed.select("user", "item", F.col("p").alias("home")), "user").select("p", "user", "item", "home")
+
+    def one(p, parts):
+        every = pd.concat(parts, ignore_index=True)
+        users, v = np.unique(every["user"].to_numpy(), return_inverse=True)
+        items, i = np.unique(every["item"].to_numpy(), return_inverse=True)
+        mine = np.flatnonzero(every["home"].to_numpy() == p)
+        asked, place = np.unique(i[mine], return_inverse=True)
+        at = np.full(len(items), -1)
+        at[asked] = np.arange(len(asked))
+        of = np.flatnonzero(at[i] >= 0)  # who rated the items of this range's users
+        of = of[np.argsort(at[i[of]], kind="stable")]
+        item_heads = np.flatnonzero(np.r_[True, np.diff(at[i[of]]) != 0])
+        turn = np.argsort(v[mine], kind="stable")
+        own, place = v[mine][turn], place[turn]
+        user_heads = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+        n = np.zeros(len(user_heads), np.int64)
+        width = int(np.clip(room // len(every), 64, 4096))
+        by = np.argsort(i, kind="stable")
+        cuts = np.searchsorted(i[by], np.arange(0, len(items) + width, width))
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            bits = np.zeros((len(users), width), bool)
+            bits[v[by[a:b]], i[by[a:b]] - c * width] = True
+            bits = np.packbits(bits, axis=1)
+            bits = np.bitwise_or.reduceat(bits[v[of]], item_heads)
+            n += np.bitwise_count(np.bitwise_or.reduceat(bits[place], user_heads)).sum(axis=1, dtype=np.int64)
+        n -= np.diff(np.r_[user_heads, len(own)]) == 1  # an only item isn't similar to itself
+        yield pd.DataFrame({"user": users[own[user_heads]], "items": n})
+
+    return sent.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(_by_range(one), f"user {dict(rows.dtypes)['user']}, items long")
 
 
 def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int, block: int, chunk: int) -> DataFrame:

@@ -199,8 +199,9 @@ def part_item_similarity(spark, d):
 @query(f"WITH {_SIM} SELECT r.\"user\", count(DISTINCT s.b) AS items, {r('sum(s.s * r.rating) / sum(abs(s.s))')} AS mean_score FROM ratings r JOIN sim s ON s.a = r.item GROUP BY r.\"user\"")
 def user_part_scores(spark, d):
     ratings = _ratings(spark, d)
-    near = ratings.join(R.similarity(ratings, neighbours=None).select(F.col("a").alias("item"), "b", "similarity"), "item")
-    out = near.groupBy("user").agg(F.count_distinct("b").alias("items"), (F.sum(F.col("similarity") * F.col("rating")) / F.sum(F.abs("similarity"))).alias("mean_score"))
+    near = ratings.join(R.similarity(ratings, totals=True).withColumnRenamed("a", "item"), "item")
+    scores = near.groupBy("user").agg((F.sum(F.col("total") * F.col("rating")) / F.sum("size")).alias("mean_score"))
+    out = R.reachable(ratings).join(scores, "user").select("user", "items", "mean_score")
     return fine(out, "mean_score")
 
 
