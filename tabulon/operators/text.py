@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +46,21 @@ def _sentences(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
 
 
-def _syllables(word: Column) -> Column:
-    """Groups of vowels, at least one."""
-    return F.greatest(F.regexp_count(word, F.lit("[aeiouyà-æè-ïò-öù-ý]+")), F.lit(1))
+_VOWEL, _OTHER, _LETTER = "[aeiouyà-æè-ïò-öù-ý]", "[bcdfghjklmnpqrstvwxzçðñøþÿ0-9]", "[a-zà-öø-ÿ0-9]"
 
 
-def _total(array: str, size) -> Column:
-    return F.aggregate(array, F.lit(0), lambda a, x: a + size(x))
+def _word_facts(text: Column) -> dict[str, Column]:
+    """``words, letters, syllables, complex`` of a text in lower case, by scans of the text without an array of its words.
+
+    Syllables are groups of vowels, at least one a word; vowels are letters of words, so that no group spans two. A complex word
+    has three or more.
+    """
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    bare = count(f"(?<!{_LETTER}){_OTHER}++(?!{_LETTER})")
+    return {
+        "words": count(f"{_LETTER}++"), "letters": count(_LETTER), "syllables": count(f"{_VOWEL}++") + bare,
+        "complex": count(f"{_OTHER}*+{_VOWEL}++(?:{_OTHER}++{_VOWEL}++){{2}}{_LETTER}*+"),
+    }
 
 
 def _flesch_ease(n: Column, sentences: Column, syllables: Column) -> Column:
@@ -84,8 +95,9 @@ def readability(df: DataFrame) -> DataFrame:
     Syllables are groups of vowels; a word of three or more is complex. Reading takes 14.69 ms for each character that is
     no white space.
     """
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", words(F.col("t")).alias("w"), _sentences(F.col("t")).alias("s"), F.regexp_count("t", F.lit(r"\S")).alias("shown"))
-    counted = rows.select("doc_id", "shown", F.size("w").alias("n"), "s", _total("w", _syllables).alias("y"), F.size(F.filter("w", lambda x: _syllables(x) >= 3)).alias("c"), _total("w", F.char_length).alias("k")).where("n > 0")
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.lower("t").alias("low"), _sentences(F.col("t")).alias("s"), F.regexp_count("t", F.lit(r"\S")).alias("shown"))
+    facts = _word_facts(F.col("low"))
+    counted = rows.select("doc_id", "shown", facts["words"].alias("n"), "s", facts["syllables"].alias("y"), facts["complex"].alias("c"), facts["letters"].alias("k")).where("n > 0")
     ws, sw, kw = F.col("n") / F.col("s"), F.col("y") / F.col("n"), F.col("k") / F.col("n")
     return counted.select("doc_id", _flesch_ease(F.col("n"), F.col("s"), F.col("y")).alias("flesch_ease"), (0.39 * ws + 11.8 * sw - 15.59).alias("flesch_kincaid"), (0.4 * (ws + 100 * F.col("c") / F.col("n"))).alias("fog"), (4.71 * kw + 0.5 * ws - 21.43).alias("ari"), (5.88 * kw - 29.6 / ws - 15.8).alias("coleman_liau"), (F.col("shown") * 0.01469).alias("reading_seconds"))
 
@@ -129,8 +141,9 @@ def text_quality(df: DataFrame) -> DataFrame:
     """``doc_id, quality``: 1, times .8 under 50 and .9 over 2,000 characters, times min(1, share of distinct words + .5),
     halved if one character is over .3 of more than 100; then the mean with the Flesch ease as a share of 100, if there are words."""
     t = F.coalesce("text", F.lit(""))
-    rows = df.select("doc_id", t.alias("t"), _tokens(t).alias("tokens"), _characters(t).alias("c"), words(t).alias("w"), _sentences(t).alias("s"))
-    counted = rows.select("doc_id", F.size("c").alias("n"), F.size("tokens").alias("k"), F.size(F.array_distinct("tokens")).alias("distinct"), _largest_count(F.col("c")).alias("most"), F.size("w").alias("words"), _total("w", _syllables).alias("y"), "s")
+    rows = df.select("doc_id", t.alias("t"), F.lower(t).alias("low"), _tokens(t).alias("tokens"), _sentences(t).alias("s"))
+    facts = _word_facts(F.col("low"))
+    counted = rows.select("doc_id", F.char_length("t").alias("n"), F.size("tokens").alias("k"), F.size(F.array_distinct("tokens")).alias("distinct"), _most_of_a_character()("t").alias("most"), facts["words"].alias("words"), facts["syllables"].alias("y"), "s")
     length = F.when(F.col("n") < 50, 0.8).when(F.col("n") > 2000, 0.9).otherwise(1.0)
     varied = F.least(F.lit(1.0), F.coalesce(F.try_divide("distinct", "k"), F.lit(0.0)) + 0.5)
     score = length * varied * F.when((F.col("n") > 100) & (F.col("most") > 0.3 * F.col("n")), 0.5).otherwise(1.0)
@@ -143,9 +156,24 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
-def _characters(text: Column) -> Column:
-    """The code points of a text."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+def _most_of_a_character():
+    """How often a text's most frequent code point occurs."""
+
+    @F.pandas_udf("int")
+    def most(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: max(Counter(t).values(), default=0))
+
+    return most
+
+
+def _distinct_characters():
+    """How many code points a text has."""
+
+    @F.pandas_udf("int")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(set(t)))
+
+    return distinct
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
@@ -155,7 +183,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
     least half; 3 to 50 words a sentence; characters beyond letters, digits, white space and ASCII punctuation at most .1.
     """
     t = F.coalesce("text", F.lit(""))
-    facts = df.select("doc_id", t.alias("t"), _tokens(t).alias("w"), F.size(F.array_distinct(_characters(F.lower(t)))).alias("distinct"))
+    facts = df.select("doc_id", t.alias("t"), _tokens(t).alias("w"), _distinct_characters()(F.lower(t)).alias("distinct"))
     facts = facts.select("doc_id", F.char_length("t").alias("n"), "distinct", F.size("w").alias("k"), _largest_count(F.col("w")).alias("most"), _share(r"\p{L}", F.col("t")).alias("letters"), (F.size("w") / _sentences(F.col("t"))).alias("long"), _share(r"[^\p{L}\p{N}\s!-/:-@\[-`{-~]", F.col("t")).alias("special"))
     n, k, long = F.col("n"), F.col("k"), F.col("long")
     found = {
