@@ -5,22 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.functions.selection import exact_quantiles
 from tabulon.functions.stats import chi2_p, correlation, signed_rank_p, t_two_sided, with_p_value
+from tabulon.functions.storage import stored
 from tabulon.operators.clean import grouped_running_totals, running_totals
 
 #: Two-sided 95 % points of Student's t for 1 to 29 degrees of freedom (fixed values of the distribution).
 T_95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045)
 
 
+def _selected(rows: DataFrame, value: Column, at: list[float]) -> list[Column]:
+    """Exact quantiles of a column as literals, found by passes over ``rows`` and without a map of its values; infinite values
+    and NaN, which rank last, are left to Spark's percentile."""
+    if rows.where(~F.coalesce(F.abs(value) < float("inf"), F.lit(True))).isEmpty():
+        return [F.lit(v).cast("double") for v in exact_quantiles(rows, [value], at)[0]]
+    return [F.percentile(value, q) for q in at]
+
+
 def regression(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None) -> DataFrame:
-    """MSE, RMSE, MAE, R², MAPE, sMAPE, median and largest error, explained variance and Pearson, in one aggregate."""
+    """MSE, RMSE, MAE, R², MAPE, sMAPE, median and largest error, explained variance and Pearson, in one aggregate.
+
+    Without ``by``, both columns are written once, since the median error is selected in passes.
+    """
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    known = df.where(y.isNotNull() & p.isNotNull())
+    if not by:
+        known = stored(known.select(y.alias("y_"), p.alias("p_")), "errors")
+        y, p = F.col("y_"), F.col("p_")
     e = y - p
     var = F.var_pop(y)
-    rows = df.where(y.isNotNull() & p.isNotNull()).groupBy(*(by or []))
-    return rows.agg(
+    middle = F.median(F.abs(e)) if by else _selected(known, F.abs(e), [0.5])[0]
+    return known.groupBy(*(by or [])).agg(
         F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.avg(e * e), var)).alias("r2"), (100 * F.avg(F.when(y != 0, F.abs(e / y)))).alias("mape"),
-        (100 * F.avg(F.try_divide(2 * F.abs(e), F.abs(y) + F.abs(p)))).alias("smape"), F.median(F.abs(e)).alias("median_error"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), var)).alias("explained_variance"), correlation(y, p).alias("pearson"),
+        (100 * F.avg(F.try_divide(2 * F.abs(e), F.abs(y) + F.abs(p)))).alias("smape"), middle.alias("median_error"), F.max(F.abs(e)).alias("max_error"), (1 - F.try_divide(F.var_pop(e), var)).alias("explained_variance"), correlation(y, p).alias("pearson"),
     )
 
 
@@ -124,10 +141,11 @@ def calibration(df: DataFrame, actual: str, scores: dict[str, str], bins: int =
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: mean, deviation, skewness and kurtosis (both biased) of the residuals, and the share beyond both fences."""
     e = (F.col(actual) - F.col(predicted)).cast("double")
-    rows = df.select(e.alias("e")).na.drop()
-    q = rows.agg(F.percentile("e", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    low, high = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
-    return rows.crossJoin(F.broadcast(q)).agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("std"), F.skewness("e").alias("skewness"), F.kurtosis("e").alias("kurtosis"), (100 * F.count_if((F.col("e") < low) | (F.col("e") > high)) / F.count("*")).alias("outlier_percent"))
+    rows = stored(df.select(e.alias("e")).na.drop(), "residuals")
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    q = rows.agg(F.array(*_selected(rows, F.col("e"), [0.25, 0.75])).alias("q"))
+    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    return rows.crossJoin(F.broadcast(q)).agg(F.avg("e").alias("mean"), F.stddev_pop("e").alias("std"), F.skewness("e").alias("skewness"), F.kurtosis("e").alias("kurtosis"), (100 * F.try_divide(F.count_if((F.col("e") < low) | (F.col("e") > high)), F.count("*"))).alias("outlier_percent"))
 
 
 def largest_errors(df: DataFrame, key: str, actual: str, predicted: str, k: int = 10) -> DataFrame:
