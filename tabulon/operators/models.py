@@ -39,6 +39,20 @@ def fit(df: DataFrame, target: str, columns: list[str], name: str = "linear", ki
     return Pipeline(stages=[*stages, model]).fit(df.where(F.col(target).isNotNull()))
 
 
+def fit_grouped(df: DataFrame, target: str, columns: list[str], name: str = "boosted", **options) -> PipelineModel:
+    """:func:`fit` for trees by least squares, on one row for each combination of ``columns``: the mean of the target,
+    weighted by its rows.
+
+    Squared errors around a mean differ from those of the rows by a constant, so splits and leaves are the same as on all
+    rows; only the thresholds to choose from come from all combinations, where Spark would draw rows. Forests are
+    left to :func:`fit`, as their samples are of rows.
+    """
+    if name not in ("tree", "boosted"):
+        raise ValueError(f"{name} is not a tree that whole groups of rows can fit")
+    grouped = cut(df.where(F.col(target).isNotNull()).groupBy(*columns).agg(F.avg(target).alias(target), F.count("*").cast("double").alias("weight_")))
+    return fit(grouped, target, columns, name, weightCol="weight_", **options)
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with ``prediction`` and, for classifiers, ``confidence``; indexing columns are dropped."""
     out = model.transform(df)

@@ -130,7 +130,7 @@ def run(stream, path):
 def price_boosted(spark, d):
     """Boosted trees on all lines, and their errors."""
     lines = table(spark, d, "lineitem")
-    found = M.score(M.fit(lines, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "boosted", maxIter=5, seed=1), lines)
+    found = M.score(M.fit_grouped(lines, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "boosted", maxIter=5, seed=1), lines)
     return V.regression(found, "l_extendedprice", "prediction")
 
 
