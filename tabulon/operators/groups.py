@@ -65,36 +65,14 @@ def assign(df: DataFrame, columns: list[str], k: int, method: str = "kmeans", se
 def density_groups(df: DataFrame, key: str, columns: list[str], eps: float, least: int = 5) -> DataFrame:
     """``key, cluster`` by density (DBSCAN); noise is -1, a cluster is its smallest core key.
 
-    In up to three columns points meet only those in their own and neighbouring cells of an eps grid; core points are linked
-    and labelled by minimum-label rounds, each checkpointed. More columns, or one array column, go through
-    :func:`tabulon.operators.density.density_groups`.
+    Up to three columns go through :func:`tabulon.operators.density.grid_groups`, which is exact; more columns, or one array column,
+    through :func:`tabulon.operators.density.density_groups`.
     """
-    from itertools import product
-
     from tabulon.operators import density
 
     if len(columns) > 3 or dict(df.dtypes)[columns[0]].startswith("array"):
         return density.density_groups(df, key, columns, eps, least)
-    pts = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop()
-    cell = lambda i: F.floor(F.col(f"x{i}") / eps)
-    n = len(columns)
-    here = pts.select("*", F.array(*[cell(i) for i in range(n)]).alias("cell"))
-    near = F.array(*[F.array(*[cell(i) + d for i, d in enumerate(move)]) for move in product((-1, 0, 1), repeat=n)])
-    there = pts.select(F.col("k").alias("k2"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(n)], F.explode(near).alias("cell"))
-    squared = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(n)), F.lit(0.0))
-    pairs = here.join(there, "cell").where(squared <= eps * eps).select("k", "k2")
-    pairs = cut(pairs)
-    core = pairs.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("k")
-    links = cut(pairs.join(core, "k", "left_semi").join(core.select(F.col("k").alias("k2")), "k2", "left_semi"))
-    label, changed = cut(core.select("k", F.col("k").alias("c"))), 1
-    while changed:
-        new = links.join(label.select(F.col("k").alias("k2"), "c"), "k2").groupBy("k").agg(F.min("c").alias("c"))
-        # jump to the label of the label, so that chains shorten quickly
-        new = cut(new.join(new.select(F.col("k").alias("c"), F.col("c").alias("up")), "c", "left").select("k", F.least("c", F.coalesce("up", "c")).alias("c")))
-        changed = new.join(label.withColumnRenamed("c", "old"), "k").where("c <> old").count()
-        label = new
-    border = pairs.join(label.select(F.col("k").alias("k2"), "c"), "k2").groupBy("k").agg(F.min("c").alias("c"))
-    return pts.select("k").join(border, "k", "left").select(F.col("k").alias(key), F.coalesce("c", F.lit(-1)).alias("cluster"))
+    return density.grid_groups(df, key, columns, eps, least)
 
 
 def quality(df: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
