@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.storage import cut
+from tabulon.functions.storage import cut, stored
 
 #: Frequent words by language, for stop words and the language guess (fixed values).
 STOP_WORDS = {
@@ -113,25 +113,49 @@ def readability(df: DataFrame) -> DataFrame:
 
 def terms(df: DataFrame) -> DataFrame:
     """``doc_id, term, n``: how often each word occurs in each document."""
-    return df.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return ngrams(df, (1,))
 
 
 def ngrams(df: DataFrame, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """``doc_id, term, n`` of runs of words of the given sizes, joined by a space."""
-    rows = df.select("doc_id", words(F.col("text")).alias("w"))
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), _run(k)) for k in sizes]
-    kept = F.filter(F.concat(*runs), lambda t: t.isNotNull())
-    return rows.where(F.size("w") > 0).select("doc_id", F.explode(kept).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    """``doc_id, term, n`` of runs of words of the given sizes, joined by a space.
 
+    They are counted where the text is; only rows of one ``doc_id``, if there are any, are added up by a shuffle.
+    """
+    kind = df.schema["doc_id"].dataType.simpleString()
+    rows = df.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    counted = rows.mapInArrow(_count_runs(sizes), f"doc_id {kind}, term string, n long")
+    if df.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return counted
+    return counted.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+
+
+def _count_runs(sizes: tuple[int, ...]):
+    """Counts the runs of words of each row of Arrow batches (doc_id, w)."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-def _run(k: int):
-    return lambda i: F.when(i + k - 1 <= F.size("w"), F.array_join(F.slice("w", i, k), " "))
+        for batch in batches:
+            row, word = pc.list_parent_indices(batch.column("w")), pc.list_flatten(batch.column("w"))
+            rows, runs = [row.slice(0, 0)], [word.slice(0, 0)]
+            for k in sizes:
+                n = len(word) - k + 1
+                if n > 0:
+                    inside = pc.equal(row.slice(0, n), row.slice(k - 1, n))
+                    rows.append(row.slice(0, n).filter(inside))
+                    runs.append((word.slice(0, n) if k == 1 else pc.binary_join_element_wise(*[word.slice(i, n) for i in range(k)], " ")).filter(inside))
+            found = pa.table({"row": pa.concat_arrays(rows), "term": pa.concat_arrays(runs)}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+            for part in found.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(part.column("row")), part.column("term"), part.column("count_all")], names=["doc_id", "term", "n"])
+
+    return run
 
 
 def limited_tf_idf(df: DataFrame, sizes: tuple[int, ...] = (1, 2), most_terms: int = 1000) -> DataFrame:
     """``doc_id, term, weight`` over the ``most_terms`` most frequent runs of words: tf · (ln((1 + N) / (1 + df)) + 1), each
     document at length 1. The limit on terms is the size of the feature space; ties go to the smaller term."""
-    t = cut(ngrams(df, sizes))
+    t = stored(ngrams(df, sizes), "ngrams")
     best = t.groupBy("term").agg(F.sum("n").alias("all_"), F.count("*").alias("df_")).orderBy(F.desc("all_"), "term").limit(most_terms)
     docs = F.broadcast(df.agg(F.count_distinct("doc_id").alias("docs_")))
     raw = t.join(F.broadcast(best.crossJoin(docs)), "term").select("doc_id", "term", (F.col("n") * (F.ln((1 + F.col("docs_")) / (1 + F.col("df_"))) + 1)).alias("w"))
@@ -237,7 +261,7 @@ def top_words(df: DataFrame, k: int = 20) -> DataFrame:
 
 def _raw_weights(df: DataFrame, least_df: int = 2, most_df: float = 0.95) -> DataFrame:
     """``doc_id, term, n, df_, w``: TF-IDF before the norm."""
-    t = terms(df)
+    t = stored(terms(df), "terms")  # read for the frequencies and for the weights
     total = F.broadcast(df.agg(F.count_distinct("doc_id").alias("docs_")))
     frequency = t.groupBy("term").agg(F.count("*").alias("df_")).crossJoin(total).where((F.col("df_") >= least_df) & (F.col("df_") <= most_df * F.col("docs_")))
     return t.join(frequency, "term").select("doc_id", "term", "n", "df_", ((1 + F.ln("n")) * (F.ln((1 + F.col("docs_")) / (1 + F.col("df_"))) + 1)).alias("w"))
@@ -250,8 +274,8 @@ def tf_idf(df: DataFrame, *, least_df: int = 2, most_df: float = 0.95) -> DataFr
     aggregated and joined by term, so that one very common term is dropped before documents meet.
     """
     raw = _raw_weights(df, least_df, most_df)
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm_")).alias("weight"))
+    docs = raw.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_"))
+    return docs.select("doc_id", "norm_", F.explode("v").alias("v")).select("doc_id", "v.term", (F.col("v.w") / F.col("norm_")).alias("weight"))
 
 
 def similar_documents(df: DataFrame, *, limit: float = 0.7, k: int = 20) -> DataFrame:
