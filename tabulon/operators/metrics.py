@@ -41,6 +41,12 @@ def regression(df: DataFrame, actual: str, predicted: str, by: list[str] | None
     )
 
 
+def r_squared(df: DataFrame, actual: str, predicted: str) -> float | None:
+    """R² of :func:`regression` by itself, in one pass: for comparisons that need no other measure."""
+    y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    return df.where(y.isNotNull() & p.isNotNull()).agg(1 - F.try_divide(F.avg((y - p) * (y - p)), F.var_pop(y))).first()[0]
+
+
 def _mid_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with average ranks of ``value``, from running counts over its distinct values."""
     counts = df.groupBy(F.col(value).alias("v_")).agg(F.count("*").alias("k_"))

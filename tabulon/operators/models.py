@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.stats import correlation
-from tabulon.functions.storage import cut
+from tabulon.functions.storage import cut, stored
 from tabulon.operators import features as E
 from tabulon.operators import metrics as V
 
@@ -75,14 +75,13 @@ def candidates(n_rows: int, n_columns: int, kind: str) -> list[str]:
 
 def compare(df: DataFrame, target: str, columns: list[str], key: str, names: list[str], kind: str = "regression") -> DataFrame:
     """``model, test, rank``: R² or accuracy of each model on the rows that the hash of ``key`` holds out."""
-    parts = E.split(df, key, test=0.25)
-    train, test = parts.where("part = 'train'").cache(), parts.where("part = 'test'")
+    parts = stored(E.split(df, key, test=0.25), "parts")  # each model reads them several times
+    train, test = parts.where("part = 'train'"), parts.where("part = 'test'")
     rows = []
     for name in names:
         out = score(fit(train, target, columns, name, kind), test)
-        value = V.regression(out, target, "prediction").first()["r2"] if kind == "regression" else V.classification(out.withColumn(target, F.col(target).cast("double")), target, "prediction").first()["accuracy"]
+        value = V.r_squared(out, target, "prediction") if kind == "regression" else V.classification(out.withColumn(target, F.col(target).cast("double")), target, "prediction").first()["accuracy"]
         rows.append((name, float(value or 0.0)))
-    train.unpersist()
     out = df.sparkSession.createDataFrame(rows, "model string, test double")
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("test"), "model")))
 
