@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.stats import datetime_columns, numeric_columns, string_columns
+from tabulon.functions.storage import stored
 from tabulon.operators import clean, drift, features, groups, insights, metrics, models, profile, quality, recs, series, text
 from tabulon.sources import files
 
@@ -149,7 +150,7 @@ def explain(model, df: DataFrame, target: str, columns: list[str], key: str) ->
 
 def ensemble(df: DataFrame, target: str, columns: list[str], key: str, names: list[str]) -> dict[str, DataFrame]:
     """Models fitted on three quarters of the rows vote on the rest: the vote, its metrics, each model's, and their diversity."""
-    parts = features.split(df, key, test=0.25)
+    parts = stored(features.split(df, key, test=0.25), "parts")  # each model reads them several times
     test = parts.where("part = 'test'").drop("part")
     tables = {n: models.score(models.fit(parts.where("part = 'train'"), target, columns, n), test) for n in names}
     voted = models.vote(tables, key).join(test.select(key, target), key)
