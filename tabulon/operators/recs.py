@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,70 +45,119 @@ def activity_histograms(ratings: DataFrame, bins: int = 10) -> DataFrame:
     return counted.select("side", "bin", (F.col("least") + F.col("bin") * width).alias("low"), (F.col("least") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-#: Pairs of ratings by one user (or item) that a block of items meets, and those that a task holds at once.
-BLOCK, CHUNK = 16_000_000, 2_000_000
+#: Pairs of ratings by one user (or item) that a range of items meets at most, that a range has before it is split for more tasks, and
+#: those that a task holds at once.
+BLOCK, LEAST, CHUNK = 64_000_000, 4_000_000, 2_000_000
 
 
-def _met(rows: DataFrame, finish, schema: str, *, most: int | None = None, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def _ranges(df: DataFrame, work: int, block: int) -> int:
+    """Ranges of about ``block`` units of ``work``; of fewer, so that all tasks have one, while a range keeps ``LEAST``."""
+    return max(1, -(-work // block), min(df.sparkSession.sparkContext.defaultParallelism, work // LEAST))
+
+
+def _narrow(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """``columns`` in the shortest numeric type that holds all their values exactly."""
+    kinds = dict(df.dtypes)
+    steps = {c: [k for k in ("smallint", "int", "float") if (k != "float") or kinds[c] == "double"] for c in columns if kinds[c] in ("bigint", "int", "double")}
+    if not steps:
+        return {c: F.col(c) for c in columns}
+    fits = lambda c, k: F.bool_and(F.coalesce(F.col(c).try_cast(k).cast(kinds[c]) == F.col(c), F.col(c).isNull()))
+    facts = df.agg(*[fits(c, k).alias(f"{c}_{k}") for c, some in steps.items() for k in some]).first()
+    return {c: F.col(c).cast(next((k for k in steps.get(c, []) if facts[f"{c}_{k}"]), kinds[c])) for c in columns}
+
+
+def _dealt(sent: DataFrame, ranges: int, one, schema: str) -> DataFrame:
+    """``one(p, batches)``, which yields pandas frames, over the rows of each range ``p``; a range is one task."""
+
+    def work(batches):
+        held = {}
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            for now in np.unique(p):
+                held.setdefault(int(now), []).append(batch.filter(pa.array(p == now)) if (p != now).any() else batch)
+        while held:
+            for frame in one(*held.popitem()):
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return sent.repartitionById(ranges, "p").mapInArrow(work, schema)
+
+
+def _flat(batches, column: str) -> pa.Array:
+    """The values of a column's lists in one array."""
+    return pa.concat_arrays([b.column(column).flatten() for b in batches])
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    coded = values.dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(names, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return names[order].astype(np.int64) if names.dtype.kind == "i" else names[order], rank[coded.indices.to_numpy()]
+
+
+def _met(rows: DataFrame, finish, schema: str, *, needs: tuple[str, ...] = ("r", "q", "s"), most: int | None = None, block: int | None = None, chunk: int | None = None) -> DataFrame:
     """``finish`` over all pairs of different ``x`` that share ``z``, in both directions, all pairs of an ``x`` at once.
 
     ``x`` is cut into ranges of about ``block`` pairs, and each ``z`` sends its list once to every range it has an ``x`` in; no
     pair is shuffled. A task goes through its range ``chunk`` pairs at a time (or one ``x``). ``finish(a, b, dot, qa, sa, qb, sb)``
-    gets arrays ordered by ``a`` and ``b`` with the sum of rating products, the squares' sums and the sums of either side.
+    gets arrays ordered by ``a`` and ``b`` with the sum of rating products, the squares' sums and the sums of either side. Lists hold
+    what it ``needs`` only (``r`` for products, else pairs are counted; ``q``, ``s``), in the shortest types that are exact.
     """
     rows = rows.where("x IS NOT NULL")
     met = F.col("z").isNotNull() if most is None else F.col("z").isNotNull() & (F.col("m") <= most)
     work = rows.groupBy("z").agg(F.count("*").alias("m")).where(met).agg(F.sum(F.col("m") * F.col("m")).alias("w")).first()["w"] or 0
     whole = Window.partitionBy("x")
-    blocks = max(1, -(-int(work) // block))
-    ranged = rows.repartitionByRange(blocks, "x")
-    placed = cut(ranged.select("x", "z", F.col("rating").cast("double").alias("r"), F.sum(F.col("rating") * F.col("rating")).over(whole).cast("double").alias("q"), F.sum("rating").over(whole).cast("double").alias("s"), F.spark_partition_id().alias("p")))
-    lists = placed.groupBy("z").agg(F.collect_list(F.struct("x", "r", "q", "s", "p")).alias("l")).withColumn("m", F.size("l")).where(met)
-    sent = lists.select(F.explode(F.array_distinct("l.p")).alias("p"), *[F.col(f"l.{c}").alias(c) for c in ("x", "r", "q", "s")], F.col("l.p").alias("of"))
-    names = ("x", "r", "q", "s", "of")
-
-    def one(p, parts):
-        sizes = np.concatenate([part["x"].map(len).to_numpy() for part in parts])
-        x, r, q, s, of = (np.concatenate([v for part in parts for v in part[c]]) for c in names)
-        ids, at = np.unique(x, return_inverse=True)
-        norm, total = np.empty(len(ids)), np.empty(len(ids))
-        norm[at], total[at] = q, s
-        starts, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
-        own = np.flatnonzero(of == p)
-        own = own[np.argsort(at[own], kind="stable")]
-        upto, ends = np.cumsum(size[own]), np.flatnonzero(np.r_[at[own][1:] != at[own][:-1], True])
+    blocks = _ranges(rows, int(work), block or BLOCK)
+    given = {"r": F.col("rating").cast("double"), "q": F.sum(F.col("rating") * F.col("rating")).over(whole).cast("double"), "s": F.sum("rating").over(whole).cast("double")}
+    placed = stored(rows.repartitionByRange(blocks, "x").select("x", "z", *[given[n].alias(n) for n in needs], F.spark_partition_id().alias("p")), "ranges")
+    short = _narrow(placed, ["x", *needs])
+    entry = F.struct(F.col("p").cast("smallint" if blocks < 1 << 15 else "int").alias("p"), *[c.alias(n) for n, c in short.items()])
+    lists = placed.groupBy("z").agg(F.sort_array(F.collect_list(entry)).alias("l")).withColumn("m", F.size("l")).where(met)
+    apart = lists.select(F.array_distinct("l.p").alias("ps"), F.col("l.p").alias("of"), *[F.col(f"l.{n}").alias(n) for n in short])
+    sent = apart.select(F.explode("ps").alias("p"), "of", *short).withColumn("p", F.col("p").cast("int"))
+    kind = dict(rows.dtypes)["x"]
+    chunk = chunk or CHUNK
+
+    def one(p, batches):
+        sizes = np.concatenate([b.column("of").value_lengths().to_numpy() for b in batches]).astype(np.int64)
+        own = np.flatnonzero(_flat(batches, "of").to_numpy() == p)
+        ids, at = _coded(_flat(batches, "x"))
+        if kind != "bigint" and ids.dtype == np.int64:
+            ids = ids.astype({"int": np.int32, "smallint": np.int16, "tinyint": np.int8}[kind])
+        held = {n: _flat(batches, n).to_numpy(zero_copy_only=False) for n in needs}
+        batches.clear()
+        r, sides = held.get("r"), {}
+        for n in ("q", "s"):
+            if n in needs:
+                sides[n] = np.empty(len(ids))
+                sides[n][at] = held.pop(n)
+        of = np.searchsorted(np.cumsum(sizes), own, side="right")  # the list of each own entry
+        order = np.argsort(at[own], kind="stable")
+        own, of = own[order], of[order]
+        start, size = (np.cumsum(sizes) - sizes)[of], sizes[of]
+        upto, ends = np.cumsum(size), np.flatnonzero(np.r_[at[own][1:] != at[own][:-1], True])
         i = 0
         while i < len(own):
             done = upto[i - 1] if i else 0
             k = np.searchsorted(upto[ends], done + chunk, side="right") - 1
             j = int(ends[max(k, np.searchsorted(ends, i))]) + 1
-            mine = own[i:j]
-            n = size[mine]
-            left = np.repeat(mine, n)
-            right = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            n = size[i:j]
+            left = np.repeat(own[i:j], n)
+            right = np.repeat(start[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             key = at[left].astype(np.int64) * len(ids) + at[right]
             order = np.argsort(key, kind="stable")
             key = key[order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            dot, a, b = np.add.reduceat((r[left] * r[right])[order], first), key[first] // len(ids), key[first] % len(ids)
+            dot = np.diff(np.r_[first, len(key)]) if r is None else np.add.reduceat((r[left].astype(float) * r[right])[order], first)
+            a, b = key[first] // len(ids), key[first] % len(ids)
             a, b, dot = (v[a != b] for v in (a, b, dot))
             if len(a):
-                yield finish(ids[a], ids[b], dot, norm[a], total[a], norm[b], total[b])
+                yield finish(ids[a], ids[b], dot, *[sides[n][side] if n in sides else None for side in (a, b) for n in ("q", "s")])
             i = j
 
-    def work_on(frames):
-        held, p = [], None
-        for f in frames:
-            for now, part in f.groupby("p", sort=False):
-                if held and now != p:
-                    yield from one(p, held)
-                    held = []
-                p = now
-                held.append(part)
-        if held:
-            yield from one(p, held)
-
-    return sent.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(work_on, schema)
+    return _dealt(sent, blocks, one, schema)
 
 
 def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *, neighbours: int | None = 50, most: int | None = None, totals: bool = False) -> DataFrame:
@@ -115,7 +165,8 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
 
     ``metric``: cosine, pearson or euclid (1 / (1 + distance)) on the zero-filled matrix; all come from the sums of shared
     ratings and the norms. All ratings count, unless ``most`` leaves out sides with more: these give no pairs, but stay in the norms.
-    ``totals`` gives ``a, total, size`` instead: the sums of an item's similarities to all others, and of their absolute values.
+    ``totals`` gives ``a, n, best, total, size`` instead: the number of an item's similarities to all others, the largest, their sum
+    and that of their absolute values; they are summed where the pairs are made.
     """
     other = "user" if by == "item" else "item"
     rows = ratings.select(F.col(by).alias("x"), F.col(other).alias("z"), "rating")
@@ -133,15 +184,17 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
             value = np.where(low == 0, np.nan, value / low)
         if totals:
             heads = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            value = np.where(np.isnan(value), 0.0, value)
-            return pd.DataFrame({"a": a[heads], "total": np.add.reduceat(value, heads), "size": np.add.reduceat(np.abs(value), heads)})
+            known = np.where(np.isnan(value), 0.0, value)
+            best = np.fmax.reduceat(value, heads)
+            return pd.DataFrame({"a": a[heads], "n": np.diff(np.r_[heads, len(a)]), "best": best, "total": np.where(np.isnan(best), np.nan, np.add.reduceat(known, heads)), "size": np.add.reduceat(np.abs(known), heads)})
         out = pd.DataFrame({"a": a, "b": b, "similarity": value})
         if neighbours is None:
             return out
         out = out.sort_values("similarity", ascending=False, kind="stable")  # ties stay by b
         return out[out.groupby("a", sort=False).cumcount() < neighbours]
 
-    return _met(rows, finish, f"a {kind}, total double, size double" if totals else f"a {kind}, b {kind}, similarity double", most=most)
+    shape = f"a {kind}, n long, best double, total double, size double" if totals else f"a {kind}, b {kind}, similarity double"
+    return _met(rows, finish, shape, needs=("r", "q", "s") if metric == "pearson" else ("r", "q"), most=most)
 
 
 def reachable(ratings: DataFrame, *, block: int = 1_000_000, room: int = 1 << 30) -> DataFrame:
@@ -510,15 +563,24 @@ def content_similarity(attributes: DataFrame, columns: list[str], *, neighbours:
 
 
 def pair_rules(baskets: DataFrame, basket: str, item: str, *, least_support: float = 0.0, most: int | None = None) -> DataFrame:
-    """``a, b, n, support, confidence, lift`` of item pairs that share baskets (of at most ``most`` items, if given)."""
-    rows = baskets.select(F.col(basket).alias("k"), F.col(item).alias("x")).distinct()
-    total = F.broadcast(rows.agg(F.count_distinct("k").alias("total")))
-    counts = rows.groupBy("x").agg(F.count("*").alias("n_"))
+    """``a, b, n, support, confidence, lift`` of item pairs that share baskets (of at most ``most`` items, if given).
+
+    A pair is in no more baskets than either item, so only items that reach ``least_support`` themselves are paired."""
+    rows = stored(baskets.select(F.col(basket).alias("k"), F.col(item).alias("x")).distinct(), "baskets")
+    total = rows.agg(F.count_distinct("k").alias("total")).first()["total"]
+    counts = stored(rows.groupBy("x").agg(F.count("*").alias("n_")).where(F.try_divide("n_", F.lit(total)) >= least_support), "counts")
     kind = dict(rows.dtypes)["x"]
-    met = _met(rows.select("x", F.col("k").alias("z"), F.lit(1.0).alias("rating")), lambda a, b, dot, *_: pd.DataFrame({"a": a, "b": b, "n": dot.astype(np.int64)}), f"a {kind}, b {kind}, n long", most=most)
-    pairs = met.crossJoin(total).withColumn("support", F.col("n") / F.col("total")).where(F.col("support") >= least_support)
+    paired = rows if most is None else rows.join(rows.groupBy("k").agg(F.count("*").alias("m_")).where(F.col("m_") <= most).select("k"), "k", "left_semi")
+    paired = paired.join(_light(counts.select("x")), "x", "left_semi")
+
+    def finish(a, b, n, *_):
+        enough = n / total >= least_support
+        return pd.DataFrame({"a": a[enough], "b": b[enough], "n": n[enough]})
+
+    met = _met(paired.select("x", F.col("k").alias("z")), finish, f"a {kind}, b {kind}, n long", needs=())
+    pairs = met.withColumn("support", F.col("n") / F.lit(total))
     joined = pairs.join(counts.select(F.col("x").alias("a"), F.col("n_").alias("na")), "a").join(counts.select(F.col("x").alias("b"), F.col("n_").alias("nb")), "b")
-    return joined.select("a", "b", "n", "support", (F.col("n") / F.col("na")).alias("confidence"), (F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))).alias("lift"))
+    return joined.select("a", "b", "n", "support", (F.col("n") / F.col("na")).alias("confidence"), (F.col("n") * F.lit(total) / (F.col("na") * F.col("nb"))).alias("lift"))
 
 
 def rerank_diverse(recommended: DataFrame, similar: DataFrame, *, weight: float = 0.1, compat: bool = False) -> DataFrame:

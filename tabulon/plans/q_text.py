@@ -192,14 +192,13 @@ _SIM = f"{_RATINGS}, norms AS (SELECT item, sum(rating * rating) AS q FROM ratin
 
 @query(f"WITH {_SIM} SELECT a, count(*) AS n, {r('max(s)')} AS best, {r('sum(s)')} AS total FROM sim GROUP BY a")
 def part_item_similarity(spark, d):
-    out = R.similarity(_ratings(spark, d), neighbours=None).groupBy("a").agg(F.count("*").alias("n"), F.max("similarity").alias("best"), F.sum("similarity").alias("total"))
-    return fine(out, "best", "total")
+    return fine(R.similarity(_ratings(spark, d), totals=True).select("a", "n", "best", "total"), "best", "total")
 
 
 @query(f"WITH {_SIM} SELECT r.\"user\", count(DISTINCT s.b) AS items, {r('sum(s.s * r.rating) / sum(abs(s.s))')} AS mean_score FROM ratings r JOIN sim s ON s.a = r.item GROUP BY r.\"user\"")
 def user_part_scores(spark, d):
     ratings = _ratings(spark, d)
-    near = ratings.join(R.similarity(ratings, totals=True).withColumnRenamed("a", "item"), "item")
+    near = ratings.join(R.similarity(ratings, totals=True).select(F.col("a").alias("item"), "total", "size"), "item")
     scores = near.groupBy("user").agg((F.sum(F.col("total") * F.col("rating")) / F.sum("size")).alias("mean_score"))
     out = R.reachable(ratings).join(scores, "user").select("user", "items", "mean_score")
     return fine(out, "mean_score")
