@@ -48,21 +48,25 @@ def activity_histograms(ratings: DataFrame, bins: int = 10) -> DataFrame:
 #: Pairs of ratings by one user (or item) that a range of items meets at most, that a range has before it is split for more tasks, and
 #: those that a task holds at once.
 BLOCK, LEAST, CHUNK = 64_000_000, 4_000_000, 2_000_000
+#: Ranges whose bits one number holds.
+MASK = 62
 
 
-def _ranges(df: DataFrame, work: int, block: int) -> int:
-    """Ranges of about ``block`` units of ``work``; of fewer, so that all tasks have one, while a range keeps ``LEAST``."""
-    return max(1, -(-work // block), min(df.sparkSession.sparkContext.defaultParallelism, work // LEAST))
+def _ranges(df: DataFrame, work: int, block: int, least: int = LEAST) -> int:
+    """Ranges of about ``block`` units of ``work``; of fewer, so that all tasks have one, while a range keeps ``least``."""
+    return max(1, -(-work // block), min(df.sparkSession.sparkContext.defaultParallelism, work // least))
 
 
 def _narrow(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """``columns`` in the shortest numeric type that holds all their values exactly."""
     kinds = dict(df.dtypes)
-    steps = {c: [k for k in ("smallint", "int", "float") if (k != "float") or kinds[c] == "double"] for c in columns if kinds[c] in ("bigint", "int", "double")}
+    ends = {"smallint": 1 << 15, "int": 1 << 31}
+    steps = {c: ["smallint", "int", *(["float"] if kinds[c] == "double" else [])] for c in columns if kinds[c] in ("bigint", "int", "double")}
     if not steps:
         return {c: F.col(c) for c in columns}
-    fits = lambda c, k: F.bool_and(F.coalesce(F.col(c).try_cast(k).cast(kinds[c]) == F.col(c), F.col(c).isNull()))
-    facts = df.agg(*[fits(c, k).alias(f"{c}_{k}") for c, some in steps.items() for k in some]).first()
+    whole = lambda c: F.col(c) == F.rint(c) if kinds[c] == "double" else F.lit(True)
+    same = lambda c, k: whole(c) & F.col(c).between(-ends[k], ends[k] - 1) if k in ends else F.col(c).cast(k).cast(kinds[c]) == F.col(c)
+    facts = df.agg(*[F.bool_and(F.coalesce(same(c, k), F.col(c).isNull())).alias(f"{c}_{k}") for c, some in steps.items() for k in some]).first()
     return {c: F.col(c).cast(next((k for k in steps.get(c, []) if facts[f"{c}_{k}"]), kinds[c])) for c in columns}
 
 
@@ -197,47 +201,77 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
     return _met(rows, finish, shape, needs=("r", "q", "s") if metric == "pearson" else ("r", "q"), most=most)
 
 
-def reachable(ratings: DataFrame, *, block: int = 1_000_000, room: int = 1 << 30) -> DataFrame:
+def reachable(ratings: DataFrame, *, block: int = 2_000_000, room: int = 1 << 28) -> DataFrame:
     """``user, items``: how many items are similar to any that the user rated, that is, share a user with another item.
 
     Users lie in ranges of about ``block`` ratings; a range gets once the list of each user that shares an item with one of its
-    own. There each list is a row of bits, some candidates (``room`` bits over all lists) at a time: an item's row joins those of
-    its users, a user's those of the items. Where all users share items with all, a range holds all lists.
+    own. There a user's items are marked through these lists; what an item reaches is kept as a row of bits (``room`` bytes at
+    most) where that is less work than going through its users' lists for each user of the range again.
     """
     rows = ratings.where("user IS NOT NULL AND item IS NOT NULL").select("user", "item")
-    blocks = max(1, -(-rows.count() // block))
+    blocks = _ranges(rows, rows.count(), block, 100_000)
     placed = stored(rows.repartitionByRange(blocks, "user").withColumn("p", F.spark_partition_id()), "ranges")
-    shared = placed.select("p", "item").distinct().join(placed.select("item", "user"), "item").select("p", "user").distinct()
-    sent = shared.join(placed.select("user", "item", F.col("p").alias("home")), "user").select("p", "user", "item", "home")
+    # the ranges that an item or user is asked for are the bits of numbers, ``MASK`` ranges each
+    asked = placed.groupBy("item", F.floor(F.col("p") / MASK).cast("int").alias("g")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % MASK)).alias("m"))
+    shared = asked.join(placed.select("item", "user"), "item").groupBy("user", "g").agg(F.bit_or("m").alias("m"))
+    lists = placed.select("user", _narrow(placed, ["item"])["item"].alias("item"), "p").groupBy("user").agg(F.sort_array(F.collect_set("item")).alias("l"), F.min("p").alias("home"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.call_function("shiftright", F.col("m"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    sent = shared.join(lists, "user").select(F.explode(at).alias("p"), "g", "user", "home", "l").select((F.col("g") * MASK + F.col("p")).cast("int").alias("p"), "user", "home", "l")
 
-    def one(p, parts):
-        every = pd.concat(parts, ignore_index=True)
-        users, v = np.unique(every["user"].to_numpy(), return_inverse=True)
-        items, i = np.unique(every["item"].to_numpy(), return_inverse=True)
-        mine = np.flatnonzero(every["home"].to_numpy() == p)
-        asked, place = np.unique(i[mine], return_inverse=True)
-        at = np.full(len(items), -1)
-        at[asked] = np.arange(len(asked))
-        of = np.flatnonzero(at[i] >= 0)  # who rated the items of this range's users
-        of = of[np.argsort(at[i[of]], kind="stable")]
-        item_heads = np.flatnonzero(np.r_[True, np.diff(at[i[of]]) != 0])
-        turn = np.argsort(v[mine], kind="stable")
-        own, place = v[mine][turn], place[turn]
-        user_heads = np.flatnonzero(np.r_[True, np.diff(own) != 0])
-        n = np.zeros(len(user_heads), np.int64)
-        width = int(np.clip(room // len(every), 64, 4096))
-        by = np.argsort(i, kind="stable")
-        cuts = np.searchsorted(i[by], np.arange(0, len(items) + width, width))
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            bits = np.zeros((len(users), width), bool)
-            bits[v[by[a:b]], i[by[a:b]] - c * width] = True
-            bits = np.packbits(bits, axis=1)
-            bits = np.bitwise_or.reduceat(bits[v[of]], item_heads)
-            n += np.bitwise_count(np.bitwise_or.reduceat(bits[place], user_heads)).sum(axis=1, dtype=np.int64)
-        n -= np.diff(np.r_[user_heads, len(own)]) == 1  # an only item isn't similar to itself
-        yield pd.DataFrame({"user": users[own[user_heads]], "items": n})
-
-    return sent.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(_by_range(one), f"user {dict(rows.dtypes)['user']}, items long")
+    def one(p, batches):
+        size = np.concatenate([b.column("l").value_lengths().to_numpy() for b in batches]).astype(np.int64)
+        users = pa.concat_arrays([b.column("user") for b in batches])
+        mine = np.flatnonzero(np.concatenate([b.column("home").to_numpy() for b in batches]) == p)
+        ids, i = _coded(_flat(batches, "l"))
+        batches.clear()
+        start = np.cumsum(size) - size
+        own = np.concatenate([i[start[v] : start[v] + size[v]] for v in mine])
+        often = np.bincount(own, minlength=len(ids))  # users of this range, by item
+        kept = often[i] > 0
+        of, by = np.repeat(np.arange(len(size), dtype=np.int32), size)[kept], i[kept]
+        of = of[np.argsort(by, kind="stable")]  # the users of each item asked for
+        upto = np.r_[0, np.cumsum(np.bincount(by, minlength=len(ids)))]
+        long = np.bincount(np.repeat(np.arange(len(ids)), np.diff(upto)), size[of], len(ids))
+        crowded = 25 * long * often > 25 * long + 20_000 + len(ids) * (0.2 + 0.02 * often)  # about nanoseconds: through lists each time, or by bits
+        flag, width = np.zeros(len(ids), bool), -(-len(ids) // 64) * 8
+
+        def mark(lists):
+            for a in np.split(lists, np.flatnonzero(np.diff(np.cumsum(size[lists]) // CHUNK)) + 1):
+                n = size[a]
+                flag[i[np.repeat(start[a] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+
+        def counted(some):
+            entries = np.concatenate([i[start[v] : start[v] + size[v]] for v in some])
+            held = np.unique(entries[crowded[entries]])
+            if len(held) * width > room:
+                if len(some) > 1:
+                    yield from counted(some[: len(some) // 2])
+                    yield from counted(some[len(some) // 2 :])
+                    return
+                held = held[:0]
+            bits, place = np.zeros((len(held), width), np.uint8), np.full(len(ids), -1)
+            place[held] = np.arange(len(held))
+            for k, item in enumerate(held):
+                flag[:] = False
+                mark(of[upto[item] : upto[item + 1]])
+                packed = np.packbits(flag)
+                bits[k, : len(packed)] = packed
+            bits = bits.view(np.uint64)
+            for v in some:
+                a = i[start[v] : start[v] + size[v]]
+                k = place[a]
+                known = np.bitwise_or.reduce(bits[k[k >= 0]], axis=0)
+                more = a[k < 0]
+                if len(more):
+                    flag[:] = np.unpackbits(known.view(np.uint8), count=len(ids)) if len(more) < len(a) else False
+                    mark(np.unique(np.concatenate([of[upto[x] : upto[x + 1]] for x in more])))
+                # an only item isn't similar to itself
+                yield (np.count_nonzero(flag) if len(more) else int(np.bitwise_count(known).sum())) - (len(a) == 1)
+
+        if len(mine):
+            yield pd.DataFrame({"user": users.take(pa.array(mine)).to_numpy(zero_copy_only=False), "items": np.fromiter(counted(mine), np.int64, len(mine))})
+
+    return _dealt(sent, blocks, one, f"user {dict(rows.dtypes)['user']}, items long")
 
 
 def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int, block: int, chunk: int) -> DataFrame:
