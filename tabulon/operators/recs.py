@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabulon.functions.storage import cut, stored
 
@@ -73,6 +76,8 @@ def _narrow(df: DataFrame, columns: list[str]) -> dict[str, Column]:
 def _dealt(sent: DataFrame, ranges: int, one, schema: str) -> DataFrame:
     """``one(p, batches)``, which yields pandas frames, over the rows of each range ``p``; a range is one task."""
 
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
     def work(batches):
         held = {}
         for batch in batches:
@@ -81,7 +86,7 @@ def _dealt(sent: DataFrame, ranges: int, one, schema: str) -> DataFrame:
                 held.setdefault(int(now), []).append(batch.filter(pa.array(p == now)) if (p != now).any() else batch)
         while held:
             for frame in one(*held.popitem()):
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
 
     return sent.repartitionById(ranges, "p").mapInArrow(work, schema)
 
@@ -121,15 +126,12 @@ def _met(rows: DataFrame, finish, schema: str, *, needs: tuple[str, ...] = ("r",
     lists = placed.groupBy("z").agg(F.sort_array(F.collect_list(entry)).alias("l")).withColumn("m", F.size("l")).where(met)
     apart = lists.select(F.array_distinct("l.p").alias("ps"), F.col("l.p").alias("of"), *[F.col(f"l.{n}").alias(n) for n in short])
     sent = apart.select(F.explode("ps").alias("p"), "of", *short).withColumn("p", F.col("p").cast("int"))
-    kind = dict(rows.dtypes)["x"]
     chunk = chunk or CHUNK
 
     def one(p, batches):
         sizes = np.concatenate([b.column("of").value_lengths().to_numpy() for b in batches]).astype(np.int64)
         own = np.flatnonzero(_flat(batches, "of").to_numpy() == p)
         ids, at = _coded(_flat(batches, "x"))
-        if kind != "bigint" and ids.dtype == np.int64:
-            ids = ids.astype({"int": np.int32, "smallint": np.int16, "tinyint": np.int8}[kind])
         held = {n: _flat(batches, n).to_numpy(zero_copy_only=False) for n in needs}
         batches.clear()
         r, sides = held.get("r"), {}
@@ -201,6 +203,18 @@ def similarity(ratings: DataFrame, by: str = "item", metric: str = "cosine", *,
     return _met(rows, finish, shape, needs=("r", "q", "s") if metric == "pearson" else ("r", "q"), most=most)
 
 
+def _askers(placed: DataFrame, key: str) -> DataFrame:
+    """``key, g, m``: the ranges ``p`` that have a key, as the bits of numbers ``m``, ``MASK`` ranges each."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % MASK)
+    return placed.groupBy(key, F.floor(F.col("p") / MASK).cast("int").alias("g")).agg(F.bit_or(bit).alias("m"))
+
+
+def _to_askers(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` once for each range ``p`` of ``g, m``."""
+    on = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.call_function("shiftright", F.col("m"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return df.select(F.explode(on).alias("p"), "g", *columns).select((F.col("g") * MASK + F.col("p")).cast("int").alias("p"), *columns)
+
+
 def reachable(ratings: DataFrame, *, block: int = 2_000_000, room: int = 1 << 28) -> DataFrame:
     """``user, items``: how many items are similar to any that the user rated, that is, share a user with another item.
 
@@ -211,12 +225,9 @@ def reachable(ratings: DataFrame, *, block: int = 2_000_000, room: int = 1 << 28
     rows = ratings.where("user IS NOT NULL AND item IS NOT NULL").select("user", "item")
     blocks = _ranges(rows, rows.count(), block, 100_000)
     placed = stored(rows.repartitionByRange(blocks, "user").withColumn("p", F.spark_partition_id()), "ranges")
-    # the ranges that an item or user is asked for are the bits of numbers, ``MASK`` ranges each
-    asked = placed.groupBy("item", F.floor(F.col("p") / MASK).cast("int").alias("g")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p") % MASK)).alias("m"))
-    shared = asked.join(placed.select("item", "user"), "item").groupBy("user", "g").agg(F.bit_or("m").alias("m"))
+    shared = _askers(placed, "item").join(placed.select("item", "user"), "item").groupBy("user", "g").agg(F.bit_or("m").alias("m"))
     lists = placed.select("user", _narrow(placed, ["item"])["item"].alias("item"), "p").groupBy("user").agg(F.sort_array(F.collect_set("item")).alias("l"), F.min("p").alias("home"))
-    at = F.filter(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda i: F.call_function("shiftright", F.col("m"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    sent = shared.join(lists, "user").select(F.explode(at).alias("p"), "g", "user", "home", "l").select((F.col("g") * MASK + F.col("p")).cast("int").alias("p"), "user", "home", "l")
+    sent = _to_askers(shared.join(lists, "user"), "user", "home", "l")
 
     def one(p, batches):
         size = np.concatenate([b.column("l").value_lengths().to_numpy() for b in batches]).astype(np.int64)
@@ -274,13 +285,16 @@ def reachable(ratings: DataFrame, *, block: int = 2_000_000, room: int = 1 << 28
     return _dealt(sent, blocks, one, f"user {dict(rows.dtypes)['user']}, items long")
 
 
-def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int, block: int, chunk: int) -> DataFrame:
+def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int, block: int, chunk: int, own: DataFrame | None = None) -> DataFrame:
     """``then(found, seen)`` over the scores of items near what users rated, whole users at a time.
 
     Users lie in ranges of about ``block`` ratings met by neighbours; an item's list of neighbours goes once to each range
     that rated it, and the rows of candidates are made, ranked and summed there ``chunk`` at a time (or one user), never
     shuffled. ``found`` has ``user, item, score`` (and ``worth``, if ``similar`` gives one for ``b``), ordered by user and item;
     ``seen`` whether the user rated it.
+
+    With ``own`` (user, item, mean) the roles are those of similar users: ``ratings`` hold a similar user as ``item`` and how similar,
+    ``similar`` what that user thinks of ``b``; the former are ranked and weigh the latter. Users' own items and ``mean`` come from there.
     """
     met = similar.where("a IS NOT NULL AND b IS NOT NULL")
     value = {"s": "similarity"} | ({"w": "worth"} if "worth" in met.columns else {})
@@ -289,36 +303,63 @@ def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int
     lists = stored(lists, "neighbours")
     rows = ratings.where("user IS NOT NULL AND item IS NOT NULL").select("user", "item", F.col("rating").cast("double").alias("r"))
     width = lists.agg(F.avg(F.size("b"))).first()[0] or 1.0
-    blocks = max(1, -(-int(rows.count() * width) // block))
+    blocks = _ranges(rows, int(rows.count() * width), block)
     placed = stored(rows.repartitionByRange(blocks, "user").withColumn("p", F.spark_partition_id()), "ranges")
-    sent = placed.groupBy("p", "item").agg(F.min("user").alias("user")).join(lists, "item")  # no null, which would turn ids to floats
-    empty = {n: F.array().cast(lists.schema[n].dataType) for n in ("b", *value)}  # not null: Arrow's writer takes long over runs of null lists
-    both = placed.withColumns(empty).unionByName(sent.withColumn("r", F.lit(None).cast("double")))
-
-    def one(_, parts):
-        every = pd.concat(parts, ignore_index=True)
-        size = every["b"].map(len).to_numpy()
-        listed, mine = every[size > 0], every.loc[size == 0, ["user", "item", "r"]]
-        if not len(listed) or not len(mine):
+    short = _narrow(placed, ["user", "item", "r"])
+    every = lists.select(F.explode("b").alias("b")) if own is None else lists.select(F.explode("b").alias("b")).unionByName(own.select(F.col("item").alias("b")))
+    kinds = {"b": _narrow(every, ["b"])["b"]} | {n: F.col(n) for n in value}
+    kinds = {n: every.select(c).dtypes[0][1] if n == "b" else "double" for n, c in kinds.items()}
+    some = {n: F.col(n).cast(f"array<{t}>").alias(n) for n, t in kinds.items()}
+    none = {n: F.array().cast(f"array<{t}>").alias(n) for n, t in kinds.items()}  # not null: Arrow's writer takes long over runs of null lists
+    types = dict(placed.select(*[c.alias(n) for n, c in short.items()]).dtypes)
+    empty = lambda n: F.lit(None).cast(types[n]).alias(n)
+    # a rating has no list, a list of neighbours no user
+    both = placed.select("p", *[c.alias(n) for n, c in short.items()], *none.values())
+    sent = _to_askers(_askers(placed, "item").join(lists, "item"), "item", "b", *value)
+    both = both.unionByName(sent.select("p", empty("user"), F.col("item").cast(types["item"]), empty("r"), *some.values()))
+    if own is not None:
+        home = placed.groupBy("user").agg(F.min("p").alias("p"))
+        theirs = own.groupBy("user").agg(F.collect_list("item").alias("b"), F.collect_list(F.lit(0.0)).alias("s"), F.min("mean").alias("r")).join(home, "user")
+        both = both.unionByName(theirs.select("p", F.col("user").cast(types["user"]), empty("item"), F.col("r").cast("double"), *some.values()))
+
+    by_users = own is not None
+
+    def one(_, batches):
+        every = pa.Table.from_batches(batches)
+        batches.clear()
+        rated = pc.equal(pc.list_value_length(every["b"]), 0)
+        mine, lists = every.filter(rated), every.filter(pc.and_(pc.invert(rated), pc.is_null(every["user"])))
+        seen = every.filter(pc.and_(pc.invert(rated), pc.is_valid(every["user"])))
+        del every
+        if not len(mine) or not len(lists):
             return
-        listed = listed.sort_values("item", kind="stable")
-        size = listed["b"].map(len).to_numpy()
+        users, u = _coded(mine["user"].combine_chunks())
+        items, i = _coded(pa.concat_arrays([*mine["item"].chunks, *lists["item"].chunks]))
+        turn = np.argsort(i[len(mine) :], kind="stable")
+        lists, which = lists.take(pa.array(turn)), np.full(len(items), -1)
+        which[i[len(mine) :][turn]] = np.arange(len(lists))
+        i = i[: len(mine)]
+        flat = lambda t, n: pa.concat_arrays([c.flatten() for c in t[n].chunks] or [pa.array([], t.schema.field(n).type.value_type)])
+        size = pc.list_value_length(lists["b"]).to_numpy().astype(np.int64)
         start = np.cumsum(size) - size
-        ids, cand = np.unique(np.concatenate(listed["b"].to_list()), return_inverse=True)
-        near = np.concatenate(listed["s"].to_list()).astype(float)
+        ids, cand = _coded(pa.concat_arrays([flat(lists, "b"), flat(seen, "b")]))
+        cand, theirs = cand[: size.sum()], cand[size.sum() :]
+        near = flat(lists, "s").to_numpy()
         worth = np.full(len(ids), np.nan)
-        if "w" in listed:
-            worth[cand] = np.concatenate(listed["w"].to_list()).astype(float)
-        users, u = np.unique(mine["user"].to_numpy(), return_inverse=True)
-        items, i = np.unique(mine["item"].to_numpy(), return_inverse=True)
+        if "w" in value:
+            worth[cand] = flat(lists, "w").to_numpy()
+        del lists
         order = np.lexsort((i, u))
-        u, i, r = u[order], i[order], mine["r"].to_numpy(dtype=float)[order]
-        at = np.searchsorted(ids, items).clip(max=len(ids) - 1)
-        at = np.where(ids[at] == items, at, -1)[i]  # a user's own item among the candidates
-        known = np.unique((u.astype(np.int64) * len(ids) + at)[at >= 0])
-        with_list = items.searchsorted(listed["item"].to_numpy())
-        which = np.full(len(items), -1)
-        which[with_list] = np.arange(len(listed))
+        u, i, r = u[order], i[order], mine["r"].to_numpy()[order].astype(float)
+        mean = np.full(len(users), np.nan)
+        if not by_users:
+            at = np.searchsorted(ids, items).clip(max=len(ids) - 1)
+            at = np.where(ids[at] == items, at, -1)[i]  # a user's own item among the candidates
+            known = np.unique((u.astype(np.int64) * len(ids) + at)[at >= 0])
+        else:
+            who = np.searchsorted(users, seen["user"].to_numpy())
+            mean[who] = seen["r"].to_numpy()
+            known = np.unique(np.repeat(who, pc.list_value_length(seen["b"]).to_numpy()) * len(ids) + theirs)
         l = which[i]
         u, r, l = u[l >= 0], r[l >= 0], l[l >= 0]
         upto = np.cumsum(size[l])
@@ -334,6 +375,8 @@ def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int
             key = u[src].astype(np.int64) * len(ids) + cand[to]
             turn = np.argsort(key, kind="stable")  # sources of a pair stay by item
             key, sim, rate = key[turn], near[to[turn]], r[src[turn]]
+            if by_users:
+                sim, rate = rate, sim
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             many = np.diff(np.r_[heads, len(key)])
             if many.max() > k:
@@ -347,29 +390,13 @@ def _scored(ratings: DataFrame, similar: DataFrame, then, schema: str, *, k: int
             bare = np.logical_and.reduceat(np.isnan(top), heads) | (below == 0)
             score = np.where(bare, np.nan, above / np.where(bare, 1.0, below))
             pair = key[heads]
-            found = pd.DataFrame({"user": users[pair // len(ids)], "item": ids[pair % len(ids)], "score": score} | ({"worth": worth[pair % len(ids)]} if "w" in listed else {}))
+            if by_users:
+                score = mean[pair // len(ids)] + np.where(bare, 0.0, score)
+            found = pd.DataFrame({"user": users[pair // len(ids)], "item": ids[pair % len(ids)], "score": score} | ({"worth": worth[pair % len(ids)]} if "w" in value else {}))
             yield then(found, np.isin(pair, known, assume_unique=True))
             first = last
 
-    return both.repartition(blocks, "p").sortWithinPartitions("p").mapInPandas(_by_range(one), schema)
-
-
-def _by_range(one):
-    """``one(p, parts)`` for the frames of each range ``p`` that follow one another."""
-
-    def work(frames):
-        held, p = [], None
-        for f in frames:
-            for now, part in f.groupby("p", sort=False):
-                if held and now != p:
-                    yield from one(p, held)
-                    held = []
-                p = now
-                held.append(part)
-        if held:
-            yield from one(p, held)
-
-    return work
+    return _dealt(both, blocks, one, schema)
 
 
 def _best(found: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series]:
@@ -383,12 +410,12 @@ def _pair(ratings: DataFrame, similar: DataFrame, *more: str) -> str:
     return ", ".join([f"user {kinds[0]['user']}", f"item {kinds[1]['b']}", *more])
 
 
-def predict_items(ratings: DataFrame, similar: DataFrame, *, k: int = 50, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def predict_items(ratings: DataFrame, similar: DataFrame, *, k: int = 50, block: int = BLOCK // 2, chunk: int = CHUNK) -> DataFrame:
     """``user, item, score`` for items near what a user rated: Σ similarity · rating / Σ |similarity| over ``k`` neighbours."""
     return _scored(ratings, similar, lambda found, _: found, _pair(ratings, similar, "score double"), k=k, block=block, chunk=chunk)
 
 
-def recommend_items(ratings: DataFrame, similar: DataFrame, n: int = 10, *, k: int = 50, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def recommend_items(ratings: DataFrame, similar: DataFrame, n: int = 10, *, k: int = 50, block: int = BLOCK // 2, chunk: int = CHUNK) -> DataFrame:
     """``user, item, score, rank``: :func:`top_n` of :func:`predict_items` among items that the user has not rated, without
     a row for each candidate leaving its task."""
 
@@ -399,7 +426,7 @@ def recommend_items(ratings: DataFrame, similar: DataFrame, n: int = 10, *, k: i
     return _scored(ratings, similar, best, _pair(ratings, similar, "score double", "rank int"), k=k, block=block, chunk=chunk)
 
 
-def blend_popular(ratings: DataFrame, similar: DataFrame, popular: DataFrame, *, k: int = 50, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def blend_popular(ratings: DataFrame, similar: DataFrame, popular: DataFrame, *, k: int = 50, block: int = BLOCK // 2, chunk: int = CHUNK) -> DataFrame:
     """``user, item, score``: :func:`blend` by ``rank`` of :func:`predict_items` and of the popularity (item, score) of the same
     items; both are ranked where a user's items are scored. Popularity comes along with the neighbours."""
 
@@ -412,17 +439,30 @@ def blend_popular(ratings: DataFrame, similar: DataFrame, popular: DataFrame, *,
     return _scored(ratings, worth, both, _pair(ratings, similar, "score double"), k=k, block=block, chunk=chunk)
 
 
-def predict_users(ratings: DataFrame, similar: DataFrame, *, k: int = 50) -> DataFrame:
+def predict_users(ratings: DataFrame, similar: DataFrame, *, k: int = 50, block: int = BLOCK // 2, chunk: int = CHUNK) -> DataFrame:
     """``user, item, score``: the user's mean plus the weighted deviations of ``k`` similar users who rated the item."""
+    return _by_users(ratings, similar, lambda found, _: found.dropna(subset="score"), "score double", k=k, block=block, chunk=chunk)
+
+
+def recommend_users(ratings: DataFrame, similar: DataFrame, n: int = 10, *, k: int = 50, block: int = BLOCK // 2, chunk: int = CHUNK) -> DataFrame:
+    """``user, item, score, rank``: :func:`top_n` of :func:`predict_users` among items that the user has not rated, without
+    a row for each candidate leaving its task."""
+
+    def best(found, seen):
+        found, rank = _best(found[~seen].dropna(subset="score"))
+        return found.assign(rank=rank.astype("int32"))[rank <= n]
+
+    return _by_users(ratings, similar, best, "score double, rank int", k=k, block=block, chunk=chunk)
+
+
+def _by_users(ratings: DataFrame, similar: DataFrame, then, more: str, **limits) -> DataFrame:
+    """:func:`_scored` of similar users: each has a list of items and how far their ratings are from that user's mean."""
     means = ratings.groupBy("user").agg(F.avg("rating").alias("mean"))
-    theirs = ratings.join(means, "user").select(F.col("user").alias("b"), "item", (F.col("rating") - F.col("mean")).alias("d"))
-    lists = theirs.groupBy("b").agg(F.collect_list(F.struct("item", "d")).alias("l"))
-    held = similar.select("a", "b", "similarity").join(lists, "b").repartition("a")  # lists move, their rows don't
-    near = held.select("a", "b", "similarity", F.inline("l"))
-    w = Window.partitionBy("a", "item").orderBy(F.desc("similarity"), "b")
-    top = near.withColumn("i_", F.row_number().over(w)).where(F.col("i_") <= k)
-    moved = top.groupBy(F.col("a").alias("user"), "item").agg(F.try_divide(F.sum(F.col("similarity") * F.col("d")), F.sum(F.abs("similarity"))).alias("move"))
-    return moved.join(means, "user").select("user", "item", (F.col("mean") + F.coalesce("move", F.lit(0.0))).alias("score"))
+    own = stored(ratings.where("user IS NOT NULL AND item IS NOT NULL").join(means, "user").select("user", "item", "mean", (F.col("rating") - F.col("mean")).alias("d")), "deviations")
+    theirs = own.select(F.col("user").alias("a"), F.col("item").alias("b"), F.col("d").alias("similarity"))
+    asked = similar.select(F.col("a").alias("user"), F.col("b").alias("item"), F.coalesce("similarity", F.lit(float("nan"))).alias("rating"))
+    kinds = dict(ratings.dtypes)
+    return _scored(asked, theirs, then, f"user {dict(similar.dtypes)['a']}, item {kinds['item']}, {more}", own=own, **limits)
 
 
 def popularity(ratings: DataFrame) -> DataFrame:

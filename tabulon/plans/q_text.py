@@ -217,8 +217,9 @@ def ratings_statistics(spark, d):
 def _recommended(spark, d):
     ratings = _ratings(spark, d)
     train = ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) > 0)
-    found = stored(R.recommend_items(train, R.similarity(train, neighbours=20), 10), "recommended")
-    return R.with_fallback(found, ratings, train, 10), ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) == 0), train
+    similar = stored(R.similarity(train, neighbours=20), "similar")
+    found = stored(R.recommend_items(train, similar, 10), "recommended")
+    return R.with_fallback(found, ratings, train, 10), ratings.where(F.pmod(F.xxhash64("user", "item"), F.lit(5)) == 0), train, similar
 
 
 @query()
@@ -228,25 +229,25 @@ def recs_topn(spark, d):
 
 @query()
 def recs_ndcg(spark, d):
-    found, truth, _ = _recommended(spark, d)
+    found, truth, *_ = _recommended(spark, d)
     return R.ranking_metrics(found, truth)
 
 
 @query()
 def recs_user_based(spark, d):
     ratings = _ratings(spark, d)
-    return R.top_n(R.predict_users(ratings, R.similarity(ratings, "user", "pearson", neighbours=10)), ratings, 5)
+    return R.recommend_users(ratings, R.similarity(ratings, "user", "pearson", neighbours=10), 5)
 
 
 @query()
 def recs_diverse(spark, d):
-    found, _, train = _recommended(spark, d)
-    return R.rerank_diverse(found, R.similarity(train, neighbours=20))
+    found, _, _, similar = _recommended(spark, d)
+    return R.rerank_diverse(found, similar)
 
 
 @query()
 def recs_diversity(spark, d):
-    found, _, train = _recommended(spark, d)
+    found, _, train, _ = _recommended(spark, d)
     attributes = table(spark, d, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type")
     return R.diversity(found, attributes, ["p_brand", "p_type"]).crossJoin(R.coverage(found, train))
 
