@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.storage import cut, stored
-from tabulon.operators.tokens import Block, blocks_of, listed, token_blocks
+from tabulon.operators.tokens import TOKENS, Block, blocks_of, listed, token_blocks
 
 #: Frequent words by language, for stop words and the language guess (fixed values).
 STOP_WORDS = {
@@ -520,18 +520,104 @@ def topic_quality(described: DataFrame, best: int = 5) -> DataFrame:
     return described.where(F.col("rank") <= best).agg(F.avg("weight").alias("quality"), F.count_distinct("topic").alias("topics"))
 
 
-def embeddings(df: DataFrame, size: int = 32, seed: int = 1, *, part: int = 16_000_000) -> DataFrame:
-    """``doc_id, embedding``: mean of word vectors trained on the corpus.
+def embeddings(df: DataFrame, size: int = 32, seed: int = 1, *, part: int = 16_000_000, least: int = 5) -> DataFrame:
+    """``doc_id, embedding``: mean of word vectors trained on the corpus; words that come less than ``least`` times count as zero.
 
-    Each task trains on about ``part`` characters, and the vectors of a word are averaged over the tasks that saw it; a corpus
-    of one part is trained in one task.
+    Each block of about ``part`` characters, a million words at most, trains its words (skip-grams with negative samples), and the vectors of a word
+    are averaged over the blocks that saw it; a corpus of one block is trained in one task. Vectors start from a word's hash, the same in all
+    blocks. Words and vectors meet by shuffles, so that neither the driver nor a task holds the vocabulary.
     """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+    kind = df.schema["doc_id"].dataType.simpleString()
+    blocks = token_blocks(df, words(F.col("text")), size=min(TOKENS, max(1, part // 6)))
+    here = stored(blocks.mapInArrow(_term_counts, "block long, i int, term string, n long"), "terms")
+    known = here.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("term")
+    back = here.join(known, "term").select("block", "i", F.xxhash64("term", F.lit(seed)).alias("h"))
+    trained = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_trained(size), "block long, i int, term string, " + ", ".join(f"q{j} float" for j in range(size)))
+    means = stored(trained.groupBy("term").agg(F.collect_list(F.struct("block", "i")).alias("at"), *[F.avg(f"q{j}").alias(f"q{j}") for j in range(size)]), "vectors")
+    sent = means.select(F.explode("at").alias("at"), *[f"q{j}" for j in range(size)]).select("at.block", "at.i", *[f"q{j}" for j in range(size)])
+    found = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_document_means(size), f"doc_id {kind}, embedding array<double>")
+    nothing = F.array_repeat(F.lit(0.0), size)
+    return df.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("embedding", nothing).alias("embedding"))
+
+
+def _term_counts(batches):
+    """``block, i, term, n``: a block's words and how often they come."""
+    for b in blocks_of(batches):
+        n = np.bincount(b.tokens, minlength=len(b.words)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b.block)), pa.array(np.arange(len(n), dtype=np.int32)), b.words, pa.array(n)], names=["block", "i", "term", "n"])
 
-    rows = df.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    model = Word2Vec(vectorSize=size, minCount=5, seed=seed, inputCol="w", outputCol="v", maxIter=1, numPartitions=_parts(df, part))
-    return model.fit(rows).transform(rows).select("doc_id", vector_to_array("v").alias("embedding"))
+
+#: Words to either side that a word is trained on, samples of other words for a step, words of a step.
+_WINDOW, _OTHERS, _STEP = 5, 16, 1000
+
+
+def _trained(size: int, rate: float = 0.1):
+    """``block, i, term, q0, …`` of a block's words that came ``back`` (i, h): their vectors after one pass over the block."""
+
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        b = Block(block)
+        place = back.column("i").to_numpy()
+        code = np.full(len(b.words), -1)
+        code[place] = np.arange(len(place))
+        t = code[b.tokens]
+        row, t = b.row[t >= 0], t[t >= 0]
+        x = _start(back.column("h").to_numpy(), size)
+        y = np.zeros_like(x)
+        rng = np.random.default_rng(b.block)
+        often = np.cumsum(np.bincount(t, minlength=len(x)) ** 0.75)
+        reach = rng.integers(1, _WINDOW + 1, len(t))
+        for a in range(0, len(t), _STEP):
+            centre, near = [], []
+            for o in [k for o in range(1, _WINDOW + 1) for k in (-o, o)]:
+                at = np.arange(max(a, -o), min(a + _STEP, len(t) - max(o, 0)))
+                at = at[(row[at] == row[at + o]) & (reach[at] >= abs(o))]
+                centre.append(t[at]), near.append(t[at + o])
+            centre, near = np.concatenate(centre), np.concatenate(near)
+            if not len(centre):
+                continue
+            others = np.minimum(np.searchsorted(often, rng.random(_OTHERS) * often[-1], side="right"), len(x) - 1)
+            left, right, wrong = x[near], y[centre], y[others]
+            pull = 1 / (1 + np.exp(np.einsum("ij,ij->i", left, right)))
+            push = np.where(centre[:, None] == others, 0, (_WINDOW / _OTHERS) / (1 + np.exp(-left @ wrong.T)))
+            step = np.float32(rate * max(1 - a / len(t), 1e-4))
+            _moved(x, near, step * (pull[:, None] * right - push @ wrong))
+            _moved(y, centre, step * pull[:, None] * left)
+            np.add.at(y, others, -step * (push.T @ left) / np.float32(len(near) ** 0.5))
+        names = b.words.take(pa.array(place))
+        return pa.table([pa.array(np.full(len(x), b.block)), pa.array(place), names, *[pa.array(x[:, j]) for j in range(size)]], names=["block", "i", "term", *[f"q{j}" for j in range(size)]])
+
+    return run
+
+
+def _start(h: np.ndarray, size: int) -> np.ndarray:
+    """Small random vectors that depend on hashes alone."""
+    bits = h.astype(np.uint64)[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        bits = (bits ^ (bits >> np.uint64(shift))) * np.uint64(factor)
+    return (((bits >> np.uint64(11)).astype(float) / 2**53 - 0.5) / size).astype(np.float32)
+
+
+def _moved(x: np.ndarray, rows: np.ndarray, by: np.ndarray) -> None:
+    """Adds ``by`` to some rows; one that comes ``n`` times moves by its sum over the root of n, so that one step doesn't overshoot."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    n = np.diff(np.r_[first, len(rows)])
+    x[rows[first]] += np.add.reduceat(by[order], first) / np.sqrt(n, dtype=np.float32)[:, None]
+
+
+def _document_means(size: int):
+    """``doc_id, embedding``: the sums of a block's vectors (i, q0, …) by document, over its number of words."""
+
+    def run(block: pa.Table, sent: pa.Table) -> pa.Table:
+        b, out = Block(block), np.empty((len(block.column("sizes")[0]), size))
+        for j in range(size):
+            q = np.zeros(len(b.words))
+            q[sent.column("i").to_numpy()] = sent.column(f"q{j}").to_numpy()
+            out[:, j] = np.bincount(b.row, q[b.tokens], len(out)) / b.sizes
+        return pa.table({"doc_id": b.docs, "embedding": listed(pa.array(out.ravel()), np.arange(len(out) + 1) * size)})
+
+    return run
 
 
 def _parts(df: DataFrame, part: int) -> int:
