@@ -547,8 +547,8 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b.block)), pa.array(np.arange(len(n), dtype=np.int32)), b.words, pa.array(n)], names=["block", "i", "term", "n"])
 
 
-#: Words to either side that a word is trained on, samples of other words for a step, words of a step.
-_WINDOW, _OTHERS, _STEP = 5, 16, 1000
+#: Words to either side that a word is trained on, samples of other words for a step, words of a step, moves of a word in a step.
+_WINDOW, _OTHERS, _STEP, _MOST = 5, 16, 1000, 10
 
 
 def _trained(size: int, rate: float = 0.1):
@@ -578,11 +578,12 @@ def _trained(size: int, rate: float = 0.1):
             others = np.minimum(np.searchsorted(often, rng.random(_OTHERS) * often[-1], side="right"), len(x) - 1)
             left, right, wrong = x[near], y[centre], y[others]
             pull = 1 / (1 + np.exp(np.einsum("ij,ij->i", left, right)))
-            push = np.where(centre[:, None] == others, 0, (_WINDOW / _OTHERS) / (1 + np.exp(-left @ wrong.T)))
+            push = np.float32(_WINDOW / _OTHERS) / (1 + np.exp(-left @ wrong.T))
+            push[centre[:, None] == others] = 0
             step = np.float32(rate * max(1 - a / len(t), 1e-4))
             _moved(x, near, step * (pull[:, None] * right - push @ wrong))
             _moved(y, centre, step * pull[:, None] * left)
-            np.add.at(y, others, -step * (push.T @ left) / np.float32(len(near) ** 0.5))
+            np.add.at(y, others, -step * np.float32(min(1, _MOST / len(near))) * (push.T @ left))
         names = b.words.take(pa.array(place))
         return pa.table([pa.array(np.full(len(x), b.block)), pa.array(place), names, *[pa.array(x[:, j]) for j in range(size)]], names=["block", "i", "term", *[f"q{j}" for j in range(size)]])
 
@@ -598,12 +599,12 @@ def _start(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _moved(x: np.ndarray, rows: np.ndarray, by: np.ndarray) -> None:
-    """Adds ``by`` to some rows; one that comes ``n`` times moves by its sum over the root of n, so that one step doesn't overshoot."""
+    """Adds ``by`` to some rows; one that comes over ``_MOST`` times moves by so many times its mean, so that a step doesn't overshoot."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     n = np.diff(np.r_[first, len(rows)])
-    x[rows[first]] += np.add.reduceat(by[order], first) / np.sqrt(n, dtype=np.float32)[:, None]
+    x[rows[first]] += np.add.reduceat(by[order], first) * np.minimum(1, _MOST / n).astype(np.float32)[:, None]
 
 
 def _document_means(size: int):
