@@ -531,24 +531,25 @@ def biased_scores(pairs: DataFrame, mean: DataFrame, users: DataFrame, items: Da
     return known.select(*[F.col(f"`{c}`") for c in pairs.columns], (F.col("mean") + F.coalesce("user_bias", F.lit(0.0)) + F.coalesce("item_bias", F.lit(0.0))).alias("score"))
 
 
-def factorise_biased(ratings: DataFrame, asked: DataFrame | None = None, *, rank: int = 10, rounds: int = 5, bias_rounds: int = 3, damping: float = 10.0, regularisation: float = 0.5, seed: int = 42) -> DataFrame:
+def factorise_biased(ratings: DataFrame, asked: DataFrame | None = None, *, rank: int = 10, rounds: int = 5, bias_rounds: int = 3, damping: float = 10.0, regularisation: float = 0.5, seed: int = 42, known: tuple[DataFrame, DataFrame, DataFrame] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``user, item, score`` of ``asked`` pairs (by default those rated): mean, biases, and factors of what these leave.
 
     The factors are alternating least squares over the residuals, in units of their deviation, so that they needn't carry how
     users and items rate in general; a user or item without factors keeps mean and biases. ``bias_rounds=0`` leaves the
-    biases out.
+    biases out. ``known`` gives the :func:`biases` of these ratings where the caller has them, ``keep`` names columns of ``asked`` that
+    stay.
     """
     from pyspark.ml.recommendation import ALS
 
-    asked = (ratings if asked is None else asked).select("user", "item")
-    mean, users, items = biases(ratings, rounds=bias_rounds, damping=damping)
+    asked = (ratings if asked is None else asked).select("user", "item", *keep)
+    mean, users, items = known or biases(ratings, rounds=bias_rounds, damping=damping)
     as_ids = lambda df, *more: df.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), *more)
-    left = as_ids(biased_scores(ratings.select("user", "item", "rating"), mean, users, items), (F.col("rating") - F.col("score")).alias("rating"))
+    left = stored(as_ids(biased_scores(ratings.select("user", "item", "rating"), mean, users, items), (F.col("rating") - F.col("score")).alias("rating")), "residuals")
     unit = left.agg(F.stddev_pop("rating")).first()[0] or 1.0
     left = left.withColumn("rating", F.col("rating") / unit)
-    model = ALS(rank=rank, maxIter=rounds, regParam=regularisation, userCol="user", itemCol="item", ratingCol="rating", seed=seed, coldStartStrategy="nan").fit(left)
-    found = model.transform(as_ids(biased_scores(asked, mean, users, items), "score"))
-    return found.select("user", "item", (F.col("score") + unit * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0))).cast("double").alias("score"))
+    model = ALS(rank=rank, maxIter=rounds, regParam=regularisation, userCol="user", itemCol="item", ratingCol="rating", seed=seed, coldStartStrategy="nan", checkpointInterval=1).fit(left)  # so that a round's shuffle files go with the round
+    found = model.transform(as_ids(biased_scores(asked, mean, users, items), *keep, "score"))
+    return found.select("user", "item", *keep, (F.col("score") + unit * F.coalesce(F.nanvl("prediction", F.lit(0.0)), F.lit(0.0))).cast("double").alias("score"))
 
 
 def blend(parts: dict[str, tuple[DataFrame, float]], how: str = "average") -> DataFrame:

@@ -113,8 +113,8 @@ def recs_factor_errors(spark, d):
     held = F.pmod(F.xxhash64("user", "item"), F.lit(5)) == 0
     train, test = ratings.where(~held), ratings.where(held)
     parts = R.biases(train)
-    factors = lambda k: test.join(R.factorise_biased(train, test, bias_rounds=k), ["user", "item"])
-    found = {"mean": test.crossJoin(F.broadcast(parts[0])).withColumn("score", F.col("mean")), "biases": R.biased_scores(test, *parts), "factors": factors(0), "biased_factors": factors(3)}
+    factors = lambda k: R.factorise_biased(train, test, bias_rounds=k, known=parts if k else None, keep=("rating",))
+    found = {"mean": test.crossJoin(F.broadcast(parts[0])).withColumn("score", F.col("mean")), "biases": R.biased_scores(test, *parts), "factors": factors(0), "biased_factors": factors(3)}  # three rounds, as in parts
     out = None
     for name, df in found.items():
         row = df.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.sqrt(F.avg((F.col("rating") - F.col("score")) * (F.col("rating") - F.col("score")))).alias("rmse"))
